@@ -39,7 +39,7 @@ def _unquote(element: Column) -> Column:
         inner = F.regexp_replace(inner, rf"(?<!\\){written}", meant)
     inner = F.regexp_replace(inner, r"\\(['\"\\])", "$1")
     number = F.when(
-        element.rlike(r"^[+-]?[0-9]+\.[0-9]+$"), element.cast("double").cast("string")
+        element.rlike(r"^[+-]?[0-9]+\.[0-9]+$"), element.try_cast("double").cast("string")
     ).when(element.rlike(r"^[+-]?[0-9]+$"), F.regexp_replace(element, r"^\+", ""))
     return F.when(element.rlike(_QUOTED), inner).otherwise(F.coalesce(number, element))
 

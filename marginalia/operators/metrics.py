@@ -60,12 +60,17 @@ def label_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+def micro_f1() -> Column:
+    """Aggregate over ``confusion`` rows."""
+    return _f1(F.sum("tp"), F.sum("fp"), F.sum("fn"))
+
+
 def overall_metrics(counts: DataFrame) -> DataFrame:
     """One row: micro and macro scores and the share of rows predicted exactly."""
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
     macro = F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn")))
     return counts.agg(
-        _f1(tp, fp, fn).alias("micro_f1"),
+        micro_f1().alias("micro_f1"),
         F.coalesce(macro, F.lit(0.0)).alias("macro_f1"),
         ratio(tp, tp + fp).alias("micro_precision"),
         ratio(tp, tp + fn).alias("micro_recall"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,7 +18,7 @@ from ..functions.numbers import reaches, sigmoid
 from ..functions.text import EMPTY, NONE, skip_reason, text_key, tokens
 from ..session import materialise
 from .labels import vocabulary
-from .skew import BROADCAST_BYTES, HEAVY_ROWS, left_join_by_frequency
+from .skew import BROADCAST_BYTES, HEAVY_ROWS, left_join_by_frequency, table_bytes
 from .triage import require_columns
 
 MICRO = 1_000_000
@@ -38,6 +38,18 @@ class LabelModel:
     counts: DataFrame
     alpha: float = 1.0
     min_documents: int = MIN_DOCUMENTS
+    weight_bytes: int | None = None
+
+    def size(self) -> int:
+        """Bytes the weights take when held in memory; measured if it is not known yet."""
+        if self.weight_bytes is not None:
+            return self.weight_bytes
+        return table_bytes(self.weights, row_bytes(len(self.labels)), "token")
+
+
+def row_bytes(n_labels: int) -> int:
+    """Fixed part of one row that carries a number per label."""
+    return 64 + 8 * n_labels
 
 
 def document_tokens(text: Column, max_length: int | None = None) -> Column:
@@ -104,59 +116,84 @@ def _prior(positives: int, rows: int, alpha: float) -> int:
     return math.floor(log_odds * MICRO + 0.5)
 
 
-def weight_table(
-    counts: DataFrame,
-    names: Sequence[str],
-    rows: int,
-    per_label: dict[str, int],
-    alpha: float = 1.0,
-    min_documents: int = MIN_DOCUMENTS,
-) -> DataFrame:
-    """``(token, df, w, absent)``: the log-odds a token adds when present, and its share of the
-    bias, for every token found in at least ``min_documents`` documents."""
-    per_token = (
+def _per_token(counts: DataFrame, names: Sequence[str], min_documents: int) -> DataFrame:
+    """``(token, df, y ARRAY<BIGINT>)``: documents with the token, in all and per label."""
+    per_label = [
+        F.coalesce(F.sum(F.when(F.col("label") == name, F.col("n"))), F.lit(0)) for name in names
+    ]
+    return (
         counts.filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(
             F.sum(F.when(F.col("label").isNull(), F.col("n"))).alias("df"),
-            *[
-                F.coalesce(F.sum(F.when(F.col("label") == name, F.col("n"))), F.lit(0)).alias(f"y{i}")
-                for i, name in enumerate(names)
-            ],
+            F.array(*per_label).cast("array<bigint>").alias("y"),
         )
         .filter(F.col("df") >= min_documents)
     )
+
+
+def weight_table(
+    per_token: DataFrame, positives: Sequence[int], rows: int, alphas: Sequence[float]
+) -> DataFrame:
+    """``(token, df, w, absent)``: the log-odds a token adds when present, and its share of the
+    bias. The arrays hold one entry per smoothing value and label, labels innermost."""
     present, absent = [], []
-    for i, name in enumerate(names):
-        positives = per_label.get(name, 0)
-        p = (F.col(f"y{i}") + F.lit(alpha)) / F.lit(positives + 2 * alpha)
-        q = (F.col("df") - F.col(f"y{i}") + F.lit(alpha)) / F.lit(rows - positives + 2 * alpha)
-        present.append(_millionths(F.log(p * (1 - q) / (q * (1 - p)))))
-        absent.append(_millionths(F.log((1 - p) / (1 - q))))
+    for alpha in alphas:
+        for i, positive in enumerate(positives):
+            seen = F.get("y", F.lit(i))
+            p = (seen + F.lit(alpha)) / F.lit(positive + 2 * alpha)
+            q = (F.col("df") - seen + F.lit(alpha)) / F.lit(rows - positive + 2 * alpha)
+            present.append(_millionths(F.log(p * (1 - q) / (q * (1 - p)))))
+            absent.append(_millionths(F.log((1 - p) / (1 - q))))
     return per_token.select(
-        "token", "df", F.array(*present).alias("w"), F.array(*absent).alias("absent")
+        "token",
+        "df",
+        F.array(*present).cast("array<bigint>").alias("w"),
+        F.array(*absent).cast("array<bigint>").alias("absent"),
     )
 
 
-def fit_from_counts(
+def fit_alphas(
     counts: DataFrame,
-    names: Sequence[str] | None = None,
-    alpha: float = 1.0,
+    names: Sequence[str],
+    alphas: Sequence[float],
     min_documents: int = MIN_DOCUMENTS,
 ) -> LabelModel:
-    """Weights and biases from a (written) table of counts."""
+    """One model for all smoothing values at once.
+
+    Its outputs are named ``<position of alpha>:<label>``, so one scoring pass gives the
+    probabilities of every candidate.
+    """
     rows, per_label = _document_totals(counts)
-    names = tuple(sorted(per_label) if names is None else names)
+    positives = [per_label.get(name, 0) for name in names]
+    outputs = tuple(f"{step}:{name}" for step, _ in enumerate(alphas) for name in names)
     table = materialise(
-        weight_table(counts, names, rows, per_label, alpha, min_documents), "weights"
+        weight_table(_per_token(counts, names, min_documents), positives, rows, alphas), "weights"
     )
     sums = table.agg(
-        *[F.sum(F.get("absent", F.lit(i))).alias(f"b{i}") for i in range(len(names))]
-    ).first() if names else ()
-    bias = tuple(
-        (sums[i] or 0) + _prior(per_label.get(name, 0), rows, alpha) for i, name in enumerate(names)
+        F.count("*").alias("tokens"),
+        F.coalesce(F.sum(F.octet_length("token").cast("bigint")), F.lit(0)).alias("bytes"),
+        *[F.sum(F.get("absent", F.lit(i))).alias(f"b{i}") for i in range(len(outputs))],
+    ).first()
+    priors = [_prior(positive, rows, alpha) for alpha in alphas for positive in positives]
+    bias = tuple((sums[f"b{i}"] or 0) + prior for i, prior in enumerate(priors))
+    size = sums["bytes"] + sums["tokens"] * row_bytes(len(outputs))
+    return LabelModel(
+        outputs, bias, table.select("token", "df", "w"), counts, alphas[0], min_documents, size
     )
-    return LabelModel(names, bias, table.select("token", "df", "w"), counts, alpha, min_documents)
+
+
+def fit_from_counts(
+    counts: DataFrame,
+    names: Sequence[str] | None = None,
+    alpha: float = 1.0,
+    min_documents: int = MIN_DOCUMENTS,
+) -> LabelModel:
+    """Weights and biases from a (written) table of counts."""
+    if names is None:
+        labels = counts.filter("token IS NULL AND label IS NOT NULL").select("label").collect()
+        names = sorted(row["label"] for row in labels)
+    return replace(fit_alphas(counts, names, [alpha], min_documents), labels=tuple(names))
 
 
 def fit(
@@ -194,13 +231,9 @@ def refine(
     )
 
 
-def _row_bytes(model: LabelModel) -> int:
-    return 64 + 8 * len(model.labels)
-
-
 def _weighted(pairs: DataFrame, model: LabelModel, heavy_rows: int, broadcast_bytes: int) -> DataFrame:
     return left_join_by_frequency(
-        pairs, model.weights, "token", "df", _row_bytes(model), heavy_rows, broadcast_bytes
+        pairs, model.weights, "token", "df", model.size(), heavy_rows, broadcast_bytes
     )
 
 
@@ -291,8 +324,9 @@ def score_rows(
         .select("_key", "copies", _logits(model, F.col("copies")).alias("z"))
     )
     scored = materialise(per_text, "scored-texts")
+    size = table_bytes(scored, row_bytes(len(model.labels)), "_key")
     joined = left_join_by_frequency(
-        keyed, scored, "_key", "copies", _row_bytes(model) + 64, heavy_rows, broadcast_bytes
+        keyed, scored, "_key", "copies", size, heavy_rows, broadcast_bytes
     )
     probs = _probabilities(F.col("z"), F.col("skip_reason") == NONE, model)
     return joined.select(*df.columns, "skip_reason", probs)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .metrics import multilabel_metrics
-from .model import LabelModel, fit_from_counts, score, with_predictions
+from .metrics import confusion, micro_f1, multilabel_metrics
+from .model import LabelModel, fit_alphas, fit_from_counts, score, with_predictions
 
 # Candidate smoothing values, tried from the strongest to the weakest.
 ALPHAS = (4.0, 2.0, 1.0, 0.5, 0.25)
@@ -39,6 +39,32 @@ def evaluate(
     )
 
 
+def validation_scores(
+    candidates: LabelModel,
+    validation: DataFrame,
+    key: str,
+    names: Sequence[str],
+    text_col: str = "text",
+    labels_col: str = "labels",
+    threshold: float = 0.5,
+) -> dict[int, float]:
+    """Micro-F1 per candidate of a ``fit_alphas`` model, from one scoring pass."""
+    predicted = with_predictions(score(validation, candidates, key, text_col), candidates, threshold)
+    steps = F.array(*[F.lit(str(step)) for step in range(len(candidates.labels) // len(names))])
+    truth = F.flatten(
+        F.transform(
+            steps,
+            lambda step: F.transform(labels_col, lambda name: F.concat_ws(":", step, name)),
+        )
+    )
+    both = validation.select(key, truth.alias("truth")).join(predicted.select(key, "predicted"), key)
+    cells = confusion(both, candidates.labels, "truth")
+    per_step = cells.groupBy(F.substring_index("label", ":", 1).cast("int").alias("step")).agg(
+        micro_f1().alias("micro_f1")
+    )
+    return {row["step"]: row["micro_f1"] for row in per_step.collect()}
+
+
 def choose_alpha(
     counts: DataFrame,
     validation: DataFrame,
@@ -50,22 +76,32 @@ def choose_alpha(
     patience: int = PATIENCE,
     min_documents: int = 2,
     threshold: float = 0.5,
-) -> tuple[LabelModel | None, list[Trial]]:
-    """Best model by validation micro-F1, and every trial made.
+) -> tuple[LabelModel, list[Trial]]:
+    """Best model by validation micro-F1, and every trial up to the stop.
 
-    All candidates share one written table of counts: a trial recomputes the weights from it and
-    scores the validation rows; the training texts are not read again.
+    The candidates share the counts, so all of them are scored in one pass over the validation
+    rows; the rule (stop after ``patience`` trials without improvement) then reads the scores in
+    order. The training texts are not read again. Without validation rows the first value is kept.
     """
-    best, best_score, since, trials = None, -1.0, 0, []
+    found = validation_scores(
+        fit_alphas(counts, names, alphas, min_documents),
+        validation,
+        key,
+        names,
+        text_col,
+        labels_col,
+        threshold,
+    )
+    best, best_score, since, trials = alphas[0], -1.0, 0, []
     for step, alpha in enumerate(alphas):
-        model = fit_from_counts(counts, names, alpha, min_documents)
-        row = evaluate(model, validation, key, text_col, labels_col, threshold).first()
-        improved = row["micro_f1"] > best_score
-        trials.append(Trial(step, alpha, row["micro_f1"], improved))
+        if step not in found:
+            break
+        improved = found[step] > best_score
+        trials.append(Trial(step, alpha, found[step], improved))
         if improved:
-            best, best_score, since = model, row["micro_f1"], 0
+            best, best_score, since = alpha, found[step], 0
         else:
             since += 1
             if since >= patience:
                 break
-    return best, trials
+    return fit_from_counts(counts, names, best, min_documents), trials

@@ -22,20 +22,21 @@ def left_join_by_frequency(
     keyed: DataFrame,
     key: str,
     frequency: str,
-    row_bytes: int,
+    keyed_bytes: int,
     heavy_rows: int = HEAVY_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``rows`` left-joined to ``keyed`` (one row per key) on ``key``.
 
-    A ``keyed`` table within ``broadcast_bytes`` is broadcast whole. A larger one is cut by
+    A ``keyed`` table whose measured ``keyed_bytes`` (see ``table_bytes``) are within
+    ``broadcast_bytes`` is broadcast whole. A larger one is cut by
     ``frequency``, the number of rows that carry a key: keys with at least
     ``total / heavy_rows`` rows are broadcast, and there can be no more than ``heavy_rows`` of
     those; the rest meets in a shuffle join in which no key is frequent. Nothing is dropped:
     the parts are complementary and are put back together with a union. Rows whose key is null
     match nothing and stay out of the shuffle.
     """
-    if table_bytes(keyed, row_bytes, key) <= broadcast_bytes:
+    if keyed_bytes <= broadcast_bytes:
         return rows.join(F.broadcast(keyed), key, "left")
     total = keyed.agg(F.sum(frequency)).first()[0]
     bar = max(1, -(-total // heavy_rows))

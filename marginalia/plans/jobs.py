@@ -29,7 +29,7 @@ from ..operators.triage import check_strict, per_file_skips, with_skip_reason
 from ..session import materialise
 from ..sinks.models import save_model
 from ..sinks.tables import combined_path, save, save_per_file, save_predictions
-from ..sources.files import bare_path, check_files, list_files, probe_encodings, read_tables
+from ..sources.files import ValidatedFiles, bare_path, list_files, validate_files
 
 
 @dataclass(frozen=True)
@@ -54,17 +54,16 @@ def process_files(
     categories: Sequence[str] | None = None,
     combine: bool = False,
     kind: str = "parquet",
-    checked: DataFrame | None = None,
+    validated: ValidatedFiles | None = None,
 ) -> BatchRun:
     """Score all files in one job; bad files are reported and do not stop the good ones.
 
-    ``checked`` takes the result of an earlier ``check_files`` so the pre-check is not repeated.
+    ``validated`` takes the result of an earlier ``validate_files``, whose rows are then used as
+    they are.
     """
     started = datetime.now(timezone.utc)
-    checked = check_files(spark, paths, text_col) if checked is None else checked
-    good = [r["file_path"] for r in checked.filter("status = 'ok'").select("file_path").collect()]
-    rows = read_tables(spark, good, text_col, missing_text="skip")
-    scored = score_rows(rows, model, text_col, null_reason=NAN)
+    validated = validate_files(spark, paths, text_col) if validated is None else validated
+    scored = score_rows(validated.rows, model, text_col, null_reason=NAN)
     wide = with_category_columns(scored, model, categories)
     result = materialise(wide, "batch")
     combined_to = None
@@ -74,7 +73,7 @@ def process_files(
             combined_to = combined_path(output_dir, started, prefix)
             save(result.drop("file_path"), combined_to, kind)
     keyed = result.withColumn("file_key", bare_path(F.col("file_path")))
-    listing = checked.select(
+    listing = validated.report.select(
         bare_path(F.col("file_path")).alias("file_key"),
         "source_file",
         F.col("status").alias("check"),
@@ -96,26 +95,23 @@ def process_files(
 
 def dry_run(spark: SparkSession, paths: Sequence[str], text_col: str = "text") -> DataFrame:
     """File profiles without scoring: rows, rates, lengths, encoding, size, issues, error."""
-    checked = check_files(spark, paths, text_col)
-    good = [r["file_path"] for r in checked.filter("status = 'ok'").select("file_path").collect()]
-    rows = read_tables(spark, good, text_col, missing_text="skip")
-    triaged = with_skip_reason(rows, text_col, null_reason=NAN).withColumn(
+    validated = validate_files(spark, paths, text_col)
+    triaged = with_skip_reason(validated.rows, text_col, null_reason=NAN).withColumn(
         "file_key", bare_path(F.col("file_path"))
     )
     profiles = profile_rows(triaged, "file_key", text_col)
     sizes = list_files(spark, paths).select(
         bare_path(F.col("file_path")).alias("file_key"), "size_bytes"
     )
-    csv_paths = [p for p in good if p.lower().endswith(".csv")]
-    if csv_paths:
-        encodings = probe_encodings(spark, csv_paths).select(
+    if validated.csv_facts is not None:
+        encodings = validated.csv_facts.select(
             bare_path(F.col("file_path")).alias("file_key"), "encoding"
         )
     else:
         encodings = spark.createDataFrame([], "file_key STRING, encoding STRING")
     error = F.when(F.col("check") != "ok", F.col("check"))
     return (
-        checked.select(
+        validated.report.select(
             bare_path(F.col("file_path")).alias("file_key"),
             F.col("source_file").alias("file"),
             F.col("status").alias("check"),

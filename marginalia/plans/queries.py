@@ -540,7 +540,7 @@ def file_admission(spark, sf_dir):
 @query
 def file_precheck(spark, sf_dir):
     paths = _table_paths(sf_dir, "documents", "conversations", "benchmark", "labels", "absent")
-    return sources.check_files(spark, paths).select("source_file", "status", "n_rows")
+    return sources.validate_files(spark, paths).report.select("source_file", "status", "n_rows")
 
 
 @query

@@ -6,13 +6,14 @@ import csv
 import io
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import MissingColumnError
 from ..functions.files import file_name, file_suffix
-from ..operators.triage import require_columns
+from ..session import materialise
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".orc": "orc"}
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -85,7 +86,7 @@ def admit_files(
 
 
 def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per text file: first line, encoding, whether a record may span lines, number of lines.
+    """Per text file: first line, encoding, whether a record may span lines, lines, size.
 
     One splittable pass over the lines; every file is judged whole. ``spark.read.text`` keeps the
     bytes of a line as they are, so invalid UTF-8 can be seen. A quoted field that runs over a
@@ -96,7 +97,8 @@ def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         .text(list(paths))
         .select(
             "value",
-            F.col("_metadata.file_path").alias("file_path"),
+            plain_path(F.col("_metadata.file_path")).alias("file_path"),
+            F.col("_metadata.file_size").alias("file_size"),
             (F.col("_metadata.file_block_start") == 0).alias("at_start"),
         )
     )
@@ -106,6 +108,7 @@ def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.when(F.bool_and(F.is_valid_utf8("value")), UTF8).otherwise(LATIN1).alias("encoding"),
         F.bool_or(odd_quotes).alias("spans_lines"),
         F.count("*").alias("lines"),
+        F.max("file_size").alias("size_bytes"),
     )
 
 
@@ -141,7 +144,7 @@ def with_origin(df: DataFrame, file_col: str = "source_file") -> DataFrame:
     """Put the file of origin first: its name and, to tell equal names apart, its path."""
     return df.select(
         F.col("_metadata.file_name").alias(file_col),
-        F.col("_metadata.file_path").alias("file_path"),
+        plain_path(F.col("_metadata.file_path")).alias("file_path"),
         "*",
     )
 
@@ -153,29 +156,29 @@ def read_csv(
     columns: Sequence[str] | None = None,
     encoding: str | None = None,
     missing_text: str = "raise",
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """CSV files bound by header name, every column a string, file of origin first.
 
     Spark binds a schema to CSV columns by position, so files are grouped by their header (and by
-    encoding) and each group is read with its own columns, then united by name. Files that are
-    known to share one header and encoding can skip the extra pass by passing both.
+    encoding) and each group is read with its own columns, then united by name. ``facts`` takes
+    the result of an earlier ``text_facts``; files that are known to share one header and encoding
+    can skip that pass altogether by passing both.
 
     A file that fits in one input split is read with ``multiLine``; a larger one stays splittable
     unless some record may span lines.
     """
     paths = list(paths)
     if columns is not None and encoding is not None:
-        require_text(columns, text_col, paths[0])
+        if text_col not in columns:
+            raise MissingColumnError(f"no column {text_col!r} in {paths[0]}")
         return with_origin(_read_csv_group(spark, paths, columns, encoding, True))
     split_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    sizes = list_files(spark, paths).select("file_path", "size_bytes")
-    large = F.col("size_bytes") > split_bytes
+    facts = text_facts(spark, paths) if facts is None else facts
+    one_split = F.col("size_bytes") <= split_bytes
     groups = (
-        text_facts(spark, paths)
-        .join(sizes.select(bare_path(F.col("file_path")).alias("bare"), "size_bytes"),
-              bare_path(F.col("file_path")) == F.col("bare"))
-        .groupBy("header", "encoding", (~large | F.col("spans_lines")).alias("multi_line"))
-        .agg(F.collect_list("file_path").alias("paths"))
+        facts.groupBy("header", "encoding", (one_split | F.col("spans_lines")).alias("multi_line"))
+        .agg(F.sort_array(F.collect_list("file_path")).alias("paths"))
         .orderBy("header", "encoding", "multi_line")
         .collect()
     )
@@ -186,11 +189,10 @@ def read_csv(
             if missing_text == "raise":
                 raise MissingColumnError(f"no column {text_col!r} in {group['paths'][0]}")
             continue
+        charset = encoding or group["encoding"]
         parts.append(
             with_origin(
-                _read_csv_group(
-                    spark, group["paths"], names, encoding or group["encoding"], group["multi_line"]
-                )
+                _read_csv_group(spark, group["paths"], names, charset, group["multi_line"])
             )
         )
     return union_by_name(parts) if parts else empty_comments(spark, text_col)
@@ -202,9 +204,9 @@ def empty_comments(spark: SparkSession, text_col: str) -> DataFrame:
     )
 
 
-def require_text(columns: Sequence[str], text_col: str, where: str) -> None:
-    if text_col not in columns:
-        raise MissingColumnError(f"no column {text_col!r} in {where}")
+def plain_path(path: Column) -> Column:
+    """The path as it can be opened: row metadata spells it as an encoded URI."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def bare_path(path: Column) -> Column:
@@ -231,11 +233,12 @@ def read_tables(
     paths: Sequence[str],
     text_col: str = "text",
     missing_text: str = "raise",
+    csv_facts: DataFrame | None = None,
 ) -> DataFrame:
     """Comments from CSV, JSON lines, Parquet and ORC files, with their file of origin.
 
-    Corrupt files contribute no rows instead of failing the run; the job that called this finds
-    them by comparing the listing with the counts.
+    Corrupt files contribute no rows instead of failing the run; ``validate_files`` finds them
+    by comparing the listing with the counts.
     """
     by_format: dict[str, list[str]] = {}
     for path in paths:
@@ -243,8 +246,9 @@ def read_tables(
     parts = []
     for kind, members in sorted(by_format.items()):
         if kind == "csv":
-            part = read_csv(spark, members, text_col, missing_text=missing_text)
-            parts.append(part)
+            parts.append(
+                read_csv(spark, members, text_col, missing_text=missing_text, facts=csv_facts)
+            )
             continue
         reader = spark.read.option("ignoreCorruptFiles", "true")
         if kind in ("parquet", "orc"):
@@ -268,8 +272,23 @@ def _suffix(path: str) -> str:
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
 
 
-def check_files(spark: SparkSession, paths: Sequence[str], text_col: str = "text") -> DataFrame:
-    """Pre-check of every path that was handed in: ``(file_path, source_file, status, n_rows)``.
+@dataclass(frozen=True)
+class ValidatedFiles:
+    """``report`` has one row per path that was handed in, ``rows`` the rows of the good files.
+
+    ``csv_facts`` describes the CSV files. All three are written tables: scoring after validation
+    does not read the files again.
+    """
+
+    report: DataFrame
+    rows: DataFrame
+    csv_facts: DataFrame | None
+
+
+def validate_files(
+    spark: SparkSession, paths: Sequence[str], text_col: str = "text"
+) -> ValidatedFiles:
+    """Pre-check of every path: ``(file_path, source_file, status, n_rows)``.
 
     ``status`` is ``ok``, ``not_found``, ``unsupported_format``, ``missing_column``, ``no_data``
     or ``unreadable``. One bad file does not stop the others. All files are read by one job; only
@@ -278,22 +297,28 @@ def check_files(spark: SparkSession, paths: Sequence[str], text_col: str = "text
     paths = list(dict.fromkeys(paths))
     present = set(present_paths(spark, paths))
     supported = [p for p in paths if p in present and _suffix(p) in FORMATS]
+    csv_paths = [p for p in supported if _suffix(p) == ".csv"]
+    csv_facts = materialise(text_facts(spark, csv_paths), "csv-facts") if csv_paths else None
+    rows = materialise(
+        read_tables(spark, supported, text_col, "skip", csv_facts)
+        if supported
+        else empty_comments(spark, text_col),
+        "rows",
+    )
+    counts = rows.groupBy(bare_path(F.col("file_path")).alias("bare")).agg(
+        F.count("*").alias("n_rows"), F.count(text_col).alias("n_texts")
+    )
     asked = spark.createDataFrame(
         [(p, p in present, _suffix(p) in FORMATS) for p in paths],
         "file_path STRING, found BOOLEAN, supported BOOLEAN",
     ).withColumn("bare", bare_path(F.col("file_path")))
-    if supported:
-        rows = read_tables(spark, supported, text_col, missing_text="skip")
-        counts = rows.groupBy(bare_path(F.col("file_path")).alias("bare")).agg(
-            F.count("*").alias("n_rows"), F.count(text_col).alias("n_texts")
-        )
-    else:
-        counts = spark.createDataFrame([], "bare STRING, n_rows BIGINT, n_texts BIGINT")
-    checked = asked.join(counts, "bare", "left").fillna(0, ["n_rows", "n_texts"]).persist()
+    checked = materialise(
+        asked.join(counts, "bare", "left").fillna(0, ["n_rows", "n_texts"]), "checked"
+    )
     silent = checked.filter("found AND supported AND n_texts = 0").select("file_path").collect()
-    states = _why_silent(spark, [row["file_path"] for row in silent], text_col)
+    states = _why_silent(spark, [row["file_path"] for row in silent], text_col, csv_facts)
     known = spark.createDataFrame(states, "file_path STRING, state STRING")
-    return checked.join(known, "file_path", "left").select(
+    report = checked.join(known, "file_path", "left").select(
         "file_path",
         file_name(F.col("file_path")).alias("source_file"),
         F.when(~F.col("found"), "not_found")
@@ -304,28 +329,31 @@ def check_files(spark: SparkSession, paths: Sequence[str], text_col: str = "text
         .alias("status"),
         "n_rows",
     )
+    bad = [re.sub("^file:/+", "/", path) for path, state in states if state != "ok"]
+    if bad:
+        rows = rows.filter(~bare_path(F.col("file_path")).isin(bad))
+    return ValidatedFiles(report, rows, csv_facts)
 
 
 def _why_silent(
-    spark: SparkSession, paths: Sequence[str], text_col: str
+    spark: SparkSession, paths: Sequence[str], text_col: str, csv_facts: DataFrame | None
 ) -> list[tuple[str, str]]:
     """What is wrong with files that gave no text, judged by their own header or footer."""
     states = []
-    csv_paths = [p for p in paths if _suffix(p) == ".csv"]
+    csv_paths = {re.sub("^file:/+", "/", p): p for p in paths if _suffix(p) == ".csv"}
     if csv_paths:
-        facts = text_facts(spark, csv_paths).select(
-            bare_path(F.col("file_path")).alias("bare"), "header"
-        )
-        headers = {row["bare"]: row["header"] for row in facts.collect()}
-        for path in csv_paths:
-            header = headers.get(re.sub("^file:/+", "/", path))
+        bare = bare_path(F.col("file_path"))
+        seen = csv_facts.filter(bare.isin(list(csv_paths))).select(bare.alias("bare"), "header")
+        headers = {row["bare"]: row["header"] for row in seen.collect()}
+        for bare_name, path in csv_paths.items():
+            header = headers.get(bare_name)
             if header is None:
                 states.append((path, "no_data"))
             else:
                 found = text_col in header_columns(header)
                 states.append((path, "ok" if found else "missing_column"))
     for path in paths:
-        if path in csv_paths:
+        if _suffix(path) == ".csv":
             continue
         try:
             columns = spark.read.format(FORMATS[_suffix(path)]).load(path).columns
@@ -348,13 +376,12 @@ def preview(df: DataFrame, order_by: str, rows: int = 10) -> DataFrame:
 
 __all__ = [
     "admit_files",
-    "check_files",
     "list_files",
     "preview",
     "probe_encodings",
     "read_csv",
     "read_tables",
-    "require_columns",
     "text_facts",
     "union_by_name",
+    "validate_files",
 ]

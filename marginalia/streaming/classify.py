@@ -11,6 +11,8 @@ from ..functions.text import EMPTY
 from ..operators.model import LabelModel, score, with_predictions
 from ..operators.triage import with_skip_reason
 
+COUNTER_PARTITIONS = 4
+
 
 def read_arriving(
     spark: SparkSession,
@@ -98,13 +100,23 @@ def running_category_counts(
 
 
 def _write_counters(counts: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    return (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, batch_id: _write_batch(batch.coalesce(1), output, batch_id))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Counter keys are few and pre-aggregated per task, so a few state partitions carry them.
+
+    A query takes its number of state partitions from the session when it first starts.
+    """
+    spark = counts.sparkSession
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", COUNTER_PARTITIONS)
+    try:
+        return (
+            counts.writeStream.outputMode("complete")
+            .foreachBatch(lambda batch, batch_id: _write_batch(batch.coalesce(1), output, batch_id))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
 def latest_counts(spark: SparkSession, output: str) -> DataFrame:
