@@ -101,7 +101,8 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
 
 
 def _millionths(value: Column) -> Column:
-    return F.round(value * MICRO).cast("bigint")
+    """Nearest whole millionth; ``floor`` is much cheaper on doubles than ``round``."""
+    return F.floor(value * MICRO + 0.5)
 
 
 def _document_totals(counts: DataFrame) -> tuple[int, dict[str, int]]:
@@ -140,16 +141,18 @@ def weight_table(
     present, absent = [], []
     for alpha in alphas:
         for i, positive in enumerate(positives):
-            seen = F.get("y", F.lit(i))
-            p = (seen + F.lit(alpha)) / F.lit(positive + 2 * alpha)
-            q = (F.col("df") - seen + F.lit(alpha)) / F.lit(rows - positive + 2 * alpha)
-            present.append(_millionths(F.log(p * (1 - q) / (q * (1 - p)))))
-            absent.append(_millionths(F.log((1 - p) / (1 - q))))
+            # Odds with the smoothing totals cancelled: (with, without) inside and outside the label.
+            inside = F.get("y", F.lit(i)) + F.lit(float(alpha))
+            inside_without = F.lit(positive + 2.0 * alpha) - inside
+            outside = F.col("df") + F.lit(2.0 * alpha) - inside
+            outside_without = F.lit(rows - positive + 2.0 * alpha) - outside
+            present.append(
+                _millionths(F.log(inside * outside_without / (inside_without * outside)))
+            )
+            share = (rows - positive + 2.0 * alpha) / (positive + 2.0 * alpha)
+            absent.append(_millionths(F.log(inside_without / outside_without * F.lit(share))))
     return per_token.select(
-        "token",
-        "df",
-        F.array(*present).cast("array<bigint>").alias("w"),
-        F.array(*absent).cast("array<bigint>").alias("absent"),
+        "token", "df", F.array(*present).alias("w"), F.array(*absent).alias("absent")
     )
 
 

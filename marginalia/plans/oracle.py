@@ -435,9 +435,9 @@ ORACLE_SQL: dict[str, str] = {
     "labelled_scan": f"""WITH {LABELLED}
         SELECT doc_id, md5(text) AS text_md5, array_to_string(labels, '|') AS labels FROM labelled""",
     "batch_run": f"""WITH {TRIAGED}
-        SELECT CAST(1 AS BIGINT) AS failed_files, count(*) AS total_rows,
-               count(*) FILTER (skip_reason = 'none') AS processed_comments,
-               count(*) FILTER (skip_reason <> 'none') AS skipped_comments FROM triaged""",
+        SELECT CAST(1 AS BIGINT) AS not_found, count(*) AS total_rows,
+               count(*) FILTER (skip_reason = 'none') AS processed,
+               count(*) FILTER (skip_reason <> 'none') AS skipped FROM triaged""",
     "dry_run": """WITH f AS (SELECT 'documents.parquet' AS file, text FROM documents
           UNION ALL SELECT 'conversations.parquet', text FROM conversations
           UNION ALL SELECT 'benchmark.parquet', text FROM benchmark)

@@ -618,8 +618,11 @@ def batch_run(spark, sf_dir):
         fresh_folder(spark, "classified"),
         combine=True,
     )
-    return run.summary.select(
-        "failed_files", "total_rows", "processed_comments", "skipped_comments"
+    return run.files.agg(
+        F.count_if(F.col("check") == "not_found").alias("not_found"),
+        F.sum("total_rows").alias("total_rows"),
+        F.sum("processed").alias("processed"),
+        F.sum("skipped").alias("skipped"),
     )
 
 
