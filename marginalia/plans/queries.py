@@ -447,20 +447,26 @@ def lr_scores(spark, sf_dir):
 
 
 def _length_model():
-    """Stands in for a model outside Spark: two probabilities from the length of a text."""
+    """Loader of a stand-in for a model outside Spark: two probabilities from the text length.
 
-    def predict(texts: list[str]) -> np.ndarray:
-        lengths = np.array([len(text) for text in texts], dtype=float)
-        logits = np.stack([(lengths - 1000.0) / 1000.0, (500.0 - lengths) / 100.0], axis=1)
-        return 1.0 / (1.0 + np.exp(-np.clip(logits, -60, 60)))
+    A nested function travels to the Python workers by value, so they need not import this module.
+    """
 
-    return predict
+    def load():
+        def predict(texts: list[str]) -> np.ndarray:
+            lengths = np.array([len(text) for text in texts], dtype=float)
+            logits = np.stack([(lengths - 1000.0) / 1000.0, (500.0 - lengths) / 100.0], axis=1)
+            return 1.0 / (1.0 + np.exp(-np.clip(logits, -60, 60)))
+
+        return predict
+
+    return load
 
 
 @query
 def external_scores(spark, sf_dir):
     names = ["long", "short", "unserved"]
-    scored = score_external(t.comments(spark, sf_dir), _length_model, names)
+    scored = score_external(t.comments(spark, sf_dir), _length_model(), names)
     columns = [F.round(F.get("probs", F.lit(i)), 6).alias(n) for i, n in enumerate(names)]
     return scored.select("doc_id", "skip_reason", *columns)
 
@@ -468,7 +474,7 @@ def external_scores(spark, sf_dir):
 @query
 def external_predictions(spark, sf_dir):
     rows = t.documents(spark, sf_dir).select("doc_id", "text")
-    predicted = predict_external(rows, _length_model, ["long", "short"], strict=False)
+    predicted = predict_external(rows, _length_model(), ["long", "short"], strict=False)
     return predicted.select("doc_id", _joined("predicted").alias("predicted"))
 
 

@@ -182,6 +182,9 @@ def read_csv(
         .orderBy("header", "encoding", "multi_line")
         .collect()
     )
+    # Columns come out in the order in which the given files introduce them.
+    place = {_bare(path): i for i, path in enumerate(paths)}
+    groups.sort(key=lambda g: min(place.get(_bare(path), len(place)) for path in g["paths"]))
     parts = []
     for group in groups:
         names = header_columns(group["header"])
@@ -214,6 +217,10 @@ def bare_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/+", "/")
 
 
+def _bare(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def _bytes(setting: str) -> int:
     digits = "".join(c for c in setting if c.isdigit())
     unit = setting[len(digits):].strip().lower().removesuffix("b")
@@ -329,7 +336,7 @@ def validate_files(
         .alias("status"),
         "n_rows",
     )
-    bad = [re.sub("^file:/+", "/", path) for path, state in states if state != "ok"]
+    bad = [_bare(path) for path, state in states if state != "ok"]
     if bad:
         rows = rows.filter(~bare_path(F.col("file_path")).isin(bad))
     return ValidatedFiles(report, rows, csv_facts)
@@ -340,7 +347,7 @@ def _why_silent(
 ) -> list[tuple[str, str]]:
     """What is wrong with files that gave no text, judged by their own header or footer."""
     states = []
-    csv_paths = {re.sub("^file:/+", "/", p): p for p in paths if _suffix(p) == ".csv"}
+    csv_paths = {_bare(p): p for p in paths if _suffix(p) == ".csv"}
     if csv_paths:
         bare = bare_path(F.col("file_path"))
         seen = csv_facts.filter(bare.isin(list(csv_paths))).select(bare.alias("bare"), "header")
