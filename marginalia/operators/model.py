@@ -77,17 +77,20 @@ def token_counts(
         document_tokens(F.col(text_col), max_length), F.array().cast("array<string>")
     )
     no_token = F.array(F.lit(None).cast("string"))
+    flags = [f"y{i}" for i in range(len(names))]
+    # The array is written inside the explode: as a column of its own, the optimizer would infer a
+    # filter on its size below the join and tokenise every text once more for it.
     pairs = df.select(
         F.explode(F.concat(no_token, found)).alias("token"),
-        *[F.get(hot, F.lit(i)).alias(f"y{i}") for i in range(len(names))],
+        *[F.get(hot, F.lit(i)).alias(flag) for i, flag in enumerate(flags)],
     )
     per_token = pairs.groupBy("token").agg(
-        F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(len(names))]
+        F.count("*").alias("n"), *[F.sum(flag).alias(flag) for flag in flags]
     )
     entries = [F.struct(F.lit(None).cast("string").alias("label"), F.col("n").alias("n"))]
     entries += [
-        F.struct(F.lit(name).alias("label"), F.col(f"y{i}").alias("n"))
-        for i, name in enumerate(names)
+        F.struct(F.lit(name).alias("label"), F.col(flag).alias("n"))
+        for name, flag in zip(names, flags)
     ]
     return per_token.select("token", F.inline(F.array(*entries))).filter(F.col("n") > 0)
 
@@ -236,7 +239,14 @@ def refine(
 
 def _weighted(pairs: DataFrame, model: LabelModel, heavy_rows: int, broadcast_bytes: int) -> DataFrame:
     return left_join_by_frequency(
-        pairs, model.weights, "token", "df", model.size(), heavy_rows, broadcast_bytes
+        pairs,
+        model.weights,
+        "token",
+        "df",
+        model.size(),
+        row_bytes(len(model.labels)),
+        heavy_rows,
+        broadcast_bytes,
     )
 
 
@@ -327,9 +337,16 @@ def score_rows(
         .select("_key", "copies", _logits(model, F.col("copies")).alias("z"))
     )
     scored = materialise(per_text, "scored-texts")
-    size = table_bytes(scored, row_bytes(len(model.labels)), "_key")
+    fixed = row_bytes(len(model.labels))
     joined = left_join_by_frequency(
-        keyed, scored, "_key", "copies", size, heavy_rows, broadcast_bytes
+        keyed,
+        scored,
+        "_key",
+        "copies",
+        table_bytes(scored, fixed, "_key"),
+        fixed,
+        heavy_rows,
+        broadcast_bytes,
     )
     probs = _probabilities(F.col("z"), F.col("skip_reason") == NONE, model)
     return joined.select(*df.columns, "skip_reason", probs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .triage import require_columns
 
@@ -25,10 +25,17 @@ def chunk_table(df: DataFrame, by: str, chunk_rows: int = CHUNK_ROWS) -> DataFra
     )
 
 
-def _bucket(key: str, edges: list[float]) -> Column:
-    """Number of edges at or below the key; the edges are literals, so a retry agrees."""
-    bounds = F.array(*[F.lit(edge) for edge in edges])
-    return F.size(F.filter(bounds, lambda edge: edge <= F.col(key)))
+def _bucket(key: str, edges: list[float], first: int = 0) -> str:
+    """Number of edges at or below the key, as a balanced tree of comparisons in SQL.
+
+    The edges are literals, so a recomputed task puts every row where it was before.
+    """
+    if not edges:
+        return str(first)
+    middle = len(edges) // 2
+    below = _bucket(key, edges[:middle], first)
+    above = _bucket(key, edges[middle + 1 :], first + middle + 1)
+    return f"CASE WHEN `{key}` < {edges[middle]!r}D THEN {below} ELSE {above} END"
 
 
 def with_positions(df: DataFrame, key: str, by: str, buckets: int = BUCKETS) -> DataFrame:
@@ -42,19 +49,24 @@ def with_positions(df: DataFrame, key: str, by: str, buckets: int = BUCKETS) ->
     edges = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.0005)))
     if not edges:
         return df.withColumn("row_pos", F.lit(0).cast("bigint"))
-    bucketed = df.withColumn("_bucket", _bucket(key, edges))
+    bucketed = df.withColumn("_bucket", F.expr(_bucket(key, edges)))
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(by, "_bucket")
         .agg(F.count("*").alias("_rows"))
-        .select(by, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            F.col(by).alias("_by"),
+            F.col("_bucket").alias("_in"),
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        )
     )
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_in"))
     in_bucket = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(key)) - 1
     return (
         bucketed.withColumn("_rank", in_bucket)
-        .join(offsets, [by, "_bucket"])
+        .join(offsets, same)
         .withColumn("row_pos", (F.col("_offset") + F.col("_rank")).cast("bigint"))
-        .drop("_bucket", "_rank", "_offset")
+        .drop("_bucket", "_rank", "_offset", "_by", "_in")
     )
 
 

@@ -23,7 +23,14 @@ def _order(key: str, seed: int) -> Column:
     return F.struct(shuffle_hash(key, seed).alias("h"), F.col(key).alias("k"))
 
 
-def _nth(keys: DataFrame, key: str, seed: int, n: int) -> tuple:
+def _prefix_counts(rows: DataFrame, h: Column, width: int) -> list[tuple[str, int]]:
+    counts = rows.groupBy(F.substring(h, 1, width).alias("p")).agg(F.count("*").alias("n"))
+    return sorted((row["p"], row["n"]) for row in counts.collect())
+
+
+def _nth(
+    keys: DataFrame, key: str, seed: int, n: int, first_counts: list[tuple[str, int]]
+) -> tuple:
     """The ``n``-th smallest (1-based) shuffled key.
 
     Counts per hash prefix say which prefix holds it; the prefix grows until few enough rows
@@ -31,23 +38,21 @@ def _nth(keys: DataFrame, key: str, seed: int, n: int) -> tuple:
     4096-row table to the driver, whatever the table size.
     """
     h = shuffle_hash(key, seed)
-    prefix, rows, taken = "", keys, n
+    counts, width, taken = first_counts, PREFIX_STEP, n
     while True:
-        width = len(prefix) + PREFIX_STEP
-        counts = (
-            rows.groupBy(F.substring(h, 1, width).alias("p")).agg(F.count("*").alias("n")).collect()
-        )
-        for row in sorted(counts, key=lambda r: r["p"]):
-            if taken <= row["n"]:
-                prefix, size = row["p"], row["n"]
+        for prefix, size in counts:
+            if taken <= size:
                 break
-            taken -= row["n"]
+            taken -= size
         rows = keys.filter(F.substring(h, 1, width) == prefix)
         if size <= DIRECT_PICK or width >= 32:
             break
+        width += PREFIX_STEP
+        counts = _prefix_counts(rows, h, width)
     if size > DIRECT_PICK:
         raise KeyNotUniqueError(f"column {key!r} repeats one value {size} times")
-    found = rows.orderBy(_order(key, seed)).offset(taken - 1).limit(2).select(h.alias("h"), key).collect()
+    at = rows.orderBy(_order(key, seed)).offset(taken - 1).limit(2)
+    found = at.select(h.alias("h"), key).collect()
     if len(found) == 2 and found[0][key] == found[1][key]:
         raise KeyNotUniqueError(f"column {key!r} repeats the value {found[0][key]!r}")
     return found[0]["h"], found[0][key]
@@ -68,13 +73,14 @@ def with_split(
     """
     require_columns(df, [key])
     keys = df.select(key)
-    n = keys.count()
+    counts = _prefix_counts(keys, shuffle_hash(key, seed), PREFIX_STEP)
+    n = sum(size for _, size in counts)
     test_n, valid_n = int(n * test_size), int(n * valid_size)
     at = _order(key, seed)
     split = F.when(F.lit(False), F.lit(TRAIN))
     for name, until in ((TEST, test_n), (VALIDATION, test_n + valid_n)):
         if until:
-            cut_hash, cut_key = _nth(keys, key, seed, until)
+            cut_hash, cut_key = _nth(keys, key, seed, until, counts)
             cut = F.struct(
                 F.lit(cut_hash).alias("h"), F.lit(cut_key).cast(df.schema[key].dataType).alias("k")
             )

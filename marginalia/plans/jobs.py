@@ -65,13 +65,18 @@ def process_files(
     validated = validate_files(spark, paths, text_col) if validated is None else validated
     scored = score_rows(validated.rows, model, text_col, null_reason=NAN)
     wide = with_category_columns(scored, model, categories)
-    result = materialise(wide, "batch")
     combined_to = None
-    if output_dir is not None:
-        save_per_file(result, output_dir, started, prefix, "file_path", kind)
-        if combine:
-            combined_to = combined_path(output_dir, started, prefix)
-            save(result.drop("file_path"), combined_to, kind)
+    if output_dir is not None and kind == "parquet":
+        # The per-file output is the scored table; it is read back instead of written twice.
+        written = save_per_file(wide, output_dir, started, prefix)
+        result = spark.read.schema(wide.schema).parquet(written).select(*wide.columns)
+    else:
+        result = materialise(wide, "batch")
+        if output_dir is not None:
+            save_per_file(result, output_dir, started, prefix, kind=kind)
+    if output_dir is not None and combine:
+        combined_to = combined_path(output_dir, started, prefix)
+        save(result.drop("file_path"), combined_to, kind)
     keyed = result.withColumn("file_key", bare_path(F.col("file_path")))
     listing = validated.report.select(
         bare_path(F.col("file_path")).alias("file_key"),

@@ -39,24 +39,29 @@ def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
     _writer(flat(df) if kind == "csv" else df, kind).mode("append").save(path)
 
 
+def run_path(folder: str, at: datetime) -> str:
+    return f"{folder.rstrip('/')}/run_ts={at:%Y%m%d_%H%M%S}"
+
+
 def save_per_file(
     df: DataFrame,
-    path: str,
+    folder: str,
     at: datetime,
     prefix: str = "classified_",
     path_col: str = "file_path",
     kind: str = "parquet",
-) -> None:
-    """One run-stamped output folder per input file, written by one job.
+) -> str:
+    """One run-stamped output folder per input file, written by one job; returns the run's path.
 
     The rebalance hint lets adaptive execution gather small files' rows and split the rows of a
     file that is much larger than the others over several writers.
     """
     stamped = df.withColumn("output", output_name(F.col(path_col), prefix, F.lit(at)))
     balanced = stamped.hint("rebalance", "output")
-    _writer(flat(balanced) if kind == "csv" else balanced, kind).mode("append").partitionBy(
-        "output"
-    ).save(path)
+    path = run_path(folder, at)
+    writer = _writer(flat(balanced) if kind == "csv" else balanced, kind)
+    writer.mode("overwrite").partitionBy("output").save(path)
+    return path
 
 
 def combined(parts: Sequence[tuple[str, DataFrame]], file_col: str = "source_file") -> DataFrame:

@@ -39,13 +39,22 @@ def test_batch_of_files(spark, folder, model):
     assert run.rows.columns == ["source_file", "file_path", "text", "x", "n", "a", "zzz", "skip_reason"]
     kept = {(r["text"], r["a"] > 0, r["zzz"], r["skip_reason"]) for r in run.rows.collect()}
     assert ("the w1 a", True, 0.0, "none") in kept and (None, False, 0.0, "nan") in kept
-    folders = sorted(d for d in os.listdir(out) if d.startswith("output="))
+    (run_folder,) = [d for d in os.listdir(out) if d.startswith("run_ts=")]
+    folders = sorted(d for d in os.listdir(f"{out}/{run_folder}") if d.startswith("output="))
     assert [d[:13] for d in folders] == ["output=done_a", "output=done_b"] and len(folders[0]) == len("output=done_a_20240101_000000")
     combined = spark.read.option("header", True).csv(run.combined_to)
     assert combined.count() == 8 and combined.columns[0] == "source_file"
     assert {r[0] for r in combined.select("source_file").distinct().collect()} == {"a.csv", "b.csv"}
 
 
+def test_batch_reads_its_parquet_output_back(spark, folder, model):
+    a = put(folder, "in/a.csv", "text,x\nthe w1 a,1\n,2\n")
+    run = jobs.process_files(spark, [a], model, folder + "/out")
+    assert run.rows.columns == ["source_file", "file_path", "text", "x", "a", "b", "c", "skip_reason"]
+    assert run.rows.count() == 2 and run.combined_to is None
+    assert all("/out/run_ts=" in f for f in run.rows.inputFiles())
+
+
 def test_success_rate_without_files(spark):
     empty = spark.createDataFrame([], "source_file STRING, status STRING, total_rows BIGINT, processed BIGINT, skipped BIGINT")
     assert tuple(summary.batch_summary(empty).first()) == (0, 0, 0, 0.0, 0, 0, 0)

@@ -114,7 +114,7 @@ def test_join_by_frequency_is_a_left_join(spark):
     keyed = spark.createDataFrame([("hot", 50, 1), ("x", 1, 2), ("y", 1, 3), ("unused", 1, 4)], "k STRING, f INT, v INT")
     want = sorted(map(tuple, rows.join(keyed, "k", "left").select("i", "k", "f", "v").collect()))
     for heavy_rows in (1, 2, 100):
-        got = left_join_by_frequency(rows, keyed, "k", "f", 10, heavy_rows, broadcast_bytes=0)
+        got = left_join_by_frequency(rows, keyed, "k", "f", 10, 8, heavy_rows, broadcast_bytes=0)
         assert sorted(map(tuple, got.select("i", "k", "f", "v").collect())) == want
 
 
