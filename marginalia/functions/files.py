@@ -24,5 +24,5 @@ def run_stamp(at: Column) -> Column:
     return F.date_format(at, STAMP_FORMAT)
 
 
-def output_name(path: Column, prefix: str, at: Column) -> Column:
-    return F.concat(F.lit(prefix), file_stem(path), F.lit("_"), run_stamp(at))
+def output_name(path: Column, prefix: str, stamp: Column) -> Column:
+    return F.concat(F.lit(prefix), file_stem(path), F.lit("_"), stamp)

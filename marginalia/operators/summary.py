@@ -41,18 +41,29 @@ def category_summary(
 ) -> DataFrame:
     """Rows per known category with its share of all rows; unused categories show 0.
 
-    Only aggregated, category-sized tables meet in the join; the filter on the fixed list
-    runs before it, so unknown labels cannot make the joined side grow.
+    One pass over the rows: a null label put in front of every row's labels counts the rows. Only
+    aggregated, category-sized tables meet in the window and the join; the filter on the fixed
+    list runs before them, so unknown labels cannot make them grow.
     """
-    known = category_table(df.sparkSession, categories)
-    counts = category_counts(df, labels_col).filter(F.col("category").isin(list(categories)))
-    total = df.agg(F.count("*")).scalar()
+    no_label = F.array(F.lit(None).cast("string"))
+    labels = F.coalesce(F.col(labels_col), F.array().cast("array<string>"))
+    counts = (
+        df.select(F.explode(F.concat(no_label, labels)).alias("category"))
+        .groupBy("category")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("category").isNull() | F.col("category").isin(list(categories)))
+    )
+    rows = F.max(F.when(F.col("category").isNull(), F.col("n"))).over(Window.partitionBy())
     n = F.coalesce(F.col("n"), F.lit(0))
-    return known.join(counts, "category", "left").select(
-        F.col("idx").cast("bigint").alias("idx"),
-        "category",
-        n.alias("n"),
-        percent(n, total).alias("pct"),
+    return (
+        category_table(df.sparkSession, categories)
+        .join(counts.withColumn("rows", rows), "category", "left")
+        .select(
+            F.col("idx").cast("bigint").alias("idx"),
+            "category",
+            n.alias("n"),
+            percent(n, F.col("rows")).alias("pct"),
+        )
     )
 
 

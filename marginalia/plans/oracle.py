@@ -170,7 +170,10 @@ def confusion(truth: str) -> str:
     cells_m AS (SELECT s.doc_id, s.label, CAST(list_contains(t.labels, s.label) AS INT) AS y,
                        CAST(s.prob >= 0.5 AS INT) AS g
                 FROM scored s JOIN {truth} t ON s.doc_id = t.doc_id),
-    per_label AS (SELECT label, CAST(sum(y * g) AS BIGINT) AS tp, CAST(sum((1 - y) * g) AS BIGINT) AS fp,
+    {CONFUSION}"""
+
+
+CONFUSION = """per_label AS (SELECT label, CAST(sum(y * g) AS BIGINT) AS tp, CAST(sum((1 - y) * g) AS BIGINT) AS fp,
                          CAST(sum(y * (1 - g)) AS BIGINT) AS fn FROM cells_m GROUP BY label),
     exact AS (SELECT avg(CAST(same AS DOUBLE)) AS exact_match
               FROM (SELECT min(CASE WHEN y = g THEN 1 ELSE 0 END) AS same FROM cells_m GROUP BY doc_id))"""
@@ -221,14 +224,14 @@ CATEGORY_SUMMARY = f"""{TAGGED}, known(idx, category) AS (
               FROM known k LEFT JOIN found f ON f.category = k.category)"""
 
 
-def _early_stop() -> str:
+def trials(test: float, valid: float) -> str:
+    """CTEs of a fit with five smoothing values, up to ``made``: the trials before the stop."""
     alphas = (4.0, 2.0, 1.0, 0.5, 0.25)
-    tail = "\n    UNION ALL ".join(f"SELECT {i} AS step, {a}::DOUBLE AS alpha" for i, a in enumerate(alphas))
+    tail = " UNION ALL ".join(f"SELECT {i} AS step, {a}::DOUBLE AS alpha" for i, a in enumerate(alphas))
     p = "((coalesce(dfl, 0) + alpha) / (nl + 2 * alpha))"
     q = "((df - coalesce(dfl, 0) + alpha) / (total - nl + 2 * alpha))"
-    return f"""WITH {LABELLED}, {split('labelled', 0.0, 0.3)},
+    return f"""{LABELLED}, {split('labelled', test, valid)},
     training AS (SELECT * FROM parts WHERE split = 'train'),
-    validation AS (SELECT * FROM parts WHERE split = 'validation'),
     {counts('training')},
     every_label AS (SELECT DISTINCT unnest(labels) AS label FROM labelled),
     names AS (SELECT e.label, coalesce(l.nl, 0) AS nl FROM every_label e LEFT JOIN n_label l ON e.label = l.label),
@@ -244,22 +247,29 @@ def _early_stop() -> str:
              FROM alphas a CROSS JOIN names v CROSS JOIN n_docs n
              LEFT JOIN (SELECT step, label, CAST(sum(absent) AS BIGINT) AS s FROM weights GROUP BY step, label) w
              ON w.step = a.step AND w.label = v.label),
-    row_tokens AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS token FROM validation),
-    sums AS (SELECT w.step, r.doc_id, w.label, CAST(sum(w.weight) AS BIGINT) AS s
-             FROM row_tokens r JOIN weights w ON r.token = w.token GROUP BY w.step, r.doc_id, w.label),
-    cells_m AS (SELECT b.step, b.label, CAST(list_contains(v.labels, b.label) AS INT) AS y,
-                       CAST(coalesce(s.s, 0) + b.b >= 0 AS INT) AS g
-                FROM validation v CROSS JOIN bias b
-                LEFT JOIN sums s ON s.step = b.step AND s.doc_id = v.doc_id AND s.label = b.label),
+    {trial_cells('validation', 'validation_cells')},
     f AS (SELECT step, coalesce(2.0::DOUBLE * sum(y * g)
                  / nullif(2 * sum(y * g) + sum((1 - y) * g) + sum(y * (1 - g)), 0), 0) AS micro_f1
-          FROM cells_m GROUP BY step),
+          FROM validation_cells GROUP BY step),
     judged AS (SELECT step, micro_f1, micro_f1 > coalesce(max(micro_f1) OVER (ORDER BY step
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS improved FROM f),
-    stops AS (SELECT step, NOT improved AND NOT lag(improved, 1, true) OVER (ORDER BY step) AS stop FROM judged)
-    SELECT CAST(j.step AS BIGINT) AS step, a.alpha, round(j.micro_f1, 6) AS micro_f1, j.improved
-    FROM judged j JOIN alphas a ON a.step = j.step
-    WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s.stop AND s.step < j.step)"""
+    stops AS (SELECT step, NOT improved AND NOT lag(improved, 1, true) OVER (ORDER BY step) AS stop FROM judged),
+    made AS (SELECT CAST(j.step AS BIGINT) AS step, a.alpha, round(j.micro_f1, 6) AS micro_f1, j.improved
+             FROM judged j JOIN alphas a ON a.step = j.step
+             WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s.stop AND s.step < j.step))"""
+
+
+def trial_cells(part: str, name: str) -> str:
+    """CTE ``name``: truth and guess of every trial for the rows of one part of the split."""
+    return f"""{name} AS (
+        SELECT b.step, b.label, v.doc_id, CAST(list_contains(v.labels, b.label) AS INT) AS y,
+               CAST(coalesce(s.s, 0) + b.b >= 0 AS INT) AS g
+        FROM (SELECT * FROM parts WHERE split = '{part}') v CROSS JOIN bias b
+        LEFT JOIN (SELECT w.step, r.doc_id, w.label, CAST(sum(w.weight) AS BIGINT) AS s
+                   FROM (SELECT doc_id, unnest(list_distinct({TOKENS})) AS token
+                         FROM parts WHERE split = '{part}') r
+                   JOIN weights w ON r.token = w.token GROUP BY w.step, r.doc_id, w.label) s
+        ON s.step = b.step AND s.doc_id = v.doc_id AND s.label = b.label)"""
 
 
 WIDE = ", ".join(
@@ -355,6 +365,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(position AS BIGINT) AS position, advice, n FROM a WHERE applies""",
     "split_assign": f"WITH ids AS (SELECT doc_id FROM documents), {split('ids', 0.1, 0.1)} SELECT doc_id, split FROM parts",
     "sizes_of_split": f"WITH {LABELLED}, {split('labelled', 0.15, 0.15)} SELECT split, count(*) AS n FROM parts GROUP BY split",
+    "shuffled_rows": """SELECT doc_id, lang, md5('42:' || CAST(doc_id AS VARCHAR)) AS hash FROM documents
+        ORDER BY hash, doc_id""",
     "chunk_offsets": """WITH c AS (SELECT event_type,
             (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 1000 AS chunk FROM events)
         SELECT event_type, chunk, chunk * 1000 AS start_row, count(*) AS n_rows FROM c GROUP BY event_type, chunk""",
@@ -389,7 +401,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT label, tp, fp, fn, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS "precision",
                round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round({F1}, 6) AS f1
         FROM per_label""",
-    "early_stop_choice": _early_stop(),
+    "early_stop_choice": f"WITH {trials(0.0, 0.3)} SELECT * FROM made",
+    "training_run": f"""WITH {trials(0.3, 0.3)}, {trial_cells('test', 'test_cells')},
+        best AS (SELECT step, alpha FROM made WHERE improved ORDER BY step DESC LIMIT 1),
+        cells_m AS (SELECT c.* FROM test_cells c JOIN best ON c.step = best.step),
+        {CONFUSION},
+        sizes AS (SELECT count(*) FILTER (split = 'train') AS n_train,
+                         count(*) FILTER (split = 'validation') AS n_validation,
+                         count(*) FILTER (split = 'test') AS n_test FROM parts)
+        SELECT * FROM (SELECT alpha FROM best), ({METRICS}), sizes""",
     "model_versions": f"""WITH {LABELLED}, {counts('labelled')},
         names AS (SELECT string_agg(label, '|' ORDER BY label) AS labels FROM n_label)
         SELECT CAST(1 AS BIGINT) AS version, labels, (SELECT count(*) FROM df_token WHERE df >= 2) AS n_tokens FROM names
@@ -432,6 +452,7 @@ ORACLE_SQL: dict[str, str] = {
             'classified_documents_20240102_030405' AS output, count(*) AS n FROM documents""",
     "csv_scan": f"""WITH {COMMENTS}, c AS (SELECT doc_id, lang, nullif(text, '') AS text FROM comments)
         SELECT doc_id, lang, {reason(null_reason='nan')} AS skip_reason, md5(text) AS text_md5 FROM c""",
+    "csv_encodings": "SELECT 'utf-8' AS encoding, count(*) AS n_rows FROM documents",
     "labelled_scan": f"""WITH {LABELLED}
         SELECT doc_id, md5(text) AS text_md5, array_to_string(labels, '|') AS labels FROM labelled""",
     "batch_run": f"""WITH {TRIAGED}
@@ -456,6 +477,7 @@ ORACLE_SQL: dict[str, str] = {
     "stream_skip_counts": f"WITH {TRIAGED} SELECT skip_reason, count(*) AS n FROM triaged GROUP BY skip_reason",
     "stream_category_counts": f"""WITH {TAGGED} SELECT category, count(*) AS n
         FROM (SELECT unnest(labels) AS category FROM tagged) GROUP BY category""",
+    "stream_progress": "SELECT count(*) AS streamed, count(*) AS observed FROM documents",
     "stream_classify": f"""WITH {CLEAN}, {FIT}, {scores('clean')}
         SELECT doc_id, skip_reason, {PREDICTED} FROM scored GROUP BY doc_id, skip_reason""",
     "predicted_categories": f"""WITH {TRIAGED}, {FIT}, {scores('triaged')},

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,7 +21,7 @@ from ..operators.external import score_external, predict_external
 from ..operators.linear import fit_linear, score_linear
 from ..operators.position import chunk_table, with_chunks
 from ..operators.profile import issue_codes, profile_rows, status_rollup
-from ..operators.split import split_sizes, with_split
+from ..operators.split import shuffle_hash, shuffled, split_sizes, with_split
 from ..session import fresh_folder, materialise
 from ..sinks import models as model_store
 from ..sinks import tables as sinks
@@ -262,6 +261,12 @@ def sizes_of_split(spark, sf_dir):
     return split_sizes(with_split(t.labelled(spark, sf_dir).select("doc_id"), "doc_id", 0.15, 0.15))
 
 
+@query
+def shuffled_rows(spark, sf_dir):
+    rows = shuffled(t.documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    return rows.withColumn("hash", shuffle_hash("doc_id", 42))
+
+
 @query
 def chunk_offsets(spark, sf_dir):
     return chunk_table(t.table(spark, sf_dir, "events"), "event_type")
@@ -552,7 +557,7 @@ def file_precheck(spark, sf_dir):
 @query
 def file_names(spark, sf_dir):
     path = F.col("_metadata.file_path")
-    at = F.lit(datetime(2024, 1, 2, 3, 4, 5))
+    stamp = path_functions.run_stamp(F.lit("2024-01-02 03:04:05").cast("timestamp"))
     return (
         t.documents(spark, sf_dir)
         .groupBy(path.alias("path"))
@@ -560,7 +565,7 @@ def file_names(spark, sf_dir):
         .select(
             path_functions.file_stem(F.col("path")).alias("stem"),
             path_functions.file_suffix(F.col("path")).alias("suffix"),
-            path_functions.output_name(F.col("path"), "classified_", at).alias("output"),
+            path_functions.output_name(F.col("path"), "classified_", stamp).alias("output"),
             "n",
         )
     )
@@ -592,8 +597,11 @@ def csv_scan(spark, sf_dir):
 
 @query
 def csv_encodings(spark, sf_dir):
-    facts = sources.probe_encodings(spark, _comments_as_csv(spark, sf_dir))
-    return facts.groupBy("encoding").agg(F.count("*").alias("n_files"))
+    """Rows per detected encoding of the files they were written to."""
+    paths = _comments_as_csv(spark, sf_dir)
+    facts = materialise(sources.text_facts(spark, paths), "csv-facts")
+    rows = sources.read_csv(spark, paths, facts=facts).groupBy("file_path").agg(F.count("*").alias("n"))
+    return rows.join(facts, "file_path").groupBy("encoding").agg(F.sum("n").alias("n_rows"))
 
 
 @query
@@ -682,6 +690,21 @@ def stream_category_counts(spark, sf_dir):
     return streaming.latest_counts(spark, output)
 
 
+@query
+def stream_progress(spark, sf_dir):
+    """Rows reported by the progress of the stream, next to the rows a batch job observed."""
+    schema = "doc_id BIGINT, text STRING"
+    stream = streaming.read_arriving(spark, sf_dir, schema, pattern="documents.parquet")
+    running = streaming.running_counts(
+        stream, fresh_folder(spark, "counters"), fresh_folder(spark, "progress")
+    )
+    running.awaitTermination()
+    streamed = sum(rows for _, rows in streaming.progress_rows(running))
+    watched, rows = streaming.observed(t.documents(spark, sf_dir).select("doc_id"), "documents")
+    materialise(watched, "observed")
+    return spark.createDataFrame([(streamed, rows())], "streamed BIGINT, observed BIGINT")
+
+
 @query
 def stream_classify(spark, sf_dir):
     """Documents scored as they arrive."""

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.files import STAMP_FORMAT, output_name
+from ..functions.files import output_name
 from ..operators.labels import labels_to_wide
 from ..sources.files import CSV_OPTIONS, union_by_name
 
@@ -39,8 +39,12 @@ def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
     _writer(flat(df) if kind == "csv" else df, kind).mode("append").save(path)
 
 
+def stamp(at: datetime) -> str:
+    return f"{at:%Y%m%d_%H%M%S}"
+
+
 def run_path(folder: str, at: datetime) -> str:
-    return f"{folder.rstrip('/')}/run_ts={at:%Y%m%d_%H%M%S}"
+    return f"{folder.rstrip('/')}/run_ts={stamp(at)}"
 
 
 def save_per_file(
@@ -56,7 +60,7 @@ def save_per_file(
     The rebalance hint lets adaptive execution gather small files' rows and split the rows of a
     file that is much larger than the others over several writers.
     """
-    stamped = df.withColumn("output", output_name(F.col(path_col), prefix, F.lit(at)))
+    stamped = df.withColumn("output", output_name(F.col(path_col), prefix, F.lit(stamp(at))))
     balanced = stamped.hint("rebalance", "output")
     path = run_path(folder, at)
     writer = _writer(flat(balanced) if kind == "csv" else balanced, kind)
@@ -71,7 +75,7 @@ def combined(parts: Sequence[tuple[str, DataFrame]], file_col: str = "source_fil
 
 
 def combined_path(folder: str, at: datetime, prefix: str = "classified_") -> str:
-    return f"{folder.rstrip('/')}/{prefix}combined_{at:%Y%m%d_%H%M%S}"
+    return f"{folder.rstrip('/')}/{prefix}combined_{stamp(at)}"
 
 
 def save_predictions(
@@ -82,7 +86,6 @@ def save_predictions(
 
 
 __all__ = [
-    "STAMP_FORMAT",
     "append",
     "combined",
     "combined_path",

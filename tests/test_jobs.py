@@ -1,12 +1,11 @@
 import os
-from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.errors import StrictInputError, TrainingDataError
-from marginalia.functions.files import file_stem, file_suffix, output_name
+from marginalia.functions.files import file_stem, file_suffix, output_name, run_stamp
 from marginalia.operators import model as nb, summary
 from marginalia.operators.external import predict_external, score_external
 from marginalia.operators.linear import fit_linear, score_linear
@@ -128,7 +127,7 @@ def test_combined_by_name(spark):
 
 def test_names(spark):
     paths = ["file:/d/a.b.csv", "s3://x/plain", "/d/.hidden", "/d/U.CSV"]
-    at = F.lit(datetime(2024, 5, 6, 7, 8, 9))
+    at = run_stamp(F.lit("2024-05-06 07:08:09").cast("timestamp"))
     p = F.col("p")
     got = spark.createDataFrame([(x,) for x in paths], "p STRING").select(file_stem(p), file_suffix(p), output_name(p, "c_", at)).collect()
     assert [tuple(r)[:2] for r in got] == [("a.b", ".csv"), ("plain", ""), (".hidden", ""), ("U", ".csv")]

@@ -30,8 +30,8 @@ def test_query_equals_sql(spark, db, name):
     cursor = db.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
-    got = Counter(tuple(check._norm(r[c]) for c in names) for r in df.collect())
-    assert got == Counter(tuple(check._norm(v) for v in row) for row in cursor.fetchall())
+    got = Counter(tuple(r[c] for c in names) for r in df.collect())
+    assert got == Counter(cursor.fetchall())
 
 
 def test_entry(spark):
