@@ -280,21 +280,30 @@ def score(
 
     Skipped rows are never tokenised: they pass the explode as one row without a token, which
     also brings them back next to the scored rows without a join. Only the key and one sum per
-    label are shuffled. ``key`` must identify the rows; see ``score_rows`` for tables without one.
+    label are shuffled. ``key`` must identify the rows, a repeated key is an error; see
+    ``score_rows`` for tables without one.
     """
     require_columns(df, [key, text_col])
     reason = skip_reason(F.col(text_col), null_reason, df.schema[text_col].dataType)
     valid = df.select(key, reason.alias("skip_reason"), F.col(text_col).cast("string").alias("text"))
     found = F.when(F.col("skip_reason") == NONE, document_tokens(F.col("text"), max_length))
-    pairs = valid.select(key, "skip_reason", F.explode_outer(found).alias("token"))
+    pairs = valid.select(key, "skip_reason", F.posexplode_outer(found).alias("pos", "token"))
     summed = (
         _weighted(pairs, model, heavy_rows, broadcast_bytes)
         .groupBy(key, "skip_reason")
-        .agg(*_sums(model))
+        .agg(_rows_seen().alias("rows"), *_sums(model))
     )
-    return summed.select(
-        key, "skip_reason", _logits(model).alias("z")
-    ).select(key, "skip_reason", "z", _probabilities(F.col("z"), F.col("skip_reason") == NONE, model))
+    once = F.when(
+        F.col("rows") > 1, F.raise_error(F.lit(f"column {key} must identify the rows"))
+    ).otherwise(_logits(model))
+    return summed.select(key, "skip_reason", once.alias("z")).select(
+        key, "skip_reason", "z", _probabilities(F.col("z"), F.col("skip_reason") == NONE, model)
+    )
+
+
+def _rows_seen() -> Column:
+    """Rows that went into a group of exploded tokens: each starts at position 0, or has none."""
+    return F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
 
 
 def _probabilities(logits: Column, valid: Column, model: LabelModel) -> Column:
@@ -329,11 +338,10 @@ def score_rows(
     pairs = keyed.filter(F.col("skip_reason") == NONE).select(
         "_key", F.posexplode_outer(document_tokens(text, max_length)).alias("pos", "token")
     )
-    first_token = F.coalesce(F.col("pos"), F.lit(0)) == 0
     per_text = (
         _weighted(pairs, model, heavy_rows, broadcast_bytes)
         .groupBy("_key")
-        .agg(F.count_if(first_token).alias("copies"), *_sums(model))
+        .agg(_rows_seen().alias("copies"), *_sums(model))
         .select("_key", "copies", _logits(model, F.col("copies")).alias("z"))
     )
     scored = materialise(per_text, "scored-texts")

@@ -90,7 +90,9 @@ def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     One splittable pass over the lines; every file is judged whole. ``spark.read.text`` keeps the
     bytes of a line as they are, so invalid UTF-8 can be seen. A quoted field that runs over a
-    line end leaves an odd number of quotes on the line where it opens.
+    line end leaves an odd number of quotes on the line where it opens. The first line is the one
+    with the lowest number in the split that starts the file. The set of validity flags makes
+    Spark aggregate in a hash table of objects; the string alone would make it sort all lines.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true")
@@ -100,15 +102,27 @@ def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             plain_path(F.col("_metadata.file_path")).alias("file_path"),
             F.col("_metadata.file_size").alias("file_size"),
             (F.col("_metadata.file_block_start") == 0).alias("at_start"),
+            F.monotonically_increasing_id().alias("line"),
         )
     )
-    odd_quotes = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    return lines.groupBy("file_path").agg(
-        F.first(F.when(F.col("at_start"), F.col("value")), ignorenulls=True).alias("header"),
-        F.when(F.bool_and(F.is_valid_utf8("value")), UTF8).otherwise(LATIN1).alias("encoding"),
-        F.bool_or(odd_quotes).alias("spans_lines"),
-        F.count("*").alias("lines"),
-        F.max("file_size").alias("size_bytes"),
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return (
+        lines.groupBy("file_path")
+        .agg(
+            F.min_by("value", F.when(F.col("at_start"), F.col("line"))).alias("header"),
+            F.collect_set(F.is_valid_utf8("value")).alias("valid"),
+            F.bool_or(quotes % 2 == 1).alias("spans_lines"),
+            F.count("*").alias("lines"),
+            F.max("file_size").alias("size_bytes"),
+        )
+        .select(
+            "file_path",
+            "header",
+            F.when(F.array_contains("valid", False), LATIN1).otherwise(UTF8).alias("encoding"),
+            "spans_lines",
+            "lines",
+            "size_bytes",
+        )
     )
 
 

@@ -60,6 +60,15 @@ def test_large_files_stay_splittable_unless_records_span_lines(spark, folder):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_many_files_keep_their_own_header(spark, folder, capsys):
+    paths = [put(folder, f"f{i}.csv", f"text,c{i}\n" + "".join(f"t{i}-{j},{j}\n" for j in range(20))) for i in range(150)]
+    facts = files.text_facts(spark, paths)
+    facts.explain()
+    plan = capsys.readouterr().out
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    assert sorted(r["header"] for r in facts.collect()) == sorted(f"text,c{i}" for i in range(150))
+
+
 def test_awkward_names(spark, folder):
     a = put(folder, "one/with space+plus%20.csv", "﻿text,,x,x\n1,2,3,4\n")
     b = put(folder, "two/with space+plus%20.csv", "text\nother\n")

@@ -140,6 +140,13 @@ def test_empty_and_all_skipped_input(spark):
     assert empty.labels == ("a",) and nb.score(df, empty, "id").count() == 120
 
 
+def test_repeated_keys_are_refused(spark):
+    model = nb.fit(labelled(spark)[0])
+    twice = spark.createDataFrame([(1, "the a"), (1, "w1")], "id INT, text STRING")
+    with pytest.raises(Exception, match="must identify the rows"):
+        nb.score(twice, model, "id").collect()
+
+
 def test_predictions_and_wide_columns(spark):
     df, _ = labelled(spark)
     model = nb.fit(df)
