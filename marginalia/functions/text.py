@@ -29,14 +29,15 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for '' and for text made of blank characters only; null stays null."""
-    return text.rlike(f"^{BLANK_CLASS}*$")
+    # The first character settles nearly every text without a scan of the rest.
+    return F.substring(text, 1, 1).rlike(f"^{BLANK_CLASS}?$") & text.rlike(f"^{BLANK_CLASS}*$")
 
 
 def _string_reason(text: Column) -> Column:
     return (
         F.when(text == "", EMPTY)
         .when(is_blank(text), WHITESPACE)
-        .when(F.lower(text) == "nan", NAN)
+        .when((F.octet_length(text) == 3) & (F.lower(text) == "nan"), NAN)
         .otherwise(NONE)
     )
 

@@ -38,13 +38,15 @@ class LabelModel:
     counts: DataFrame
     alpha: float = 1.0
     min_documents: int = MIN_DOCUMENTS
-    weight_bytes: int | None = None
+    n_tokens: int | None = None
+    token_bytes: int | None = None
 
     def size(self) -> int:
         """Bytes the weights take when held in memory; measured if it is not known yet."""
-        if self.weight_bytes is not None:
-            return self.weight_bytes
-        return table_bytes(self.weights, row_bytes(len(self.labels)), "token")
+        fixed = row_bytes(len(self.labels))
+        if self.n_tokens is None or self.token_bytes is None:
+            return table_bytes(self.weights, fixed, "token")
+        return self.n_tokens * fixed + self.token_bytes
 
 
 def row_bytes(n_labels: int) -> int:
@@ -183,9 +185,31 @@ def fit_alphas(
     ).first()
     priors = [_prior(positive, rows, alpha) for alpha in alphas for positive in positives]
     bias = tuple((sums[f"b{i}"] or 0) + prior for i, prior in enumerate(priors))
-    size = sums["bytes"] + sums["tokens"] * row_bytes(len(outputs))
     return LabelModel(
-        outputs, bias, table.select("token", "df", "w"), counts, alphas[0], min_documents, size
+        outputs,
+        bias,
+        table.select("token", "df", "w"),
+        counts,
+        alphas[0],
+        min_documents,
+        sums["tokens"],
+        sums["bytes"],
+    )
+
+
+def pick_alpha(
+    candidates: LabelModel, names: Sequence[str], step: int, alpha: float
+) -> LabelModel:
+    """The model of one smoothing value out of a ``fit_alphas`` model, without fitting again."""
+    k = len(names)
+    return replace(
+        candidates,
+        labels=tuple(names),
+        bias=candidates.bias[step * k : (step + 1) * k],
+        weights=candidates.weights
+        if len(candidates.labels) == k
+        else candidates.weights.withColumn("w", F.slice("w", step * k + 1, k)),
+        alpha=alpha,
     )
 
 
@@ -199,7 +223,7 @@ def fit_from_counts(
     if names is None:
         labels = counts.filter("token IS NULL AND label IS NOT NULL").select("label").collect()
         names = sorted(row["label"] for row in labels)
-    return replace(fit_alphas(counts, names, [alpha], min_documents), labels=tuple(names))
+    return pick_alpha(fit_alphas(counts, names, [alpha], min_documents), names, 0, alpha)
 
 
 def fit(

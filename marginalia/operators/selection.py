@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from .metrics import confusion, micro_f1, multilabel_metrics
-from .model import LabelModel, fit_alphas, fit_from_counts, score, with_predictions
+from .model import LabelModel, fit_alphas, pick_alpha, score, with_predictions
 
 # Candidate smoothing values, tried from the strongest to the weakest.
 ALPHAS = (4.0, 2.0, 1.0, 0.5, 0.25)
@@ -83,8 +83,9 @@ def choose_alpha(
     rows; the rule (stop after ``patience`` trials without improvement) then reads the scores in
     order. The training texts are not read again. Without validation rows the first value is kept.
     """
+    candidates = fit_alphas(counts, names, alphas, min_documents)
     found = validation_scores(
-        fit_alphas(counts, names, alphas, min_documents),
+        candidates,
         validation,
         key,
         names,
@@ -92,16 +93,16 @@ def choose_alpha(
         labels_col,
         threshold,
     )
-    best, best_score, since, trials = alphas[0], -1.0, 0, []
+    best, best_score, since, trials = 0, -1.0, 0, []
     for step, alpha in enumerate(alphas):
         if step not in found:
             break
         improved = found[step] > best_score
         trials.append(Trial(step, alpha, found[step], improved))
         if improved:
-            best, best_score, since = alpha, found[step], 0
+            best, best_score, since = step, found[step], 0
         else:
             since += 1
             if since >= patience:
                 break
-    return fit_from_counts(counts, names, best, min_documents), trials
+    return pick_alpha(candidates, names, best, alphas[best]), trials

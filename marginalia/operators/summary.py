@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..categories import DEFAULT_CATEGORIES
 from ..functions.numbers import percent, ratio
 from .triage import skip_totals
 
 
-def category_table(spark, categories: Sequence[str]) -> DataFrame:
+def category_table(
+    spark: SparkSession, categories: Sequence[str] = DEFAULT_CATEGORIES
+) -> DataFrame:
     """The ordered category list: ``(idx, category)``."""
     return spark.createDataFrame(list(enumerate(categories)), "idx INT, category STRING")
 

@@ -177,3 +177,8 @@ def test_linear_model(spark):
     got = {r["id"]: r["probs"] for r in score_linear(texts, models, "id", ["a", "b", "never"]).collect()}
     assert got[1][0] > 0.5 > got[1][1] and got[2][1] > 0.5 > got[2][0]
     assert got[3] == [0.0, 0.0, 0.0] and got[1][2] == 0.0
+
+
+def test_default_category_list(spark):
+    rows = summary.category_table(spark).orderBy("idx").collect()
+    assert len(rows) == 13 and (rows[0]["category"], rows[12]["category"]) == ("Колектив", "Інше")
