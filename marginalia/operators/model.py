@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..errors import TrainingDataError
 from ..functions.labels import from_mask, multi_hot
 from ..functions.numbers import reaches, sigmoid
 from ..functions.text import EMPTY, NONE, skip_reason, text_key, tokens
@@ -105,11 +106,6 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
     return merged.groupBy("token", "label").agg(F.sum("n").alias("n"))
 
 
-def _millionths(value: Column) -> Column:
-    """Nearest whole millionth; ``floor`` is much cheaper on doubles than ``round``."""
-    return F.floor(value * MICRO + 0.5)
-
-
 def _document_totals(counts: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows, and rows per label: as many values as there are labels."""
     totals = {r["label"]: r["n"] for r in counts.filter(F.col("token").isNull()).collect()}
@@ -147,17 +143,20 @@ def weight_table(
     for alpha in alphas:
         for i, positive in enumerate(positives):
             # Odds with the smoothing totals cancelled: (with, without) inside and outside the label.
-            inside = F.get("y", F.lit(i)) + F.lit(float(alpha))
-            inside_without = F.lit(positive + 2.0 * alpha) - inside
-            outside = F.col("df") + F.lit(2.0 * alpha) - inside
-            outside_without = F.lit(rows - positive + 2.0 * alpha) - outside
-            present.append(
-                _millionths(F.log(inside * outside_without / (inside_without * outside)))
-            )
+            inside = f"(y[{i}] + {float(alpha)!r}D)"
+            inside_without = f"({positive + 2.0 * alpha!r}D - {inside})"
+            outside = f"(df + {2.0 * alpha!r}D - {inside})"
+            outside_without = f"({rows - positive + 2.0 * alpha!r}D - {outside})"
             share = (rows - positive + 2.0 * alpha) / (positive + 2.0 * alpha)
-            absent.append(_millionths(F.log(inside_without / outside_without * F.lit(share))))
+            present.append(f"{inside} * {outside_without} / ({inside_without} * {outside})")
+            absent.append(f"{inside_without} / {outside_without} * {share!r}D")
+
+    def logarithms(odds: list[str]) -> Column:
+        """In millionths, to the nearest whole; one SQL text is built much faster than columns."""
+        return F.expr(f"array({', '.join(f'floor(ln({o}) * {MICRO} + 0.5D)' for o in odds)})")
+
     return per_token.select(
-        "token", "df", F.array(*present).alias("w"), F.array(*absent).alias("absent")
+        "token", "df", logarithms(present).alias("w"), logarithms(absent).alias("absent")
     )
 
 
@@ -172,6 +171,8 @@ def fit_alphas(
     Its outputs are named ``<position of alpha>:<label>``, so one scoring pass gives the
     probabilities of every candidate.
     """
+    if not names:
+        raise TrainingDataError("no labels to fit")
     rows, per_label = _document_totals(counts)
     positives = [per_label.get(name, 0) for name in names]
     outputs = tuple(f"{step}:{name}" for step, _ in enumerate(alphas) for name in names)

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.errors import TrainingDataError
 from marginalia.operators import metrics, model as nb, selection
 from marginalia.operators.skew import left_join_by_frequency
 
@@ -140,6 +141,12 @@ def test_empty_and_all_skipped_input(spark):
     assert empty.labels == ("a",) and nb.score(df, empty, "id").count() == 120
 
 
+def test_no_labels_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a", [])], "id INT, text STRING, labels ARRAY<STRING>")
+    with pytest.raises(TrainingDataError):
+        nb.fit(df)
+
+
 def test_repeated_keys_are_refused(spark):
     model = nb.fit(labelled(spark)[0])
     twice = spark.createDataFrame([(1, "the a"), (1, "w1")], "id INT, text STRING")
