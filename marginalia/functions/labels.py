@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+from .columns import named
 from .text import strip
 
 # One element of a list written as text: a quoted string, a number or a named constant.
@@ -71,7 +72,7 @@ def parse_label_cell(raw: Column, data_type: T.DataType | None = None) -> Column
 
 def combine_cells(columns: Sequence[str]) -> Column:
     """Non-blank cells of ``columns`` in the given order."""
-    return clean(F.array(*[F.col(f"`{name}`").cast("string") for name in columns]))
+    return clean(F.array(*[named(name).cast("string") for name in columns]))
 
 
 def multi_hot(labels: Column, vocabulary: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import MissingColumnError, VocabularyError
+from ..functions.columns import all_named
 from ..functions.labels import combine_cells, label_at, multi_hot, parse_label_cell
 from ..functions.numbers import ratio
 from .triage import require_columns
@@ -130,4 +131,5 @@ def labels_to_wide(
     if k is None:
         k = most_labels(df, labels_col)
     cells = [label_at(F.col(labels_col), i).alias(f"{prefix}{i + 1}") for i in range(k)]
-    return df.select(*[c for c in df.columns if c != labels_col], *cells)
+    kept = [c for c in df.columns if c != labels_col]
+    return df.select(*all_named(kept), *cells)

@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import TrainingDataError
+from ..functions.columns import all_named
 from ..functions.labels import from_mask, multi_hot
 from ..functions.numbers import reaches, sigmoid
 from ..functions.text import EMPTY, NONE, skip_reason, text_key, tokens
@@ -382,7 +383,7 @@ def score_rows(
         broadcast_bytes,
     )
     probs = _probabilities(F.col("z"), F.col("skip_reason") == NONE, model)
-    return joined.select(*df.columns, "skip_reason", probs)
+    return joined.select(*all_named(df.columns), "skip_reason", probs)
 
 
 def with_predictions(scored: DataFrame, model: LabelModel, threshold: float = 0.5) -> DataFrame:
@@ -404,4 +405,4 @@ def with_category_columns(
             value = F.lit(0.0)
         columns.append((F.round(value, digits) if digits is not None else value).alias(name))
     kept = [c for c in scored.columns if c not in ("probs", "z", "skip_reason")]
-    return scored.select(*kept, *columns, "skip_reason")
+    return scored.select(*all_named(kept), *columns, "skip_reason")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import all_named
+
 HEAVY_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -52,5 +54,6 @@ def left_join_by_frequency(
     light = light_rows.join(keyed.filter(F.col(frequency) < bar).hint("merge"), key, "left")
     hot = with_key.join(F.broadcast(heavy), key, "inner")
     extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema if f.name != key]
-    unkeyed = rows.filter(F.col(key).isNull()).select(key, *[c for c in rows.columns if c != key], *extra)
+    others = [c for c in rows.columns if c != key]
+    unkeyed = rows.filter(F.col(key).isNull()).select(key, *all_named(others), *extra)
     return light.unionByName(hot).unionByName(unkeyed)

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.columns import all_named
 from ..functions.text import EMPTY, NAN
 from ..operators.labels import labelled_table, vocabulary
 from ..operators.metrics import multilabel_metrics
@@ -69,7 +70,7 @@ def process_files(
     if output_dir is not None and kind == "parquet":
         # The per-file output is the scored table; it is read back instead of written twice.
         written = save_per_file(wide, output_dir, started, prefix)
-        result = spark.read.schema(wide.schema).parquet(written).select(*wide.columns)
+        result = spark.read.schema(wide.schema).parquet(written).select(*all_named(wide.columns))
     else:
         result = materialise(wide, "batch")
         if output_dir is not None:

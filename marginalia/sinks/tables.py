@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import named
 from ..functions.files import output_name
 from ..operators.labels import labels_to_wide
 from ..sources.files import CSV_OPTIONS, union_by_name
@@ -23,10 +24,10 @@ def flat(df: DataFrame, separator: str = "|") -> DataFrame:
     """CSV has no arrays: string arrays become delimited cells."""
     columns = []
     for field in df.schema:
-        column = F.col(f"`{field.name}`")
+        column = named(field.name)
         if field.dataType.typeName() == "array":
-            column = F.array_join(column.cast("array<string>"), separator).alias(field.name)
-        columns.append(column)
+            column = F.array_join(column.cast("array<string>"), separator)
+        columns.append(column.alias(field.name))
     return df.select(*columns)
 
 

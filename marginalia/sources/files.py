@@ -145,12 +145,15 @@ def _read_csv_group(
 
 
 def _unique_names(columns: Sequence[str]) -> list[str]:
-    """Repeated and empty header names get a position, as Spark needs distinct names."""
-    seen, names = set(), []
+    """Spark needs distinct names: a nameless column gets its position, a repeat a number."""
+    names: list[str] = []
     for position, name in enumerate(columns):
-        name = name or f"column_{position}"
-        names.append(name if name not in seen else f"{name}.{position}")
-        seen.add(name)
+        name = name or f"Unnamed: {position}"
+        repeat, wanted = 0, name
+        while wanted in names:
+            repeat += 1
+            wanted = f"{name}.{repeat}"
+        names.append(wanted)
     return names
 
 

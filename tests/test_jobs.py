@@ -47,9 +47,12 @@ def test_batch_of_files(spark, folder, model):
 
 
 def test_batch_reads_its_parquet_output_back(spark, folder, model):
-    a = put(folder, "in/a.csv", "text,x\nthe w1 a,1\n,2\n")
+    a = put(folder, "in/a.csv", "text,x,x,,y.z\nthe w1 a,1,2,3,4\n,2,2,3,4\n")
     run = jobs.process_files(spark, [a], model, folder + "/out")
-    assert run.rows.columns == ["source_file", "file_path", "text", "x", "a", "b", "c", "skip_reason"]
+    assert run.rows.columns == [
+        "source_file", "file_path", "text", "x", "x.1", "Unnamed: 3", "y.z", "a", "b", "c", "skip_reason"
+    ]
+    assert [r["x.1"] for r in run.rows.collect()] == ["2", "2"]
     assert run.rows.count() == 2 and run.combined_to is None
     assert all("/out/run_ts=" in f for f in run.rows.inputFiles())
 
