@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate
+from . import decontaminate, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,10 +52,10 @@ WITH iw AS (
   SELECT DISTINCT item_id, len(w[s:s+12]) AS n, array_to_string(w[s:s+12], ' ') AS win FROM starts
 ), dw AS (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), at AS (
+), spots AS (
   SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM dw, (SELECT DISTINCT n FROM win)
 ), hit AS (
-  SELECT DISTINCT doc_id, s, at.n, item_id FROM at JOIN win ON win = array_to_string(w[s:s+at.n-1], ' ')
+  SELECT DISTINCT doc_id, s, spots.n, item_id FROM spots JOIN win ON win = array_to_string(w[s:s+spots.n-1], ' ')
 ), pos AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY 1
@@ -69,3 +69,39 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM dw d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
+
+
+@query
+def op5_near_dedup(spark, sf_dir):
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept"
+    )
+
+
+SQL["op5_near_dedup"] = rf"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s+3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) AS s FROM dw)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 80 * (p.n + q.n - c)
+), edge AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y
+), low AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN low ON low.doc_id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+"""
