@@ -180,3 +180,10 @@ def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.L
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists one after the other, and the row that each belongs to."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    return values, np.repeat(np.arange(len(column)), lengths)
