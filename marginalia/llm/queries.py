@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near_dedup, suffix_dedup
+from . import decontaminate, near_dedup, packing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +119,22 @@ def op7_suffix_dedup(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def tokenizer_path() -> str:
+    """Vocabulary file of the packing query; ``WORD_VOCABULARY`` in the environment names another."""
+    import public_tokenizers
+
+    return os.environ.get("WORD_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed_columns(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        F.col("doc").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens",
+        F.col("sequence").alias("sequence_id"), "offset",
+    )
+
+
+@query
+def op8_packing(spark, sf_dir):
+    return packed_columns(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
