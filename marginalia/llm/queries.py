@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near_dedup, packing, suffix_dedup
+from . import decontaminate, language_id, near_dedup, packing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,3 +138,20 @@ def packed_columns(pieces: DataFrame) -> DataFrame:
 @query
 def op8_packing(spark, sf_dir):
     return packed_columns(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def learnt_languages(documents: DataFrame) -> language_id.Network | None:
+    """Fitted on the documents that are not held out."""
+    return language_id.fit(documents.filter(language_id.remainder("doc_id", 4) != 2))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(documents.select("doc_id", "text"), learnt_languages(documents))
+    return found.select(
+        "row.doc_id",
+        F.coalesce(language_id.remainder("row.doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        F.col("language").alias("lang_pred"),
+        "score",
+    )
