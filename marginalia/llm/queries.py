@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, suffix_dedup
+from . import decontaminate, fingerprint, language_id, near_dedup, packing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,3 +155,8 @@ def op10_language_id(spark, sf_dir):
         F.col("language").alias("lang_pred"),
         "score",
     )
+
+
+@query
+def op9_fingerprint(spark, sf_dir):
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
