@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language_id, near_dedup, packing, suffix_dedup
+from . import decontaminate, fingerprint, language_id, near_dedup, packing, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +160,15 @@ def op10_language_id(spark, sf_dir):
 @query
 def op9_fingerprint(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(language_id.remainder("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit(documents.join(labels.filter(~held_out), "doc_id"))
+    scored = toxicity.toxicity(documents, model).withColumnRenamed("doc", "doc_id")
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
