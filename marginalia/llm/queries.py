@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language_id, near_dedup, packing, suffix_dedup, toxicity
+from . import decontaminate, fingerprint, language_id, license_scan, near_dedup, packing, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,3 +172,15 @@ def op6_toxicity(spark, sf_dir):
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join("matches.name", ",").alias("licenses"),
+        F.round(F.array_max("matches.containment"), 6).alias("best"),
+        F.array_min("matches.from").alias("first_word"),
+    )
