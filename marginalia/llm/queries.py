@@ -7,7 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprint, language_id, license_scan, near_dedup, packing, suffix_dedup, toxicity
+from . import (
+    decontaminate,
+    fingerprint,
+    language_id,
+    license_scan,
+    lm_score,
+    near_dedup,
+    packing,
+    suffix_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,3 +194,8 @@ def op3_license_scan(spark, sf_dir):
         F.round(F.array_max("matches.containment"), 6).alias("best"),
         F.array_min("matches.from").alias("first_word"),
     )
+
+
+@query
+def op2_lm_score(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
