@@ -17,6 +17,7 @@ from . import (
     packing,
     suffix_dedup,
     toxicity,
+    url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +200,59 @@ def op3_license_scan(spark, sf_dir):
 @query
 def op2_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
+
+
+@query
+def op1_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.parsed_rules(URL_RULES)).withColumnRenamed("page", "page_id")
+
+
+def _url_sql() -> str:
+    """The same model in SQL, order by order."""
+    parts = [
+        r"""
+u AS (SELECT row_number() OVER () AS row, page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+hp AS (SELECT row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(v, h, p)),
+b AS (SELECT row, page_id, host, path, host || path AS txt, substr(md5(host || path), 1, 1) IN ('0', '1', '2') AS held,
+  arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS rv
+  FROM hp LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+s AS (SELECT row, held, rv, substr(repeat(chr(2), 4) || txt, i, 5) AS g FROM (SELECT *, unnest(generate_series(1, length(txt))) AS i FROM b)),
+g AS (SELECT g, count(*) FILTER (NOT held AND rv = 'allow') AS a, count(*) FILTER (NOT held AND rv = 'block') AS r FROM s GROUP BY 1)"""
+    ]
+    for k in range(5):
+        p = [f"p{k - 1}.{c}" if k else "(1.0 / 256)::DOUBLE" for c in "ar"]
+        before = f"JOIN p{k - 1} ON p{k - 1}.o = right(o{k}.o, {k})" if k else ""
+        probability = [
+            f"CASE WHEN n{c} > 0 THEN (o{k}.{c}::DOUBLE + t{c}::DOUBLE * {q}) / (n{c} + t{c})::DOUBLE ELSE {q} END AS {c}"
+            for c, q in zip("ar", p, strict=True)
+        ]
+        parts.append(
+            f"""
+o{k} AS (SELECT right(g, {k + 1}) AS o, sum(a)::BIGINT AS a, sum(r)::BIGINT AS r FROM g GROUP BY 1),
+c{k} AS (SELECT left(o, {k}) AS c, sum(a)::BIGINT AS na, sum(r)::BIGINT AS nr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM o{k} GROUP BY 1),
+p{k} AS (SELECT o{k}.o, {", ".join(probability)} FROM o{k} JOIN c{k} ON c{k}.c = left(o{k}.o, {k}) {before})"""
+        )
+    parts.append(
+        """
+tot AS (SELECT sum(a) > 0 AND sum(r) > 0 AS known FROM g),
+w AS (SELECT o, CASE WHEN known THEN round((ln(a) - ln(r)) * 1e6)::BIGINT ELSE 0 END AS w FROM p4, tot),
+sc AS (SELECT b.row, b.page_id, b.host, b.path, b.rule, b.rv, b.held, coalesce(round(sum(w)::DOUBLE / count(g)::DOUBLE)::BIGINT, 0) AS score
+  FROM b LEFT JOIN s ON s.row = b.row LEFT JOIN w ON w.o = s.g GROUP BY ALL),
+bins AS (SELECT greatest(-2000, least(2000, floor(score / 10000.0)::BIGINT)) AS bin, count(*) FILTER (rv = 'allow') AS a, count(*) FILTER (rv = 'block') AS r
+  FROM sc WHERE held AND rv IS NOT NULL GROUP BY 1),
+gain AS (SELECT bin, (sum(a) OVER () - coalesce(sum(a) OVER w, 0)) * sum(r) OVER () + coalesce(sum(r) OVER w, 0) * sum(a) OVER () AS gain,
+  sum(a) OVER () AS ta, sum(r) OVER () AS tr FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+th AS (SELECT coalesce((SELECT bin FROM gain WHERE ta > 0 AND tr > 0 ORDER BY gain DESC, bin LIMIT 1), 0) AS th)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN floor(score / 10000.0) >= th THEN 'allow' ELSE 'block' END) AS verdict, score / 1e6 AS score
+FROM sc, th"""
+    )
+    return "WITH" + ",".join(parts[:-1]) + "," + parts[-1]
+
+
+SQL["op1_url_filter"] = _url_sql()
