@@ -448,48 +448,63 @@ def _merger(length: int, gram: int) -> Callable:
     return run
 
 
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remover(as_text: bool) -> Callable:
     """``(row, doc, n_bytes, spans, kept)``: ranges put together and taken out."""
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    for piece in t.pieces(batches, "text"):
-        data, offsets = t.flat(piece.column("text"))
-        raw = data.tobytes()
-        kept, spans = [], []
-        for d, (begins, ends) in enumerate(zip(piece.column("begins"), piece.column("ends"), strict=True)):
-            a, b = int(offsets[d]), int(offsets[d + 1])
-            if not begins.is_valid:
-                kept.append(raw[a:b])
-                spans.append([])
-                continue
-            begin = np.minimum(begins.values.to_numpy(), b - a).astype(np.int64)
-            end = np.minimum(ends.values.to_numpy(), b - a).astype(np.int64)
-            order = np.argsort(begin, kind="stable")
-            begin, end = begin[order], np.maximum.accumulate(end[order])
-            new = np.append(True, begin[1:] > end[:-1])
-            begin, end = begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
-            own = [(x, y) for x, y in zip(begin.tolist(), end.tolist(), strict=True) if x < y]
-            edges = [0, *[e for s in own for e in s], b - a]
-            kept.append(b"".join([raw[a + edges[i] : a + edges[i + 1]] for i in range(0, len(edges), 2)]))
-            spans.append([{"from": x, "to": y} for x, y in own])
-        yield pa.RecordBatch.from_arrays(
-            [
-                piece.column("row"),
-                piece.column("doc"),
-                pa.array(np.diff(offsets), pa.int64()),
-                pa.array(spans, span),
-                pa.array(kept, pa.binary()),
-            ],
-            ["row", "doc", "n_bytes", "spans", "kept"],
-        )
+
+    def joined(parts: list[bytes]) -> bytes | str:
+        # A character that loses some of its bytes goes as a whole.
+        return "".join([p.decode("utf-8", "ignore") for p in parts]) if as_text else b"".join(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in t.pieces(batches, "text"):
+            data, offsets = t.flat(piece.column("text"))
+            raw = data.tobytes()
+            kept, spans = [], []
+            for d, (begins, ends) in enumerate(zip(piece.column("begins"), piece.column("ends"), strict=True)):
+                a, b = int(offsets[d]), int(offsets[d + 1])
+                if not begins.is_valid:
+                    kept.append(joined([raw[a:b]]))
+                    spans.append([])
+                    continue
+                begin = np.minimum(begins.values.to_numpy(), b - a).astype(np.int64)
+                end = np.minimum(ends.values.to_numpy(), b - a).astype(np.int64)
+                order = np.argsort(begin, kind="stable")
+                begin, end = begin[order], np.maximum.accumulate(end[order])
+                new = np.append(True, begin[1:] > end[:-1])
+                begin, end = begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+                own = [(x, y) for x, y in zip(begin.tolist(), end.tolist(), strict=True) if x < y]
+                edges = [0, *[e for s in own for e in s], b - a]
+                kept.append(joined([raw[a + edges[i] : a + edges[i + 1]] for i in range(0, len(edges), 2)]))
+                spans.append([{"from": x, "to": y} for x, y in own])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("row"),
+                    piece.column("doc"),
+                    pa.array(np.diff(offsets), pa.int64()),
+                    pa.array(spans, span),
+                    pa.array(kept, pa.string() if as_text else pa.binary()),
+                ],
+                ["row", "doc", "n_bytes", "spans", "kept"],
+            )
+
+    return run
 
 
 def repeated_spans(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    hot: int = HOT,
+    as_text: bool = False,
 ) -> DataFrame:
     """``(row, doc, n_bytes, spans, kept)`` per document row.
 
     ``spans`` are the maximal byte ranges ``(from, to)`` to remove, ``kept`` the other bytes, ``row``
-    a struct of the other columns.
+    a struct of the other columns. With ``as_text``, ``kept`` is a text, without the characters that lose
+    some of their bytes.
     """
     if not BLOCK < gram <= length - BLOCK or length > 120:
         raise ValueError(f"gram must lie between {BLOCK + 1} and length - {BLOCK}, length must not exceed 120")
@@ -528,6 +543,7 @@ def repeated_spans(
     whole = whole.withColumn("doc", F.coalesce("id", F.lit(int(LAST)).cast("long")))
     joined = whole.join(ranges, "doc", "left").select("row", F.col("id").alias("doc"), "text", "begins", "ends")
     kind = documents.select(row.alias("row")).schema["row"].dataType.simpleString()
+    what = "string" if as_text else "binary"
     return joined.mapInArrow(
-        _remover, f"row {kind}, doc long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary"
+        _remover(as_text), f"row {kind}, doc long, n_bytes long, spans array<struct<from:long,to:long>>, kept {what}"
     )
