@@ -29,8 +29,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _is_stars(links: DataFrame) -> bool:
+    """Has every node either one smaller neighbour and no larger one, or larger ones alone?"""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    sides = both.groupBy("u").agg(
+        F.count_if(F.col("v") < F.col("u")).alias("smaller"), F.count_if(F.col("v") > F.col("u")).alias("larger")
+    )
+    return sides.filter("smaller > 1 OR (smaller > 0 AND larger > 0)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,12 +46,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     ordered = links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     stars = materialise(ordered.distinct(), "links")
-    state = _state(stars)
-    while state[0]:
+    while not _is_stars(stars):
         stars = materialise(_small_star(_large_star(stars)), "links")
-        before, state = state, _state(stars)
-        if state == before:
-            break
     # A centre is nobody's u, so the two parts have no node in common.
     centres = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)

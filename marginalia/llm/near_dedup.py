@@ -13,9 +13,12 @@ probability ``(1 - s**ROWS)**BANDS``, 3e-6 at s = 0.8.
 
 Verification. Equal sets are one node (128 bits of set hash and the size). In a band's bucket not
 all pairs are made: every member is compared with the smallest one, on whole sets. Buckets that then
-lie in one component need no more; the rest go on with 4, 16, ... further centres and only pairs
-of different components, until no pair of a bucket is left that could join two components. So a
-group of m copies costs about m comparisons in a bucket, and no link between components is lost.
+lie in one component need no more. In the others, pairs that could join two components are ruled out by
+the number of bins that agree (the sketch's concentration bound) and, exactly, by histograms of the
+shingles over ``CELLS`` cells, whose intersection bounds that of the sets. What is left is compared on whole sets, with
+``FACTOR``, then ``FACTOR`` times as many, further centres of its bucket, those that meet most others first, until no
+bucket has a pair that could join two components. So a group of m copies costs about m comparisons,
+and no link between components is lost.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing; texts
 of fewer words than a shingle are one shingle, the whole sequence; repeated rows get equal results;
@@ -39,6 +42,11 @@ WORDS = 5
 SIMILARITY = 80
 BANDS, ROWS = 24, 4
 PIECE_BYTES = 2 << 20
+#: By how much the number of centres of a bucket grows from round to round.
+FACTOR = 16
+#: Fewer of the bins than this agree with a probability below 1e-7 at a similarity of 0.8.
+AGREEING = 54
+CELLS = 64
 
 _SEEDS = t.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * t.BASE)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -110,9 +118,12 @@ def _sketcher(k: int) -> Callable:
         for piece in t.pieces(batches, "text", PIECE_BYTES):
             hashes, first = shingle_sets(t.words(piece.column("text"), t.NOT_BLANK), k)
             n = np.diff(first)
-            keys = band_keys(sketches(hashes, first))
+            sketch = sketches(hashes, first)
             some = n > 0
-            bands = t.list_array(t.signed(keys[some].ravel()), np.concatenate([[0], np.cumsum(some)]) * BANDS, pa.int64())
+            bound = np.concatenate([[0], np.cumsum(some)])
+            bands = t.list_array(t.signed(band_keys(sketch)[some].ravel()), bound * BANDS, pa.int64())
+            low = (sketch[some] & np.uint64(0xFF)).astype(np.uint8).view(np.int8).ravel()
+            bins = t.list_array(low, bound * BANDS * ROWS, pa.int8())
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc"),
@@ -120,8 +131,9 @@ def _sketcher(k: int) -> Callable:
                     pa.array(t.signed(_summed(t.mix(hashes), first))),
                     pa.array(t.signed(_summed(t.mix(hashes ^ _OTHER), first))),
                     bands,
+                    bins,
                 ],
-                ["doc", "n", "s1", "s2", "bands"],
+                ["doc", "n", "s1", "s2", "bands", "bins"],
             )
 
     return run
@@ -139,51 +151,79 @@ def _set_maker(k: int) -> Callable:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+    """The pairs ``(a, b, ...)`` whose whole sets are similar enough."""
     right = pairs.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
     both = right.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return both.filter(100 * shared >= similarity * union).select(F.col("b").alias("u"), F.col("a").alias("v"))
+    return both.filter(100 * shared >= similarity * union).drop("set_a", "set_b")
 
 
-def _links(shared: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """``(node, component)`` of all members of the buckets ``shared(key, rep, n)`` that are linked."""
-    spark = shared.sparkSession
+def _still_mixed(members: DataFrame) -> DataFrame:
+    """The rows of the buckets whose members lie in several components, with ``m``, their number."""
+    ends = members.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")
+    )
+    return members.drop("m").join(ends.filter("low != high").select("key", "m"), "key")
+
+
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(rep, counts)``: how many shingles of a set fall into each of ``CELLS`` cells."""
+    for batch in batches:
+        values, of = t.flat_list(batch.column("set"))
+        cell = (values.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)
+        counts = np.bincount(of * CELLS + cell, minlength=batch.num_rows * CELLS)
+        first = np.arange(batch.num_rows + 1) * CELLS
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), t.list_array(counts, first, pa.int32())], ["rep", "counts"])
+
+
+def _links(shared: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``(rep, component)`` of all members of the buckets ``shared(key, band, rep, n)``."""
     fits = 100 * F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")
     centres = shared.groupBy("key").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("n").alias("n_a"))).alias("c"))
     pairs = shared.join(centres.select("key", "c.*"), "key").filter(F.col("rep") != F.col("a")).filter(fits)
-    tested = materialise(pairs.select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = materialise(_verified(tested, sets, similarity), "verified")
-    labels = materialise(components(links), "labels")
-    done = 1
-    while True:
-        # Buckets whose members are not all in one component, beyond the centres that are done.
-        labelled = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")
-        )
-        mixed = mixed.filter((F.col("low") != F.col("high")) & (F.col("m") > done + 1)).select("key")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        ranked = labelled.join(mixed, "key").withColumn("rank", rank).filter(F.col("rank") > done)
-        opened = materialise(ranked, "open-buckets")
-        if opened.isEmpty():
-            return labels
-        more = 4 * done
-        first = opened.filter(F.col("rank") <= done + more).select(
-            "key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("rank").alias("rank_a"),
-            F.col("component").alias("component_a"),
+    links = _verified(pairs.select("a", F.col("rep").alias("b")).distinct(), sets, similarity)
+    found = components(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).withColumnRenamed("node", "rep")
+    members = shared.select("rep").distinct().join(found, "rep", "left")
+    labels = materialise(members.withColumn("component", F.coalesce("component", "rep")), "labels")
+    mixed = materialise(_still_mixed(shared.join(labels, "rep")), "mixed-buckets")
+    if mixed.isEmpty():
+        return labels
+    # Sets that meet many others are tried first: they are the ones with the fewest changes.
+    met_by = mixed.groupBy("rep").agg(F.sum("m").alias("met"))
+    own = sets.join(met_by.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    about = own.mapInArrow(_histograms, "rep long, counts array<int>").join(met_by, "rep")
+    about = about.join(nodes.select("rep", "bands", "bins"), "rep")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))
+    ranked = mixed.join(about, "rep").withColumn("rank", rank)
+    opened, done = materialise(ranked, "open-buckets"), 0
+    while not opened.isEmpty():
+        last = FACTOR * (done + 1)
+        first = opened.filter(F.col("rank") <= last).select(
+            "key",
+            F.col("rep").alias("a"),
+            F.col("n").alias("n_a"),
+            F.col("counts").alias("counts_a"),
+            F.col("rank").alias("rank_a"),
+            F.col("bands").alias("bands_a"),
+            F.col("bins").alias("bins_a"),
+            F.col("component").alias("v"),
         )
-        met = opened.join(first, "key").filter("rank > rank_a AND component != component_a").filter(fits)
-        pairs = met.select("a", F.col("rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = materialise(_verified(pairs, sets, similarity), "verified")
-        if not found.isEmpty():
-            stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            labels = materialise(components(stars.unionByName(found)), "labels")
-        tested = tested.unionByName(pairs)
-        done += more
+        at_first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
+        agreeing = F.size(F.filter(F.zip_with("bins", "bins_a", lambda x, y: x == y), lambda same: same))
+        most = F.aggregate(F.zip_with("counts", "counts_a", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+        enough = (100 + similarity) * most >= similarity * (F.col("n") + F.col("n_a"))
+        met = opened.join(first, "key").filter("rank > rank_a AND component != v")
+        met = met.filter(fits).filter(at_first).filter(agreeing >= AGREEING).filter(enough)
+        pairs = met.select("a", F.col("rep").alias("b"), "v", F.col("component").alias("u"))
+        moved = materialise(components(_verified(pairs, sets, similarity).select("u", "v")), "moved")
+        moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        to = F.coalesce("to", "component")
+        labels = materialise(labels.join(moved, "component", "left").select("rep", to.alias("component")), "labels")
+        rest = opened.filter(F.col("rank") > last).join(moved, "component", "left")
+        rest = rest.withColumn("component", to).drop("to")
+        opened, done = materialise(_still_mixed(rest), "open-buckets"), last
+    return labels
 
 
 def near_duplicates(
@@ -202,21 +242,21 @@ def near_duplicates(
         raise ValueError("the bands are made for similarities of 80 hundredths and more")
     ship(documents.sparkSession)
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    schema = "doc long, n long, s1 long, s2 long, bands array<long>"
+    schema = "doc long, n long, s1 long, s2 long, bands array<long>, bins array<tinyint>"
     drawn = materialise(texts.mapInArrow(_sketcher(words), schema), "sketches")
     same = ["n", "s1", "s2"]
     nodes = drawn.filter("n > 0 AND doc IS NOT NULL").groupBy(*same).agg(
-        F.min("doc").alias("rep"), F.first("bands").alias("bands")
+        F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("bins").alias("bins")
     )
     nodes = materialise(nodes, "nodes")
-    buckets = nodes.select(F.explode("bands").alias("key"), "rep", "n")
+    buckets = nodes.select(F.posexplode("bands").alias("band", "key"), "rep", "n")
     several = buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     shared = materialise(buckets.join(several, "key"), "buckets")
     members = shared.select(F.col("rep").alias("doc")).distinct()
     sets = texts.join(members, "doc", "left_semi").mapInArrow(_set_maker(words), "doc long, set array<long>")
-    labels = _links(shared, materialise(sets, "sets"), similarity)
-    placed = drawn.drop("bands").join(nodes.drop("bands"), same, "left")
-    placed = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = _links(shared, nodes, materialise(sets, "sets"), similarity)
+    placed = drawn.select("doc", *same).join(nodes.select("rep", *same), same, "left")
+    placed = placed.join(labels, "rep", "left")
     component = F.coalesce("component", "rep", "doc")
     return placed.select(
         "doc",
