@@ -11,7 +11,6 @@ import re
 import unicodedata
 
 import numpy as np
-import regex
 
 from . import text as t
 
@@ -22,12 +21,14 @@ _ONE = tuple(map(ord, "stmd"))
 _TWO = (("r", "e"), ("v", "e"), ("l", "l"))
 
 
+# The code points with Unicode's property White_Space.
+_WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
+
 def _classes() -> np.ndarray:
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    table = np.full(0x110000, _OTHER, dtype=np.uint8)
-    for pattern, kind in ((r"\p{White_Space}", _SPACE), (r"\p{L}", _LETTER), (r"\p{N}", _NUMBER)):
-        found = "".join(regex.findall(f"{pattern}+", points))
-        table[np.frombuffer(found.encode("utf-32-le"), dtype=np.uint32)] = kind
+    kinds = {"L": _LETTER, "N": _NUMBER}
+    table = np.array([kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)], dtype=np.uint8)
+    table[list(_WHITE_SPACE)] = _SPACE
     return table
 
 
