@@ -16,24 +16,26 @@ from .triage import require_columns
 MAX_VOCABULARY = 10_000
 
 
+#: Column families that may be named by any of their members.
+FAMILIES = ("label_*", "category_*")
+_NUMBERED = re.compile(r"Category (?:.*\s)?([0-9]+)", re.DOTALL)
+
+
 def numbered_category_columns(columns: Sequence[str]) -> list[str]:
     """``Category <...> N`` columns in the order of N."""
-    numbered = [
-        (int(name.split()[-1]), position, name)
-        for position, name in enumerate(columns)
-        if name.startswith("Category ") and re.fullmatch(r"[0-9]+", name.split()[-1])
-    ]
-    return [name for _, _, name in sorted(numbered)]
+    found = {name: _NUMBERED.fullmatch(name) for name in columns}
+    return sorted((name for name, match in found.items() if match), key=lambda name: int(found[name][1]))
 
 
-def pattern_columns(columns: Sequence[str], pattern: str) -> list[str]:
-    """Columns named by ``label_*`` style patterns, in table order."""
-    prefix = pattern.replace("*", "") if "*" in pattern else pattern.split("_")[0] + "_"
-    return [name for name in columns if name.startswith(prefix)]
+def _matches(name: str, glob: str) -> bool:
+    return re.fullmatch(".*".join(map(re.escape, glob.split("*"))), name, re.DOTALL) is not None
 
 
-def is_pattern(labels_col: str) -> bool:
-    return "*" in labels_col or labels_col.startswith(("label_", "category_"))
+def label_glob(labels_col: str) -> str | None:
+    """The glob that ``labels_col`` stands for: a wildcard is one, a member of a family names the family."""
+    if "*" in labels_col:
+        return labels_col
+    return next((family for family in FAMILIES if _matches(labels_col, family)), None)
 
 
 def with_label_array(df: DataFrame, labels_col: str = "labels") -> DataFrame:
@@ -44,8 +46,9 @@ def with_label_array(df: DataFrame, labels_col: str = "labels") -> DataFrame:
     numbered = numbered_category_columns(df.columns)
     if numbered:
         return df.withColumn("labels", combine_cells(numbered))
-    if is_pattern(labels_col):
-        matched = pattern_columns(df.columns, labels_col)
+    glob = label_glob(labels_col)
+    if glob is not None:
+        matched = [name for name in df.columns if _matches(name, glob)]
         if not matched:
             raise MissingColumnError(f"no column matches {labels_col!r}")
         return df.withColumn("labels", combine_cells(matched))

@@ -9,12 +9,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import all_named
-from ..functions.text import EMPTY, NAN
+from ..functions.text import NAN
 from ..operators.labels import labelled_table, vocabulary
-from ..operators.metrics import multilabel_metrics
 from ..operators.model import (
     LabelModel,
-    refine,
     score,
     score_rows,
     token_counts,
@@ -25,12 +23,12 @@ from ..operators.profile import profile_rows
 from ..operators.quality import enforce, light_gate, recommendations, training_gate
 from ..operators.selection import ALPHAS, PATIENCE, Trial, choose_alpha, evaluate
 from ..operators.split import TEST, TRAIN, VALIDATION, split_sizes, with_split
-from ..operators.summary import batch_summary, category_summary, file_results, run_summary
-from ..operators.triage import check_strict, per_file_skips, with_skip_reason
+from ..operators.summary import batch_summary, category_summary, run_summary
+from ..operators.triage import check_strict, per_file_skips, skip_totals, with_skip_reason
 from ..session import materialise
 from ..sinks.models import save_model
 from ..sinks.tables import combined_path, save, save_per_file, save_predictions
-from ..sources.files import ValidatedFiles, bare_path, list_files, validate_files
+from ..sources.files import LATIN1, ValidatedFiles, bare_path, validate_files
 
 
 @dataclass(frozen=True)
@@ -59,8 +57,7 @@ def process_files(
 ) -> BatchRun:
     """Score all files in one job; bad files are reported and do not stop the good ones.
 
-    ``validated`` takes the result of an earlier ``validate_files``, whose rows are then used as
-    they are.
+    ``validated`` takes the result of an earlier ``validate_files``.
     """
     started = datetime.now(timezone.utc)
     validated = validate_files(spark, paths, text_col) if validated is None else validated
@@ -79,15 +76,19 @@ def process_files(
         combined_to = combined_path(output_dir, started, prefix)
         save(result.drop("file_path"), combined_to, kind)
     keyed = result.withColumn("file_key", bare_path(F.col("file_path")))
-    listing = validated.report.select(
-        bare_path(F.col("file_path")).alias("file_key"),
+    # Counted by file, then rolled up to the paths that were handed in.
+    requests = validated.files.select("requested", F.col("bare").alias("file_key"))
+    per_file = skip_totals(keyed, ["file_key"]).join(requests, "file_key").groupBy("requested")
+    per_path = per_file.agg(F.sum("total_rows").alias("total_rows"), F.sum("skipped").alias("skipped"))
+    rows, skipped = F.coalesce("total_rows", F.lit(0)), F.coalesce("skipped", F.lit(0))
+    files = validated.report.join(per_path, F.col("file_path") == F.col("requested"), "left").select(
         "source_file",
+        bare_path(F.col("file_path")).alias("file_key"),
+        F.when(rows > 0, "ok").otherwise("failed").alias("status"),
         F.col("status").alias("check"),
-    )
-    files = (
-        file_results(keyed, "file_key", listing)
-        .join(listing, "file_key")
-        .select("source_file", "file_key", "status", "check", "total_rows", "processed", "skipped")
+        rows.alias("total_rows"),
+        (rows - skipped).alias("processed"),
+        skipped.alias("skipped"),
     )
     return BatchRun(
         result,
@@ -100,41 +101,50 @@ def process_files(
 
 
 def dry_run(spark: SparkSession, paths: Sequence[str], text_col: str = "text") -> DataFrame:
-    """File profiles without scoring: rows, rates, lengths, encoding, size, issues, error."""
+    """File profiles without scoring: rows, rates, lengths, encoding, size, issues, error.
+
+    Profiles come from the scan; nothing of the size of the data is written. A file that is not
+    UTF-8 has the issue ``encoding``, one with records that do not fit its header ``misfits``.
+    """
     validated = validate_files(spark, paths, text_col)
+    names = validated.files.select("requested", F.col("bare").alias("file_key"))
     triaged = with_skip_reason(validated.rows, text_col, null_reason=NAN).withColumn(
         "file_key", bare_path(F.col("file_path"))
     )
-    profiles = profile_rows(triaged, "file_key", text_col)
-    sizes = list_files(spark, paths).select(
-        bare_path(F.col("file_path")).alias("file_key"), "size_bytes"
+    # The table of names is a written one: Spark knows its size and broadcasts it if it is small.
+    profiles = profile_rows(triaged.join(names, "file_key"), "requested", text_col)
+    facts = validated.files.groupBy("requested").agg(
+        F.sum("size_bytes").alias("size_bytes"),
+        F.sum("n_misfits").alias("misfits"),
+        F.max("n_rows").alias("most_rows"),
+        F.when(F.bool_or(F.col("encoding") == LATIN1), LATIN1).otherwise(F.min("encoding")).alias("encoding"),
+    )
+    good = F.col("check") == "ok"
+    error = F.when(~good, F.col("check"))
+    profiled = F.col("total_rows").isNotNull()
+    issue = lambda code, n: F.struct(
+        F.lit(code).alias("code"), n.cast("bigint").alias("n"), F.lit(0.0).alias("pct")
     )
-    if validated.csv_facts is not None:
-        encodings = validated.csv_facts.select(
-            bare_path(F.col("file_path")).alias("file_key"), "encoding"
+    more = F.array_compact(
+        F.array(
+            F.when(F.col("encoding") == LATIN1, issue("encoding", F.lit(1))),
+            F.when(F.col("misfits") > 0, issue("misfits", F.col("misfits"))),
         )
-    else:
-        encodings = spark.createDataFrame([], "file_key STRING, encoding STRING")
-    error = F.when(F.col("check") != "ok", F.col("check"))
+    )
     return (
-        validated.report.select(
-            bare_path(F.col("file_path")).alias("file_key"),
-            F.col("source_file").alias("file"),
-            F.col("status").alias("check"),
-        )
-        .join(profiles, "file_key", "left")
-        .join(sizes, "file_key", "left")
-        .join(encodings, "file_key", "left")
+        validated.report.select("file_path", F.col("source_file").alias("file"), F.col("status").alias("check"))
+        .join(profiles.withColumnRenamed("requested", "file_path"), "file_path", "left")
+        .join(facts.withColumnRenamed("requested", "file_path"), "file_path", "left")
         .select(
             "file",
-            F.when(error.isNotNull(), "error").otherwise(F.col("status")).alias("status"),
+            F.when(~good, "error").otherwise(F.col("status")).alias("status"),
             F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
             F.coalesce("empty_rate", F.lit(0.0)).alias("empty_rate"),
             F.coalesce("avg_text_length", F.lit(0)).alias("avg_text_length"),
             F.coalesce("max_text_length", F.lit(0)).alias("max_text_length"),
             F.coalesce("encoding", F.lit("unknown")).alias("encoding"),
             "size_bytes",
-            "issues",
+            F.when(profiled, F.concat("issues", more)).alias("issues"),
             error.alias("error"),
         )
     )
@@ -154,7 +164,7 @@ def run_inference(
     text_col: str = "text",
     categories: Sequence[str] | None = None,
     output: str | None = None,
-    strict: bool = True,
+    strict: bool = False,
     max_length: int = 5000,
     threshold: float = 0.5,
 ) -> InferenceRun:
@@ -248,17 +258,3 @@ def train(
             },
         )
     return TrainingRun(model, version, metrics, sizes, trials, warnings, advice)
-
-
-__all__ = [
-    "BatchRun",
-    "EMPTY",
-    "InferenceRun",
-    "TrainingRun",
-    "dry_run",
-    "multilabel_metrics",
-    "process_files",
-    "refine",
-    "run_inference",
-    "train",
-]

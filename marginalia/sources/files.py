@@ -34,21 +34,18 @@ _SPARK_CHARSETS = {UTF8: "UTF-8", LATIN1: "ISO-8859-1"}
 
 
 def present_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The paths that exist. Listing only; existing files are not opened."""
+    """The paths that exist. Listing only; missing ones are found by halving the list."""
     paths = list(paths)
-
-    def listable(wanted: list[str]) -> bool:
-        try:
-            spark.read.format("binaryFile").load(wanted)
-            return True
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False
-
-    if not paths or listable(paths):
+    if not paths:
+        return []
+    try:
+        spark.read.format("binaryFile").load(paths)
         return paths
-    return [path for path in paths if listable([path])]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    middle = len(paths) // 2
+    return present_paths(spark, paths[:middle]) + present_paths(spark, paths[middle:]) if middle else []
 
 
 def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -85,14 +82,20 @@ def admit_files(
     return listing.withColumn("rejected_for", reason).withColumn("admitted", reason.isNull())
 
 
+# A quoted field: its opening quote stands at the start of the line or after a comma.
+_CLOSED_FIELD = r'(^|,)"(?:[^"]|"")*"(?=,|$)'
+_OPEN_FIELD = r'(^|,)"'
+
+
 def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per text file: first line, encoding, whether a record may span lines, lines, size.
 
     One splittable pass over the lines; every file is judged whole. ``spark.read.text`` keeps the
-    bytes of a line as they are, so invalid UTF-8 can be seen. A quoted field that runs over a
-    line end leaves an odd number of quotes on the line where it opens. The first line is the one
-    with the lowest number in the split that starts the file. The set of validity flags makes
-    Spark aggregate in a hash table of objects; the string alone would make it sort all lines.
+    bytes of a line as they are, so invalid UTF-8 can be seen; the first line is decoded with what
+    was found. A record spans lines if a field that starts with a quote is not closed on its line;
+    a quote inside a plain field means nothing. The first line is the one with the lowest number
+    in the split that starts the file. The set of validity flags makes Spark aggregate in a hash
+    table of objects; the string alone would make it sort all lines.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true")
@@ -105,20 +108,23 @@ def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             F.monotonically_increasing_id().alias("line"),
         )
     )
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    opened = F.regexp_replace("value", _CLOSED_FIELD, "$1").rlike(_OPEN_FIELD)
+    spans = F.contains("value", F.lit('"')) & opened
+    encoding = F.when(F.array_contains("valid", False), LATIN1).otherwise(UTF8)
+    header = F.when(encoding == LATIN1, F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
     return (
         lines.groupBy("file_path")
         .agg(
             F.min_by("value", F.when(F.col("at_start"), F.col("line"))).alias("header"),
             F.collect_set(F.is_valid_utf8("value")).alias("valid"),
-            F.bool_or(quotes % 2 == 1).alias("spans_lines"),
+            F.bool_or(spans).alias("spans_lines"),
             F.count("*").alias("lines"),
             F.max("file_size").alias("size_bytes"),
         )
         .select(
             "file_path",
-            "header",
-            F.when(F.array_contains("valid", False), LATIN1).otherwise(UTF8).alias("encoding"),
+            header.otherwise(F.col("header")).alias("header"),
+            encoding.alias("encoding"),
             "spans_lines",
             "lines",
             "size_bytes",
@@ -127,21 +133,37 @@ def text_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def header_columns(header: str) -> tuple[str, ...]:
-    return tuple(next(csv.reader(io.StringIO(header.removeprefix("﻿"))), ()))
+    return tuple(next(csv.reader(io.StringIO(header.removeprefix("\ufeff"))), ()))
+
+
+def _whole_header(spark: SparkSession, path: str, header: str, encoding: str) -> tuple[str, ...]:
+    """Column names of a file; a header with a line end inside a cell is read as a record."""
+    names = header_columns(header)
+    if not re.search(_OPEN_FIELD, re.sub(_CLOSED_FIELD, r"\1", header)):
+        return names
+    options = {**CSV_OPTIONS, "header": "false", "multiLine": "true", "encoding": _SPARK_CHARSETS.get(encoding, encoding)}
+    first = spark.read.options(**options).csv(path).first()
+    return tuple((cell or "").removeprefix("\ufeff") for cell in first)
 
 
 def _read_csv_group(
-    spark: SparkSession, paths: list[str], columns: Sequence[str], encoding: str, multi_line: bool
+    spark: SparkSession,
+    paths: list[str],
+    columns: Sequence[str],
+    encoding: str,
+    multi_line: bool,
+    misfit_col: str | None = None,
 ) -> DataFrame:
-    unique = _unique_names(columns)
-    schema = ", ".join(f"`{name.replace('`', '``')}` STRING" for name in unique)
-    return (
+    names = _unique_names(columns) + ([misfit_col] if misfit_col else [])
+    schema = ", ".join(f"`{name.replace('`', '``')}` STRING" for name in names)
+    reader = (
         spark.read.options(**CSV_OPTIONS)
         .option("encoding", _SPARK_CHARSETS.get(encoding, encoding))
         .option("multiLine", str(multi_line).lower())
-        .schema(schema)
-        .csv(paths)
     )
+    if misfit_col:
+        reader = reader.option("columnNameOfCorruptRecord", misfit_col)
+    return reader.schema(schema).csv(paths)
 
 
 def _unique_names(columns: Sequence[str]) -> list[str]:
@@ -174,29 +196,29 @@ def read_csv(
     encoding: str | None = None,
     missing_text: str = "raise",
     facts: DataFrame | None = None,
+    misfit_col: str | None = None,
 ) -> DataFrame:
     """CSV files bound by header name, every column a string, file of origin first.
 
     Spark binds a schema to CSV columns by position, so files are grouped by their header (and by
     encoding) and each group is read with its own columns, then united by name. ``facts`` takes
     the result of an earlier ``text_facts``; files that are known to share one header and encoding
-    can skip that pass altogether by passing both.
+    can skip that pass altogether by passing both. ``misfit_col`` names a column that holds the
+    record where it has more or fewer fields than the header.
 
-    A file that fits in one input split is read with ``multiLine``; a larger one stays splittable
-    unless some record may span lines.
+    How records end depends on a file's content alone, not on its size: a file in which a quoted
+    field runs over a line end is read record by record, every other one by its lines and stays splittable.
     """
     paths = list(paths)
     if columns is not None and encoding is not None:
         if text_col not in columns:
             raise MissingColumnError(f"no column {text_col!r} in {paths[0]}")
-        return with_origin(_read_csv_group(spark, paths, columns, encoding, True))
-    split_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        return with_origin(_read_csv_group(spark, paths, columns, encoding, True, misfit_col))
     facts = text_facts(spark, paths) if facts is None else facts
-    one_split = F.col("size_bytes") <= split_bytes
     groups = (
-        facts.groupBy("header", "encoding", (one_split | F.col("spans_lines")).alias("multi_line"))
+        facts.groupBy("header", "encoding", "spans_lines")
         .agg(F.sort_array(F.collect_list("file_path")).alias("paths"))
-        .orderBy("header", "encoding", "multi_line")
+        .orderBy("header", "encoding", "spans_lines")
         .collect()
     )
     # Columns come out in the order in which the given files introduce them.
@@ -204,18 +226,18 @@ def read_csv(
     groups.sort(key=lambda g: min(place.get(_bare(path), len(place)) for path in g["paths"]))
     parts = []
     for group in groups:
-        names = header_columns(group["header"])
+        charset = encoding or group["encoding"]
+        names = _whole_header(spark, group["paths"][0], group["header"], charset)
         if text_col not in names:
             if missing_text == "raise":
                 raise MissingColumnError(f"no column {text_col!r} in {group['paths'][0]}")
             continue
-        charset = encoding or group["encoding"]
-        parts.append(
-            with_origin(
-                _read_csv_group(spark, group["paths"], names, charset, group["multi_line"])
-            )
-        )
-    return union_by_name(parts) if parts else empty_comments(spark, text_col)
+        rows = _read_csv_group(spark, group["paths"], names, charset, group["spans_lines"], misfit_col)
+        parts.append(with_origin(rows))
+    if parts:
+        return union_by_name(parts)
+    empty = empty_comments(spark, text_col)
+    return empty.withColumn(misfit_col, F.lit(None).cast("string")) if misfit_col else empty
 
 
 def empty_comments(spark: SparkSession, text_col: str) -> DataFrame:
@@ -238,12 +260,6 @@ def _bare(path: str) -> str:
     return re.sub("^file:/+", "/", path)
 
 
-def _bytes(setting: str) -> int:
-    digits = "".join(c for c in setting if c.isdigit())
-    unit = setting[len(digits):].strip().lower().removesuffix("b")
-    return int(digits) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit]
-
-
 def union_by_name(parts: Sequence[DataFrame]) -> DataFrame:
     """Bag union by column name; a column a part lacks is null there."""
     united = parts[0]
@@ -261,8 +277,7 @@ def read_tables(
 ) -> DataFrame:
     """Comments from CSV, JSON lines, Parquet and ORC files, with their file of origin.
 
-    Corrupt files contribute no rows instead of failing the run; ``validate_files`` finds them
-    by comparing the listing with the counts.
+    A file that can't be read to its end fails the job; ``validate_files`` finds such files.
     """
     by_format: dict[str, list[str]] = {}
     for path in paths:
@@ -274,15 +289,7 @@ def read_tables(
                 read_csv(spark, members, text_col, missing_text=missing_text, facts=csv_facts)
             )
             continue
-        reader = spark.read.option("ignoreCorruptFiles", "true")
-        if kind in ("parquet", "orc"):
-            reader = reader.option("mergeSchema", "true")
-        try:
-            table = reader.format(kind).load(members)
-        except AnalysisException as error:
-            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA" or missing_text == "raise":
-                raise
-            continue
+        table = _load(spark, kind, members)
         if text_col not in table.columns:
             if missing_text == "raise":
                 raise MissingColumnError(f"no column {text_col!r} in {members[0]}")
@@ -291,22 +298,56 @@ def read_tables(
     return union_by_name(parts) if parts else empty_comments(spark, text_col)
 
 
+def _load(spark: SparkSession, kind: str, paths: Sequence[str]) -> DataFrame:
+    reader = spark.read.option("ignoreCorruptFiles", "false").option("recursiveFileLookup", "true")
+    if kind in ("parquet", "orc"):
+        reader = reader.option("mergeSchema", "true")
+    return reader.format(kind).load(list(paths))
+
+
 def _suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
 
 
+def data_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(requested, file_path, bare, source_file, suffix, size_bytes)`` of the files below the paths.
+
+    One listing; a file belongs to the path that is one of its ancestors, or itself.
+    """
+    steps = F.split("bare", "/")
+    ancestors = F.transform(
+        F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")
+    )
+    found = list_files(spark, paths).withColumn("bare", bare_path(F.col("file_path")))
+    asked = spark.createDataFrame(
+        [(p, _bare(p).rstrip("/")) for p in dict.fromkeys(paths)], "requested STRING, ancestor STRING"
+    )
+    return (
+        found.withColumn("ancestor", F.explode(ancestors))
+        .join(asked, "ancestor")
+        .select("requested", "file_path", "bare", "source_file", "suffix", "size_bytes")
+    )
+
+
 @dataclass(frozen=True)
 class ValidatedFiles:
-    """``report`` has one row per path that was handed in, ``rows`` the rows of the good files.
+    """``report`` has one row per path that was handed in, ``files`` one per file found below them.
 
-    ``csv_facts`` describes the CSV files. All three are written tables: scoring after validation
-    does not read the files again.
+    ``rows`` is the scan of the good files (no copy is made of them), ``csv_facts`` describes the
+    CSV files.
     """
 
     report: DataFrame
     rows: DataFrame
     csv_facts: DataFrame | None
+    files: DataFrame
+
+
+MISFIT = "_record_that_does_not_fit"
+_COUNTS = "bare STRING, n_rows BIGINT, n_texts BIGINT, n_misfits BIGINT"
+OK, NO_DATA, NOT_FOUND, UNREADABLE = "ok", "no_data", "not_found", "unreadable"
+MISSING_COLUMN, UNSUPPORTED = "missing_column", "unsupported_format"
 
 
 def validate_files(
@@ -315,76 +356,151 @@ def validate_files(
     """Pre-check of every path: ``(file_path, source_file, status, n_rows)``.
 
     ``status`` is ``ok``, ``not_found``, ``unsupported_format``, ``missing_column``, ``no_data``
-    or ``unreadable``. One bad file does not stop the others. All files are read by one job; only
-    those that showed no text at all are then opened one by one to learn why.
+    or ``unreadable``; a folder of which some files are good and others lack the column or can't
+    be read is ``partly_missing_column`` or ``partly_unreadable``. Rows are counted from the scan,
+    in one job per format, in which all columns are read. A job that fails is repeated on halves
+    of its files until the files that can't be read to their end are found; those have 0 rows.
     """
     paths = list(dict.fromkeys(paths))
-    present = set(present_paths(spark, paths))
-    supported = [p for p in paths if p in present and _suffix(p) in FORMATS]
-    csv_paths = [p for p in supported if _suffix(p) == ".csv"]
+    present = present_paths(spark, paths)
+    listed = materialise(data_files(spark, present), "listing")
+    by_format: dict[str, list[str]] = {}
+    for row in listed.select("file_path", "suffix").distinct().orderBy("file_path").collect():
+        if row["suffix"] in FORMATS:
+            by_format.setdefault(FORMATS[row["suffix"]], []).append(row["file_path"])
+    csv_paths = by_format.pop("csv", [])
     csv_facts = materialise(text_facts(spark, csv_paths), "csv-facts") if csv_paths else None
-    rows = materialise(
-        read_tables(spark, supported, text_col, "skip", csv_facts)
-        if supported
-        else empty_comments(spark, text_col),
-        "rows",
-    )
-    counts = rows.groupBy(bare_path(F.col("file_path")).alias("bare")).agg(
-        F.count("*").alias("n_rows"), F.count(text_col).alias("n_texts")
+    counts, states = spark.createDataFrame([], _COUNTS), []
+    if csv_paths:
+        rows = read_csv(spark, csv_paths, text_col, missing_text="skip", facts=csv_facts, misfit_col=MISFIT)
+        counts = counts.unionByName(_counted(rows, text_col))
+        states += _csv_states(spark, csv_facts, text_col)
+    for kind, members in by_format.items():
+        found, bad = _count_readable(spark, kind, members, text_col)
+        counts = counts.unionByName(found)
+        states += [(_bare(path), UNREADABLE) for path in bad]
+    counts = materialise(counts, "file-counts")
+    silent = [r["bare"] for r in counts.filter("n_texts = 0").select("bare").collect()]
+    for kind, members in by_format.items():
+        quiet = [p for p in members if _bare(p) in set(silent)]
+        states += [(_bare(path), MISSING_COLUMN) for path in _lacking(spark, kind, quiet, text_col)]
+    known = spark.createDataFrame(states, "bare STRING, state STRING")
+    encodings = (
+        csv_facts.select(bare_path(F.col("file_path")).alias("bare"), "encoding")
+        if csv_facts is not None
+        else spark.createDataFrame([], "bare STRING, encoding STRING")
     )
-    asked = spark.createDataFrame(
-        [(p, p in present, _suffix(p) in FORMATS) for p in paths],
-        "file_path STRING, found BOOLEAN, supported BOOLEAN",
-    ).withColumn("bare", bare_path(F.col("file_path")))
-    checked = materialise(
-        asked.join(counts, "bare", "left").fillna(0, ["n_rows", "n_texts"]), "checked"
+    n_rows = F.coalesce("n_rows", F.lit(0))
+    files = materialise(
+        listed.join(counts, "bare", "left")
+        .join(known, "bare", "left")
+        .join(encodings, "bare", "left")
+        .select(
+            "requested",
+            "file_path",
+            "bare",
+            "source_file",
+            F.when(~F.col("suffix").isin(list(FORMATS)), UNSUPPORTED)
+            .when(F.col("state").isNotNull(), F.col("state"))
+            .when(n_rows == 0, NO_DATA)
+            .otherwise(OK)
+            .alias("status"),
+            n_rows.alias("n_rows"),
+            F.coalesce("n_misfits", F.lit(0)).alias("n_misfits"),
+            "size_bytes",
+            F.coalesce("encoding", F.lit("unknown")).alias("encoding"),
+        ),
+        "files",
     )
-    silent = checked.filter("found AND supported AND n_texts = 0").select("file_path").collect()
-    states = _why_silent(spark, [row["file_path"] for row in silent], text_col, csv_facts)
-    known = spark.createDataFrame(states, "file_path STRING, state STRING")
-    report = checked.join(known, "file_path", "left").select(
+    asked = spark.createDataFrame([(p, p in set(present)) for p in paths], "file_path STRING, found BOOLEAN")
+    report = asked.join(_by_request(files), asked["file_path"] == F.col("requested"), "left").select(
         "file_path",
         file_name(F.col("file_path")).alias("source_file"),
-        F.when(~F.col("found"), "not_found")
-        .when(~F.col("supported"), "unsupported_format")
-        .when(F.col("state").isNotNull() & (F.col("state") != "ok"), F.col("state"))
-        .when(F.col("n_rows") == 0, "no_data")
-        .otherwise("ok")
+        F.when(~F.col("found"), NOT_FOUND).otherwise(F.coalesce("status", F.lit(NO_DATA))).alias("status"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
+    good = [r["file_path"] for r in files.filter(F.col("status") == OK).select("file_path").distinct().orderBy("file_path").collect()]
+    if csv_facts is None or not good:
+        kept = csv_facts
+    else:
+        fine = files.filter(F.col("status") == OK).select("bare").distinct()
+        kept = csv_facts.join(fine, bare_path(F.col("file_path")) == F.col("bare"), "left_semi")
+    rows = read_tables(spark, good, text_col, "skip", kept) if good else empty_comments(spark, text_col)
+    return ValidatedFiles(report, rows, csv_facts, files)
+
+
+def _by_request(files: DataFrame) -> DataFrame:
+    """Status and rows of a requested path from those of its files."""
+    has = lambda status: F.bool_or(F.col("status") == status)
+    some = has(OK)
+    return files.groupBy("requested").agg(
+        F.when(has(UNREADABLE), F.when(some, f"partly_{UNREADABLE}").otherwise(UNREADABLE))
+        .when(has(MISSING_COLUMN), F.when(some, f"partly_{MISSING_COLUMN}").otherwise(MISSING_COLUMN))
+        .when(some, OK)
+        .when(has(NO_DATA), NO_DATA)
+        .otherwise(UNSUPPORTED)
         .alias("status"),
-        "n_rows",
+        F.sum("n_rows").alias("n_rows"),
     )
-    bad = [_bare(path) for path, state in states if state != "ok"]
-    if bad:
-        rows = rows.filter(~bare_path(F.col("file_path")).isin(bad))
-    return ValidatedFiles(report, rows, csv_facts)
-
-
-def _why_silent(
-    spark: SparkSession, paths: Sequence[str], text_col: str, csv_facts: DataFrame | None
-) -> list[tuple[str, str]]:
-    """What is wrong with files that gave no text, judged by their own header or footer."""
-    states = []
-    csv_paths = {_bare(p): p for p in paths if _suffix(p) == ".csv"}
-    if csv_paths:
-        bare = bare_path(F.col("file_path"))
-        seen = csv_facts.filter(bare.isin(list(csv_paths))).select(bare.alias("bare"), "header")
-        headers = {row["bare"]: row["header"] for row in seen.collect()}
-        for bare_name, path in csv_paths.items():
-            header = headers.get(bare_name)
-            if header is None:
-                states.append((path, "no_data"))
-            else:
-                found = text_col in header_columns(header)
-                states.append((path, "ok" if found else "missing_column"))
-    for path in paths:
-        if _suffix(path) == ".csv":
-            continue
-        try:
-            columns = spark.read.format(FORMATS[_suffix(path)]).load(path).columns
-            states.append((path, "ok" if text_col in columns else "missing_column"))
-        except Exception:  # any failure to open one file is that file's status
-            states.append((path, "unreadable"))
-    return states
+
+
+def _counted(rows: DataFrame, text_col: str) -> DataFrame:
+    """Rows per file of a scan with its origin; the hash makes the scan read every column."""
+    others = [f.name for f in rows.schema if f.name not in ("source_file", "file_path")]
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if f.name in others and "map<" not in f.dataType.simpleString()]
+    misfits = F.count(MISFIT) if MISFIT in rows.columns else F.lit(0).cast("bigint")
+    texts = F.count(f"`{text_col}`") if text_col in others else F.lit(0).cast("bigint")
+    return (
+        rows.groupBy(bare_path(F.col("file_path")).alias("bare"))
+        .agg(
+            F.count("*").alias("n_rows"),
+            texts.alias("n_texts"),
+            misfits.alias("n_misfits"),
+            F.max(F.xxhash64(*hashed)).alias("read"),
+        )
+        .filter("read IS NOT NULL")
+        .drop("read")
+    )
+
+
+def _count_readable(
+    spark: SparkSession, kind: str, paths: list[str], text_col: str
+) -> tuple[DataFrame, list[str]]:
+    """Counts of the files that can be read to their end, and the other files."""
+    try:
+        return materialise(_counted(with_origin(_load(spark, kind, paths)), text_col), "counted"), []
+    except Exception:  # any failure to read a file is that file's status
+        if len(paths) == 1:
+            return spark.createDataFrame([], _COUNTS), list(paths)
+    middle = len(paths) // 2
+    left, bad_left = _count_readable(spark, kind, paths[:middle], text_col)
+    right, bad_right = _count_readable(spark, kind, paths[middle:], text_col)
+    return left.unionByName(right), bad_left + bad_right
+
+
+def _lacking(spark: SparkSession, kind: str, paths: list[str], text_col: str) -> list[str]:
+    """Files without the text column, judged by the common schema of ever smaller groups."""
+    if not paths or text_col not in _load(spark, kind, paths).columns:
+        return list(paths)
+    if len(paths) == 1:
+        return []
+    middle = len(paths) // 2
+    return _lacking(spark, kind, paths[:middle], text_col) + _lacking(spark, kind, paths[middle:], text_col)
+
+
+def _csv_states(spark: SparkSession, csv_facts: DataFrame, text_col: str) -> list[tuple[str, str]]:
+    """CSV files whose header lacks the text column; headers are judged once each."""
+    seen = csv_facts.groupBy("header", "encoding").agg(F.min("file_path").alias("path")).collect()
+    lacking = [
+        (r["header"], r["encoding"])
+        for r in seen
+        if text_col not in _whole_header(spark, r["path"], r["header"], r["encoding"])
+    ]
+    if not lacking:
+        return []
+    named = spark.createDataFrame(lacking, "header STRING, encoding STRING")
+    found = csv_facts.join(named, ["header", "encoding"], "left_semi")
+    return [(r["bare"], MISSING_COLUMN) for r in found.select(bare_path(F.col("file_path")).alias("bare")).collect()]
 
 
 def probe_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -400,6 +516,7 @@ def preview(df: DataFrame, order_by: str, rows: int = 10) -> DataFrame:
 
 __all__ = [
     "admit_files",
+    "data_files",
     "list_files",
     "preview",
     "probe_encodings",

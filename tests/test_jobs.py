@@ -91,7 +91,7 @@ def test_inference_over_one_table(spark, folder, model):
     wide = spark.read.parquet(folder + "/out")
     assert wide.count() == 3 and "predicted" not in wide.columns
     with pytest.raises(StrictInputError):
-        jobs.run_inference(df.withColumn("text", F.lit(None).cast("string")), model, "id")
+        jobs.run_inference(df.withColumn("text", F.lit(None).cast("string")), model, "id", strict=True)
 
 
 def test_training_job(spark, folder):
