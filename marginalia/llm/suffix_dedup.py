@@ -97,7 +97,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         part = look[a : a + (1 << 14)]
         inside = h[first[part][:, None] + np.arange(width)] == value[part][:, None]
         anchor[part] = first[part] + inside.argmax(axis=1)
-    return value, text, anchor, first, last
+    # Smallest hashes crowd at the low end; mixed again they are even, as the ranges need.
+    return t.mix(value ^ t.BASE), text, anchor, first, last
 
 
 def _anchors(n_ranges: int, length: int, gram: int) -> Callable:
