@@ -9,6 +9,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from marginalia.plans.queries import REGISTRY
@@ -51,6 +52,7 @@ def main() -> None:
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "12g",
+            "spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="marginalia-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

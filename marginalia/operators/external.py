@@ -81,10 +81,10 @@ def predict_external(
     names: Sequence[str],
     text_col: str = "text",
     threshold: float = 0.5,
-    strict: bool = True,
+    strict: bool = False,
     max_length: int = 5000,
 ) -> DataFrame:
-    """Predicted label lists; the strict input check runs first unless switched off."""
+    """Predicted label lists; the strict input check runs first if asked for."""
     if strict:
         check_strict(df, text_col, max_length)
     scored = score_external(df, load, names, text_col)

@@ -24,7 +24,8 @@ from .skew import BROADCAST_BYTES, HEAVY_ROWS, left_join_by_frequency, table_byt
 from .triage import require_columns
 
 MICRO = 1_000_000
-MIN_DOCUMENTS = 2
+#: Documents that a token must occur in to get a weight; 1 keeps all tokens.
+MIN_DOCUMENTS = 1
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from .metrics import confusion, micro_f1, multilabel_metrics
-from .model import LabelModel, fit_alphas, pick_alpha, score, with_predictions
+from .model import MIN_DOCUMENTS, LabelModel, fit_alphas, pick_alpha, score, with_predictions
 
 # Candidate smoothing values, tried from the strongest to the weakest.
 ALPHAS = (4.0, 2.0, 1.0, 0.5, 0.25)
@@ -74,7 +74,7 @@ def choose_alpha(
     labels_col: str = "labels",
     alphas: Sequence[float] = ALPHAS,
     patience: int = PATIENCE,
-    min_documents: int = 2,
+    min_documents: int = MIN_DOCUMENTS,
     threshold: float = 0.5,
 ) -> tuple[LabelModel, list[Trial]]:
     """Best model by validation micro-F1, and every trial up to the stop.

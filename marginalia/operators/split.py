@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..errors import KeyNotUniqueError
-from .triage import require_columns
+from .triage import check_key
 
 TEST = "test"
 VALIDATION = "validation"
@@ -49,13 +48,8 @@ def _nth(
             break
         width += PREFIX_STEP
         counts = _prefix_counts(rows, h, width)
-    if size > DIRECT_PICK:
-        raise KeyNotUniqueError(f"column {key!r} repeats one value {size} times")
-    at = rows.orderBy(_order(key, seed)).offset(taken - 1).limit(2)
-    found = at.select(h.alias("h"), key).collect()
-    if len(found) == 2 and found[0][key] == found[1][key]:
-        raise KeyNotUniqueError(f"column {key!r} repeats the value {found[0][key]!r}")
-    return found[0]["h"], found[0][key]
+    found = rows.orderBy(_order(key, seed)).offset(taken - 1).limit(1).select(h.alias("h"), key).first()
+    return found["h"], found[key]
 
 
 def with_split(
@@ -69,12 +63,12 @@ def with_split(
     next ``int(n * valid_size)`` validation, the rest train.
 
     Two cut points are found first, so that assigning the split is a projection: the rows are
-    neither sorted, joined nor shuffled. ``key`` must identify the rows.
+    neither sorted, joined nor shuffled. ``key`` must identify the rows: null and repeated keys are
+    refused.
     """
-    require_columns(df, [key])
     keys = df.select(key)
+    n = check_key(keys, key)
     counts = _prefix_counts(keys, shuffle_hash(key, seed), PREFIX_STEP)
-    n = sum(size for _, size in counts)
     test_n, valid_n = int(n * test_size), int(n * valid_size)
     at = _order(key, seed)
     split = F.when(F.lit(False), F.lit(TRAIN))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numbers import percent, ratio
 from ..functions.text import EMPTY, NONE, should_skip, skip_reason
-from ..errors import MissingColumnError, StrictInputError
+from ..errors import KeyNotUniqueError, MissingColumnError, StrictInputError
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -85,3 +85,19 @@ def check_strict(df: DataFrame, text_col: str = "text", max_length: int = 5000)
         raise StrictInputError(
             f"longest text has {facts['max_length']} characters, limit is {max_length}"
         )
+
+
+def check_key(df: DataFrame, key: str) -> int:
+    """Number of rows; a null or repeated key is refused, whatever the size of the table."""
+    require_columns(df, [key])
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    facts = counts.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.max("_n"), F.lit(0)).alias("most"),
+        F.count_if(F.col(key).isNull()).alias("nulls"),
+    ).first()
+    if facts["nulls"]:
+        raise KeyNotUniqueError(f"column {key!r} has null values")
+    if facts["most"] > 1:
+        raise KeyNotUniqueError(f"column {key!r} repeats a value {facts['most']} times")
+    return facts["rows"]

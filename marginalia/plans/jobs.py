@@ -12,8 +12,8 @@ from ..functions.columns import all_named
 from ..functions.text import NAN
 from ..operators.labels import labelled_table, vocabulary
 from ..operators.model import (
+    MIN_DOCUMENTS,
     LabelModel,
-    score,
     score_rows,
     token_counts,
     with_category_columns,
@@ -24,7 +24,7 @@ from ..operators.quality import enforce, light_gate, recommendations, training_g
 from ..operators.selection import ALPHAS, PATIENCE, Trial, choose_alpha, evaluate
 from ..operators.split import TEST, TRAIN, VALIDATION, split_sizes, with_split
 from ..operators.summary import batch_summary, category_summary, run_summary
-from ..operators.triage import check_strict, per_file_skips, skip_totals, with_skip_reason
+from ..operators.triage import check_strict, per_file_skips, require_columns, skip_totals, with_skip_reason
 from ..session import materialise
 from ..sinks.models import save_model
 from ..sinks.tables import combined_path, save, save_per_file, save_predictions
@@ -168,14 +168,18 @@ def run_inference(
     max_length: int = 5000,
     threshold: float = 0.5,
 ) -> InferenceRun:
-    """One table: strict check, predictions, summary, optional wide output."""
+    """One table: predictions, summary, optional wide output; the strict check runs if asked for.
+
+    Every row of ``df`` comes out, also one without ``key``: rows are scored by their texts.
+    """
+    require_columns(df, [key, text_col])
     if strict:
         check_strict(df, text_col, max_length)
     wanted = list(model.labels if categories is None else categories)
-    predicted = with_predictions(score(df, model, key, text_col), model, threshold)
+    predicted = with_predictions(score_rows(df, model, text_col), model, threshold)
     kept = F.filter("predicted", lambda name: name.isin(wanted)) if categories else F.col("predicted")
     rows = materialise(
-        df.join(predicted.select(key, kept.alias("predicted")), key), "predictions"
+        predicted.withColumn("predicted", kept).drop("probs", "skip_reason"), "predictions"
     )
     if output is not None:
         save_predictions(rows, output)
@@ -204,7 +208,7 @@ def train(
     seed: int = 42,
     alphas: Sequence[float] = ALPHAS,
     patience: int = PATIENCE,
-    min_documents: int = 2,
+    min_documents: int = MIN_DOCUMENTS,
     threshold: float = 0.5,
     gate: bool = True,
     base: LabelModel | None = None,

@@ -447,7 +447,11 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'conversations.parquet', 'ok', count(*) FROM conversations
         UNION ALL SELECT 'benchmark.parquet', 'ok', count(*) FROM benchmark
         UNION ALL SELECT 'labels.parquet', 'missing_column', count(*) FROM labels
-        UNION ALL SELECT 'absent.parquet', 'not_found', 0""",
+        UNION ALL SELECT 'absent.parquet', 'not_found', 0
+        UNION ALL SELECT 'folder.parquet', 'ok', count(*) FROM documents""",
+    "csv_records": """SELECT 'returns' AS file, lang AS text, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_misfits
+        FROM documents GROUP BY lang
+        UNION ALL SELECT 'surplus', lang, count(*), count(*) FILTER (doc_id % 10 = 0) FROM documents GROUP BY lang""",
     "file_names": """SELECT 'documents' AS stem, '.parquet' AS suffix,
             'classified_documents_20240102_030405' AS output, count(*) AS n FROM documents""",
     "csv_scan": f"""WITH {COMMENTS}, c AS (SELECT doc_id, lang, nullif(text, '') AS text FROM comments)
@@ -465,10 +469,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT file, CASE WHEN max(length(text)) > 5000 THEN 'warning' ELSE 'valid' END AS status,
                count(*) AS total_rows, 0.0::DOUBLE AS empty_rate,
                CAST(floor(avg(length(text))) AS BIGINT) AS avg_text_length,
-               CAST(max(length(text)) AS BIGINT) AS max_text_length, NULL::VARCHAR AS error
+               CAST(max(length(text)) AS BIGINT) AS max_text_length, 'unknown' AS encoding, true AS has_size,
+               CASE WHEN max(length(text)) > 5000 THEN 'long_text' ELSE '' END AS issues, NULL::VARCHAR AS error
         FROM f GROUP BY file
-        UNION ALL SELECT 'labels.parquet', 'error', 0, 0, 0, 0, 'missing_column'
-        UNION ALL SELECT 'absent.parquet', 'error', 0, 0, 0, 0, 'not_found'""",
+        UNION ALL SELECT 'labels.parquet', 'error', 0, 0, 0, 0, 'unknown', true, NULL, 'missing_column'
+        UNION ALL SELECT 'absent.parquet', 'error', 0, 0, 0, 0, 'unknown', NULL, NULL, 'not_found'""",
     "inference_run": f"""WITH {CLEAN}, {FIT}, {scores('clean')},
         names AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM n_label)
         SELECT n.idx, n.label AS category, count(s.label) FILTER (s.prob >= 0.5) AS n,
@@ -478,6 +483,12 @@ ORACLE_SQL: dict[str, str] = {
     "stream_category_counts": f"""WITH {TAGGED} SELECT category, count(*) AS n
         FROM (SELECT unnest(labels) AS category FROM tagged) GROUP BY category""",
     "stream_progress": "SELECT count(*) AS streamed, count(*) AS observed FROM documents",
+    "stream_classify_csv": f"""WITH {COMMENTS}, c AS (SELECT doc_id, nullif(text, '') AS text FROM comments),
+        arrived AS (SELECT doc_id, text, {reason(null_reason='nan')} AS skip_reason FROM c), {FIT}, {scores('arrived')}
+        SELECT doc_id, skip_reason, {PREDICTED} FROM scored GROUP BY doc_id, skip_reason""",
+    "chunk_rows_text_key": """WITH c AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS event_key, event_type FROM events),
+        p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_key) - 1 AS row_pos FROM c)
+        SELECT event_key, event_type, row_pos, row_pos // 100 AS chunk FROM p""",
     "stream_classify": f"""WITH {CLEAN}, {FIT}, {scores('clean')}
         SELECT doc_id, skip_reason, {PREDICTED} FROM scored GROUP BY doc_id, skip_reason""",
     "predicted_categories": f"""WITH {TRIAGED}, {FIT}, {scores('triaged')},

@@ -34,6 +34,8 @@ from . import tables as t
 Query = Callable[[SparkSession, str], DataFrame]
 
 MAX_TOKENS = 128
+#: The models of the queries drop tokens of a single document.
+PRUNED = 2
 SUMMARY_CATEGORIES = ("unused", "toxic", "quality", "fr", "de")
 WIDE_CATEGORIES = ("de", "en", "es", "fr", "quality", "toxic", "unknown")
 REGISTRY: dict[str, Query] = {}
@@ -104,7 +106,7 @@ def valid_texts(spark, sf_dir):
 
 @query
 def text_functions(spark, sf_dir):
-    text = F.concat(F.lit(" \t "), F.col("text"), F.lit("  \n\u0085"))
+    text = F.concat(F.lit("\u00a0 \t "), F.col("text"), F.lit(" \u2003\n\u0085"))
     stripped = strip(text)
     return t.documents(spark, sf_dir).select(
         "doc_id",
@@ -184,8 +186,7 @@ def labels_to_wide(spark, sf_dir):
 
 @query
 def widest_label_list(spark, sf_dir):
-    size = F.coalesce(F.max(F.size("labels")), F.lit(0)).cast("bigint")
-    return t.labelled(spark, sf_dir).agg(size.alias("k"))
+    return spark.createDataFrame([(label_ops.most_labels(t.labelled(spark, sf_dir)),)], "k BIGINT")
 
 
 @query
@@ -295,7 +296,7 @@ def tokenize_truncate(spark, sf_dir):
 
 
 def _fit(spark, sf_dir) -> nb.LabelModel:
-    return nb.fit(t.labelled(spark, sf_dir))
+    return nb.fit(t.labelled(spark, sf_dir), min_documents=PRUNED)
 
 
 def _long_weights(model: nb.LabelModel) -> DataFrame:
@@ -369,14 +370,14 @@ def nb_predictions(spark, sf_dir):
 def refine_weights(spark, sf_dir):
     """Fit on one half, refine with the other: the weights of a fit on both."""
     parts = materialise(with_split(t.labelled(spark, sf_dir), "doc_id", 0.5, 0.0), "halves")
-    first = nb.fit(parts.filter(F.col("split") == "test"))
+    first = nb.fit(parts.filter(F.col("split") == "test"), min_documents=PRUNED)
     return _long_weights(nb.refine(first, parts.filter(F.col("split") == "train")))
 
 
 @query
 def test_metrics(spark, sf_dir):
     parts = materialise(with_split(t.labelled(spark, sf_dir), "doc_id", 0.3, 0.0), "parts")
-    model = nb.fit(parts.filter(F.col("split") == "train"))
+    model = nb.fit(parts.filter(F.col("split") == "train"), min_documents=PRUNED)
     measured = selection.evaluate(model, parts.filter(F.col("split") == "test"), "doc_id")
     return measured.select(*[F.round(c, 6).alias(c) for c in measured.columns])
 
@@ -385,7 +386,7 @@ def test_metrics(spark, sf_dir):
 def label_metrics(spark, sf_dir):
     """Per-label scores of the fit on the table it was fitted on."""
     rows = t.labelled(spark, sf_dir)
-    model = nb.fit(rows)
+    model = nb.fit(rows, min_documents=PRUNED)
     predicted = nb.with_predictions(nb.score(rows, model, "doc_id"), model)
     both = rows.select("doc_id", "labels").join(predicted.select("doc_id", "predicted"), "doc_id")
     measured = metric_ops.label_metrics(metric_ops.confusion(both, model.labels))
@@ -403,7 +404,7 @@ def early_stop_choice(spark, sf_dir):
     names = label_ops.vocabulary(parts)
     counts = materialise(nb.token_counts(training, names=names), "counts")
     validation = parts.filter(F.col("split") == "validation")
-    _, trials = selection.choose_alpha(counts, validation, "doc_id", names)
+    _, trials = selection.choose_alpha(counts, validation, "doc_id", names, min_documents=PRUNED)
     rows = [(x.step, x.alpha, round(x.micro_f1, 6), x.improved) for x in trials]
     return spark.createDataFrame(rows, "step BIGINT, alpha DOUBLE, micro_f1 DOUBLE, improved BOOLEAN")
 
@@ -413,7 +414,7 @@ def model_versions(spark, sf_dir):
     """Save a fit, save its refinement, read both versions back."""
     root = fresh_folder(spark, "models")
     rows = materialise(t.labelled(spark, sf_dir), "labelled")
-    model_store.save_model(nb.fit(rows), root)
+    model_store.save_model(nb.fit(rows, min_documents=PRUNED), root)
     model_store.save_model(nb.refine(model_store.load_model(spark, root), rows), root)
     saved = []
     for version in (1, 2):
@@ -432,7 +433,7 @@ def model_versions(spark, sf_dir):
 def training_run(spark, sf_dir):
     """Layout, split, fit, selection and test evaluation in one job."""
     run = jobs.train(
-        t.labelled(spark, sf_dir), "doc_id", test_size=0.3, valid_size=0.3, gate=False
+        t.labelled(spark, sf_dir), "doc_id", test_size=0.3, valid_size=0.3, gate=False, min_documents=PRUNED
     )
     row = {k: round(v, 6) for k, v in run.metrics.items()}
     fields = ", ".join(f"{name} DOUBLE" for name in row)
@@ -548,10 +549,39 @@ def file_admission(spark, sf_dir):
     return sources.admit_files(listing).drop("file_path")
 
 
+def _awkward_files(spark, sf_dir) -> list[str]:
+    """Comments as a folder of Parquet files, as CSV with bare carriage returns, and with surplus fields."""
+    folder = fresh_folder(spark, "awkward")
+    rows = t.comments(spark, sf_dir)
+    rows.repartition(3).write.parquet(f"{folder}/folder.parquet")
+    flat = rows.select("doc_id", F.col("lang").alias("text"))
+    flat.write.option("header", True).option("lineSep", "\r").csv(f"{folder}/returns.csv")
+    lines = flat.select(F.concat_ws(",", "doc_id", "text", F.when(F.col("doc_id") % 10 == 0, "surplus")).alias("value"))
+    spark.createDataFrame([("doc_id,text",)], "value STRING").unionByName(lines.coalesce(1)).coalesce(1).write.text(f"{folder}/lines")
+    names = sources.list_files(spark, [f"{folder}/lines"]).select("file_path").first()[0]
+    surplus = f"{folder}/surplus.csv"
+    spark.read.text(names).coalesce(1).write.option("lineSep", "\n").text(surplus)
+    return [f"{folder}/folder.parquet", f"{folder}/returns.csv", surplus]
+
+
 @query
 def file_precheck(spark, sf_dir):
     paths = _table_paths(sf_dir, "documents", "conversations", "benchmark", "labels", "absent")
-    return sources.validate_files(spark, paths).report.select("source_file", "status", "n_rows")
+    report = sources.validate_files(spark, [*paths, _awkward_files(spark, sf_dir)[0]]).report
+    return report.select("source_file", "status", "n_rows")
+
+
+@query
+def csv_records(spark, sf_dir):
+    """Records of awkward CSV files: any line end counts as one, surplus fields are counted."""
+    _, returns, surplus = _awkward_files(spark, sf_dir)
+    paths = sources.list_files(spark, [returns]).filter("suffix = '.csv'").select("file_path")
+    rows = sources.read_csv(spark, [r["file_path"] for r in paths.collect()])
+    lines = sources.list_files(spark, [surplus]).select("file_path").first()[0]
+    misfits = sources.read_csv(spark, [lines], misfit_col=sources.MISFIT)
+    counted = misfits.groupBy("text").agg(F.count("*").alias("n_rows"), F.count(sources.MISFIT).alias("n_misfits"))
+    plain = rows.groupBy("text").agg(F.count("*").alias("n_rows"), F.lit(0).cast("bigint").alias("n_misfits"))
+    return plain.select(F.lit("returns").alias("file"), "*").unionByName(counted.select(F.lit("surplus").alias("file"), "*"))
 
 
 @query
@@ -623,11 +653,12 @@ def labelled_scan(spark, sf_dir):
 
 @query
 def batch_run(spark, sf_dir):
-    """Score all CSV files of the comments in one run, plus one path that does not exist."""
+    """Score two folders of CSV files in one run, plus one path that does not exist."""
     paths = _comments_as_csv(spark, sf_dir)
+    folders = sorted({path.rsplit("/", 1)[0] for path in paths})
     run = jobs.process_files(
         spark,
-        [*paths, paths[0] + ".absent.csv"],
+        [*folders, paths[0] + ".absent.csv"],
         _fit(spark, sf_dir),
         fresh_folder(spark, "classified"),
         combine=True,
@@ -646,15 +677,16 @@ def dry_run(spark, sf_dir):
     paths = _table_paths(sf_dir, "documents", "conversations", "benchmark", "labels", "absent")
     report = jobs.dry_run(spark, paths)
     return report.select(
-        "file", "status", "total_rows", "empty_rate", "avg_text_length", "max_text_length", "error"
+        "file", "status", "total_rows", "empty_rate", "avg_text_length", "max_text_length", "encoding",
+        (F.col("size_bytes") > 0).alias("has_size"), issue_codes().alias("issues"), "error",
     )
 
 
 @query
 def inference_run(spark, sf_dir):
-    """Predictions for every document: wide label columns and the run summary counts."""
+    """Predictions for every document, a tenth of them without a key: category counts of the run."""
     run = jobs.run_inference(
-        t.documents(spark, sf_dir).select("doc_id", "text"),
+        t.documents(spark, sf_dir).select(F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")).alias("doc_id"), "text"),
         _fit(spark, sf_dir),
         "doc_id",
         output=fresh_folder(spark, "inference"),
@@ -693,13 +725,21 @@ def stream_category_counts(spark, sf_dir):
 @query
 def stream_progress(spark, sf_dir):
     """Rows reported by the progress of the stream, next to the rows a batch job observed."""
-    schema = "doc_id BIGINT, text STRING"
-    stream = streaming.read_arriving(spark, sf_dir, schema, pattern="documents.parquet")
-    running = streaming.running_counts(
-        stream, fresh_folder(spark, "counters"), fresh_folder(spark, "progress")
-    )
-    running.awaitTermination()
-    streamed = sum(rows for _, rows in streaming.progress_rows(running))
+    folder = fresh_folder(spark, "arriving")
+    t.documents(spark, sf_dir).select("doc_id", "lang").repartition(12).write.parquet(folder)
+    stream = streaming.read_arriving(spark, folder, "doc_id BIGINT, lang STRING", files_per_trigger=1)
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    log = streaming.ProgressLog(spark)
+    try:
+        running = streaming.running_counts(
+            stream, fresh_folder(spark, "counters"), fresh_folder(spark, "progress"), text_col="lang"
+        )
+        running.awaitTermination()
+        streamed = sum(rows for _, rows in log.rows(running))
+    finally:
+        log.close()
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
     watched, rows = streaming.observed(t.documents(spark, sf_dir).select("doc_id"), "documents")
     materialise(watched, "observed")
     return spark.createDataFrame([(streamed, rows())], "streamed BIGINT, observed BIGINT")
@@ -718,6 +758,29 @@ def stream_classify(spark, sf_dir):
     return written.select("doc_id", "skip_reason", _joined("predicted").alias("predicted"))
 
 
+@query
+def stream_classify_csv(spark, sf_dir):
+    """Comments that arrive as CSV files of two layouts, bound by header and scored."""
+    paths = _comments_as_csv(spark, sf_dir)
+    folder = paths[0].rsplit("/", 2)[0]
+    model = _fit(spark, sf_dir)
+    output, checkpoint = fresh_folder(spark, "stream-out"), fresh_folder(spark, "progress")
+    for name in sorted({path.rsplit("/", 2)[1] for path in paths}):
+        query = streaming.classify_arriving_csv(
+            spark, f"{folder}/{name}", model, f"{output}/from={name}", f"{checkpoint}/{name}", null_reason=NAN
+        )
+        query.awaitTermination()
+    written = spark.read.option("mergeSchema", True).parquet(f"{output}/from=*/batch=*")
+    return written.select(F.col("doc_id").cast("bigint").alias("doc_id"), "skip_reason", _joined("predicted").alias("predicted"))
+
+
+@query
+def chunk_rows_text_key(spark, sf_dir):
+    """Row-range chunks in the order of a text key."""
+    events = t.table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_key"), "event_type")
+    return with_chunks(events, "event_key", "event_type", 100, buckets=16)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the labelled texts, label every comment, count comments per category."""
     model = _fit(spark, sf_dir)

@@ -1,34 +1,45 @@
-"""Versioned model tables: ``<root>/version=N/{counts,weights,meta}``."""
+"""Versioned model tables: ``<root>/model=<id>/{counts,weights}`` and a row in ``<root>/meta`` each.
+
+A model is published by its meta row. Version numbers follow the order of those rows, so two writers
+never share a folder or a number.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.model import LabelModel
 
 META_SCHEMA = (
-    "version INT, saved_at STRING, labels ARRAY<STRING>, bias ARRAY<BIGINT>, "
-    "alpha DOUBLE, min_documents INT, details STRING"
+    "id STRING, published STRING, saved_at STRING, labels ARRAY<STRING>, bias ARRAY<BIGINT>, "
+    "alpha DOUBLE, min_documents INT, n_tokens BIGINT, token_bytes BIGINT, details STRING"
 )
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
-    """One row per finished version; a version without its meta row was never completed."""
+    """One row per finished version, with its number; a write without its meta row was never completed."""
     try:
-        return spark.read.schema(META_SCHEMA).json(f"{root.rstrip('/')}/meta")
+        rows = spark.read.schema(META_SCHEMA).json(f"{root.rstrip('/')}/meta")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], META_SCHEMA)
+        rows = spark.createDataFrame([], META_SCHEMA)
+    # As many rows as models were ever saved.
+    return rows.withColumn("version", F.row_number().over(Window.orderBy("published", "id")))
 
 
 def latest_version(spark: SparkSession, root: str) -> int:
     """0 when nothing was saved yet."""
-    return versions(spark, root).agg({"version": "max"}).first()[0] or 0
+    return versions(spark, root).count()
+
+
+def _folder(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/model={name}"
 
 
 def save_model(
@@ -36,32 +47,43 @@ def save_model(
 ) -> int:
     """Write the next version; earlier versions stay as they are. Returns the version number."""
     spark = model.weights.sparkSession
-    version = latest_version(spark, root) + 1
-    folder = f"{root.rstrip('/')}/version={version}"
-    model.counts.write.mode("overwrite").parquet(f"{folder}/counts")
-    model.weights.write.mode("overwrite").parquet(f"{folder}/weights")
-    stamp = (at or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
+    name = uuid.uuid4().hex
+    model.counts.write.parquet(f"{_folder(root, name)}/counts")
+    model.weights.write.parquet(f"{_folder(root, name)}/weights")
+    sizes = spark.read.parquet(f"{_folder(root, name)}/weights").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("b")
+    ).first()
+    now = datetime.now(timezone.utc)
     row = (
-        version,
-        stamp,
+        name,
+        f"{now:%Y%m%d_%H%M%S_%f}",
+        f"{at or now:%Y%m%d_%H%M%S}",
         list(model.labels),
         list(model.bias),
         float(model.alpha),
         model.min_documents,
+        sizes["n"],
+        sizes["b"],
         json.dumps(details or {}, ensure_ascii=False, sort_keys=True),
     )
     meta = spark.createDataFrame([row], META_SCHEMA).coalesce(1)
     meta.write.mode("append").json(f"{root.rstrip('/')}/meta")
-    return version
+    return versions(spark, root).filter(F.col("id") == name).first()["version"]
+
+
+def _version_row(spark: SparkSession, root: str, version: int | None):
+    known = versions(spark, root)
+    found = known.orderBy(F.desc("version")) if version is None else known.filter(F.col("version") == int(version))
+    row = found.first()
+    if row is None:
+        raise FileNotFoundError(f"no model version {'at all' if version is None else version} under {root}")
+    return row
 
 
 def load_model(spark: SparkSession, root: str, version: int | None = None) -> LabelModel:
     """The newest version, or the one asked for."""
-    wanted = latest_version(spark, root) if version is None else version
-    row = versions(spark, root).filter(f"version = {int(wanted)}").first()
-    if row is None:
-        raise FileNotFoundError(f"no model version {wanted} under {root}")
-    folder = f"{root.rstrip('/')}/version={wanted}"
+    row = _version_row(spark, root, version)
+    folder = _folder(root, row["id"])
     return LabelModel(
         tuple(row["labels"]),
         tuple(row["bias"]),
@@ -69,12 +91,10 @@ def load_model(spark: SparkSession, root: str, version: int | None = None) -> La
         spark.read.parquet(f"{folder}/counts"),
         row["alpha"],
         row["min_documents"],
+        row["n_tokens"],
+        row["token_bytes"],
     )
 
 
 def model_details(spark: SparkSession, root: str, version: int | None = None) -> dict:
-    wanted = latest_version(spark, root) if version is None else version
-    row = versions(spark, root).filter(f"version = {int(wanted)}").first()
-    if row is None:
-        raise FileNotFoundError(f"no model version {wanted} under {root}")
-    return json.loads(row["details"])
+    return json.loads(_version_row(spark, root, version)["details"])

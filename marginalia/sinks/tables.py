@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -32,8 +33,28 @@ def flat(df: DataFrame, separator: str = "|") -> DataFrame:
 
 
 def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Replace the table at ``path``; readers see a finished write by its ``_SUCCESS`` marker."""
-    _writer(flat(df) if kind == "csv" else df, kind).mode("overwrite").save(path)
+    """Replace the table at ``path``, all or nothing.
+
+    The new table is written next to the old one and takes its place by renaming when it is
+    complete; a write that fails leaves the old table as it was.
+    """
+    target = path.rstrip("/")
+    fresh, old = (f"{target}.{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
+    context = df.sparkSession.sparkContext
+    names = context._jvm.org.apache.hadoop.fs.Path
+    files = names(target).getFileSystem(context._jsc.hadoopConfiguration())
+    try:
+        _writer(flat(df) if kind == "csv" else df, kind).save(fresh)
+    except Exception:
+        files.delete(names(fresh), True)
+        raise
+    replaced = files.exists(names(target))
+    if replaced and not files.rename(names(target), names(old)):
+        raise OSError(f"can't move {target} away; the new table is in {fresh}")
+    if not files.rename(names(fresh), names(target)):
+        raise OSError(f"can't move {fresh} to {target}")
+    if replaced:
+        files.delete(names(old), True)
 
 
 def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -58,14 +79,18 @@ def save_per_file(
 ) -> str:
     """One run-stamped output folder per input file, written by one job; returns the run's path.
 
+    A folder is named by the file's name and, below that, by a digest of its whole path: files of
+    equal names in different folders stay apart.
+
     The rebalance hint lets adaptive execution gather small files' rows and split the rows of a
     file that is much larger than the others over several writers.
     """
     stamped = df.withColumn("output", output_name(F.col(path_col), prefix, F.lit(stamp(at))))
-    balanced = stamped.hint("rebalance", "output")
+    stamped = stamped.withColumn("file_id", F.substring(F.md5(F.col(path_col)), 1, 12))
+    balanced = stamped.hint("rebalance", "output", "file_id")
     path = run_path(folder, at)
     writer = _writer(flat(balanced) if kind == "csv" else balanced, kind)
-    writer.mode("overwrite").partitionBy("output").save(path)
+    writer.mode("overwrite").partitionBy("output", "file_id").save(path)
     return path
 
 
@@ -85,12 +110,3 @@ def save_predictions(
     """Write predictions with their label array spread over ``Category 1..k`` columns."""
     save(labels_to_wide(df, labels_col), path, kind)
 
-
-__all__ = [
-    "append",
-    "combined",
-    "combined_path",
-    "save",
-    "save_per_file",
-    "save_predictions",
-]

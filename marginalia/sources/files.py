@@ -83,7 +83,8 @@ def admit_files(
 
 
 # A quoted field: its opening quote stands at the start of the line or after a comma.
-_CLOSED_FIELD = r'(^|,)"(?:[^"]|"")*"(?=,|$)'
+# Possessive, so that a long field is matched in a loop and not by recursion.
+_CLOSED_FIELD = r'(^|,)"(?:[^"]++|"")*+"(?=,|$)'
 _OPEN_FIELD = r'(^|,)"'
 
 
@@ -162,7 +163,8 @@ def _read_csv_group(
         .option("multiLine", str(multi_line).lower())
     )
     if misfit_col:
-        reader = reader.option("columnNameOfCorruptRecord", misfit_col)
+        # A scan that parses wanted columns only does not see how many fields a record has.
+        reader = reader.option("columnNameOfCorruptRecord", misfit_col).option("columnPruning", "false")
     return reader.schema(schema).csv(paths)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.text import EMPTY
-from ..operators.model import LabelModel, score, with_predictions
+from ..operators.model import LabelModel, score, score_rows, with_predictions
 from ..operators.triage import with_skip_reason
+from ..sources.files import read_csv
 
 COUNTER_PARTITIONS = 4
 
@@ -23,6 +25,9 @@ def read_arriving(
     pattern: str | None = None,
     **options: str,
 ) -> DataFrame:
+    """A stream of rows. CSV binds columns by position, so it is refused: see ``classify_arriving_csv``."""
+    if kind == "csv":
+        raise ValueError("arriving CSV files are bound by header name: use classify_arriving_csv")
     reader = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
@@ -68,6 +73,44 @@ def classify_arriving(
     )
 
 
+def classify_arriving_csv(
+    spark: SparkSession,
+    folder: str,
+    model: LabelModel,
+    output: str,
+    checkpoint: str,
+    text_col: str = "text",
+    null_reason: str = EMPTY,
+    threshold: float = 0.5,
+    files_per_trigger: int = 100,
+) -> StreamingQuery:
+    """Score CSV files as they arrive, each bound by its own header.
+
+    The stream carries the names of the new files; a micro-batch reads its files with ``read_csv``.
+    """
+    names = (
+        spark.readStream.format("binaryFile")
+        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .option("pathGlobFilter", "*.csv")
+        .load(folder)
+        .select("path")
+    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(row["path"] for row in batch.collect())
+        if paths:
+            rows = read_csv(batch.sparkSession, paths, text_col)
+            _write_batch(with_predictions(score_rows(rows, model, text_col, null_reason), model, threshold), output, batch_id)
+
+    return (
+        names.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def running_counts(
     stream: DataFrame,
     output: str,
@@ -120,15 +163,52 @@ def _write_counters(counts: DataFrame, output: str, checkpoint: str) -> Streamin
 
 
 def latest_counts(spark: SparkSession, output: str) -> DataFrame:
-    """The counter table after the last finished micro-batch."""
-    table = spark.read.option("basePath", output).parquet(f"{output.rstrip('/')}/batch=*")
-    last = table.agg(F.max("batch")).first()[0]
-    return table.filter(F.col("batch") == last).drop("batch")
+    """The counter table after the last finished micro-batch; only that one is read.
+
+    The listing shows finished files alone: a batch that is being written has hidden ones.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(output).select("path")
+    batch = F.regexp_extract("path", r"/batch=([0-9]+)/[^/]*$", 1).cast("bigint")
+    last = names.agg(F.max(batch)).first()[0]
+    return spark.read.parquet(f"{output.rstrip('/')}/batch={last}")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Input rows of every micro-batch of every query that runs while the log listens.
+
+    Spark itself keeps a bounded number of updates per query.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.batches: dict[str, dict[int, int]] = {}
+        self.ended: set[str] = set()
+        self.spark = spark
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        batches = self.batches.setdefault(str(event.progress.runId), {})
+        batches[event.progress.batchId] = batches.get(event.progress.batchId, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
 
+    def rows(self, query: StreamingQuery, wait_seconds: float = 30.0) -> list[tuple[int, int]]:
+        """``(batch id, input rows)`` of a query that has ended; events arrive a little after it."""
+        until = time.monotonic() + wait_seconds
+        while str(query.runId) not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("the end of the query was not reported")
+            time.sleep(0.05)
+        return sorted(self.batches.get(str(query.runId), {}).items())
 
-def progress_rows(query: StreamingQuery) -> list[tuple[int, int]]:
-    """``(batch id, input rows)`` of the finished micro-batches."""
-    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
+    def close(self) -> None:
+        self.spark.streams.removeListener(self)
 
 
 def observed(df: DataFrame, name: str, report: Callable[[int], None] | None = None):

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.errors import MissingColumnError
 from marginalia.sinks import tables as sinks
@@ -149,3 +150,92 @@ def test_csv_round_trip(spark, folder):
     assert len(got) == 5
     assert ("", ["z"]) in got and (" padded ", []) in got and ("a,b\n\"c\" \\ ;", ["x", "y"]) in got
     assert ("Їжак\r\n", []) in got
+
+
+def with_split_size(spark, size, read):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        return read()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(
+    "content", ["text,x\rhello\rworld,1\r", "text,x\r\na,1\r\nb,2\r\n", 'text,x\n5" pipe,1\n"q\r\nr",2\nend,3\n', 'text,x\n5" pipe,1\n6" rod,2\n']
+)
+def test_same_records_at_every_size(spark, folder, content):
+    path = put(folder, "a.csv", content)
+    read = lambda: sorted(map(tuple, files.read_csv(spark, [path]).select("text", "x").collect()), key=str)
+    assert with_split_size(spark, "10", read) == with_split_size(spark, "128m", read)
+
+
+def test_stray_quotes_leave_a_file_splittable(spark, folder):
+    path = put(folder, "a.csv", "text,n\n" + "".join(f'{i}" pipe,{i}\n' for i in range(2000)))
+    rows = with_split_size(spark, "4k", lambda: files.read_csv(spark, [path]).rdd.getNumPartitions())
+    assert rows > 1 and not files.text_facts(spark, [path]).first()["spans_lines"]
+    long = put(folder, "long.csv", 'text\n"' + "x" * 200_000 + '"\n')
+    assert not files.text_facts(spark, [long]).first()["spans_lines"]
+
+
+def test_headers_in_their_own_encoding_and_over_lines(spark, folder):
+    latin = put(folder, "l.csv", "größe,text\n1,é\n", "latin-1")
+    folded = put(folder, "f.csv", '"a\nb",text\n1,two\n')
+    assert files.read_csv(spark, [latin], "größe").first()["größe"] == "1"
+    row = files.read_csv(spark, [folded]).first()
+    assert (row["a\nb"], row["text"]) == ("1", "two")
+
+
+def test_records_that_do_not_fit_are_counted(spark, folder):
+    path = put(folder, "a.csv", "text,x\nfine,1\nlong,2,surplus\nshort\n")
+    checked = files.validate_files(spark, [path])
+    assert tuple(checked.files.select("status", "n_rows", "n_misfits").first()) == ("ok", 3, 2)
+    assert texts(checked.rows) == ["fine", "long", "short"] and files.MISFIT not in checked.rows.columns
+
+
+def test_folders_are_reported_by_their_files(spark, folder):
+    rows = spark.range(100).select(F.concat(F.lit("t"), "id").alias("text"))
+    rows.repartition(4).write.parquet(folder + "/set.parquet")
+    rows.write.option("header", True).csv(folder + "/plain")
+    checked = files.validate_files(spark, [folder + "/set.parquet", folder + "/plain", folder + "/none"])
+    assert [tuple(r)[1:] for r in checked.report.orderBy("file_path").collect()] == [
+        ("none", "not_found", 0), ("plain", "ok", 100), ("set.parquet", "ok", 100)
+    ]
+    assert checked.rows.count() == checked.report.agg({"n_rows": "sum"}).first()[0] == 200
+
+
+def test_a_damaged_file_is_an_error_and_not_a_shorter_file(spark, folder):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"text": [f"row {i} {i * 7919 % 1000}" for i in range(20_000)], "x": list(range(20_000))})
+    good, bad = folder + "/good.parquet", folder + "/bad.parquet"
+    pq.write_table(table, good, row_group_size=4000, compression="none", use_dictionary=False)
+    pq.write_table(table, bad, row_group_size=4000, compression="none", use_dictionary=False)
+    place = pq.ParquetFile(bad).metadata.row_group(2).column(0)
+    with open(bad, "r+b") as out:
+        out.seek(place.data_page_offset)
+        out.write(b"\xff" * 200)
+    checked = files.validate_files(spark, [good, bad])
+    assert {r["source_file"]: (r["status"], r["n_rows"]) for r in checked.report.collect()} == {
+        "good.parquet": ("ok", 20_000), "bad.parquet": ("unreadable", 0)
+    }
+    assert checked.rows.count() == 20_000
+
+
+def test_a_failing_write_leaves_the_old_table(spark, folder):
+    sinks.save(spark.range(5), folder + "/t")
+    with pytest.raises(Exception):
+        sinks.save(spark.range(5).select(F.raise_error(F.lit("no")).cast("string").alias("id")), folder + "/t")
+    assert spark.read.parquet(folder + "/t").count() == 5 and os.listdir(folder) == ["t"]
+    sinks.save(spark.range(2), folder + "/t")
+    assert spark.read.parquet(folder + "/t").count() == 2 and os.listdir(folder) == ["t"]
+
+
+def test_equal_names_in_two_folders_stay_apart(spark, folder):
+    from datetime import datetime
+
+    a, b = put(folder, "a/x.csv", "text\none\n"), put(folder, "b/x.csv", "text\ntwo\nthree\n")
+    path = sinks.save_per_file(files.read_csv(spark, [a, b]), folder + "/out", datetime(2024, 1, 2))
+    written = spark.read.parquet(path).groupBy("output", "file_id").count().collect()
+    assert sorted(r["count"] for r in written) == [1, 2] and len({r["output"] for r in written}) == 1

@@ -78,6 +78,7 @@ def test_dry_run(spark, folder):
         "empty.csv": "error", "gone.csv": "error", "a.txt": "error",
     }
     assert got["fine.csv"]["empty_rate"] == 0.1 and got["fine.csv"]["size_bytes"] == os.path.getsize(fine)
+    assert [i["code"] for i in got["edge.csv"]["issues"]] == ["encoding"]
     assert [(i["code"], i["n"]) for i in got["poor.csv"]["issues"]] == [("empty_rate", 12), ("nan", 12)]
     assert got["edge.csv"]["encoding"] == "latin-1" and got["edge.csv"]["max_text_length"] == 5000
     assert got["empty.csv"]["error"] == "no_data" and got["gone.csv"]["error"] == "not_found"
@@ -94,6 +95,29 @@ def test_inference_over_one_table(spark, folder, model):
         jobs.run_inference(df.withColumn("text", F.lit(None).cast("string")), model, "id", strict=True)
 
 
+def test_inference_keeps_rows_without_a_key(spark, model):
+    df = spark.createDataFrame([(1, "the a"), (None, "w1 b"), (None, "w1 b"), (4, None)], "id INT, text STRING")
+    run = jobs.run_inference(df, model, "id")
+    assert run.rows.count() == run.summary.first()["total_comments"] == 4
+    assert run.rows.columns == ["id", "text", "predicted"]
+
+
+def test_dry_run_writes_no_copy_of_the_rows(spark, folder):
+    path = put(folder, "big.csv", "text\n" + "".join(f"some text number {i}\n" for i in range(40_000)))
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared) for f in names)
+    before = size()
+    assert jobs.dry_run(spark, [path]).first()["total_rows"] == 40_000
+    assert size() - before < os.path.getsize(path) / 4
+
+
+def test_a_folder_is_scored_and_counted(spark, folder, model):
+    spark.range(100).select(F.concat(F.lit("w1 "), "id").alias("text")).repartition(3).write.parquet(folder + "/in.parquet")
+    run = jobs.process_files(spark, [folder + "/in.parquet"], model)
+    assert run.rows.count() == 100 and run.summary.first()["total_rows"] == 100
+    assert [tuple(r)[:1] + tuple(r)[2:] for r in run.files.collect()] == [("in.parquet", "ok", "ok", 100, 100, 0)]
+
+
 def test_training_job(spark, folder):
     df, _ = labelled(spark, 200)
     cells = df.withColumn("labels", F.array_join("labels", "|"))
@@ -169,7 +193,7 @@ def test_external_model(spark):
     clean = df.filter("id IN (1, 4)")
     assert [r["predicted"] for r in predict_external(clean, fixed_model(), ["a", "b", "c"]).collect()] == [["a", "b"]] * 2
     with pytest.raises(StrictInputError):
-        predict_external(df, fixed_model(), ["a"])
+        predict_external(df, fixed_model(), ["a"], strict=True)
 
 
 def test_linear_model(spark):

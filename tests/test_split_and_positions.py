@@ -67,3 +67,32 @@ def test_chunk_table(spark):
     got = sorted(tuple(r) for r in position.chunk_table(df, "f", 10).collect())
     assert got == [("a", 0, 0, 10), ("a", 1, 10, 10), ("a", 2, 20, 5), ("b", 0, 0, 10)]
     assert position.with_positions(spark.createDataFrame([], "k BIGINT, f STRING"), "k", "f").count() == 0
+
+
+def test_null_and_repeated_keys_are_refused(spark):
+    repeated = spark.range(1000).select((F.col("id") % 50).alias("k"), F.lit("f").alias("f"))
+    null = spark.createDataFrame([(1, "f"), (None, "f")], "k INT, f STRING")
+    for df in (repeated, null):
+        with pytest.raises(KeyNotUniqueError):
+            split.with_split(df, "k")
+        with pytest.raises(KeyNotUniqueError):
+            position.with_positions(df, "k", "f")
+
+
+def test_positions_of_text_and_date_keys(spark):
+    rows = [(f"k{i * 7919 % 1000:04d}", f"g{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "k STRING, g STRING")
+    got = {r["k"]: r["row_pos"] for r in position.with_positions(df, "k", "g", buckets=8).collect()}
+    want, seen = {}, {}
+    for k, g in sorted(rows):
+        want[k] = seen.get(g, 0)
+        seen[g] = want[k] + 1
+    assert got == want
+    dated = spark.range(30).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("k"), F.lit("x").alias("g"))
+    assert [r["row_pos"] for r in position.with_positions(dated, "k", "g", buckets=4).orderBy("k").collect()] == list(range(30))
+
+
+def test_chunk_table_of_many_chunks(spark):
+    df = spark.range(25_050).select(F.lit("a").alias("f"))
+    got = position.chunk_table(df, "f", 1).agg(F.count("*"), F.max("chunk"), F.sum("n_rows"), F.countDistinct("chunk")).first()
+    assert tuple(got) == (25_050, 25_049, 25_050, 25_050)

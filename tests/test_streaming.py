@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import model as nb, triage
 from marginalia.streaming import classify
 
+from test_files import put
 from test_model import labelled
 
 
@@ -15,9 +17,11 @@ def arriving(spark, folder):
 
 def test_running_counts_equal_the_batch_counts_and_continue(spark, folder):
     batch, stream = arriving(spark, folder)
+    log = classify.ProgressLog(spark)
     query = classify.running_counts(stream, folder + "/out", folder + "/cp")
     query.awaitTermination()
-    progress = classify.progress_rows(query)
+    progress = log.rows(query)
+    log.close()
     assert sum(rows for _, rows in progress) == 200 and len(progress) >= 4
     want = {tuple(r) for r in triage.reason_counts(triage.with_skip_reason(batch)).collect()}
     assert {tuple(r) for r in classify.latest_counts(spark, folder + "/out").collect()} == want
@@ -51,3 +55,30 @@ def test_observed_rows(spark):
     df, rows = classify.observed(spark.range(25), "scan", seen.append)
     df.write.format("noop").mode("overwrite").save()
     assert rows() == 25 and seen == [25]
+
+
+def test_progress_over_more_batches_than_spark_keeps(spark, folder):
+    spark.range(60).select("id", F.lit("x").alias("text")).repartition(6).write.parquet(folder + "/in")
+    stream = classify.read_arriving(spark, folder + "/in", "id BIGINT, text STRING", files_per_trigger=1)
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    log = classify.ProgressLog(spark)
+    try:
+        query = classify.running_counts(stream, folder + "/out", folder + "/cp")
+        query.awaitTermination()
+        assert sum(rows for _, rows in log.rows(query)) == 60 and len(query.recentProgress) <= 2
+    finally:
+        log.close()
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+
+
+def test_arriving_csv_files_are_bound_by_header(spark, folder):
+    put(folder, "in/a.csv", "text,id\nthe a,1\n")
+    put(folder, "in/b.csv", "id,x,text\n2,9,w1 b\n3,9,\n")
+    model = nb.fit(labelled(spark)[0])
+    classify.classify_arriving_csv(spark, folder + "/in", model, folder + "/out", folder + "/cp").awaitTermination()
+    rows = {r["id"]: r for r in spark.read.parquet(folder + "/out/batch=*").collect()}
+    assert {i: r["text"] for i, r in rows.items()} == {"1": "the a", "2": "w1 b", "3": None}
+    assert rows["2"]["x"] == "9" and rows["3"]["skip_reason"] == "empty"
+    with pytest.raises(ValueError):
+        classify.read_arriving(spark, folder + "/in", "text STRING", kind="csv")
