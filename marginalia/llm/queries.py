@@ -256,3 +256,54 @@ FROM sc, th"""
 
 
 SQL["op1_url_filter"] = _url_sql()
+
+
+SQL["op7_suffix_dedup"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s
+  FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 100)) AS p FROM d WHERE length(h) >= 200)
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM w) WHERE n > 1
+), island AS (
+  SELECT doc_id, p, sum(CASE WHEN p > last + 100 OR last IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS i
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM again)
+), span AS (
+  SELECT doc_id, i, min(p) AS a, max(p) + 100 AS b FROM island GROUP BY 1, 2
+), gap AS (
+  SELECT span.doc_id, a, coalesce(lag(b) OVER (PARTITION BY span.doc_id ORDER BY a), 0) AS start FROM span
+), rest AS (
+  SELECT gap.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) AS h
+  FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY 1
+), total AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail FROM span GROUP BY 1
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN tail IS NULL THEN d.h ELSE rest.h || substr(d.h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN total ON total.doc_id = d.doc_id LEFT JOIN rest ON rest.doc_id = d.doc_id
+"""
+
+
+def _license_sql() -> str:
+    """The scan's windows and exact containments; retrieval by bands loses none of them."""
+    texts = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in license_scan.TEMPLATES.items())
+    split = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH t AS (SELECT name, {split.format(_LOWERED)} AS w FROM (VALUES {texts}) v(name, text)
+), ts AS (SELECT DISTINCT name, array_to_string(w[s:s+4], ' ') AS g FROM (SELECT name, w, unnest(generate_series(1, len(w) - 4)) AS s FROM t)
+), size AS (SELECT name, count(*) AS n, (2 ** ceil(log2(count(*))))::BIGINT AS step FROM ts GROUP BY 1
+), d AS (SELECT doc_id, {split.format(_LOWERED)} AS w FROM documents
+), ds AS (SELECT doc_id, s, array_to_string(w[s+1:s+5], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 5)) AS s FROM d WHERE len(w) >= 5)
+), hit AS (SELECT doc_id, ts.name, n, step, s, ds.g FROM ds JOIN ts ON ts.g = ds.g JOIN size ON size.name = ts.name
+), win AS (SELECT doc_id, name, n, step, k, g FROM (SELECT *, unnest([s // step, s // step - 1, s // step - 2]) AS k FROM hit) WHERE k >= 0
+), share AS (SELECT doc_id, name, k * step AS start, count(DISTINCT g)::DOUBLE / n AS share FROM win GROUP BY doc_id, name, n, step, k
+), best AS (SELECT doc_id, name, max(share) AS share, arg_max(start, (share, -start)) AS start FROM share WHERE share >= 0.8 GROUP BY 1, 2
+), found AS (SELECT doc_id, count(*) AS n_matches, string_agg(name, ',' ORDER BY name) AS licenses, round(max(share), 6) AS best, min(start) AS first_word FROM best GROUP BY 1)
+SELECT d.doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best, first_word::BIGINT AS first_word
+FROM d LEFT JOIN found ON found.doc_id = d.doc_id
+"""
+
+
+SQL["op3_license_scan"] = _license_sql()

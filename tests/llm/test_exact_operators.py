@@ -241,7 +241,7 @@ def test_url_model_tells_rejected_hosts(spark):
     assert all((r["verdict"] == "allow") == ("good" in r["host"]) for r in free)
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op4_decontamination", "op5_near_dedup"])
+@pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_equals_sql(spark, sf, name):
     db = duckdb.connect()
     for table in ("documents", "pages", "benchmark"):
