@@ -8,9 +8,12 @@ Weights are integers in millionths, so sums do not depend on the order they are
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import TrainingDataError
@@ -293,6 +296,48 @@ def _logits(model: LabelModel, copies: Column | None = None) -> Column:
     return F.array(*parts).cast("array<bigint>")
 
 
+def _gather(model: LabelModel):
+    """Function from arrays of distinct tokens to logits, over weights held by every task.
+
+    Called with weights of a checked size only. The function travels to the Python workers by
+    value; a batch of rows is one gather and one sum over the weight matrix.
+    """
+    table = model.weights.select("token", "w").toArrow()
+    width = len(model.labels)
+    flat = pc.list_flatten(table.column("w")).to_numpy().astype(np.int64)
+    held = (table.column("token").to_pylist(), flat.reshape(-1, width))
+    shared = model.weights.sparkSession.sparkContext.broadcast(held)
+    bias = np.array(model.bias, dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def gather(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names, matrix = shared.value
+        place = {name: i for i, name in enumerate(names)}
+        for found in batches:
+            at = [[place[x] for x in row if x in place] if row is not None else [] for row in found]
+            sizes = np.array([len(x) for x in at], dtype=np.int64)
+            out = np.zeros((len(at), len(bias)), dtype=np.int64)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                rows = matrix[np.array([i for x in at for i in x], dtype=np.int64)]
+                out[some] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some], axis=0)
+            yield pd.Series(list(out + bias))
+
+    return gather
+
+
+def _narrow(triaged: DataFrame, model: LabelModel, text_col: str, max_length: int | None) -> DataFrame:
+    """``triaged`` with the logits ``z``: no shuffle, no join, every column and row passes through."""
+    text = F.col(text_col).cast("string")
+    found = F.when(F.col("skip_reason") == NONE, document_tokens(text, max_length))
+    return triaged.withColumn("z", _gather(model)(found))
+
+
+def _triaged(df: DataFrame, text_col: str, null_reason: str) -> DataFrame:
+    reason = skip_reason(F.col(text_col), null_reason, df.schema[text_col].dataType)
+    return df.withColumn("skip_reason", reason)
+
+
 def score(
     df: DataFrame,
     model: LabelModel,
@@ -305,26 +350,12 @@ def score(
 ) -> DataFrame:
     """``(key, skip_reason, z, probs)`` for every row; skipped rows get 0.0 everywhere.
 
-    Skipped rows are never tokenised: they pass the explode as one row without a token, which
-    also brings them back next to the scored rows without a join. Only the key and one sum per
-    label are shuffled. ``key`` must identify the rows, a repeated key is an error; see
-    ``score_rows`` for tables without one.
+    One row comes out per row of ``df``, also for null and repeated keys; see ``score_rows``.
     """
     require_columns(df, [key, text_col])
-    reason = skip_reason(F.col(text_col), null_reason, df.schema[text_col].dataType)
-    valid = df.select(key, reason.alias("skip_reason"), F.col(text_col).cast("string").alias("text"))
-    found = F.when(F.col("skip_reason") == NONE, document_tokens(F.col("text"), max_length))
-    pairs = valid.select(key, "skip_reason", F.posexplode_outer(found).alias("pos", "token"))
-    summed = (
-        _weighted(pairs, model, heavy_rows, broadcast_bytes)
-        .groupBy(key, "skip_reason")
-        .agg(_rows_seen().alias("rows"), *_sums(model))
-    )
-    once = F.when(
-        F.col("rows") > 1, F.raise_error(F.lit(f"column {key} must identify the rows"))
-    ).otherwise(_logits(model))
-    return summed.select(key, "skip_reason", once.alias("z")).select(
-        key, "skip_reason", "z", _probabilities(F.col("z"), F.col("skip_reason") == NONE, model)
+    rows = df.select(key, F.col(text_col).alias("_text"))
+    return _scored(rows, model, "_text", null_reason, max_length, heavy_rows, broadcast_bytes).select(
+        key, "skip_reason", "z", "probs"
     )
 
 
@@ -351,22 +382,41 @@ def score_rows(
     heavy_rows: int = HEAVY_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """All columns of ``df`` plus ``skip_reason`` and ``probs``, for tables without a row key.
+    """All columns of ``df`` plus ``skip_reason`` and ``probs``.
 
-    Texts are scored once per distinct ``text_key`` and joined back. Copies of one text are
+    Weights that measure at most ``broadcast_bytes`` are held by every task, and scoring is a narrow
+    step: no shuffle and no join. Beyond that, texts are scored once per distinct ``text_key``: their tokens
+    are written once, meet the weights by frequency, and the sums are joined back. Copies of one text are
     folded by the map-side combine (their sums are divided by the number of copies, exactly,
     since the weights are integers), and the way back splits frequent texts from the rest.
     """
     require_columns(df, [text_col])
-    reason = skip_reason(F.col(text_col), null_reason, df.schema[text_col].dataType)
-    triaged = df.withColumn("skip_reason", reason)
+    scored = _scored(df, model, text_col, null_reason, max_length, heavy_rows, broadcast_bytes)
+    return scored.select(*all_named(df.columns), "skip_reason", "probs")
+
+
+def _scored(
+    df: DataFrame,
+    model: LabelModel,
+    text_col: str,
+    null_reason: str,
+    max_length: int | None,
+    heavy_rows: int,
+    broadcast_bytes: int,
+) -> DataFrame:
+    """``df`` with ``skip_reason``, ``z`` and ``probs``."""
+    triaged = _triaged(df, text_col, null_reason)
+    valid = F.col("skip_reason") == NONE
+    if model.labels and model.size() <= broadcast_bytes:
+        found = _narrow(triaged, model, text_col, max_length)
+        return found.withColumn("probs", _probabilities(F.col("z"), valid, model))
     text = F.col(text_col).cast("string")
-    keyed = triaged.withColumn("_key", F.when(F.col("skip_reason") == NONE, text_key(text)))
-    pairs = keyed.filter(F.col("skip_reason") == NONE).select(
+    keyed = triaged.withColumn("_key", F.when(valid, text_key(text)))
+    pairs = keyed.filter(valid).select(
         "_key", F.posexplode_outer(document_tokens(text, max_length)).alias("pos", "token")
     )
     per_text = (
-        _weighted(pairs, model, heavy_rows, broadcast_bytes)
+        _weighted(materialise(pairs, "tokens"), model, heavy_rows, broadcast_bytes)
         .groupBy("_key")
         .agg(_rows_seen().alias("copies"), *_sums(model))
         .select("_key", "copies", _logits(model, F.col("copies")).alias("z"))
@@ -383,8 +433,9 @@ def score_rows(
         heavy_rows,
         broadcast_bytes,
     )
-    probs = _probabilities(F.col("z"), F.col("skip_reason") == NONE, model)
-    return joined.select(*all_named(df.columns), "skip_reason", probs)
+    z = F.coalesce("z", F.array(*[F.lit(b) for b in model.bias]).cast("array<bigint>"))
+    joined = joined.withColumn("z", z)
+    return joined.withColumn("probs", _probabilities(F.col("z"), valid, model))
 
 
 def with_predictions(scored: DataFrame, model: LabelModel, threshold: float = 0.5) -> DataFrame:

@@ -147,11 +147,13 @@ def test_no_labels_is_an_error(spark):
         nb.fit(df)
 
 
-def test_repeated_keys_are_refused(spark):
+def test_null_and_repeated_keys_keep_their_rows(spark):
     model = nb.fit(labelled(spark)[0])
-    twice = spark.createDataFrame([(1, "the a"), (1, "w1")], "id INT, text STRING")
-    with pytest.raises(Exception, match="must identify the rows"):
-        nb.score(twice, model, "id").collect()
+    rows = spark.createDataFrame([(1, "the a"), (1, "w1"), (None, "w1"), (None, None)], "id INT, text STRING")
+    for limit in (1 << 30, 0):
+        got = nb.score(rows, model, "id", broadcast_bytes=limit).collect()
+        assert sorted(r["id"] or 0 for r in got) == [0, 0, 1, 1]
+        assert len({tuple(r["z"]) for r in got if r["skip_reason"] == "none"}) == 2
 
 
 def test_predictions_and_wide_columns(spark):
@@ -165,14 +167,19 @@ def test_predictions_and_wide_columns(spark):
     assert tuple(wide.first()) == (1, 0.9, 0.0, 0.5, "none")
 
 
-def test_score_shuffles_only_keys_and_sums(spark, capsys, tmp_path):
+def test_scoring_plans(spark, capsys, tmp_path):
+    """Narrow while the weights fit; beyond that no exchange carries texts. Tokens are taken once."""
     df, _ = labelled(spark)
     model = nb.fit(df)
     df.write.parquet(str(tmp_path / "t"))
-    nb.score(spark.read.parquet(str(tmp_path / "t")), model, "id").explain("formatted")
-    plan = capsys.readouterr().out.split("\n\n")[0]
-    assert plan.count(" Exchange") == 1 and plan.count("BroadcastHashJoin") == 1
-    assert "Python" not in plan
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    nb.score_rows(texts, model).explain("formatted")
+    plan = capsys.readouterr().out
+    tree = plan.split("\n\n")[0]
+    assert "Exchange" not in tree and "Join" not in tree and tree.count("ArrowEvalPython") == 1
+    assert plan.count("regexp_extract_all") == 1 and tree.count("Scan parquet") == 1
+    nb.score_rows(texts, model, broadcast_bytes=0).explain("formatted")
+    assert "regexp_extract_all" not in capsys.readouterr().out
 
 
 def test_metrics_example(spark):
