@@ -25,8 +25,8 @@ by the bytes that all windows of a block share. An anchor is hot from ``HOT`` oc
 ones that are broadcast.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; a
-row that repeats another row's id and text is the same document and gets the same result; rows
-without id are compared as the last of all documents; columns besides id and text are kept as they
+row that repeats another row's id and text is the same document and gets the same result; different
+texts of one id are documents that follow each other; rows without id are the last of all documents; columns besides id and text are kept as they
 are under ``row``.
 """
 
@@ -49,9 +49,11 @@ HOT = 20_000
 HOT_HASHES = 4_000_000
 #: Bytes of text per hash range of anchors, anchors per message, stretches per sorted run and per merge.
 RANGE_BYTES = 8 << 20
-FLUSH = 1 << 20
-RUN = 60_000
+FLUSH = 1 << 18
+RUN = 40_000
 MERGE = 60_000
+#: Bytes of text looked at together; the hashes of a piece take about a hundred bytes for each of them.
+PIECE_BYTES = 1 << 19
 END = b"\xff"
 PREFIX = 4
 LAST = np.iinfo(np.int64).max
@@ -130,7 +132,7 @@ def _anchors(n_ranges: int, length: int, gram: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, number = [], 0, 0
-        for piece in t.pieces(batches, "text"):
+        for piece in t.pieces(batches, "text", PIECE_BYTES):
             data, offsets = t.flat(piece.column("text"))
             value, text, anchor, _, _ = stretches(data, offsets, length, gram)
             ids = piece.column("doc").to_numpy(zero_copy_only=False)
@@ -229,7 +231,7 @@ def _runs(n_ranges: int, hot_hashes, length: int, gram: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list] = {}
-        for piece in t.pieces(batches, "text"):
+        for piece in t.pieces(batches, "text", PIECE_BYTES):
             data, offsets = t.flat(piece.column("text"))
             value, text, anchor, first, last = stretches(data, offsets, length, gram)
             ids = piece.column("doc").to_numpy(zero_copy_only=False)
@@ -458,7 +460,7 @@ def _remover(as_text: bool) -> Callable:
         return "".join([p.decode("utf-8", "ignore") for p in parts]) if as_text else b"".join(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in t.pieces(batches, "text"):
+        for piece in t.pieces(batches, "text", PIECE_BYTES):
             data, offsets = t.flat(piece.column("text"))
             raw = data.tobytes()
             kept, spans = [], []
@@ -492,6 +494,22 @@ def _remover(as_text: bool) -> Callable:
     return run
 
 
+def _numbers(texts: DataFrame) -> DataFrame | None:
+    """``(doc, version, own)``: numbers in the order of ids, if an id stands for several texts."""
+    versions = texts.select("doc", F.xxhash64("text").alias("version")).distinct()
+    if versions.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return None
+    ordered = versions.repartitionByRange("doc", "version").sortWithinPartitions("doc", "version")
+    return materialise(ordered.withColumn("own", F.monotonically_increasing_id()), "numbers")
+
+
+def _renumbered(rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    if numbers is None:
+        return rows
+    joined = rows.withColumn("version", F.xxhash64("text")).join(numbers, ["doc", "version"])
+    return joined.withColumn("doc", F.col("own")).drop("version", "own")
+
+
 def repeated_spans(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -516,6 +534,8 @@ def repeated_spans(
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     keyed = F.coalesce("doc", F.lit(int(LAST)).cast("long")).alias("doc")
     texts = texts.select(keyed, "text")
+    numbers = _numbers(texts)
+    texts = _renumbered(texts, numbers)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(1, -(-n_bytes // RANGE_BYTES))
     anchors = texts.mapInArrow(
@@ -542,7 +562,7 @@ def repeated_spans(
     )
     whole = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
     whole = whole.withColumn("doc", F.coalesce("id", F.lit(int(LAST)).cast("long")))
-    joined = whole.join(ranges, "doc", "left").select("row", F.col("id").alias("doc"), "text", "begins", "ends")
+    joined = _renumbered(whole, numbers).join(ranges, "doc", "left").select("row", F.col("id").alias("doc"), "text", "begins", "ends")
     kind = documents.select(row.alias("row")).schema["row"].dataType.simpleString()
     what = "string" if as_text else "binary"
     return joined.mapInArrow(

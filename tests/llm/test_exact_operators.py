@@ -180,6 +180,19 @@ def test_repeated_spans_of_shared_lines(spark):
     assert suffix_dedup.repeated_spans(documents.limit(0)).count() == 0
 
 
+def test_one_id_for_several_texts(spark):
+    a, b, c = prose(501, 60), prose(502, 60), prose(503, 60)
+    rows = [(1, a), (1, b), (1, b), (2, a + c), (None, c), (None, b + "x"), (None, c)]
+    found = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc"], r["n_bytes"], bytes(r["kept"])) for r in found}
+    assert len(found) == 7
+    size = lambda x: len(x.encode())
+    first = {(1, size(a), a.encode()), (1, size(b), b.encode())}
+    assert first < got and (None, size(c), b"") in got and (None, size(b) + 1, b"x") in got
+    (two,) = [r for r in found if r["doc"] == 2]
+    assert bytes(two["kept"]).endswith(c.encode()) and len(two["kept"]) <= size(c) + 1
+
+
 def test_characters_go_as_a_whole(spark):
     rows = [(1, "é" * 49 + "ab"), (2, "xx" + "é" * 49 + "ab" + "zz"), (3, "€" * 60)]
     found = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), as_text=True).collect()
