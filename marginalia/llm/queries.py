@@ -178,7 +178,7 @@ def op6_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = F.coalesce(language_id.remainder("doc_id", 3) == 1, F.lit(False))
-    model = toxicity.fit(documents.join(labels.filter(~held_out), "doc_id"))
+    model = toxicity.fit(documents, labels.filter(~held_out))
     scored = toxicity.toxicity(documents, model).withColumnRenamed("doc", "doc_id")
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")

@@ -7,8 +7,8 @@ softmax are trained jointly. A misspelling that was never seen shares most n-gra
 most of its vector, with the word it stands for. A document is as toxic as its most toxic window; overlapping
 windows cover the whole text, so a few words in a long text are not averaged away.
 
-Training runs in numpy on the driver, on a bounded sample: per label the ``SAMPLE`` rows with the smallest
-hash among those of at most ``SAMPLE_BYTES`` bytes, and once more with a letter changed in many words. In
+Training runs in numpy on the driver, on a bounded sample: per label the ``SAMPLE`` ids with the smallest
+hash among documents of at most ``SAMPLE_BYTES`` bytes, and once more with a letter changed in many words. In
 every round the most toxic window of each document stands for it, and random halves of the n-grams are left
 out, so that no single one carries a word. For scoring, table and softmax collapse into one number per bucket, which is broadcast.
 
@@ -33,8 +33,8 @@ DEPTH = 8
 GRAMS = (3, 4, 5)
 WINDOW = 2
 STEP = 1
-SAMPLE = 1500
-SAMPLE_BYTES = 16_000
+SAMPLE = 1000
+SAMPLE_BYTES = 8_000
 ROUNDS = 12
 BATCH = 64
 RATE = 1.0
@@ -56,7 +56,7 @@ def subwords(found: t.Words) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all words in order, and the bounds of the words."""
     n_words = len(found.start)
     if not n_words:
-        return np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        return np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
     size = found.end - found.start + 2
     bound = np.concatenate([[0], np.cumsum(size)])
     word = np.repeat(np.arange(n_words), size)
@@ -78,7 +78,7 @@ def subwords(found: t.Words) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(h[inside] * np.uint32(0x9E3779B1))
     word = np.concatenate(words)
     order = np.argsort(word, kind="stable")
-    buckets = (np.concatenate(hashes) >> np.uint32(32 - 17)).astype(np.int64)[order]
+    buckets = (np.concatenate(hashes) >> np.uint32(32 - 17)).astype(np.int32)[order]
     return buckets, np.searchsorted(word[order], np.arange(n_words + 1))
 
 
@@ -125,6 +125,20 @@ def misspelt(text: str, draw: np.random.Generator, share: float = 0.4) -> str:
     return " ".join(words)
 
 
+def _bags(texts: list[str], at_once: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``subwords`` of many texts and the word bounds of the texts, some texts at a time to save memory."""
+    buckets, grams, words = [], [], []
+    for i in range(0, len(texts), at_once):
+        found = t.words(pa.array(texts[i : i + at_once], pa.string()), t.ALPHANUMERIC)
+        own, bounds = subwords(found)
+        buckets.append(own)
+        grams.append(np.diff(bounds))
+        words.append(np.diff(found.first))
+    zero = np.zeros(1, dtype=np.int64)
+    ends = (np.cumsum(np.concatenate([zero, *x])) for x in (grams, words))
+    return np.concatenate(buckets), *ends
+
+
 def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> Model:
     """Adagrad on the most toxic window of every text, in mini-batches."""
     draw = np.random.default_rng(seed)
@@ -134,9 +148,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
     square_table = np.full(BUCKETS, 1e-2, dtype=np.float32)
     square_softmax, square_shift = np.full_like(softmax, 1e-1), np.full_like(shift, 1e-1)
     texts, toxic = texts + [misspelt(x, draw) for x in texts], np.concatenate([toxic, toxic])
-    found = t.words(pa.array(texts, pa.string()), t.ALPHANUMERIC)
-    buckets, bounds = subwords(found)
-    begin, end, text = windows(found.first)
+    buckets, bounds, first = _bags(texts)
+    begin, end, text = windows(first)
     n_texts = len(texts)
     for turn in range(rounds):
         value = table @ (softmax[:, 1] - softmax[:, 0])
@@ -183,19 +196,35 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
 
 
 def fit(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
+    documents: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    sample: int = SAMPLE,
 ) -> Model | None:
-    """A model from at most ``sample`` rows of either label (1 toxic, 0 clean; others are ignored)."""
-    fits = labelled.filter(F.octet_length(text_col).between(1, SAMPLE_BYTES))
-    texts, toxic = [], []
+    """A model from at most ``sample`` documents of either label (1 toxic, 0 clean; others are ignored).
+
+    Sizes and labels meet by id, without the texts; the texts of the chosen ids alone are read then.
+    """
+    sizes = documents.select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("size"))
+    fits = sizes.filter(F.col("size").between(1, SAMPLE_BYTES)).select("id")
+    chosen = None
     for label in (0, 1):
-        rows = fits.filter(F.col(label_col) == label).select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-        own = rows.orderBy("h").limit(sample).toArrow().column("text").to_pylist()
-        texts += own
-        toxic += [label] * len(own)
-    if len(set(toxic)) < 2:
+        own = labels.filter(F.col(label_col) == label).select(F.col(id_col).alias("id")).distinct()
+        found = fits.join(own, "id").distinct().withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample)
+        found = found.select("id", F.lit(label).alias("label"))
+        chosen = found if chosen is None else chosen.unionByName(found)
+    # At most 2 * sample ids.
+    ids = documents.sparkSession.createDataFrame(chosen.toArrow())
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
+        F.octet_length("text").between(1, SAMPLE_BYTES)
+    )
+    rows = texts.join(F.broadcast(ids), "id").dropDuplicates(["id", "text", "label"]).orderBy("label", "id", "text").toArrow()
+    toxic = rows.column("label").to_numpy()
+    if len(set(toxic.tolist())) < 2:
         return None
-    return train(texts, np.array(toxic))
+    return train(rows.column("text").to_pylist(), toxic.astype(np.int64))
 
 
 def _scorer(shared) -> Callable:

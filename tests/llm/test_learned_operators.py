@@ -100,11 +100,13 @@ def test_misspellings_share_subwords(spark):
 def test_toxicity_of_odd_rows(spark, odd_documents, no_documents):
     labelled = [(i, prose(i, 20) + (" awful" if i % 2 else ""), i % 2) for i in range(60)] + [(99, None, 1), (98, "", 0), (97, "x", None)]
     labelled = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
-    model = toxicity.fit(labelled)
+    texts, labels = labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic")
+    model = toxicity.fit(texts, labels)
     found = toxicity.toxicity(odd_documents, model).collect()
     assert len(found) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in found)
     assert toxicity.toxicity(no_documents, model).count() == 0
-    assert toxicity.fit(labelled.filter("toxic = 0")) is None
+    assert toxicity.fit(texts, labels.filter("toxic = 0")) is None
+    assert toxicity.fit(no_documents, labels) is None
     assert {r["score"] for r in toxicity.toxicity(odd_documents, None).collect()} == {0.0}
 
 
