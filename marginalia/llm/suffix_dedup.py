@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from . import text as t
-from .workers import ship
+from .workers import release, ship
 
 LENGTH = 100
 GRAM = 32
@@ -544,6 +544,8 @@ def repeated_spans(
     repeated = _repeated(max(hot, n_bytes // HOT_HASHES))
     found = anchors.groupBy("range").applyInArrow(repeated, "doc long, marks array<int>, hot array<long>")
     found = materialise(found, "marks")
+    del anchors
+    release(spark)
     heavy = found.filter("hot IS NOT NULL").select(F.explode("hot").alias("hash")).toArrow()
     hot_hashes = spark.sparkContext.broadcast(heavy.column("hash").to_numpy().view(np.uint64))
     marks = found.filter("hot IS NULL")
@@ -557,6 +559,8 @@ def repeated_spans(
         _merger(length, gram), "doc long, begins array<int>, ends array<int>"
     )
     spans = materialise(spans, "spans")
+    del runs
+    release(spark)
     ranges = spans.groupBy("doc").agg(
         F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -24,3 +25,13 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), name), "zip", root, name)
     context.addPyFile(archive)
     _shipped[context.applicationId] = archive
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that are no longer referred to.
+
+    They go when the driver's garbage is collected, which may be long after a written table has
+    taken their place.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
