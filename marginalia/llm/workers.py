@@ -6,6 +6,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 
 from pyspark.sql import SparkSession
 
@@ -33,5 +34,7 @@ def release(spark: SparkSession) -> None:
     They go when the driver's garbage is collected, which may be long after a written table has
     taken their place.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finalises holds what the second one frees
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
