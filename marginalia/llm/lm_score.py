@@ -10,8 +10,9 @@ embeddings of their own, the ``OUTPUTS`` most frequent ones outputs of their own
 words that the corpus has in it, so the probabilities of all words of the corpus add up to one.
 
 Training is data-parallel: in every round each task starts from the same parameters, takes
-mini-batch steps over one of ``ONE_IN`` places in all texts of its partition (other places every round), and
-gives its parameters, weighted with the number of places. They are averaged in two grouped steps; what is gathered grows
+mini-batch steps over every ``ONE_IN``-th batch of consecutive words of all texts of its partition, and
+gives its parameters, weighted with the number of places. The rounds take turns, so with as many rounds as ``ONE_IN`` every
+word of the corpus is a target once. The parameters are averaged in two grouped steps; what is gathered grows
 with the corpus, what the driver gets is one set of parameters. Network and vocabulary have fixed sizes and
 are broadcast.
 
@@ -41,8 +42,8 @@ TAIL = 16
 DEPTH = 16
 HIDDEN = 32
 ROUNDS = 2
-ONE_IN = 8
-BATCH = 128
+ONE_IN = 2
+BATCH = 256
 RATE = 0.05
 BLOCK = 4096  # parameters per averaged row
 GROUPS = 64  # first step of the average: tasks by number modulo this
@@ -81,6 +82,7 @@ class Vocabulary(NamedTuple):
 
 EDGE = INPUTS + TAIL  # the mark beyond the ends of a text
 N_INPUTS, N_CLASSES = INPUTS + TAIL + 1, OUTPUTS + TAIL
+STEPS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 _SHAPES = [(N_INPUTS, DEPTH), (2 * SIDE * DEPTH, HIDDEN), (HIDDEN,), (HIDDEN, N_CLASSES), (N_CLASSES,)]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
 N_PARAMETERS = sum(_SIZES)
@@ -109,44 +111,55 @@ def first_parameters(vocabulary: Vocabulary, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Input ids around the words ``at``, ``(n, 2 * SIDE)``; beyond the text's ends ``EDGE``."""
-    text = np.searchsorted(first, at, side="right") - 1
-    low, high = first[text], first[text + 1]
-    out = np.empty((len(at), 2 * SIDE), dtype=np.int64)
-    for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        place = at + step
-        inside = (place >= low) & (place < high)
-        out[:, j] = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], EDGE)
-    return out
+def spaced(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input ids of all texts with ``SIDE`` marks ``EDGE`` before and after each, and where every word is among them."""
+    place = np.arange(len(ids)) + SIDE * (np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1)
+    wide = np.full(len(ids) + SIDE * len(first), EDGE, dtype=np.uint16)
+    wide[place] = ids
+    return wide, place
 
 
-def class_log_probabilities(parts: list[np.ndarray], around: np.ndarray) -> np.ndarray:
+def around(wide: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch of ids that consecutive words look at, and the places in it of their neighbours, ``(n, 2 * SIDE)``."""
+    low, high = place[0] - SIDE, place[-1] + SIDE + 1
+    return wide[low:high], (place - low)[:, None] + STEPS
+
+
+def class_log_probabilities(parts: list[np.ndarray], ids: np.ndarray, near: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Log-probability of the class ``truth`` of every word."""
     embedding, hidden, hidden_shift, output, shift = parts
-    x = embedding[around].reshape(len(around), -1)
+    x = embedding[ids][near].reshape(len(near), -1)
     z = np.maximum(x @ hidden + hidden_shift, 0) @ output + shift
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    right = z[np.arange(len(z)), truth]
+    return right - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def _step(parts: list[np.ndarray], squares: list[np.ndarray], around: np.ndarray, truth: np.ndarray) -> None:
-    """One Adagrad step on a mini-batch, in place."""
+def _step(parts: list[np.ndarray], squares: list[np.ndarray], ids: np.ndarray, near: np.ndarray, truth: np.ndarray) -> None:
+    """One Adagrad step on a mini-batch of consecutive words, in place."""
     embedding, hidden, hidden_shift, output, shift = parts
-    n = len(around)
-    x = embedding[around].reshape(n, -1)
-    a = x @ hidden + hidden_shift
-    r = np.maximum(a, 0)
-    z = r @ output + shift
-    z -= z.max(axis=1, keepdims=True)
-    error = np.exp(z)
-    error /= error.sum(axis=1, keepdims=True)
-    error[np.arange(n), truth] -= 1
-    error /= n
-    back = (error @ output.T) * (a > 0)
-    d_x = (back @ hidden.T).reshape(-1, DEPTH)
-    used, place = np.unique(around.ravel(), return_inverse=True)
-    d_embedding = np.zeros((len(used), DEPTH), dtype=np.float32)
-    np.add.at(d_embedding, place, d_x)
+    n = len(near)
+    x = embedding[ids][near].reshape(n, -1)
+    r = x @ hidden
+    r += hidden_shift
+    np.maximum(r, 0, out=r)
+    error = r @ output
+    error += shift
+    error -= error.max(axis=1, keepdims=True)
+    np.exp(error, out=error)
+    error *= 1 / (n * error.sum(axis=1, keepdims=True))
+    error[np.arange(n), truth] -= np.float32(1 / n)
+    back = error @ output.T
+    back *= r > 0
+    d_x = (back @ hidden.T).reshape(n, 2 * SIDE, DEPTH)
+    d_ids = np.zeros((len(ids), DEPTH), dtype=np.float32)
+    for j in range(2 * SIDE):
+        d_ids[near[:, j]] += d_x[:, j]
+    order = np.argsort(ids, kind="stable")
+    known = ids[order]
+    start = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
+    used, d_embedding = known[start], np.add.reduceat(d_ids[order], start, axis=0)
+    # An id without a neighbour in the batch has no gradient and keeps its value.
     squares[0][used] += d_embedding * d_embedding
     embedding[used] -= RATE * d_embedding / np.sqrt(squares[0][used])
     gradients = (x.T @ back, back.sum(axis=0), r.T @ error, error.sum(axis=0))
@@ -216,15 +229,13 @@ def _trainer(shared, turn: int, one_in: int) -> Callable:
         for piece in t.pieces(batches, "text"):
             found = t.words(piece.column("text"), t.ALPHANUMERIC)
             total = len(found.hash)
-            at = np.arange(turn % one_in, total, one_in)
-            if not len(at):
-                continue
-            around = contexts(known.inputs(found.hash), found.first, at)
-            truth, _ = known.outputs(found.hash[at])
-            order = np.random.default_rng(total + turn).permutation(len(at))
-            for i in range(0, len(order), BATCH):
-                _step(parts, squares, around[order[i : i + BATCH]], truth[order[i : i + BATCH]])
-            n += len(at)
+            wide, place = spaced(known.inputs(found.hash), found.first)
+            truth, _ = known.outputs(found.hash)
+            begin = np.arange(turn % one_in * BATCH, total, one_in * BATCH)
+            for i in np.random.default_rng(total + turn).permutation(begin):
+                own = slice(i, min(i + BATCH, total))
+                _step(parts, squares, *around(wide, place[own]), truth[own])
+                n += own.stop - own.start
         if n:
             weighted = flat.astype(np.float64) * n
             blocks = [weighted[i : i + BLOCK].tolist() for i in range(0, N_PARAMETERS, BLOCK)]
@@ -253,13 +264,13 @@ def _added(rows: pa.Table) -> pa.Table:
 
 
 def train(texts: DataFrame, known: Vocabulary, rounds: int = ROUNDS, one_in: int = ONE_IN) -> np.ndarray:
-    """Parameters after ``rounds`` rounds over one of ``one_in`` places of all texts each."""
+    """Parameters after ``rounds`` rounds over one of ``one_in`` batches of all texts each, in turn."""
     spark = texts.sparkSession
     kind = "task long, block int, n long, values array<double>"
     parameters = first_parameters(known)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((known, parameters))
-        parts = texts.mapInArrow(_trainer(shared, turn * one_in // max(1, rounds), one_in), kind)
+        parts = texts.mapInArrow(_trainer(shared, turn, one_in), kind)
         some = parts.groupBy("block", F.pmod("task", F.lit(GROUPS)).alias("share")).applyInArrow(_added, kind)
         whole = some.groupBy("block").applyInArrow(_added, kind).toArrow().sort_by("block")
         if whole.num_rows:
@@ -274,12 +285,12 @@ def _scorer(shared) -> Callable:
         parts = unpacked(flat)
         for piece in t.pieces(batches, "text"):
             found = t.words(piece.column("text"), t.ALPHANUMERIC)
-            ids, (truth, within) = known.inputs(found.hash), known.outputs(found.hash)
-            each = np.empty(len(ids))
-            for i in range(0, len(ids), AT_ONCE):
-                at = np.arange(i, min(i + AT_ONCE, len(ids)))
-                logs = class_log_probabilities(parts, contexts(ids, found.first, at))
-                each[at] = logs[np.arange(len(at)), truth[at]]
+            wide, place = spaced(known.inputs(found.hash), found.first)
+            truth, within = known.outputs(found.hash)
+            each = np.empty(len(place))
+            for i in range(0, len(place), AT_ONCE):
+                own = slice(i, i + AT_ONCE)
+                each[own] = class_log_probabilities(parts, *around(wide, place[own]), truth[own])
             total = np.concatenate([[0.0], np.cumsum(each + within)])
             n = np.diff(found.first)
             score = total[found.first[1:]] - total[found.first[:-1]]

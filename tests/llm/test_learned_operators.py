@@ -152,6 +152,20 @@ def test_lm_training_beats_frequencies(spark):
     assert np.allclose(got, [*last, 0.0], rtol=1e-4)
 
 
+def test_lm_training_visits_every_word(spark):
+    """Over the default rounds every word of the corpus is a training target, and none twice."""
+    texts = [prose(i, n) for i, n in enumerate([1, 2, 300, 5_000, 40])] + [None, ""]
+    table = spark.createDataFrame([(x,) for x in texts], "text string").repartition(2).cache()
+    lm_score.ship(spark)
+    known = lm_score.vocabulary(table)
+    shared = spark.sparkContext.broadcast((known, lm_score.first_parameters(known)))
+    kind, n = "task long, block int, n long, values array<double>", 0
+    for turn in range(lm_score.ROUNDS):
+        found = table.mapInArrow(lm_score._trainer(shared, turn, lm_score.ONE_IN), kind)
+        n += sum(r["n"] for r in found.filter("block = 0").select("n").collect())
+    assert n == known.class_counts.sum() == 5_343
+
+
 def test_probabilities_add_up(spark):
     table = spark.createDataFrame([("a b c d e f g a b a",), ("h i j a",)], "text string")
     lm_score.ship(spark)
