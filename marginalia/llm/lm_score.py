@@ -5,9 +5,11 @@ go through a rectified layer and a softmax. A document's score is the sum of the
 log-probabilities of all its words.
 
 Words. Counts of all words of all documents give the vocabulary. The ``INPUTS`` most frequent words have
-embeddings of their own, the ``OUTPUTS`` most frequent ones outputs of their own; all others share
-``TAIL`` hashed classes. A word of such a class has the probability of the class divided by the number of distinct
-words that the corpus has in it, so the probabilities of all words of the corpus add up to one.
+embeddings of their own, the ``OUTPUTS`` most frequent ones outputs of their own. Up to ``KNOWN`` further words
+are cut, in the order of their counts, into ``MIDDLE`` classes of about equal share; the tasks hold them. All others are in
+``TAIL`` hashed classes. A word has the probability of its class times its share of the class's occurrences in
+the corpus, so the probabilities of all words of the corpus add up to one. The counts of the words that the tasks
+don't hold are joined in Spark, as whole billionths of logarithms, so that sums do not depend on order.
 
 Training is data-parallel: in every round each task starts from the same parameters, takes
 mini-batch steps over every ``ONE_IN``-th batch of consecutive words of all texts of its partition, and
@@ -37,7 +39,9 @@ from .workers import ship
 
 SIDE = 2
 INPUTS = 4096
+KNOWN = 65536
 OUTPUTS = 112
+MIDDLE = 128
 TAIL = 16
 DEPTH = 16
 HIDDEN = 32
@@ -49,39 +53,43 @@ BLOCK = 4096  # parameters per averaged row
 GROUPS = 64  # first step of the average: tasks by number modulo this
 AT_ONCE = 1024
 COUNTS_HELD = 1 << 21
+UNIT = 1e9  # logarithms of counts are summed in whole parts of this
 
 
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the frequent words with their ranks, and the distinct words per tail class."""
+    """Sorted hashes of the known words with their ranks; class and log-share in it by rank, 0 after the last."""
 
     hashes: np.ndarray
     ranks: np.ndarray
-    tail_types: np.ndarray
+    classes: np.ndarray
+    shares: np.ndarray
     class_counts: np.ndarray  # how often every output class occurs in the corpus
 
     def rank(self, h: np.ndarray) -> np.ndarray:
-        """Rank of every word, ``INPUTS`` and more for words without one."""
+        """Rank of every word, the number of known words for all others."""
         if not len(self.hashes):
-            return np.full(len(h), INPUTS)
+            return np.zeros(len(h), dtype=np.int64)
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, self.ranks[at], INPUTS)
+        return np.where(self.hashes[at] == h, self.ranks[at], len(self.hashes))
 
-    def inputs(self, h: np.ndarray) -> np.ndarray:
-        rank = self.rank(h)
-        return np.where(rank < INPUTS, rank, INPUTS + tail_class(h))
+    def rest(self, rank: np.ndarray) -> np.ndarray:
+        return rank == len(self.hashes)
 
-    def outputs(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of every word, and the log-probability of the word within its class."""
-        rank = self.rank(h)
-        tail = tail_class(h)
-        own = rank < OUTPUTS
-        within = np.where(own, 0.0, -np.log(np.maximum(self.tail_types, 1))[tail])
-        return np.where(own, rank, OUTPUTS + tail), within
+    def inputs(self, h: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+        rank = self.rank(h) if rank is None else rank
+        return np.where((rank < INPUTS) & ~self.rest(rank), rank, INPUTS + tail_class(h))
+
+    def outputs(self, h: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Class of every word, and the log-probability of the word within it; for the rest, less the log of its count."""
+        rank = self.rank(h) if rank is None else rank
+        rest, tail = self.rest(rank), tail_class(h)
+        within = np.where(rest, -np.log(np.maximum(self.class_counts[-TAIL:], 1))[tail], self.shares[rank])
+        return np.where(rest, OUTPUTS + MIDDLE + tail, self.classes[rank]), within
 
 
 EDGE = INPUTS + TAIL  # the mark beyond the ends of a text
-N_INPUTS, N_CLASSES = INPUTS + TAIL + 1, OUTPUTS + TAIL
+N_INPUTS, N_CLASSES = INPUTS + TAIL + 1, OUTPUTS + MIDDLE + TAIL
 STEPS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 _SHAPES = [(N_INPUTS, DEPTH), (2 * SIDE * DEPTH, HIDDEN), (HIDDEN,), (HIDDEN, N_CLASSES), (N_CLASSES,)]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
@@ -197,24 +205,40 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(parts)
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    """From the counts of all words of all documents."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``(word, n)`` for all words of all documents, written once."""
     counts = texts.mapInArrow(_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(INPUTS).toArrow()
-    hashes, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    return materialise(counts, "word-counts")
+
+
+def vocabulary(texts: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """From the counts of all words of all documents."""
+    counts = word_counts(texts) if counts is None else counts
+    # The most frequent words without a sort: whole steps of the logarithm, as many as fit.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("types")).toArrow().sort_by([("step", "descending")])
+    fits = np.cumsum(steps.column("types").to_numpy()) <= KNOWN
+    least = min(INPUTS, KNOWN, sum(steps.column("types").to_pylist()))
+    if steps.column("types").to_numpy()[fits].sum() >= least:
+        lowest = int(steps.column("step").to_numpy()[fits][-1]) if fits.any() else 0
+        top = counts.filter(step >= lowest).toArrow()
+    else:
+        top = counts.orderBy(F.desc("n"), "word").limit(least).toArrow()
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    hashes, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(float)
     tail_of = F.pmod(F.shiftrightunsigned("word", 60), F.lit(TAIL)).cast("int").alias("tail")
-    tails = counts.groupBy(tail_of).agg(F.count("*").alias("types"), F.sum("n").alias("n")).toArrow()
-    types, tokens = np.zeros(TAIL), np.zeros(TAIL)
-    types[tails.column("tail").to_numpy()] = tails.column("types").to_numpy()
+    tails = counts.groupBy(tail_of).agg(F.sum("n").alias("n")).toArrow()
+    tokens = np.zeros(TAIL)
     tokens[tails.column("tail").to_numpy()] = tails.column("n").to_numpy()
-    # Words with an output of their own are not in the tail.
-    np.subtract.at(types, tail_class(hashes[:OUTPUTS]), 1)
-    np.subtract.at(tokens, tail_class(hashes[:OUTPUTS]), n[:OUTPUTS])
-    own = np.zeros(OUTPUTS)
-    own[: len(n[:OUTPUTS])] = n[:OUTPUTS]
+    np.subtract.at(tokens, tail_class(hashes), n)
+    classes = np.arange(len(n) + 1)
+    middle = n[OUTPUTS:]
+    if len(middle):
+        classes[OUTPUTS:-1] = OUTPUTS + ((np.cumsum(middle) - middle / 2) * (MIDDLE / middle.sum())).astype(np.int64)
+    own = np.bincount(classes[:-1], n, OUTPUTS + MIDDLE)
+    shares = np.append(np.log(n / own[classes[:-1]]), 0.0)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order, types, np.concatenate([own, tokens]))
+    return Vocabulary(hashes[order], order, classes, shares, np.concatenate([own, tokens]))
 
 
 def _trainer(shared, turn: int, one_in: int) -> Callable:
@@ -229,8 +253,9 @@ def _trainer(shared, turn: int, one_in: int) -> Callable:
         for piece in t.pieces(batches, "text"):
             found = t.words(piece.column("text"), t.ALPHANUMERIC)
             total = len(found.hash)
-            wide, place = spaced(known.inputs(found.hash), found.first)
-            truth, _ = known.outputs(found.hash)
+            rank = known.rank(found.hash)
+            wide, place = spaced(known.inputs(found.hash, rank), found.first)
+            truth, _ = known.outputs(found.hash, rank)
             begin = np.arange(turn % one_in * BATCH, total, one_in * BATCH)
             for i in np.random.default_rng(total + turn).permutation(begin):
                 own = slice(i, min(i + BATCH, total))
@@ -280,13 +305,16 @@ def train(texts: DataFrame, known: Vocabulary, rounds: int = ROUNDS, one_in: int
 
 
 def _scorer(shared) -> Callable:
+    """Scores without the counts of the words ``rest`` that the vocabulary doesn't hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = shared.value
         parts = unpacked(flat)
         for piece in t.pieces(batches, "text"):
             found = t.words(piece.column("text"), t.ALPHANUMERIC)
-            wide, place = spaced(known.inputs(found.hash), found.first)
-            truth, within = known.outputs(found.hash)
+            rank = known.rank(found.hash)
+            wide, place = spaced(known.inputs(found.hash, rank), found.first)
+            truth, within = known.outputs(found.hash, rank)
             each = np.empty(len(place))
             for i in range(0, len(place), AT_ONCE):
                 own = slice(i, i + AT_ONCE)
@@ -294,9 +322,12 @@ def _scorer(shared) -> Callable:
             total = np.concatenate([[0.0], np.cumsum(each + within)])
             n = np.diff(found.first)
             score = total[found.first[1:]] - total[found.first[:-1]]
+            rest = known.rest(rank)
+            bounds = np.concatenate([[0], np.cumsum(rest)])[found.first]
+            rest = t.list_array(t.signed(found.hash[rest]), bounds, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc"), pa.array(n, pa.int64()), pa.array(score), pa.array(score / np.maximum(n, 1))],
-                ["doc", "n_words", "log_likelihood", "mean_log_likelihood"],
+                [piece.column("doc"), pa.array(n, pa.int64()), pa.array(score), rest],
+                ["doc", "n_words", "log_likelihood", "rest"],
             )
 
     return run
@@ -309,8 +340,17 @@ def score(
     spark = documents.sparkSession
     ship(spark)
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    known = vocabulary(texts.select("text"))
+    counts = word_counts(texts.select("text"))
+    known = vocabulary(texts.select("text"), counts)
     shared = spark.sparkContext.broadcast((known, train(texts.select("text"), known, rounds, one_in)))
-    return texts.mapInArrow(
-        _scorer(shared), "doc long, n_words long, log_likelihood double, mean_log_likelihood double"
-    )
+    kind = "doc long, n_words long, log_likelihood double, rest array<long>"
+    # The ids of the rows hold because the table is written.
+    scored = texts.mapInArrow(_scorer(shared), kind).withColumn("row", F.monotonically_increasing_id())
+    scored = materialise(scored, "word-scores")
+    units = F.round(F.log("n") * UNIT).cast("long").alias("units")
+    words = scored.select("row", F.explode("rest").alias("word")).join(counts.select("word", units), "word")
+    units = words.groupBy("row").agg(F.sum("units").alias("units"))
+    total = F.col("log_likelihood") + F.coalesce(F.col("units") / UNIT, F.lit(0.0))
+    scored = scored.drop("rest").join(units, "row", "left").withColumn("log_likelihood", total)
+    mean = F.col("log_likelihood") / F.greatest("n_words", F.lit(1))
+    return scored.select("doc", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))

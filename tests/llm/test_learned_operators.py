@@ -166,6 +166,33 @@ def test_lm_training_visits_every_word(spark):
     assert n == known.class_counts.sum() == 5_343
 
 
+def test_lm_tail_follows_counts(spark, monkeypatch):
+    """Every word has its share of the corpus, also those that no task holds; their counts are joined."""
+    monkeypatch.setattr(lm_score, "KNOWN", 300)
+    draw = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(900)]
+    texts = [" ".join(names[int(k)] for k in 900 * draw.random(200) ** 3) for _ in range(40)]
+    texts += [" ".join(names[600:]), texts[0], "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lm_score.ship(spark)
+    known = lm_score.vocabulary(table.select("text"))
+    assert 100 < len(known.hashes) <= 300
+    words, n = np.unique(t.words(pa.array(texts), t.ALPHANUMERIC).hash, return_counts=True)
+    rest = known.rest(known.rank(words))
+    assert rest.sum() == len(words) - len(known.hashes) > 300
+    classes, within = known.outputs(words)
+    shares = known.class_counts / known.class_counts.sum()
+    assert np.allclose(shares[classes] * np.exp(within) * np.where(rest, n, 1), n / n.sum())
+    count, is_rest = dict(zip(words.tolist(), n)), set(words[rest].tolist())
+    got = {r["doc_id"]: r for r in lm_score.score(table, rounds=0).withColumnRenamed("doc", "doc_id").collect()}
+    assert len(got) == len(texts) and got[0]["log_likelihood"] == pytest.approx(got[41]["log_likelihood"], rel=1e-9)
+    for i, plain in enumerate(plain_scores(texts, known, lm_score.first_parameters(known))):
+        own = t.words(pa.array([texts[i]], pa.string()), t.ALPHANUMERIC).hash.tolist()
+        expected = plain + sum(np.log(count[h]) for h in own if h in is_rest)
+        assert got[i]["log_likelihood"] == pytest.approx(expected, rel=1e-4, abs=1e-9)
+        assert got[i]["mean_log_likelihood"] == pytest.approx(expected / max(len(own), 1), rel=1e-4, abs=1e-9)
+
+
 def test_probabilities_add_up(spark):
     table = spark.createDataFrame([("a b c d e f g a b a",), ("h i j a",)], "text string")
     lm_score.ship(spark)
