@@ -5,7 +5,8 @@ the maximum of every filter over the window, and a softmax over the languages. A
 into consecutive windows over its whole text, its log-probabilities are the mean over them.
 
 The network is small and trained in numpy on the driver from a bounded sample: the
-``SAMPLE`` labelled rows with the smallest hash of their id, up to ``SAMPLE_WINDOWS`` windows each, evenly
+``SAMPLE`` labelled rows with the smallest hash of id and text, and of every language the ``LEAST`` rows with the
+smallest, so that rare languages are learnt too; up to ``SAMPLE_WINDOWS`` windows each, evenly
 spread over the text. Everything else runs in the tasks, batch by batch of windows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a short last window
@@ -20,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import text as t
 from .workers import ship
@@ -30,6 +31,7 @@ EMBEDDING = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE = 3000
+LEAST = 200
 SAMPLE_WINDOWS = 3
 EPOCHS = 6
 BATCH = 64
@@ -158,23 +160,32 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE
 ) -> Network | None:
-    """A network for the non-null labels of ``labelled``, from at most ``sample`` of its rows."""
+    """A network for the non-null labels of ``labelled``, from ``sample`` of its rows and at most ``LEAST`` more a label."""
     text, n = F.col(text_col), F.length(text_col)
     # Evenly spread parts of a long text; WINDOW characters hold at least as many bytes.
     parts = [
         F.substring(text, (F.lit(i) * (n / SAMPLE_WINDOWS)).cast("int") + 1, F.lit(WINDOW)) if i else F.substring(text, 1, WINDOW)
         for i in range(SAMPLE_WINDOWS)
     ]
+    rows = labelled.filter(F.col(label_col).isNotNull() & text.rlike(r"\p{L}")).select(
+        F.col(label_col).cast("string").alias("label"), F.array(*parts).alias("parts"), F.xxhash64(id_col, text_col).alias("h")
+    )
+    hashes = rows.select("label", "h")
+    last = hashes.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    # Each task passes on only its own LEAST smallest of a label.
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    own = hashes.withColumn("place", place).filter(F.col("place") <= LEAST).groupBy("label").agg(F.max("h").alias("own"))
+    # Copies of a row have one hash and count once.
     chosen = (
-        labelled.filter(F.col(label_col).isNotNull() & text.rlike(r"\p{L}"))
-        .select(F.col(label_col).cast("string").alias("label"), F.array(*parts).alias("parts"), F.xxhash64(id_col, text_col).alias("h"))
-        .orderBy("h")
-        .limit(sample)
+        rows.join(F.broadcast(own), "label")
+        .filter(F.col("h") <= F.greatest("own", F.lit(last)))
+        .dropDuplicates(["label", "h"])
         .toArrow()
+        .sort_by([("h", "ascending"), ("label", "ascending")])
     )
     labels = chosen.column("label").to_pylist()
-    if not labels:
-        return None
     languages = tuple(sorted(set(labels)))
     rows, truth = [], []
     for label, own in zip(labels, chosen.column("parts").to_pylist(), strict=True):

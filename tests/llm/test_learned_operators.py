@@ -31,6 +31,16 @@ def test_language_of_odd_rows(spark, odd_documents, no_documents):
     assert language_id.identify(no_documents, net).count() == 0
 
 
+def test_rare_language_is_learnt(spark):
+    """A language with a share far below that of the sample is in it all the same."""
+    names = "doc_id long, text string, lang string"
+    rows = [(i, TEXTS["xx"] * 5 + str(i), "xx") for i in range(9_000)] + [(9_000 + i, TEXTS["yy"] * 5, "yy") for i in range(2)]
+    net = language_id.fit(spark.createDataFrame(rows, names), sample=20)
+    assert net.languages == ("xx", "yy")
+    own = spark.createDataFrame([(k, v * 3) for k, v in TEXTS.items()], "lang string, text string")
+    assert all(r["row"]["lang"] == r["language"] for r in language_id.identify(own, net).collect())
+
+
 def test_language_without_labels(spark, odd_documents):
     assert language_id.fit(odd_documents.withColumn("lang", odd_documents["text"]).limit(0)) is None
     assert {r["language"] for r in language_id.identify(odd_documents, None).collect()} == {"und"}
