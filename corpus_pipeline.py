@@ -39,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest id."""
-    found = near_dedup.near_duplicates(docs, words=4)
+    found = near_dedup.near_duplicates(docs)
     dropped = materialise(found.filter("NOT kept AND doc IS NOT NULL").select(F.col("doc").alias("doc_id")), "copies")
     left = docs.join(dropped.distinct(), "doc_id", "left_anti").select(*_columns(docs))
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")

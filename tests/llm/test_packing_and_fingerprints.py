@@ -182,3 +182,12 @@ def test_pipeline_stages_without_rows(spark, sf):
     nothing = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf).count() == 0
+
+
+def test_pipeline_links_documents_by_five_words(spark, sf):
+    """One changed word of 44: similarity 37/45 on runs of four words, 35/45 on five."""
+    words = [f"word{i}" for i in range(44)]
+    other = [*words[:22], "changed", *words[23:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words))], "doc_id long, text string")
+    left = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2]
