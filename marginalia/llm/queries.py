@@ -18,6 +18,7 @@ from . import (
     suffix_dedup,
     toxicity,
     url_filter,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +186,13 @@ def op6_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    """A deviation beyond a long is null."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @query
 def op3_license_scan(spark, sf_dir):
     found = license_scan.scan(table(spark, sf_dir, "documents"))
