@@ -13,6 +13,7 @@ from . import (
     language_id,
     license_scan,
     lm_score,
+    merkle,
     near_dedup,
     packing,
     suffix_dedup,
@@ -193,6 +194,80 @@ def op11_whitening(spark, sf_dir):
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    ids = F.col("doc_id")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.coalesce(F.crc32(ids.cast("string")) % 5 == 0, F.lit(False))
+    text = F.when(changed, lowered).otherwise(F.col("text"))
+    keep = {"doc_id": ids, "tampered": merkle.leaf({"text": text})}
+    found = merkle.manifest(documents, keep=keep).proofs("doc_id", "tampered")
+    folded = found.withColumn("folded_root", merkle.fold(F.col("tampered"), F.col("path")))
+    return folded.select(
+        "doc_id",
+        F.col("hash").alias("leaf"),
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _merkle_sql() -> str:
+    def tree(name: str, leaves: str) -> str:
+        """Levels ``name`` of the nodes (k, idx, n, h), and the siblings of every node."""
+        return f"""{name} AS (
+  SELECT k, 0 AS lvl, idx, n, h FROM {leaves}
+  UNION ALL
+  SELECT k, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY k, lvl, idx // 16, n
+), {name}_sib AS (
+  SELECT k, lvl, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WHERE n > 1 WINDOW w AS (PARTITION BY k, lvl, idx // 16 ORDER BY idx)
+)"""
+
+    def climb(name: str, levels: str, start: str) -> str:
+        """Folded digests and proofs of the rows ``start`` (id, k, idx, h, p) at the top of their tree."""
+        return f"""{name}_steps AS (
+  SELECT id, k, 0 AS lvl, idx, h, p FROM {start}
+  UNION ALL
+  SELECT id, s.k, s.lvl + 1, s.idx // 16, sha256(l || s.h || r), p || l || r
+  FROM {name}_steps s JOIN {levels}_sib b ON b.k = s.k AND b.lvl = s.lvl AND b.idx = s.idx
+), {name} AS (
+  SELECT id, k, arg_max(h, lvl) AS h, arg_max(p, lvl) AS p FROM {name}_steps GROUP BY 1, 2
+)"""
+
+    def encoded(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR END"
+
+    fields = " || ".join(encoded(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bits = "list_reduce(list_concat([xor(a, b)], [0::BIGINT for i in range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    bytes_of = "list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295], {bytes_of}), lambda a, b: {bits}), 4294967295)"
+    return f"""
+WITH RECURSIVE src AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS k, sha256({fields} || {encoded("text")}) AS h,
+         sha256({fields} || {encoded(f"CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {_LOWERED} ELSE text END")}) AS t FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM src
+), {tree("low", "leaves")}, subs AS (
+  SELECT k AS grp, '' AS k, h, row_number() OVER (ORDER BY low.k) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), {tree("top", "subs")}, begun AS (
+  SELECT id, k, idx, t AS h, '' AS p FROM leaves
+), {climb("half", "low", "begun")}, middle AS (
+  SELECT id, subs.k, idx, half.h, p FROM half JOIN subs ON grp = half.k
+), {climb("whole", "top", "middle")}
+SELECT doc_id, leaves.h AS leaf, subs.h AS subroot, top.h AS root, sha256(whole.p) AS proof_sha256,
+       whole.h AS folded_root, whole.h = top.h AS verified
+FROM leaves JOIN whole ON whole.id = leaves.id JOIN subs ON grp = leaves.k JOIN top ON top.n = 1
+"""
+
+
+SQL["op12_merkle_manifest"] = _merkle_sql()
+
+
 @query
 def op3_license_scan(spark, sf_dir):
     found = license_scan.scan(table(spark, sf_dir, "documents"))
