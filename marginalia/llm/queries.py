@@ -16,6 +16,7 @@ from . import (
     merkle,
     near_dedup,
     packing,
+    quality_rank,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -187,6 +188,18 @@ def op6_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op13_quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.coalesce(language_id.remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality_rank.fit(documents, labels.filter(~held_out))
+    scored = quality_rank.quality(documents, model).withColumnRenamed("doc", "doc_id")
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_rank.CUT).cast("int").alias("predicted")
+    )
+
+
 @query
 def op11_whitening(spark, sf_dir):
     """A deviation beyond a long is null."""
