@@ -52,7 +52,7 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     """Struct ``(size, rule, verdict)`` of the longest rule that fits, else null."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    found = []
+    found = [F.lit(None).cast("struct<size: int, rule: string, verdict: string>")]
     for verdict, name, start in rules:
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(start)
         own = F.struct(
@@ -158,7 +158,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     joined = left_join_by_frequency(spelled, weights, "string", "n", table_bytes(weights, 48, "string"), 48)
     names = ["row", "page", "host", "path", "rule", "rule_verdict", "held"]
     total = F.sum("weight") if both_known else F.lit(0)
-    score = F.coalesce(F.round(total / F.count("string")).cast("long"), F.lit(0).cast("long"))
+    score = F.coalesce(F.round(F.try_divide(total, F.count("string"))).cast("long"), F.lit(0).cast("long"))
     scored = materialise(joined.groupBy(*names).agg(score.alias("score")), "url-scores")
     from_ = _threshold(scored)
     own = F.when(F.floor(F.col("score") / BIN) >= from_, "allow").otherwise("block")

@@ -32,6 +32,13 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _unassigned() -> np.ndarray:
+    """Code points that Python's Unicode tables don't know; the tokenizer's may be newer."""
+    table = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    table[list(_WHITE_SPACE)] = False
+    return table
+
+
 def _byte_alphabet() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, others follow from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,7 +62,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.classes, self.alphabet = _classes(), _byte_alphabet()
+        self.classes, self.unassigned, self.alphabet = _classes(), _unassigned(), _byte_alphabet()
         self._forget()
 
     def _forget(self) -> None:
@@ -79,8 +86,11 @@ class WordIds:
         self.place = np.insert(self.place, where, n + np.arange(len(hashes)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the bounds of the texts."""
-        special = [i for i, x in enumerate(texts) if self.special.search(x)]
+        """Ids of all texts one after the other, and the bounds of the texts.
+
+        Texts with special tokens, or with characters newer than Python's Unicode tables, go to the tokenizer itself.
+        """
+        special = [i for i, x in enumerate(texts) if self.special.search(x) or self._newer(x)]
         plain = [_normal(x) for x in texts]
         for i in special:
             plain[i] = ""
@@ -92,6 +102,9 @@ class WordIds:
             parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    def _newer(self, text: str) -> bool:
+        return not text.isascii() and bool(self.unassigned[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].any())
+
     def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)

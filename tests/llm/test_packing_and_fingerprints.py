@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 import corpus_pipeline
 from marginalia.llm import fingerprint, packing, queries
@@ -20,6 +20,7 @@ PIECES = ["'s", "'t", "'re", "'ll", "'", "''", "!'s", "don't", " ", "\n", " ",
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES) | st.text(max_size=4), max_size=12).map("".join), max_size=4))
+@example([":\U00013460", "a\u1c89 e\u0301", "plain"])
 def test_ids_equal_the_tokenizers(texts):
     texts = [x.encode("utf-8", "ignore").decode() for x in texts]
     ids, first = ENCODER.encode(texts)
@@ -27,6 +28,16 @@ def test_ids_equal_the_tokenizers(texts):
     assert got == [ENCODER.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_ids_of_code_points_of_all_planes():
+    draw = np.random.default_rng(8)
+    planes = [draw.integers(p << 16, (p + 1) << 16, 120) for p in range(17)] + [np.arange(0x13460, 0x13480)]
+    points = [c for c in np.concatenate(planes).tolist() if not 0xD800 <= c < 0xE000]
+    texts = [f":{chr(c)}a{chr(c)}1{chr(c)}" for c in points]
+    ids, first = ENCODER.encode(texts)
+    got = [ids[first[i] : first[i + 1]].tolist() for i in range(len(texts))]
+    assert len(texts) > 1000 and got == [ENCODER.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_ids_after_forgetting(monkeypatch):
     monkeypatch.setattr("marginalia.llm.wordids.KNOWN_WORDS", 10)
     encoder = WordIds(PATH)
