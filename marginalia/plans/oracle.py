@@ -456,6 +456,9 @@ ORACLE_SQL: dict[str, str] = {
             'classified_documents_20240102_030405' AS output, count(*) AS n FROM documents""",
     "csv_scan": f"""WITH {COMMENTS}, c AS (SELECT doc_id, lang, nullif(text, '') AS text FROM comments)
         SELECT doc_id, lang, {reason(null_reason='nan')} AS skip_reason, md5(text) AS text_md5 FROM c""",
+    "csv_spanning_scan": f"""WITH {COMMENTS}, c AS (SELECT doc_id, lang, nullif(text, '') AS text FROM comments)
+        SELECT doc_id, lang, md5(text) AS text_md5,
+               CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS line_ends, false AS misfit FROM c""",
     "csv_encodings": "SELECT 'utf-8' AS encoding, count(*) AS n_rows FROM documents",
     "labelled_scan": f"""WITH {LABELLED}
         SELECT doc_id, md5(text) AS text_md5, array_to_string(labels, '|') AS labels FROM labelled""",

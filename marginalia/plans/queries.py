@@ -625,6 +625,19 @@ def csv_scan(spark, sf_dir):
     )
 
 
+@query
+def csv_spanning_scan(spark, sf_dir):
+    """Comments whose fields run over line ends, from files that are read in parts."""
+    rows = sources.read_csv(spark, _comments_as_csv(spark, sf_dir), misfit_col=sources.MISFIT, split_bytes=0)
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "lang",
+        F.md5("text").alias("text_md5"),
+        F.regexp_count("text", F.lit("\n")).cast("bigint").alias("line_ends"),
+        F.col(sources.MISFIT).isNotNull().alias("misfit"),
+    )
+
+
 @query
 def csv_encodings(spark, sf_dir):
     """Rows per detected encoding of the files they were written to."""

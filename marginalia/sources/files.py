@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..errors import MissingColumnError
 from ..functions.files import file_name, file_suffix
 from ..session import materialise
+from .spanning import files_with_returns, read_spanning
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".orc": "orc"}
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -156,7 +157,7 @@ def _read_csv_group(
     misfit_col: str | None = None,
 ) -> DataFrame:
     names = _unique_names(columns) + ([misfit_col] if misfit_col else [])
-    schema = ", ".join(f"`{name.replace('`', '``')}` STRING" for name in names)
+    schema = _csv_schema(names)
     reader = (
         spark.read.options(**CSV_OPTIONS)
         .option("encoding", _SPARK_CHARSETS.get(encoding, encoding))
@@ -168,6 +169,26 @@ def _read_csv_group(
     return reader.schema(schema).csv(paths)
 
 
+def _csv_schema(names: Sequence[str]) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` STRING" for name in names)
+
+
+def _read_spanning_group(
+    spark: SparkSession, paths: list[str], columns: Sequence[str], encoding: str, misfit_col: str | None = None
+) -> DataFrame:
+    names = _unique_names(columns) + ([misfit_col] if misfit_col else [])
+    options = CSV_OPTIONS | ({"columnNameOfCorruptRecord": misfit_col} if misfit_col else {})
+    rows = read_spanning(spark, paths, _csv_schema(names), options, _SPARK_CHARSETS.get(encoding, encoding), names)
+    origin = [F.substring_index("_path", "/", -1).alias("source_file"), plain_path(F.col("_path")).alias("file_path")]
+    return rows.select(*origin, *[F.col(f"`{name.replace('`', '``')}`") for name in names])
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    """What Spark gives a task of a splittable file at most."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def _unique_names(columns: Sequence[str]) -> list[str]:
     """Spark needs distinct names: a nameless column gets its position, a repeat a number."""
     names: list[str] = []
@@ -199,6 +220,7 @@ def read_csv(
     missing_text: str = "raise",
     facts: DataFrame | None = None,
     misfit_col: str | None = None,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """CSV files bound by header name, every column a string, file of origin first.
 
@@ -219,23 +241,32 @@ def read_csv(
     facts = text_facts(spark, paths) if facts is None else facts
     groups = (
         facts.groupBy("header", "encoding", "spans_lines")
-        .agg(F.sort_array(F.collect_list("file_path")).alias("paths"))
+        .agg(F.sort_array(F.collect_list(F.struct("file_path", "size_bytes"))).alias("files"))
         .orderBy("header", "encoding", "spans_lines")
         .collect()
     )
     # Columns come out in the order in which the given files introduce them.
     place = {_bare(path): i for i, path in enumerate(paths)}
-    groups.sort(key=lambda g: min(place.get(_bare(path), len(place)) for path in g["paths"]))
+    groups = [({f["file_path"]: f["size_bytes"] for f in g["files"]}, g) for g in groups]
+    groups.sort(key=lambda x: min(place.get(_bare(path), len(place)) for path in x[0]))
+    bound = _split_bytes(spark) if split_bytes is None else split_bytes
+    large = [p for sizes, g in groups if g["spans_lines"] for p in sizes if sizes[p] > bound]
+    # A carriage return alone may end records, too; Spark's reader tells by the whole file.
+    large = set(large) - files_with_returns(spark, large)
     parts = []
-    for group in groups:
+    for sizes, group in groups:
+        members = list(sizes)
         charset = encoding or group["encoding"]
-        names = _whole_header(spark, group["paths"][0], group["header"], charset)
+        names = _whole_header(spark, members[0], group["header"], charset)
         if text_col not in names:
             if missing_text == "raise":
-                raise MissingColumnError(f"no column {text_col!r} in {group['paths'][0]}")
+                raise MissingColumnError(f"no column {text_col!r} in {members[0]}")
             continue
-        rows = _read_csv_group(spark, group["paths"], names, charset, group["spans_lines"], misfit_col)
-        parts.append(with_origin(rows))
+        in_parts, others = [p for p in members if p in large], [p for p in members if p not in large]
+        if others:
+            parts.append(with_origin(_read_csv_group(spark, others, names, charset, group["spans_lines"], misfit_col)))
+        if in_parts:
+            parts.append(_read_spanning_group(spark, in_parts, names, charset, misfit_col))
     if parts:
         return union_by_name(parts)
     empty = empty_comments(spark, text_col)

@@ -1,11 +1,13 @@
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.errors import MissingColumnError
 from marginalia.sinks import tables as sinks
-from marginalia.sources import files
+from marginalia.sources import files, spanning
 from marginalia.sources.labelled import read_labelled
 
 
@@ -47,18 +49,93 @@ def test_invalid_byte_far_into_the_file(spark, folder):
     assert files.read_csv(spark, [late]).filter("text = 'café'").count() == 1
 
 
-def test_large_files_stay_splittable_unless_records_span_lines(spark, folder):
+@pytest.fixture
+def small_splits(spark):
+    """Parts of 16 KB, as a stand-in for large files."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "16k")
+    spark.conf.set(names[1], "1")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_large_files_are_read_in_parts(spark, folder, small_splits):
     flat = put(folder, "flat.csv", "text,n\n" + "".join(f"row {i},{i}\n" for i in range(3000)))
     folded = put(folder, "folded.csv", "text,n\n" + "".join(f'"row\n{i}",{i}\n' for i in range(3000)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    returns = put(folder, "returns.csv", "text,n\r" + "".join(f'"row\r{i}",{i}\r' for i in range(3000)))
+    flat_rows, folded_rows = files.read_csv(spark, [flat]), files.read_csv(spark, [folded])
+    assert flat_rows.rdd.getNumPartitions() > 1
+    for rows in (flat_rows, folded_rows, files.read_csv(spark, [returns])):
+        assert rows.selectExpr("count(*)", "sum(n)").first() == (3000, 4498500)
+    lines = spanning.lines_with_steps(spark, [folded])
+    assert lines.rdd.getNumPartitions() > 3
+    assert {r["text"] for r in folded_rows.collect()} == {f"row\n{i}" for i in range(3000)}
+
+
+def whole(spark, path, schema):
+    """The rows as one task reads them."""
+    reader = spark.read.options(**files.CSV_OPTIONS).option("multiLine", "true").option("columnPruning", "false")
+    return Counter(tuple(r) for r in reader.option("columnNameOfCorruptRecord", "misfit").schema(schema).csv(path).collect())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parts_give_the_rows_of_a_whole_read(spark, folder, seed):
+    """Fields of quotes, commas and line ends, well formed or not, cut anywhere."""
+    draw = random.Random(seed)
+    end = "\r\n" if seed == 2 else "\n"
+
+    def field():
+        text = "".join(draw.choice('ab,"\n é') for _ in range(draw.randint(0, 8)))
+        quoted = draw.random() < 0.7 or any(c in text for c in ',"\n')
+        return '"' + text.replace('"', '""') + '"' if quoted else text
+
+    if seed % 2:  # quotes anywhere, but closed in the end
+        body = "".join(draw.choice(['"', "a", "b", ",", "\n", '""', " "]) for _ in range(600)) + '\n"",1\n'
+        body += '"' * (spanned(body) % 2) + "\n"
+    else:
+        body = "".join(f"{field()},{field()}{',more' * (draw.random() < 0.1)}{end}" for _ in range(120))
+    path = put(folder, "f.csv", f"text,y{end}" + body)
+    wanted = whole(spark, path, "text STRING, y STRING, misfit STRING")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        flat_rows, folded_rows = files.read_csv(spark, [flat]), files.read_csv(spark, [folded])
-        assert flat_rows.rdd.getNumPartitions() > 1 and folded_rows.rdd.getNumPartitions() == 1
-        assert flat_rows.selectExpr("count(*)", "sum(n)").first() == (3000, 4498500)
-        assert folded_rows.selectExpr("count(*)", "sum(n)").first() == (3000, 4498500)
+        rows = files.read_csv(spark, [path], misfit_col="misfit", split_bytes=0)
+        got = Counter((r["text"], r["y"], r["misfit"]) for r in rows.collect())
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == wanted
+
+
+def spanned(body):
+    """Quoted fields left open at the end, by a walk over the characters."""
+    state = "start"
+    for c in body:
+        if state == "quoted":
+            state = "closing" if c == '"' else "quoted"
+        elif state == "closing" and c == '"':
+            state = "quoted"
+        elif c in ",\n":
+            state = "start"
+        else:
+            state = "quoted" if state == "start" and c == '"' else "plain"
+    return state == "quoted"
+
+
+def test_parts_of_several_files_with_encodings_and_odd_headers(spark, folder, small_splits):
+    latin = put(folder, "with space+.csv", "n,text\n" + "".join(f'{i},"é\n{i}"\n' for i in range(2500)), "latin-1")
+    plain = put(folder, "b.csv", '\ufefftext,"a\nb"\n' + "".join(f'"ü\n{i}",{i}\n' for i in range(2500)))
+    rows = files.read_csv(spark, [plain, latin])
+    assert rows.columns == ["source_file", "file_path", "text", "a\nb", "n"]
+    found = Counter((r["source_file"], r["text"], r["n"] or r["a\nb"]) for r in rows.collect())
+    named = {"b.csv": "ü", rows.filter("n IS NOT NULL").first()["source_file"]: "é"}
+    assert len(named) == 2 and found == Counter((f, f"{c}\n{i}", str(i)) for f, c in named.items() for i in range(2500))
+    assert {r["file_path"] for r in rows.select("file_path").distinct().collect()} == {f"file:{plain}", f"file:{latin}"}
+    report = {r["file_path"]: r["n_rows"] for r in files.validate_files(spark, [plain, latin]).report.collect()}
+    assert set(report.values()) == {2500}
 
 
 def test_many_files_keep_their_own_header(spark, folder, capsys):
