@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every word is predicted from the ``SIDE`` words before and after it: their embeddings, one after the other,
-go through a rectified layer and a softmax. A document's score is the sum of the conditional
+go through a rectified layer and a softmax of two levels: over ``SETS`` of classes, then over the classes of one set, so
+a word costs ``SETS + SET_SIZE`` outputs whatever the number of classes. A document's score is the sum of the conditional
 log-probabilities of all its words.
 
 Words. Counts of all words of all documents give the vocabulary. The ``INPUTS`` most frequent words have
@@ -14,7 +15,7 @@ don't hold are joined in Spark, as whole billionths of logarithms, so that sums
 Training is data-parallel: in every round each task starts from the same parameters, takes
 mini-batch steps over every ``ONE_IN``-th batch of consecutive words of all texts of its partition, and
 gives its parameters, weighted with the number of places. The rounds take turns, so with as many rounds as ``ONE_IN`` every
-word of the corpus is a target once. The parameters are averaged in two grouped steps; what is gathered grows
+word of the corpus is a target once. The parameters are averaged in grouped steps of at most ``FAN`` tasks each; what is gathered grows
 with the corpus, what the driver gets is one set of parameters. Network and vocabulary have fixed sizes and
 are broadcast.
 
@@ -30,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -47,10 +49,11 @@ DEPTH = 16
 HIDDEN = 32
 ROUNDS = 2
 ONE_IN = 2
-BATCH = 256
+BATCH = 1024
+ROWS = 32  # slots of a block of words of one set
 RATE = 0.05
 BLOCK = 4096  # parameters per averaged row
-GROUPS = 64  # first step of the average: tasks by number modulo this
+FAN = 64  # tasks that one step of the average adds up
 AT_ONCE = 1024
 COUNTS_HELD = 1 << 21
 UNIT = 1e9  # logarithms of counts are summed in whole parts of this
@@ -91,7 +94,12 @@ class Vocabulary(NamedTuple):
 EDGE = INPUTS + TAIL  # the mark beyond the ends of a text
 N_INPUTS, N_CLASSES = INPUTS + TAIL + 1, OUTPUTS + MIDDLE + TAIL
 STEPS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-_SHAPES = [(N_INPUTS, DEPTH), (2 * SIDE * DEPTH, HIDDEN), (HIDDEN,), (HIDDEN, N_CLASSES), (N_CLASSES,)]
+SET_SIZE = 32
+SETS = -(-N_CLASSES // SET_SIZE)  # classes in order, so the first sets hold the most frequent words
+_SHAPES = [
+    (N_INPUTS, DEPTH), (2 * SIDE * DEPTH, HIDDEN), (HIDDEN,),
+    (HIDDEN, SETS), (SETS,), (SETS, HIDDEN, SET_SIZE), (SETS, SET_SIZE),
+]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
 N_PARAMETERS = sum(_SIZES)
 
@@ -101,7 +109,7 @@ def tail_class(h: np.ndarray) -> np.ndarray:
 
 
 def unpacked(parameters: np.ndarray) -> list[np.ndarray]:
-    """Views of the flat parameters: embeddings, hidden weights and shifts, output weights and shifts."""
+    """Views of the flat parameters: embeddings, hidden weights and shifts, then weights and shifts of sets and of classes in them."""
     ends = np.cumsum(_SIZES)
     return [parameters[e - n : e].reshape(s) for e, n, s in zip(ends, _SIZES, _SHAPES, strict=True)]
 
@@ -110,12 +118,16 @@ def first_parameters(vocabulary: Vocabulary, seed: int = 5) -> np.ndarray:
     """Small random weights; the output shifts start at the classes' share of the corpus."""
     draw = np.random.default_rng(seed)
     flat = np.zeros(N_PARAMETERS, dtype=np.float32)
-    embedding, hidden, _, output, shift = unpacked(flat)
+    embedding, hidden, _, of_sets, set_shift, of_classes, shift = unpacked(flat)
     embedding[:] = draw.normal(0, 0.3, embedding.shape)
     hidden[:] = draw.normal(0, 1 / np.sqrt(len(hidden)), hidden.shape)
-    output[:] = draw.normal(0, 0.05, output.shape)
-    counts = vocabulary.class_counts + 1.0
-    shift[:] = np.log(counts / counts.sum())
+    of_sets[:] = draw.normal(0, 0.05, of_sets.shape)
+    of_classes[:] = draw.normal(0, 0.05, of_classes.shape)
+    counts = np.full(SETS * SET_SIZE, 1e-9)
+    counts[:N_CLASSES] = vocabulary.class_counts + 1.0
+    counts = counts.reshape(SETS, SET_SIZE)
+    set_shift[:] = np.log(counts.sum(axis=1) / counts.sum())
+    shift[:] = np.log(counts / counts.sum(axis=1, keepdims=True))
     return flat
 
 
@@ -133,47 +145,119 @@ def around(wide: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return wide[low:high], (place - low)[:, None] + STEPS
 
 
+def _inputs(embedding: np.ndarray, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Embeddings of the neighbours of every word, side by side."""
+    return embedding[ids][near].reshape(len(near), -1)
+
+
+def _hidden(parts: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    r = x @ parts[1]
+    r += parts[2]
+    return np.maximum(r, 0, out=r)
+
+
+class Dealt(NamedTuple):
+    """Words dealt to blocks of ``ROWS`` slots by the set of their class, so that each block needs one set's weights.
+
+    The blocks of all sets are one batch of matrix products; slots left over in a set's last block count for nothing.
+    """
+
+    sets: np.ndarray  # set of every word
+    members: np.ndarray  # class of every word within its set
+    slots: np.ndarray  # slot of every word
+    blocks: np.ndarray  # set of every block
+
+    def put(self, r: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.blocks) * ROWS, r.shape[1]), dtype=np.float32)
+        out[self.slots] = r
+        return out.reshape(len(self.blocks), ROWS, -1)
+
+
+def dealt(truth: np.ndarray) -> Dealt:
+    sets = truth // SET_SIZE
+    order = np.argsort(sets, kind="stable")
+    counts = np.bincount(sets, minlength=SETS)
+    blocks = -(-counts // ROWS)
+    begin = ROWS * (np.cumsum(blocks) - blocks) - (np.cumsum(counts) - counts)
+    slots = np.empty(len(truth), dtype=np.int64)
+    slots[order] = begin[sets[order]] + np.arange(len(truth))
+    return Dealt(sets, truth - sets * SET_SIZE, slots, np.repeat(np.arange(SETS), blocks))
+
+
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest logit of every row, exponentials of what is below it, and their sum."""
+    top = z.max(axis=-1, keepdims=True)
+    z -= top
+    np.exp(z, out=z)
+    return top, z, z.sum(axis=-1, keepdims=True)
+
+
 def class_log_probabilities(parts: list[np.ndarray], ids: np.ndarray, near: np.ndarray, truth: np.ndarray) -> np.ndarray:
-    """Log-probability of the class ``truth`` of every word."""
-    embedding, hidden, hidden_shift, output, shift = parts
-    x = embedding[ids][near].reshape(len(near), -1)
-    z = np.maximum(x @ hidden + hidden_shift, 0) @ output + shift
-    z -= z.max(axis=1, keepdims=True)
-    right = z[np.arange(len(z)), truth]
-    return right - np.log(np.exp(z, out=z).sum(axis=1))
+    """Log-probability of the class ``truth`` of every word: of its set, and of the class in the set."""
+    r, at, n = _hidden(parts, _inputs(parts[0], ids, near)), dealt(truth), len(truth)
+    outer = r @ parts[3]
+    outer += parts[4]
+    inner = np.matmul(at.put(r), parts[5][at.blocks])
+    inner += parts[6][at.blocks][:, None, :]
+    inner = inner.reshape(-1, SET_SIZE)
+    found = outer[np.arange(n), at.sets] + inner[at.slots, at.members]
+    for z, rows in ((outer, slice(None)), (inner, at.slots)):
+        top, _, total = _exponentials(z)
+        found -= (top + np.log(total))[rows, 0]
+    return found
+
+
+def _update(p: np.ndarray, s: np.ndarray, g: np.ndarray) -> None:
+    s += g * g
+    p -= RATE * g / np.sqrt(s)
+
+
+def _update_some(p: np.ndarray, s: np.ndarray, g: np.ndarray, rows: np.ndarray) -> None:
+    """The same for some rows; the others have no gradient and keep their values."""
+    squares = s[rows] + g * g
+    s[rows] = squares
+    p[rows] -= RATE * g / np.sqrt(squares)
 
 
 def _step(parts: list[np.ndarray], squares: list[np.ndarray], ids: np.ndarray, near: np.ndarray, truth: np.ndarray) -> None:
     """One Adagrad step on a mini-batch of consecutive words, in place."""
-    embedding, hidden, hidden_shift, output, shift = parts
-    n = len(near)
-    x = embedding[ids][near].reshape(n, -1)
-    r = x @ hidden
-    r += hidden_shift
-    np.maximum(r, 0, out=r)
-    error = r @ output
-    error += shift
-    error -= error.max(axis=1, keepdims=True)
-    np.exp(error, out=error)
-    error *= 1 / (n * error.sum(axis=1, keepdims=True))
-    error[np.arange(n), truth] -= np.float32(1 / n)
-    back = error @ output.T
+    n, at = len(near), dealt(truth)
+    x = _inputs(parts[0], ids, near)
+    r = _hidden(parts, x)
+    outer = r @ parts[3]
+    outer += parts[4]
+    _, _, total = _exponentials(outer)
+    outer *= 1 / (n * total)
+    outer[np.arange(n), at.sets] -= np.float32(1 / n)
+    dealt_r, weights = at.put(r), parts[5][at.blocks]
+    inner = np.matmul(dealt_r, weights)
+    inner += parts[6][at.blocks][:, None, :]
+    _, _, total = _exponentials(inner)
+    share = np.zeros(len(at.blocks) * ROWS, dtype=np.float32)
+    share[at.slots] = 1 / n
+    inner *= share.reshape(-1, ROWS, 1) / total
+    inner.reshape(-1, SET_SIZE)[at.slots, at.members] -= np.float32(1 / n)
+    back = outer @ parts[3].T
+    back += np.matmul(inner, weights.transpose(0, 2, 1)).reshape(-1, HIDDEN)[at.slots]
     back *= r > 0
-    d_x = (back @ hidden.T).reshape(n, 2 * SIDE, DEPTH)
+    d_x = (back @ parts[1].T).reshape(n, 2 * SIDE, DEPTH)
     d_ids = np.zeros((len(ids), DEPTH), dtype=np.float32)
+    # Consecutive words: at one offset no place occurs twice.
     for j in range(2 * SIDE):
         d_ids[near[:, j]] += d_x[:, j]
-    order = np.argsort(ids, kind="stable")
-    known = ids[order]
+    by_id = np.argsort(ids, kind="stable")
+    known = ids[by_id]
     start = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
-    used, d_embedding = known[start], np.add.reduceat(d_ids[order], start, axis=0)
-    # An id without a neighbour in the batch has no gradient and keeps its value.
-    squares[0][used] += d_embedding * d_embedding
-    embedding[used] -= RATE * d_embedding / np.sqrt(squares[0][used])
-    gradients = (x.T @ back, back.sum(axis=0), r.T @ error, error.sum(axis=0))
-    for p, s, g in zip(parts[1:], squares[1:], gradients, strict=True):
-        s += g * g
-        p -= RATE * g / np.sqrt(s)
+    _update_some(parts[0], squares[0], np.add.reduceat(d_ids[by_id], start, axis=0), known[start])
+    _update(parts[1], squares[1], x.T @ back)
+    _update(parts[2], squares[2], back.sum(axis=0))
+    _update(parts[3], squares[3], r.T @ outer)
+    _update(parts[4], squares[4], outer.sum(axis=0))
+    first = np.flatnonzero(np.append(True, at.blocks[1:] != at.blocks[:-1]))
+    own = at.blocks[first]
+    d_weights = np.matmul(dealt_r.transpose(0, 2, 1), inner)
+    _update_some(parts[5], squares[5], np.add.reduceat(d_weights, first, axis=0), own)
+    _update_some(parts[6], squares[6], np.add.reduceat(inner.sum(axis=1), first, axis=0), own)
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,15 +359,15 @@ def _trainer(shared, turn: int, one_in: int) -> Callable:
 
 
 def _added(rows: pa.Table) -> pa.Table:
-    """Sum of the blocks of a group, in the order of tasks."""
+    """Sum of the at most ``FAN`` blocks of a group, in the order of tasks."""
     rows = rows.sort_by("task")
-    values = np.sum([np.asarray(v) for v in rows.column("values").to_pylist()], axis=0)
+    values = rows.column("values").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0)
     return pa.table(
         {
-            "task": pa.array([rows.column("task")[0].as_py()], pa.int64()),
+            "task": pa.array([rows.column("task")[0].as_py() // FAN], pa.int64()),
             "block": pa.array([rows.column("block")[0].as_py()], pa.int32()),
-            "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()),
-            "values": pa.array([values.tolist()], pa.list_(pa.float64())),
+            "n": pa.array([pc.sum(rows.column("n")).as_py()], pa.int64()),
+            "values": t.list_array(values, np.array([0, len(values)]), pa.float64()),
         }
     )
 
@@ -296,8 +380,14 @@ def train(texts: DataFrame, known: Vocabulary, rounds: int = ROUNDS, one_in: int
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((known, parameters))
         parts = texts.mapInArrow(_trainer(shared, turn, one_in), kind)
-        some = parts.groupBy("block", F.pmod("task", F.lit(GROUPS)).alias("share")).applyInArrow(_added, kind)
-        whole = some.groupBy("block").applyInArrow(_added, kind).toArrow().sort_by("block")
+        # As many steps as the tasks need, so that no group holds more than FAN blocks.
+        tasks = texts.rdd.getNumPartitions()
+        while True:
+            parts = parts.groupBy("block", F.floor(F.col("task") / FAN).alias("share")).applyInArrow(_added, kind)
+            if tasks <= FAN:
+                break
+            tasks = -(-tasks // FAN)
+        whole = parts.toArrow().sort_by("block")
         if whole.num_rows:
             values = np.concatenate([np.asarray(v) for v in whole.column("values").to_pylist()])
             parameters = (values / whole.column("n")[0].as_py()).astype(np.float32)

@@ -121,15 +121,20 @@ def test_toxicity_of_odd_rows(spark, odd_documents, no_documents):
 
 
 def plain_scores(texts, known, parameters):
-    embedding, hidden, hidden_shift, output, shift = lm_score.unpacked(parameters)
+    embedding, hidden, hidden_shift, of_sets, set_shift, of_classes, shift = lm_score.unpacked(parameters)
+
+    def log_share(z, i):
+        return z[i] - np.log(np.exp(z - z.max()).sum()) - z.max()
+
     out = []
     for text in texts:
         h = t.words(pa.array([text], pa.string()), t.ALPHANUMERIC).hash
         ids, (truth, within), total = known.inputs(h), known.outputs(h), 0.0
         for i in range(len(h)):
             around = [ids[j] if 0 <= j < len(h) else lm_score.EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
-            z = np.maximum(np.concatenate([embedding[a] for a in around]) @ hidden + hidden_shift, 0) @ output + shift
-            total += z[truth[i]] - np.log(np.exp(z - z.max()).sum()) - z.max() + within[i]
+            r = np.maximum(np.concatenate([embedding[a] for a in around]) @ hidden + hidden_shift, 0)
+            k, own = divmod(int(truth[i]), lm_score.SET_SIZE)
+            total += log_share(r @ of_sets + set_shift, k) + log_share(r @ of_classes[k] + shift[k], own) + within[i]
         out.append(total)
     return out
 
