@@ -462,6 +462,9 @@ ORACLE_SQL: dict[str, str] = {
     "csv_encodings": "SELECT 'utf-8' AS encoding, count(*) AS n_rows FROM documents",
     "labelled_scan": f"""WITH {LABELLED}
         SELECT doc_id, md5(text) AS text_md5, array_to_string(labels, '|') AS labels FROM labelled""",
+    "labelled_surplus": """SELECT doc_id, 'a, "b"' || n_chars AS text, lang AS labels,
+          CASE WHEN doc_id % 10 = 0 THEN doc_id || ',"a, ""b""' || n_chars || '",' || lang || ',' || source END AS surplus
+        FROM documents""",
     "batch_run": f"""WITH {TRIAGED}
         SELECT CAST(1 AS BIGINT) AS not_found, count(*) AS total_rows,
                count(*) FILTER (skip_reason = 'none') AS processed,

@@ -664,6 +664,18 @@ def labelled_scan(spark, sf_dir):
     )
 
 
+@query
+def labelled_surplus(spark, sf_dir):
+    """Labelled CSV rows of which every tenth has a label more than the header: reported, none lost silently."""
+    folder = fresh_folder(spark, "labelled-surplus")
+    line = F.concat_ws(",", "doc_id", F.concat(F.lit('"a, ""b""'), F.col("n_chars"), F.lit('"')), "lang", F.when(F.col("doc_id") % 10 == 0, F.col("source")))
+    # One column of text, written as it is: its name and cells are the lines of the files.
+    plain = t.documents(spark, sf_dir).select(line.alias("doc_id,comment,labels"))
+    plain.write.option("header", True).option("quote", "").option("escape", "").option("sep", "\u0001").csv(f"{folder}/surplus.csv")
+    rows = read_labelled(spark, [f"{folder}/surplus.csv"], "comment", "labels", ["doc_id"], surplus_col="surplus")
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _joined("labels").alias("labels"), "surplus")
+
+
 @query
 def batch_run(spark, sf_dir):
     """Score two folders of CSV files in one run, plus one path that does not exist."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..errors import MissingColumnError
 from ..functions.files import file_name, file_suffix
 from ..session import materialise
-from .spanning import files_with_returns, read_spanning
+from .spanning import files_with_returns, n_fields, read_spanning
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".orc": "orc"}
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -221,6 +221,7 @@ def read_csv(
     facts: DataFrame | None = None,
     misfit_col: str | None = None,
     split_bytes: int | None = None,
+    surplus_only: bool = False,
 ) -> DataFrame:
     """CSV files bound by header name, every column a string, file of origin first.
 
@@ -228,7 +229,7 @@ def read_csv(
     encoding) and each group is read with its own columns, then united by name. ``facts`` takes
     the result of an earlier ``text_facts``; files that are known to share one header and encoding
     can skip that pass altogether by passing both. ``misfit_col`` names a column that holds the
-    record where it has more or fewer fields than the header.
+    record where it has more or fewer fields than the header, with ``surplus_only`` more fields only.
 
     How records end depends on a file's content alone, not on its size: a file in which a quoted
     field runs over a line end is read record by record, every other one by its lines and stays splittable.
@@ -263,10 +264,15 @@ def read_csv(
                 raise MissingColumnError(f"no column {text_col!r} in {members[0]}")
             continue
         in_parts, others = [p for p in members if p in large], [p for p in members if p not in large]
+        found = []
         if others:
-            parts.append(with_origin(_read_csv_group(spark, others, names, charset, group["spans_lines"], misfit_col)))
+            found.append(with_origin(_read_csv_group(spark, others, names, charset, group["spans_lines"], misfit_col)))
         if in_parts:
-            parts.append(_read_spanning_group(spark, in_parts, names, charset, misfit_col))
+            found.append(_read_spanning_group(spark, in_parts, names, charset, misfit_col))
+        if misfit_col and surplus_only:
+            surplus = F.when(n_fields(F.col(misfit_col)) > len(names), F.col(misfit_col))
+            found = [rows.withColumn(misfit_col, surplus) for rows in found]
+        parts += found
     if parts:
         return union_by_name(parts)
     empty = empty_comments(spark, text_col)
@@ -307,10 +313,11 @@ def read_tables(
     text_col: str = "text",
     missing_text: str = "raise",
     csv_facts: DataFrame | None = None,
+    surplus_col: str | None = None,
 ) -> DataFrame:
     """Comments from CSV, JSON lines, Parquet and ORC files, with their file of origin.
 
-    A file that can't be read to its end fails the job; ``validate_files`` finds such files.
+    ``surplus_col`` names a column for the CSV records that have more fields than their header. A file that can't be read to its end fails the job; ``validate_files`` finds such files.
     """
     by_format: dict[str, list[str]] = {}
     for path in paths:
@@ -319,7 +326,15 @@ def read_tables(
     for kind, members in sorted(by_format.items()):
         if kind == "csv":
             parts.append(
-                read_csv(spark, members, text_col, missing_text=missing_text, facts=csv_facts)
+                read_csv(
+                    spark,
+                    members,
+                    text_col,
+                    missing_text=missing_text,
+                    facts=csv_facts,
+                    misfit_col=surplus_col,
+                    surplus_only=surplus_col is not None,
+                )
             )
             continue
         table = _load(spark, kind, members)
@@ -328,7 +343,10 @@ def read_tables(
                 raise MissingColumnError(f"no column {text_col!r} in {members[0]}")
             continue
         parts.append(with_origin(table))
-    return union_by_name(parts) if parts else empty_comments(spark, text_col)
+    rows = union_by_name(parts) if parts else empty_comments(spark, text_col)
+    if surplus_col and surplus_col not in rows.columns:
+        rows = rows.withColumn(surplus_col, F.lit(None).cast("string"))
+    return rows
 
 
 def _load(spark: SparkSession, kind: str, paths: Sequence[str]) -> DataFrame:

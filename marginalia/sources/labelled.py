@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.columns import all_named
 from ..operators.labels import labelled_table
 from .files import read_tables
 
+_SURPLUS = "_record_with_surplus_fields"
+
 
 def read_labelled(
     spark: SparkSession,
@@ -16,6 +19,19 @@ def read_labelled(
     text_col: str = "text",
     labels_col: str = "labels",
     keep: Sequence[str] = (),
+    surplus_col: str | None = None,
 ) -> DataFrame:
-    """``(keep..., text, labels ARRAY<STRING>)`` from labelled files."""
-    return labelled_table(read_tables(spark, paths, text_col), text_col, labels_col, keep)
+    """``(keep..., text, labels ARRAY<STRING>)`` from labelled files.
+
+    A CSV record with more fields than its header has labels that no column takes. The job that reads it fails and
+    shows it; with ``surplus_col`` the record is given out in that column instead (null elsewhere) and the labels
+    are those that have a column.
+    """
+    out = surplus_col or _SURPLUS
+    rows = read_tables(spark, paths, text_col, surplus_col=out)
+    table = labelled_table(rows, text_col, labels_col, [*keep, out])
+    if surplus_col:
+        return table
+    message = F.concat(F.lit("more fields than the header has: "), F.substring(out, 1, 200))
+    checked = F.when(F.col(out).isNotNull(), F.raise_error(message).cast("array<string>")).otherwise(F.col("labels"))
+    return table.withColumn("labels", checked).select(*all_named([*keep, "text", "labels"]))

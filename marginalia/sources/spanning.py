@@ -31,6 +31,11 @@ def _leaves_open(line: Column) -> Column:
     return F.regexp_replace(line, _QUOTED, "$1").rlike(_OPEN)
 
 
+def n_fields(record: Column) -> Column:
+    """Fields of a record: commas outside of quoted fields, and one."""
+    return F.regexp_count(F.regexp_replace(record, _QUOTED, "$1"), F.lit(",")) + 1
+
+
 def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Lines that end with a line feed only; everything else stays as it is, so records can be put together again."""
     return spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(list(paths))

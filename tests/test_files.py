@@ -316,3 +316,15 @@ def test_equal_names_in_two_folders_stay_apart(spark, folder):
     path = sinks.save_per_file(files.read_csv(spark, [a, b]), folder + "/out", datetime(2024, 1, 2))
     written = spark.read.parquet(path).groupBy("output", "file_id").count().collect()
     assert sorted(r["count"] for r in written) == [1, 2] and len({r["output"] for r in written}) == 1
+
+
+def test_surplus_labels_are_never_lost_silently(spark, folder):
+    path = put(folder, "l.csv", 'comment,labels\nfoo,a\nbar,a,b\n"x,y","c, d"\nbaz,b,c,d\nshort\n')
+    good = put(folder, "g.csv", 'comment,labels\nfoo,a\n"x,y","c, d"\nshort\n')
+    assert {r["text"]: r["labels"] for r in read_labelled(spark, [good], "comment").collect()} == {"foo": ["a"], "x,y": ["c", "d"], "short": []}
+    with pytest.raises(Exception, match="more fields than the header has: (bar,a,b|baz,b,c,d)"):
+        read_labelled(spark, [good, path], "comment").collect()
+    found = read_labelled(spark, [path], "comment", surplus_col="surplus").collect()
+    assert {r["text"]: (r["labels"], r["surplus"]) for r in found} == {
+        "foo": (["a"], None), "bar": (["a"], "bar,a,b"), "x,y": (["c", "d"], None), "baz": (["b"], "baz,b,c,d"), "short": ([], None),
+    }
