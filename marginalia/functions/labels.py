@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -77,20 +78,20 @@ def combine_cells(columns: Sequence[str]) -> Column:
 
 def multi_hot(labels: Column, vocabulary: Sequence[str]) -> Column:
     """0/1 per vocabulary entry; repeats collapse and unknown labels are ignored."""
-    if not vocabulary:
-        return F.array().cast("array<int>")
-    return F.array(
-        *[F.coalesce(F.array_contains(labels, name).cast("int"), F.lit(0)) for name in vocabulary]
+    return F.transform(
+        name_array(vocabulary), lambda name: F.coalesce(F.array_contains(labels, name).cast("int"), F.lit(0))
     )
 
 
+def name_array(names: Sequence[str]) -> Column:
+    """The names as one constant, however many there are."""
+    return F.from_json(F.lit(json.dumps(list(names))), "array<string>")
+
+
 def from_mask(mask: Column, vocabulary: Sequence[str]) -> Column:
     """Names of the entries whose mask is true, in vocabulary order."""
-    if not vocabulary:
-        return empty_labels()
-    return F.array_compact(
-        F.array(*[F.when(F.get(mask, F.lit(i)), F.lit(name)) for i, name in enumerate(vocabulary)])
-    )
+    named_mask = F.arrays_zip(name_array(vocabulary).alias("name"), mask.alias("chosen"))
+    return F.transform(F.filter(named_mask, lambda x: x["chosen"]), lambda x: x["name"])
 
 
 def label_at(labels: Column, index: int) -> Column:

@@ -11,11 +11,10 @@ from ..errors import MissingColumnError, VocabularyError
 from ..functions.columns import all_named
 from ..functions.labels import combine_cells, label_at, multi_hot, parse_label_cell
 from ..functions.numbers import ratio
+from ..session import materialise
+from .position import with_positions
 from .triage import require_columns
 
-MAX_VOCABULARY = 10_000
-
-
 #: Column families that may be named by any of their members.
 FAMILIES = ("label_*", "category_*")
 _NUMBERED = re.compile(r"Category (?:.*\s)?([0-9]+)", re.DOTALL)
@@ -94,23 +93,27 @@ def imbalance(counts: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(df: DataFrame, labels_col: str = "labels", limit: int = MAX_VOCABULARY) -> list[str]:
-    """Sorted distinct labels.
+def distinct_labels(df: DataFrame, labels_col: str = "labels") -> DataFrame:
+    return df.select(F.explode(labels_col).alias("label")).filter("label IS NOT NULL").distinct()
+
+
+def vocabulary(df: DataFrame, labels_col: str = "labels", limit: int | None = None) -> list[str]:
+    """Sorted distinct labels, as the list that names the outputs of a model.
 
-    A label list is a small dimension (it becomes one output column per entry), so it is
-    held on the driver; more than ``limit`` values is refused, never cut.
+    A model holds one weight per token and label, so its labels fit the driver if it fits a task; more than
+    ``limit`` values are refused, never cut. ``vocabulary_table`` numbers labels without the driver.
     """
-    distinct = df.select(F.explode(labels_col).alias("label")).distinct()
-    found = [row["label"] for row in distinct.limit(limit + 1).collect()]
-    if len(found) > limit:
+    distinct = distinct_labels(df, labels_col)
+    found = [row["label"] for row in (distinct if limit is None else distinct.limit(limit + 1)).collect()]
+    if limit is not None and len(found) > limit:
         raise VocabularyError(f"column {labels_col!r} holds more than {limit} different labels")
     return sorted(found)
 
 
 def vocabulary_table(df: DataFrame, labels_col: str = "labels") -> DataFrame:
-    """``(idx, label)`` of the sorted distinct labels."""
-    names = vocabulary(df, labels_col)
-    return df.sparkSession.createDataFrame(list(enumerate(names)), "idx INT, label STRING")
+    """``(idx, label)`` of the sorted distinct labels, numbered by ranges: any number of labels, no list on the driver."""
+    labels = materialise(distinct_labels(df, labels_col), "labels").withColumn("_all", F.lit(0))
+    return with_positions(labels, "label", "_all").select(F.col("row_pos").cast("int").alias("idx"), "label")
 
 
 def with_multi_hot(

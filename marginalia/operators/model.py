@@ -12,13 +12,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import TrainingDataError
 from ..functions.columns import all_named
-from ..functions.labels import from_mask, multi_hot
+from ..functions.labels import from_mask, multi_hot, name_array
 from ..functions.numbers import reaches, sigmoid
 from ..functions.text import EMPTY, NONE, skip_reason, text_key, tokens
 from ..session import materialise
@@ -29,6 +29,8 @@ from .triage import require_columns
 MICRO = 1_000_000
 #: Documents that a token must occur in to get a weight; 1 keeps all tokens.
 MIN_DOCUMENTS = 1
+#: Labels that are counted side by side, one column each; more are counted as pairs.
+FLAGGED = 32
 
 
 @dataclass(frozen=True)
@@ -75,11 +77,14 @@ def token_counts(
 
     Each document contributes its distinct tokens and one null token. The grouping key is the
     token, pre-aggregated before the shuffle, so a token found in every document costs one row
-    per task. Labels are summed side by side and only turned into rows afterwards.
+    per task. Up to ``FLAGGED`` labels are summed side by side and only turned into rows afterwards; more are counted as
+    pairs of a token and a label that occur together.
     """
     require_columns(df, [text_col, labels_col])
     if names is None:
         names = vocabulary(df, labels_col)
+    if len(names) > FLAGGED:
+        return _pair_counts(df, text_col, labels_col, names, max_length)
     hot = multi_hot(F.col(labels_col), names)
     found = F.coalesce(
         document_tokens(F.col(text_col), max_length), F.array().cast("array<string>")
@@ -103,6 +108,21 @@ def token_counts(
     return per_token.select("token", F.inline(F.array(*entries))).filter(F.col("n") > 0)
 
 
+def _pair_counts(
+    df: DataFrame, text_col: str, labels_col: str, names: Sequence[str], max_length: int | None
+) -> DataFrame:
+    """The same counts from pairs: no column and no expression per label.
+
+    A document's tokens are combined with its own labels and with no label. Pairs are summed before the shuffle, and
+    their key is token and label, so neither a frequent token nor a frequent label is a hot key.
+    """
+    found = F.coalesce(document_tokens(F.col(text_col), max_length), F.array().cast("array<string>"))
+    no_name = F.array(F.lit(None).cast("string"))
+    known = F.array_intersect(F.coalesce(F.col(labels_col), F.array().cast("array<string>")), name_array(names))
+    tokens_of = df.select(F.concat(no_name, known).alias("_labels"), F.explode(F.concat(no_name, found)).alias("token"))
+    return tokens_of.select("token", F.explode("_labels").alias("label")).groupBy("token", "label").agg(F.count("*").alias("n"))
+
+
 def merge_counts(*parts: DataFrame) -> DataFrame:
     """Counts of the union of the tables the parts were counted on."""
     merged = parts[0]
@@ -123,46 +143,76 @@ def _prior(positives: int, rows: int, alpha: float) -> int:
     return math.floor(log_odds * MICRO + 0.5)
 
 
-def _per_token(counts: DataFrame, names: Sequence[str], min_documents: int) -> DataFrame:
-    """``(token, df, y ARRAY<BIGINT>)``: documents with the token, in all and per label."""
-    per_label = [
-        F.coalesce(F.sum(F.when(F.col("label") == name, F.col("n"))), F.lit(0)) for name in names
-    ]
+def _per_token(counts: DataFrame, min_documents: int) -> DataFrame:
+    """``(token, df, entries)``: documents with the token, in all and for the labels that it occurs with."""
+    entry = F.when(F.col("label").isNotNull(), F.struct("label", "n"))
     return (
         counts.filter(F.col("token").isNotNull())
         .groupBy("token")
-        .agg(
-            F.sum(F.when(F.col("label").isNull(), F.col("n"))).alias("df"),
-            F.array(*per_label).cast("array<bigint>").alias("y"),
-        )
+        .agg(F.sum(F.when(F.col("label").isNull(), F.col("n"))).alias("df"), F.collect_list(entry).alias("entries"))
         .filter(F.col("df") >= min_documents)
     )
 
 
 def weight_table(
-    per_token: DataFrame, positives: Sequence[int], rows: int, alphas: Sequence[float]
+    per_token: DataFrame, names: Sequence[str], positives: Sequence[int], rows: int, alphas: Sequence[float]
 ) -> DataFrame:
     """``(token, df, w, absent)``: the log-odds a token adds when present, and its share of the
-    bias. The arrays hold one entry per smoothing value and label, labels innermost."""
-    present, absent = [], []
-    for alpha in alphas:
-        for i, positive in enumerate(positives):
-            # Odds with the smoothing totals cancelled: (with, without) inside and outside the label.
-            inside = f"(y[{i}] + {float(alpha)!r}D)"
-            inside_without = f"({positive + 2.0 * alpha!r}D - {inside})"
-            outside = f"(df + {2.0 * alpha!r}D - {inside})"
-            outside_without = f"({rows - positive + 2.0 * alpha!r}D - {outside})"
-            share = (rows - positive + 2.0 * alpha) / (positive + 2.0 * alpha)
-            present.append(f"{inside} * {outside_without} / ({inside_without} * {outside})")
-            absent.append(f"{inside_without} / {outside_without} * {share!r}D")
-
-    def logarithms(odds: list[str]) -> Column:
-        """In millionths, to the nearest whole; one SQL text is built much faster than columns."""
-        return F.expr(f"array({', '.join(f'floor(ln({o}) * {MICRO} + 0.5D)' for o in odds)})")
-
-    return per_token.select(
-        "token", "df", logarithms(present).alias("w"), logarithms(absent).alias("absent")
-    )
+    bias, in millionths to the nearest whole. The arrays hold one entry per smoothing value and label, labels innermost.
+
+    A batch of tokens is computed as one array over all labels.
+    """
+    known = pa.array(list(names), pa.string())
+    positive = np.array(positives, dtype=np.float64)
+
+    def millionths(odds: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(odds) * MICRO + 0.5).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(known) * len(alphas)
+        at_once = max(1, (1 << 20) // width)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, at_once):
+                part = batch.slice(begin, at_once)
+                entries = part.column(2)
+                flat = pc.list_flatten(entries)
+                token = np.repeat(np.arange(len(part)), pc.list_value_length(entries).to_numpy(zero_copy_only=False))
+                label = pc.index_in(pc.struct_field(flat, 0), value_set=known)
+                there = pc.is_valid(label).to_numpy(zero_copy_only=False)
+                y = np.zeros((len(part), len(known)))
+                y[token[there], label.drop_null().to_numpy()] = pc.struct_field(flat, 1).to_numpy(zero_copy_only=False)[there]
+                df = part.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+                present, absent = [], []
+                for alpha in alphas:
+                    # Odds with the smoothing totals cancelled: (with, without) inside and outside the label.
+                    inside = y + alpha
+                    inside_without = (positive + 2.0 * alpha) - inside
+                    outside = (df + 2.0 * alpha) - inside
+                    outside_without = (rows - positive + 2.0 * alpha) - outside
+                    share = (rows - positive + 2.0 * alpha) / (positive + 2.0 * alpha)
+                    present.append(millionths(inside * outside_without / (inside_without * outside)))
+                    absent.append(millionths(inside_without / outside_without * share))
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * width)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.hstack(x).ravel())) for x in (present, absent)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["token", "df", "w", "absent"])
+
+    return per_token.mapInArrow(run, "token string, df long, w array<long>, absent array<long>")
+
+
+def _column_sums(table: DataFrame, column: str) -> dict[int, int]:
+    """Sums of the entries of an array column by place, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = pc.list_flatten(batch.column(0)).to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "s"])
+
+    sums = table.select(column).mapInArrow(run, "i long, s long").groupBy("i").agg(F.sum("s").alias("s"))
+    return {r["i"]: r["s"] for r in sums.collect()}
 
 
 def fit_alphas(
@@ -182,15 +232,15 @@ def fit_alphas(
     positives = [per_label.get(name, 0) for name in names]
     outputs = tuple(f"{step}:{name}" for step, _ in enumerate(alphas) for name in names)
     table = materialise(
-        weight_table(_per_token(counts, names, min_documents), positives, rows, alphas), "weights"
+        weight_table(_per_token(counts, min_documents), names, positives, rows, alphas), "weights"
     )
     sums = table.agg(
         F.count("*").alias("tokens"),
         F.coalesce(F.sum(F.octet_length("token").cast("bigint")), F.lit(0)).alias("bytes"),
-        *[F.sum(F.get("absent", F.lit(i))).alias(f"b{i}") for i in range(len(outputs))],
     ).first()
+    shares = _column_sums(table, "absent")
     priors = [_prior(positive, rows, alpha) for alpha in alphas for positive in positives]
-    bias = tuple((sums[f"b{i}"] or 0) + prior for i, prior in enumerate(priors))
+    bias = tuple(shares.get(i, 0) + prior for i, prior in enumerate(priors))
     return LabelModel(
         outputs,
         bias,
@@ -300,28 +350,32 @@ def _gather(model: LabelModel):
     """Function from arrays of distinct tokens to logits, over weights held by every task.
 
     Called with weights of a checked size only. The function travels to the Python workers by
-    value; a batch of rows is one gather and one sum over the weight matrix.
+    value; a batch of rows is one lookup, one gather and one sum over the weight matrix, all on Arrow's own arrays.
     """
     table = model.weights.select("token", "w").toArrow()
     width = len(model.labels)
     flat = pc.list_flatten(table.column("w")).to_numpy().astype(np.int64)
-    held = (table.column("token").to_pylist(), flat.reshape(-1, width))
+    held = (table.column("token").combine_chunks(), flat.reshape(-1, width))
     shared = model.weights.sparkSession.sparkContext.broadcast(held)
     bias = np.array(model.bias, dtype=np.int64)
 
-    @F.pandas_udf("array<bigint>")
-    def gather(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<bigint>")
+    def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, matrix = shared.value
-        place = {name: i for i, name in enumerate(names)}
         for found in batches:
-            at = [[place[x] for x in row if x in place] if row is not None else [] for row in found]
-            sizes = np.array([len(x) for x in at], dtype=np.int64)
-            out = np.zeros((len(at), len(bias)), dtype=np.int64)
-            some = np.flatnonzero(sizes)
-            if len(some):
-                rows = matrix[np.array([i for x in at for i in x], dtype=np.int64)]
-                out[some] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some], axis=0)
-            yield pd.Series(list(out + bias))
+            sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(pc.list_flatten(found), value_set=names)
+            row = np.repeat(np.arange(len(found)), sizes)
+            if at.null_count:
+                row = row[pc.is_valid(at).to_numpy(zero_copy_only=False)]
+                at = at.drop_null()
+            out = np.zeros((len(found), width), dtype=np.int64)
+            if len(row):
+                start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                out[row[start]] = np.add.reduceat(matrix[at.to_numpy()], start, axis=0)
+            out += bias
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * width)
+            yield pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
 
     return gather
 
@@ -365,12 +419,8 @@ def _rows_seen() -> Column:
 
 
 def _probabilities(logits: Column, valid: Column, model: LabelModel) -> Column:
-    return F.array(
-        *[
-            F.when(valid, sigmoid(F.get(logits, F.lit(i)) / F.lit(float(MICRO)))).otherwise(F.lit(0.0))
-            for i in range(len(model.labels))
-        ]
-    ).alias("probs")
+    found = F.transform(logits, lambda z: F.when(valid, sigmoid(z / F.lit(float(MICRO)))).otherwise(F.lit(0.0)))
+    return found.alias("probs")
 
 
 def score_rows(

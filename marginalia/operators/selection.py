@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .metrics import confusion, micro_f1, multilabel_metrics
-from .model import MIN_DOCUMENTS, LabelModel, fit_alphas, pick_alpha, score, with_predictions
+from .metrics import candidate_scores, multilabel_metrics
+from .model import MIN_DOCUMENTS, LabelModel, fit_alphas, pick_alpha, score_rows, with_predictions
+from .triage import require_columns
 
 # Candidate smoothing values, tried from the strongest to the weakest.
 ALPHAS = (4.0, 2.0, 1.0, 0.5, 0.25)
@@ -32,11 +33,9 @@ def evaluate(
     threshold: float = 0.5,
 ) -> DataFrame:
     """The metrics of ``model`` on a labelled table, as one row."""
-    predicted = with_predictions(score(df, model, key, text_col), model, threshold)
-    truth = df.select(key, labels_col)
-    return multilabel_metrics(
-        truth.join(predicted.select(key, "predicted"), key), model.labels, labels_col
-    )
+    require_columns(df, [key])
+    scored = score_rows(df.select(F.col(text_col).alias("_text"), F.col(labels_col).alias("_truth")), model, "_text")
+    return multilabel_metrics(with_predictions(scored, model, threshold), model.labels, "_truth")
 
 
 def validation_scores(
@@ -49,20 +48,11 @@ def validation_scores(
     threshold: float = 0.5,
 ) -> dict[int, float]:
     """Micro-F1 per candidate of a ``fit_alphas`` model, from one scoring pass."""
-    predicted = with_predictions(score(validation, candidates, key, text_col), candidates, threshold)
-    steps = F.array(*[F.lit(str(step)) for step in range(len(candidates.labels) // len(names))])
-    truth = F.flatten(
-        F.transform(
-            steps,
-            lambda step: F.transform(labels_col, lambda name: F.concat_ws(":", step, name)),
-        )
-    )
-    both = validation.select(key, truth.alias("truth")).join(predicted.select(key, "predicted"), key)
-    cells = confusion(both, candidates.labels, "truth")
-    per_step = cells.groupBy(F.substring_index("label", ":", 1).cast("int").alias("step")).agg(
-        micro_f1().alias("micro_f1")
-    )
-    return {row["step"]: row["micro_f1"] for row in per_step.collect()}
+    require_columns(validation, [key])
+    rows = validation.select(F.col(text_col).alias("_text"), F.col(labels_col).alias("_truth"))
+    scored = score_rows(rows, candidates, "_text")
+    found = candidate_scores(scored, len(candidates.labels) // len(names), names, threshold, "_truth")
+    return {row["step"]: row["micro_f1"] for row in found.collect()}
 
 
 def choose_alpha(

@@ -385,11 +385,10 @@ def test_metrics(spark, sf_dir):
 @query
 def label_metrics(spark, sf_dir):
     """Per-label scores of the fit on the table it was fitted on."""
-    rows = t.labelled(spark, sf_dir)
+    rows = materialise(t.labelled(spark, sf_dir), "labelled")
     model = nb.fit(rows, min_documents=PRUNED)
-    predicted = nb.with_predictions(nb.score(rows, model, "doc_id"), model)
-    both = rows.select("doc_id", "labels").join(predicted.select("doc_id", "predicted"), "doc_id")
-    measured = metric_ops.label_metrics(metric_ops.confusion(both, model.labels))
+    predicted = nb.with_predictions(nb.score_rows(rows, model), model)
+    measured = metric_ops.label_metrics(metric_ops.confusion(predicted, model.labels))
     ratios = ("precision", "recall", "f1")
     return measured.select(
         *[F.round(c, 6).alias(c) if c in ratios else c for c in measured.columns]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.errors import TrainingDataError
-from marginalia.operators import metrics, model as nb, selection
+from marginalia.operators import labels as label_ops, metrics, model as nb, selection
 from marginalia.operators.skew import left_join_by_frequency
 
 WORDS = ["the"] + [f"w{i}" for i in range(40)]
@@ -211,3 +211,47 @@ def test_one_pass_selection_agrees_with_trial_by_trial(spark):
                 break
     assert [(x.step, x.alpha, x.micro_f1, x.improved) for x in trials] == want
     assert model.alpha == best
+
+
+def test_confusion_does_not_grow_with_the_vocabulary(spark):
+    """A row gives cells for its own labels alone; the totals stand in a row without label."""
+    rows = [(["a"], ["a"]), (["a", "b", "a", "zz"], ["a"]), (["b"], ["a", "b"]), (None, None), ([], ["zz"])]
+    df = spark.createDataFrame(rows, "labels ARRAY<STRING>, predicted ARRAY<STRING>")
+    names = ["a", "b", *[f"c{i}" for i in range(3000)]]
+    found = {r["label"]: r for r in metrics.cells(df, names).collect()}
+    assert len(found) == 3003 and (found[None]["rows"], found[None]["exact"]) == (5, 3)
+    assert sum(r["tp"] + r["fp"] + r["fn"] for r in found.values() if r["label"]) == 5
+    small, large = (metrics.cells(df, names[:k])._jdf.queryExecution().analyzed().treeString().count("\n") for k in (3, 3000))
+    assert small == large
+
+
+def test_five_thousand_labels(spark):
+    """Counts, weights and biases of many labels, as pairs, equal those of few labels side by side."""
+    draw = random.Random(5)
+    names = [f"l{i:04d}" for i in range(5000)]
+    rows = [(i, " ".join(f"t{draw.randint(0, 60)}" for _ in range(4)), [names[i % 5000], draw.choice(names)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id INT, text STRING, labels ARRAY<STRING>")
+    model = nb.fit(df)
+    assert model.labels == tuple(names)
+    few = nb.fit(df, names=names[7:10])
+    many = {r["token"]: r["w"] for r in model.weights.collect()}
+    assert {r["token"]: r["w"] for r in few.weights.collect()} == {k: w[7:10] for k, w in many.items()}
+    assert few.bias == model.bias[7:10]
+    scored = nb.with_predictions(nb.score_rows(df, model), model)
+    assert metrics.multilabel_metrics(scored, names).first()["micro_precision"] >= 0
+    table = label_ops.vocabulary_table(df).collect()
+    assert sorted((r["idx"], r["label"]) for r in table) == list(enumerate(names))
+
+
+@pytest.mark.parametrize("flagged", [0, 32])
+def test_pairs_and_columns_count_alike(spark, monkeypatch, flagged):
+    df, rows = labelled(spark)
+    df = df.unionByName(spark.createDataFrame([(900, "w1 w1 w2", ["a", "a", "other"]), (901, None, ["b"]), (902, "w1", None)], df.schema))
+    monkeypatch.setattr(nb, "FLAGGED", flagged)
+    counts = {(r["token"], r["label"]): r["n"] for r in nb.token_counts(df, names=["a", "b", "c"]).collect()}
+    expected = {}
+    for r in df.collect():
+        for token in {None, *re.findall(r"\w+", (r["text"] or "").lower())}:
+            for label in [None, *({"a", "b", "c"} & set(r["labels"] or []))]:
+                expected[token, label] = expected.get((token, label), 0) + 1
+    assert counts == expected
