@@ -76,8 +76,18 @@ def combine_cells(columns: Sequence[str]) -> Column:
     return clean(F.array(*[named(name).cast("string") for name in columns]))
 
 
+#: Vocabularies up to this size become one expression per label, from which single entries are taken for free.
+WRITTEN_OUT = 64
+
+
 def multi_hot(labels: Column, vocabulary: Sequence[str]) -> Column:
     """0/1 per vocabulary entry; repeats collapse and unknown labels are ignored."""
+    if not vocabulary:
+        return F.array().cast("array<int>")
+    if len(vocabulary) <= WRITTEN_OUT:
+        return F.array(
+            *[F.coalesce(F.array_contains(labels, name).cast("int"), F.lit(0)) for name in vocabulary]
+        )
     return F.transform(
         name_array(vocabulary), lambda name: F.coalesce(F.array_contains(labels, name).cast("int"), F.lit(0))
     )
