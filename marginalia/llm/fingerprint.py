@@ -10,9 +10,9 @@ all spans of ``SPAN`` code points. Two fingerprints compare without their texts:
 the prefix and suffix lengths bounds what the texts share at both ends, the span sample estimates what they
 share in any order; the likeness is the larger share, 1.0 for equal texts alone.
 
-The successor of a document in the order of ids may lie in another partition. Ids are cut into ranges,
-the first document of every range is sent along with the range before it as well, and every
-range is read as a stream, one document ahead. Texts are shuffled once.
+The successor of a document in the order of ids may lie in another partition. Ids are cut into ranges
+of about equal bytes, the first document of every range is sent along with the range before it as well,
+and every range is a partition that is read as a stream, one document ahead. Texts are shuffled once.
 
 Defined results: null texts count as empty; empty texts have a fingerprint and are like each other
 alone; the only document is its own successor; rows of one id follow each other in the order of
@@ -38,6 +38,8 @@ SPAN = 24
 SPANS = 16
 RANGE_BYTES = 32 << 20
 MOST_RANGES = 20_000
+#: Ranges are cut at quantiles of ids, each id counted once for every so many bytes of its text begun.
+WEIGHT_BYTES = 1 << 10
 _LOWEST = -(1 << 63)
 
 #: Lengths at which prefixes and suffixes are recorded: four in every doubling.
@@ -227,7 +229,9 @@ def fingerprints(
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = min(MOST_RANGES, 1 + n_bytes // range_bytes)
     shares = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = rows.agg(F.percentile_approx("key", shares, 100 * n_ranges)).first()[0] if shares else []
+    weight = (F.coalesce(F.octet_length("text"), F.lit(0)) / WEIGHT_BYTES).cast("int")
+    weighed = rows.select("key", F.explode(F.sequence(F.lit(0), weight)))
+    bounds = weighed.agg(F.percentile_approx("key", shares, 20 * n_ranges)).first()[0] if shares else []
     place = _placed(np.unique(np.array(bounds or [], dtype=np.int64)))
     ranged = rows.withColumn("range", place("key"))
     # The first document of every range, in the order of ranges: at most MOST_RANGES ids.
@@ -240,5 +244,5 @@ def fingerprints(
         ghosts.withColumn("ghost", F.lit(True)).withColumn("doc", F.lit(None).cast("long"))
     )
     order = ["range", "ghost", F.desc("key"), F.asc_nulls_last("text")]
-    dealt = both.repartition(len(heads) or 1, "range").sortWithinPartitions(*order)
+    dealt = both.repartitionById(n_ranges, "range").sortWithinPartitions(*order)
     return dealt.select("doc", "text", "ghost").mapInArrow(_stream, _RESULT)
