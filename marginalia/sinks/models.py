@@ -1,7 +1,7 @@
-"""Versioned model tables: ``<root>/model=<id>/{counts,weights}`` and a row in ``<root>/meta`` each.
+"""Versioned model tables: ``<root>/model=<id>/{counts,weights}`` and an entry of ``<root>/meta`` each.
 
-A model is published by its meta row. Version numbers follow the order of those rows, so two writers
-never share a folder or a number.
+A model is published by its entry, whose number is its version. A number is given once and for good, whatever
+the writers' clocks say; two writers never share a folder or a number.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.model import LabelModel
+from .commits import append_entry, entries, newest
 
 META_SCHEMA = (
     "id STRING, published STRING, saved_at STRING, labels ARRAY<STRING>, bias ARRAY<BIGINT>, "
@@ -22,20 +22,17 @@ META_SCHEMA = (
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
-    """One row per finished version, with its number; a write without its meta row was never completed."""
-    try:
-        rows = spark.read.schema(META_SCHEMA).json(f"{root.rstrip('/')}/meta")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], META_SCHEMA)
-    # As many rows as models were ever saved.
-    return rows.withColumn("version", F.row_number().over(Window.orderBy("published", "id")))
+    """One row per finished version, with its number; a write without its entry was never completed."""
+    return entries(spark, _meta(root), META_SCHEMA)
 
 
 def latest_version(spark: SparkSession, root: str) -> int:
     """0 when nothing was saved yet."""
-    return versions(spark, root).count()
+    return newest(spark, _meta(root))
+
+
+def _meta(root: str) -> str:
+    return f"{root.rstrip('/')}/meta"
 
 
 def _folder(root: str, name: str) -> str:
@@ -54,21 +51,19 @@ def save_model(
         F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("b")
     ).first()
     now = datetime.now(timezone.utc)
-    row = (
-        name,
-        f"{now:%Y%m%d_%H%M%S_%f}",
-        f"{at or now:%Y%m%d_%H%M%S}",
-        list(model.labels),
-        list(model.bias),
-        float(model.alpha),
-        model.min_documents,
-        sizes["n"],
-        sizes["b"],
-        json.dumps(details or {}, ensure_ascii=False, sort_keys=True),
-    )
-    meta = spark.createDataFrame([row], META_SCHEMA).coalesce(1)
-    meta.write.mode("append").json(f"{root.rstrip('/')}/meta")
-    return versions(spark, root).filter(F.col("id") == name).first()["version"]
+    row = {
+        "id": name,
+        "published": f"{now:%Y%m%d_%H%M%S_%f}",
+        "saved_at": f"{at or now:%Y%m%d_%H%M%S}",
+        "labels": list(model.labels),
+        "bias": [int(x) for x in model.bias],
+        "alpha": float(model.alpha),
+        "min_documents": model.min_documents,
+        "n_tokens": sizes["n"],
+        "token_bytes": sizes["b"],
+        "details": json.dumps(details or {}, ensure_ascii=False, sort_keys=True),
+    }
+    return append_entry(spark, _meta(root), row)
 
 
 def _version_row(spark: SparkSession, root: str, version: int | None):

@@ -16,7 +16,7 @@ from ..sources.files import CSV_OPTIONS, union_by_name
 CSV_WRITE_OPTIONS = {**CSV_OPTIONS, "emptyValue": '""'}
 
 
-def _writer(df: DataFrame, kind: str):
+def writer_of(df: DataFrame, kind: str):
     writer = df.write.format(kind)
     return writer.options(**CSV_WRITE_OPTIONS) if kind == "csv" else writer
 
@@ -36,7 +36,8 @@ def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Replace the table at ``path``, all or nothing.
 
     The new table is written next to the old one and takes its place by renaming when it is
-    complete; a write that fails leaves the old table as it was.
+    complete; a write that fails leaves the old table as it was. Between the two renames there is
+    no table for a moment: a table that others read while it is replaced goes to ``published.publish``.
     """
     target = path.rstrip("/")
     fresh, old = (f"{target}.{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
@@ -44,7 +45,7 @@ def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
     names = context._jvm.org.apache.hadoop.fs.Path
     files = names(target).getFileSystem(context._jsc.hadoopConfiguration())
     try:
-        _writer(flat(df) if kind == "csv" else df, kind).save(fresh)
+        writer_of(flat(df) if kind == "csv" else df, kind).save(fresh)
     except Exception:
         files.delete(names(fresh), True)
         raise
@@ -58,7 +59,7 @@ def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    _writer(flat(df) if kind == "csv" else df, kind).mode("append").save(path)
+    writer_of(flat(df) if kind == "csv" else df, kind).mode("append").save(path)
 
 
 def stamp(at: datetime) -> str:
@@ -89,7 +90,7 @@ def save_per_file(
     stamped = stamped.withColumn("file_id", F.substring(F.md5(F.col(path_col)), 1, 12))
     balanced = stamped.hint("rebalance", "output", "file_id")
     path = run_path(folder, at)
-    writer = _writer(flat(balanced) if kind == "csv" else balanced, kind)
+    writer = writer_of(flat(balanced) if kind == "csv" else balanced, kind)
     writer.mode("overwrite").partitionBy("output", "file_id").save(path)
     return path
 
