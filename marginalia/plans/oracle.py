@@ -414,6 +414,9 @@ ORACLE_SQL: dict[str, str] = {
         names AS (SELECT string_agg(label, '|' ORDER BY label) AS labels FROM n_label)
         SELECT CAST(1 AS BIGINT) AS version, labels, (SELECT count(*) FROM df_token WHERE df >= 2) AS n_tokens FROM names
         UNION ALL SELECT 2, labels, (SELECT count(*) FROM df_token) FROM names""",
+    "published_versions": """SELECT CAST(1 AS BIGINT) AS version, source AS name, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars
+        FROM documents GROUP BY source UNION ALL
+        SELECT 2, lang, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY lang""",
     "external_scores": f"""WITH {TRIAGED}
         SELECT doc_id, skip_reason,
                CASE WHEN skip_reason = 'none' THEN round(1 / (1 + exp(-least((length(text) - 1000) / 1000.0::DOUBLE, 60))), 6) ELSE 0 END AS "long",
@@ -489,6 +492,13 @@ ORACLE_SQL: dict[str, str] = {
     "stream_category_counts": f"""WITH {TAGGED} SELECT category, count(*) AS n
         FROM (SELECT unnest(labels) AS category FROM tagged) GROUP BY category""",
     "stream_progress": "SELECT count(*) AS streamed, count(*) AS observed FROM documents",
+    "stream_quarantine": """WITH lines AS (SELECT doc_id % 10 = 0 AND lang IS NOT NULL AS beyond,
+            CONCAT(doc_id, ',"a, ""b""', n_chars, '",', lang) AS record FROM documents)
+        SELECT 'good' AS folder, 'ok' AS status, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_surplus, count(*) AS published,
+               NULL AS record_md5 FROM documents
+        UNION ALL SELECT 'surplus', 'ok', count(*) FILTER (NOT beyond), count(*) FILTER (beyond), count(*) FILTER (NOT beyond),
+               max(md5(record)) FILTER (beyond) FROM lines
+        UNION ALL SELECT 'lacking', 'missing_column', 0, 0, 0, NULL""",
     "stream_classify_csv": f"""WITH {COMMENTS}, c AS (SELECT doc_id, nullif(text, '') AS text FROM comments),
         arrived AS (SELECT doc_id, text, {reason(null_reason='nan')} AS skip_reason FROM c), {FIT}, {scores('arrived')}
         SELECT doc_id, skip_reason, {PREDICTED} FROM scored GROUP BY doc_id, skip_reason""",

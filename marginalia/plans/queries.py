@@ -24,9 +24,11 @@ from ..operators.profile import issue_codes, profile_rows, status_rollup
 from ..operators.split import shuffle_hash, shuffled, split_sizes, with_split
 from ..session import fresh_folder, materialise
 from ..sinks import models as model_store
+from ..sinks import published
 from ..sinks import tables as sinks
 from ..sources import files as sources
 from ..sources.labelled import read_labelled
+from ..streaming import arrivals
 from ..streaming import classify as streaming
 from . import jobs
 from . import tables as t
@@ -428,6 +430,18 @@ def model_versions(spark, sf_dir):
     return saved[0].unionByName(saved[1])
 
 
+@query
+def published_versions(spark, sf_dir):
+    """A table published twice; both versions are read after that, by number and as the current one."""
+    path = fresh_folder(spark, "published")
+    for column in ("source", "lang"):
+        rows = t.documents(spark, sf_dir).groupBy(F.col(column).alias("name"))
+        published.publish(rows.agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")), path)
+    first, current = published.read_published(spark, path, 1), published.read_published(spark, path)
+    number = lambda n: F.lit(n).cast("bigint").alias("version")
+    return first.select(number(1), "*").unionByName(current.select(number(2), "*"))
+
+
 @query
 def training_run(spark, sf_dir):
     """Layout, split, fit, selection and test evaluation in one job."""
@@ -798,6 +812,34 @@ def stream_classify_csv(spark, sf_dir):
     return written.select(F.col("doc_id").cast("bigint").alias("doc_id"), "skip_reason", _joined("predicted").alias("predicted"))
 
 
+@query
+def stream_quarantine(spark, sf_dir):
+    """Good files, then, after a restart, files without the column and files in which every tenth record has
+    a field too many: the ledger by folder, next to the rows that came through."""
+    folder = fresh_folder(spark, "arriving-csv")
+    model = _fit(spark, sf_dir)
+    output, ledger, checkpoint = (fresh_folder(spark, name) for name in ("stream-out", "ledger", "progress"))
+
+    def run() -> None:
+        query = streaming.classify_arriving_csv(spark, f"{folder}/*", model, output, checkpoint, ledger=ledger)
+        query.awaitTermination()
+
+    documents = t.documents(spark, sf_dir)
+    sinks.save(documents.select("doc_id", "text"), f"{folder}/good", "csv")
+    run()
+    sinks.save(t.table(spark, sf_dir, "customer"), f"{folder}/lacking", "csv")
+    line = F.concat_ws(",", "doc_id", F.concat(F.lit('"a, ""b""'), F.col("n_chars"), F.lit('"')), F.when(F.col("doc_id") % 10 == 0, F.col("lang")))
+    plain = documents.select(line.alias("doc_id,text"))
+    plain.write.option("header", True).option("quote", "").option("escape", "").option("sep", "\u0001").csv(f"{folder}/surplus")
+    run()
+    name = F.element_at(F.split("file_path", "/"), -2).alias("folder")
+    rows = arrivals.published_rows(spark, output, ledger).groupBy(name).agg(F.count("doc_id").alias("published"))
+    files = arrivals.file_status(spark, ledger).filter("status <> 'no_data'")
+    told = files.groupBy(name, "status").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_surplus").alias("n_surplus"))
+    dead = arrivals.dead_records(spark, ledger).groupBy(name).agg(F.max(F.md5("record")).alias("record_md5"))
+    return told.join(rows, "folder", "left").join(dead, "folder", "left").na.fill(0)
+
+
 @query
 def chunk_rows_text_key(spark, sf_dir):
     """Row-range chunks in the order of a text key."""

@@ -396,6 +396,7 @@ class ValidatedFiles:
 
 
 MISFIT = "_record_that_does_not_fit"
+SURPLUS = "_record_with_surplus_fields"
 _COUNTS = "bare STRING, n_rows BIGINT, n_texts BIGINT, n_misfits BIGINT"
 OK, NO_DATA, NOT_FOUND, UNREADABLE = "ok", "no_data", "not_found", "unreadable"
 MISSING_COLUMN, UNSUPPORTED = "missing_column", "unsupported_format"
@@ -420,9 +421,10 @@ def validate_files(
         if row["suffix"] in FORMATS:
             by_format.setdefault(FORMATS[row["suffix"]], []).append(row["file_path"])
     csv_paths = by_format.pop("csv", [])
-    csv_facts = materialise(text_facts(spark, csv_paths), "csv-facts") if csv_paths else None
-    counts, states = spark.createDataFrame([], _COUNTS), []
-    if csv_paths:
+    csv_facts, bad = _readable_facts(spark, csv_paths) if csv_paths else (None, [])
+    csv_paths = [path for path in csv_paths if path not in set(bad)]
+    counts, states = spark.createDataFrame([], _COUNTS), [(_bare(path), UNREADABLE) for path in bad]
+    if csv_facts is not None:
         rows = read_csv(spark, csv_paths, text_col, missing_text="skip", facts=csv_facts, misfit_col=MISFIT)
         counts = counts.unionByName(_counted(rows, text_col))
         states += _csv_states(spark, csv_facts, text_col)
@@ -539,6 +541,38 @@ def _lacking(spark: SparkSession, kind: str, paths: list[str], text_col: str) ->
     return _lacking(spark, kind, paths[:middle], text_col) + _lacking(spark, kind, paths[middle:], text_col)
 
 
+def _readable_facts(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """``text_facts`` of the files that can be read to their end, and the other files."""
+    try:
+        return materialise(text_facts(spark, paths), "csv-facts"), []
+    except Exception:  # any failure to read a file is that file's status
+        if len(paths) == 1:
+            return None, list(paths)
+    middle = len(paths) // 2
+    left, bad_left = _readable_facts(spark, paths[:middle])
+    right, bad_right = _readable_facts(spark, paths[middle:])
+    found = [facts for facts in (left, right) if facts is not None]
+    return union_by_name(found) if found else None, bad_left + bad_right
+
+
+def csv_states(spark: SparkSession, paths: Sequence[str], text_col: str) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """Facts of the CSV files that can be used, and ``(path, status)`` of those that can't: they have gone,
+    can't be read to their end or lack the column."""
+    paths = list(paths)
+    present = present_paths(spark, paths)
+    states = [(path, NOT_FOUND) for path in paths if path not in set(present)]
+    facts, bad = _readable_facts(spark, present) if present else (None, [])
+    states += [(path, UNREADABLE) for path in bad]
+    if facts is None:
+        return None, states
+    lacking = dict(_csv_states(spark, facts, text_col))
+    if not lacking:
+        return facts, states
+    out = spark.createDataFrame([(bare,) for bare in lacking], "bare STRING")
+    usable = facts.join(out, bare_path(F.col("file_path")) == F.col("bare"), "left_anti")
+    return usable, states + [(path, lacking[_bare(path)]) for path in paths if _bare(path) in lacking]
+
+
 def _csv_states(spark: SparkSession, csv_facts: DataFrame, text_col: str) -> list[tuple[str, str]]:
     """CSV files whose header lacks the text column; headers are judged once each."""
     seen = csv_facts.groupBy("header", "encoding").agg(F.min("file_path").alias("path")).collect()

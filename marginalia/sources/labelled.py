@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import all_named
 from ..operators.labels import labelled_table
-from .files import read_tables
-
-_SURPLUS = "_record_with_surplus_fields"
+from .files import SURPLUS, read_tables
 
 
 def read_labelled(
@@ -27,7 +25,7 @@ def read_labelled(
     shows it; with ``surplus_col`` the record is given out in that column instead (null elsewhere) and the labels
     are those that have a column.
     """
-    out = surplus_col or _SURPLUS
+    out = surplus_col or SURPLUS
     rows = read_tables(spark, paths, text_col, surplus_col=out)
     table = labelled_table(rows, text_col, labels_col, [*keep, out])
     if surplus_col:

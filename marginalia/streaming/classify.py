@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ..functions.text import EMPTY
 from ..operators.model import LabelModel, score, score_rows, with_predictions
 from ..operators.triage import with_skip_reason
-from ..sources.files import read_csv
+from .arrivals import take_csv
 
 COUNTER_PARTITIONS = 4
 
@@ -83,11 +83,15 @@ def classify_arriving_csv(
     null_reason: str = EMPTY,
     threshold: float = 0.5,
     files_per_trigger: int = 100,
+    ledger: str | None = None,
 ) -> StreamingQuery:
     """Score CSV files as they arrive, each bound by its own header.
 
-    The stream carries the names of the new files; a micro-batch reads its files with ``read_csv``.
+    The stream carries the names of the new files; a micro-batch takes them with ``arrivals.take_csv``. A file
+    that has gone, can't be read or lacks the column, and records with more fields than their header, are
+    kept in ``ledger`` (by default ``<output>-ledger``) and don't stop the stream.
     """
+    book = ledger or f"{output.rstrip('/')}-ledger"
     names = (
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
@@ -97,11 +101,12 @@ def classify_arriving_csv(
         .select("path")
     )
 
+    def scored(rows: DataFrame) -> DataFrame:
+        return with_predictions(score_rows(rows, model, text_col, null_reason), model, threshold)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         paths = sorted(row["path"] for row in batch.collect())
-        if paths:
-            rows = read_csv(batch.sparkSession, paths, text_col)
-            _write_batch(with_predictions(score_rows(rows, model, text_col, null_reason), model, threshold), output, batch_id)
+        take_csv(batch.sparkSession, paths, batch_id, text_col, scored, output, book)
 
     return (
         names.writeStream.foreachBatch(handle)

@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import model as nb, triage
-from marginalia.streaming import classify
+from marginalia.streaming import arrivals, classify
 
 from test_files import put
 from test_model import labelled
@@ -82,3 +84,69 @@ def test_arriving_csv_files_are_bound_by_header(spark, folder):
     assert rows["2"]["x"] == "9" and rows["3"]["skip_reason"] == "empty"
     with pytest.raises(ValueError):
         classify.read_arriving(spark, folder + "/in", "text STRING", kind="csv")
+
+
+def _arrive(spark, folder, model, **options):
+    query = classify.classify_arriving_csv(spark, folder + "/in", model, folder + "/out", folder + "/cp", ledger=folder + "/book", **options)
+    query.awaitTermination()
+
+
+def test_a_bad_file_does_not_stop_the_stream(spark, folder):
+    put(folder, "in/a.csv", "text,id\nthe a,1\n")
+    put(folder, "in/lacks.csv", "txet,id\nx,8\n")
+    put(folder, "in/broken.csv", "text,id\nw1 b,5\n")
+    put(folder, "in/.broken.csv.crc", "crc\0" + "\0" * 12)
+    put(folder, "in/nothing.csv", "")
+    put(folder, "in/names.csv", "text,id\n")
+    model = nb.fit(labelled(spark)[0])
+    _arrive(spark, folder, model, files_per_trigger=2)
+    status = {r["source_file"]: r["status"] for r in arrivals.file_status(spark, folder + "/book").collect()}
+    want = {"a.csv": "ok", "lacks.csv": "missing_column", "broken.csv": "unreadable", "names.csv": "no_data"}
+    assert status == want
+    put(folder, "in/long.csv", "id,text\n2,w1 b,more\n3,the a\n4,\"x\ny\"\n")
+    _arrive(spark, folder, model)
+    rows = {r["id"]: r["text"] for r in arrivals.published_rows(spark, folder + "/out", folder + "/book").collect()}
+    assert rows == {"1": "the a", "3": "the a", "4": "x\ny"}
+    assert [r["record"] for r in arrivals.dead_records(spark, folder + "/book").collect()] == ["2,w1 b,more"]
+    assert tuple(arrivals.progress(spark, folder + "/book").first()) == (5, 3, 2, 3, 1)
+    # The broken file is mended, the other one stays bad; nothing else is taken twice.
+    os.unlink(folder + "/in/.broken.csv.crc")
+    scored = lambda rows: nb.with_predictions(nb.score_rows(rows, model, "text", "empty"), model)
+    assert arrivals.retry_files(spark, "text", scored, folder + "/out", folder + "/book", files_per_batch=1) == 1
+    assert tuple(arrivals.progress(spark, folder + "/book").first()) == (5, 4, 1, 4, 1)
+    tries = {r["source_file"]: r["attempts"] for r in arrivals.file_status(spark, folder + "/book").collect()}
+    assert tries["broken.csv"] == 2 == tries["lacks.csv"] and tries["a.csv"] == 1
+    assert arrivals.published_rows(spark, folder + "/out", folder + "/book").count() == 4
+
+
+@pytest.mark.parametrize("dies", ["records", "output", "files"])
+def test_a_batch_that_died_is_taken_whole_and_once(spark, folder, dies, monkeypatch):
+    path = put(folder, "in/a.csv", "text,id\nthe a,1\nb,2,3\n")
+    place = dict(text_col="text", output=folder + "/out", ledger=folder + "/book")
+
+    def fails(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        if dies == "records":
+            patch.setattr(arrivals, "read_csv", fails)
+        if dies == "files":
+            patch.setattr(arrivals, "_write_files", fails)
+        with pytest.raises(KeyboardInterrupt):
+            arrivals.take_csv(spark, [path], 0, transform=fails if dies == "output" else lambda rows: rows, **place)
+    assert arrivals.recorded_files(spark, folder + "/book").count() == 0
+    assert arrivals.dead_records(spark, folder + "/book").count() == 0
+    for _ in range(2):
+        arrivals.take_csv(spark, [path], 0, transform=lambda rows: rows, **place)
+        assert tuple(arrivals.progress(spark, folder + "/book").first()) == (1, 1, 0, 1, 1)
+    assert [r["id"] for r in arrivals.published_rows(spark, folder + "/out", folder + "/book").collect()] == ["1"]
+
+
+def test_published_batches_alone_are_read(spark, folder):
+    path = put(folder, "in/a.csv", "text\nthe a\n")
+    place = dict(text_col="text", transform=lambda rows: rows, output=folder + "/out", ledger=folder + "/book")
+    arrivals.take_csv(spark, [path], 3, **place)
+    spark.range(5).select(F.lit("late").alias("text")).write.parquet(folder + "/out/batch=4")
+    assert [r["text"] for r in arrivals.published_rows(spark, folder + "/out", folder + "/book").collect()] == ["the a"]
+    arrivals.take_csv(spark, [folder + "/in/gone.csv"], 5, **place)
+    assert [r["status"] for r in arrivals.dead_files(spark, folder + "/book").collect()] == ["not_found"]
