@@ -71,13 +71,18 @@ def training_gate(
     max_imbalance: float = 20.0,
     max_duplicate_share: float = 0.1,
     max_short_share: float = 0.2,
+    facts: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Rules in the order in which they are judged; the first failing error decides."""
+    """Rules in the order in which they are judged; the first failing error decides.
+
+    ``facts`` and ``counts`` take the results of earlier ``text_facts`` and ``label_counts`` of the table.
+    """
     rows = F.col("total_rows")
     duplicate_limit = rows * F.lit(max_duplicate_share)
     short_limit = rows * F.lit(max_short_share)
     on_text = _rules(
-        text_facts(df, text_col),
+        text_facts(df, text_col) if facts is None else facts,
         _rule(1, "enough_rows", ERROR, rows, F.lit(min_rows), rows >= min_rows),
         _rule(2, "duplicates", WARNING, F.col("duplicates"), duplicate_limit,
               F.col("duplicates") <= duplicate_limit),
@@ -85,7 +90,8 @@ def training_gate(
         _rule(4, "short_texts", WARNING, F.col("short_texts"), short_limit,
               F.col("short_texts") <= short_limit),
     )
-    counts = label_counts(_with_label_lists(df, labels_col), labels_col)
+    if counts is None:
+        counts = label_counts(_with_label_lists(df, labels_col), labels_col)
     rare = F.count_if(F.col("n") < min_per_label).alias("rare")
     spread = counts.agg(rare, *_imbalance_columns())
     on_labels = _rules(
@@ -159,8 +165,8 @@ def enforce(rules: DataFrame) -> list[str]:
     return [row["rule"] for row in judged if not row["passed"]]
 
 
-def recommendations(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Advice that applies to the table: ``(position, advice, n)``."""
+def recommendations(df: DataFrame, text_col: str = "text", facts: DataFrame | None = None) -> DataFrame:
+    """Advice that applies to the table: ``(position, advice, n)``. ``facts`` as in ``training_gate``."""
     rows = F.col("total_rows")
 
     def advice(position: int, name: str, n: Column, applies: Column) -> Column:
@@ -182,7 +188,7 @@ def recommendations(df: DataFrame, text_col: str = "text") -> DataFrame:
             advice(5, "moderate_dataset", rows, (rows >= 100) & (rows < 500)),
         )
     )
-    return text_facts(df, text_col).select(F.inline(found))
+    return (text_facts(df, text_col) if facts is None else facts).select(F.inline(found))
 
 
 __all__ = [

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import all_named
 from ..functions.text import NAN
-from ..operators.labels import labelled_table, vocabulary
+from ..operators.labels import label_counts, labelled_table
 from ..operators.model import (
     MIN_DOCUMENTS,
     LabelModel,
@@ -20,7 +20,7 @@ from ..operators.model import (
     with_predictions,
 )
 from ..operators.profile import profile_rows
-from ..operators.quality import enforce, light_gate, recommendations, training_gate
+from ..operators.quality import enforce, light_gate, recommendations, text_facts, training_gate
 from ..operators.selection import ALPHAS, PATIENCE, Trial, choose_alpha, evaluate
 from ..operators.split import TEST, TRAIN, VALIDATION, split_sizes, with_split
 from ..operators.summary import batch_summary, category_summary, run_summary
@@ -221,9 +221,12 @@ def train(
     warnings: list[str] = []
     if gate:
         enforce(light_gate(table))
-        warnings = enforce(training_gate(table))
-    advice = [row["advice"] for row in recommendations(table).collect()]
-    names = vocabulary(table)
+    # The texts are looked at once for the gate and the advice, the labels once for the gate and the vocabulary.
+    facts, counted = materialise(text_facts(table), "facts"), materialise(label_counts(table), "label-counts")
+    if gate:
+        warnings = enforce(training_gate(table, facts=facts, counts=counted))
+    advice = [row["advice"] for row in recommendations(table, facts=facts).collect()]
+    names = sorted(row["label"] for row in counted.filter("label IS NOT NULL").select("label").collect())
     parts = with_split(table, key, test_size, valid_size, seed)
     sizes = {row["split"]: row["n"] for row in split_sizes(parts).collect()}
     training = parts.filter(F.col("split") == TRAIN)
