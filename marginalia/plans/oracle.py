@@ -417,6 +417,11 @@ ORACLE_SQL: dict[str, str] = {
     "published_versions": """SELECT CAST(1 AS BIGINT) AS version, source AS name, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars
         FROM documents GROUP BY source UNION ALL
         SELECT 2, lang, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY lang""",
+    "lr_balance": f"""WITH {LABELLED}, valid AS (SELECT * FROM labelled WHERE ({reason()}) = 'none'),
+        names AS (SELECT DISTINCT unnest(labels) AS label FROM valid)
+        SELECT label, count(*) AS n_rows, count(*) FILTER (list_contains(labels, label)) AS n_positive, true AS balanced,
+               true AS better_than_share
+        FROM names CROSS JOIN valid GROUP BY label""",
     "external_scores": f"""WITH {TRIAGED}
         SELECT doc_id, skip_reason,
                CASE WHEN skip_reason = 'none' THEN round(1 / (1 + exp(-least((length(text) - 1000) / 1000.0::DOUBLE, 60))), 6) ELSE 0 END AS "long",

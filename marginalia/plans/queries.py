@@ -38,6 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 MAX_TOKENS = 128
 #: The models of the queries drop tokens of a single document.
 PRUNED = 2
+#: Width of the hashed features of the query that looks at a fit.
+LR_FEATURES = 1 << 12
 SUMMARY_CATEGORIES = ("unused", "toxic", "quality", "fr", "de")
 WIDE_CATEGORIES = ("de", "en", "es", "fr", "quality", "toxic", "unknown")
 REGISTRY: dict[str, Query] = {}
@@ -465,6 +467,29 @@ def lr_scores(spark, sf_dir):
     return scored.select("doc_id", "skip_reason", *columns)
 
 
+@query
+def lr_balance(spark, sf_dir):
+    """Two marks of a regularised fit with a free intercept, per label: the mean fitted probability is the label's
+    share of the rows, and the log-loss is below that of the share alone. Necessary, not sufficient, for the optimum."""
+    judged = triage.with_skip_reason(t.labelled(spark, sf_dir), null_reason=EMPTY)
+    rows = materialise(judged.filter("skip_reason = 'none'").drop("skip_reason"), "labelled")
+    names = label_ops.vocabulary(rows)
+    models = fit_linear(rows, names, iterations=100, features=LR_FEATURES)
+    fitted = score_linear(rows, models, "doc_id", names, features=LR_FEATURES).select("doc_id", "probs")
+    hits = rows.select("doc_id", label_ops.multi_hot(F.col("labels"), names).alias("hits"))
+    cells = fitted.join(hits, "doc_id").select(F.posexplode(F.arrays_zip("probs", "hits")).alias("idx", "cell")).select("idx", "cell.*")
+    share = F.sum(F.col("hits").cast("bigint")) / F.count("*")
+    log_loss = -F.avg(F.ln(F.when(F.col("hits") == 1, F.col("probs")).otherwise(1 - F.col("probs"))))
+    entropy = -(share * F.ln(share) + (1 - share) * F.ln(1 - share))
+    label = F.get(F.array(*[F.lit(name) for name in names]), F.col("idx")).alias("label")
+    return cells.groupBy("idx").agg(
+        F.count("*").alias("n_rows"),
+        F.sum(F.col("hits").cast("bigint")).alias("n_positive"),
+        (F.abs(F.avg("probs") - share) < 1e-3).alias("balanced"),
+        (log_loss < entropy).alias("better_than_share"),
+    ).select(label, "n_rows", "n_positive", "balanced", "better_than_share")
+
+
 def _length_model():
     """Loader of a stand-in for a model outside Spark: two probabilities from the text length.
 
