@@ -18,7 +18,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _DIGITS = 20
 
@@ -76,11 +76,16 @@ def _link(target: str, aside: str, text: str) -> bool:
         os.unlink(aside)
 
 
+def _number(path: str) -> Column:
+    """The number of an entry; null for any other file."""
+    return F.regexp_extract(path, rf"(?:^|/)([0-9]{{{_DIGITS}}})\.json$", 1).try_cast("bigint")
+
+
 def entries(spark: SparkSession, log: str, schema: str) -> DataFrame:
-    """All entries with their ``version``; a log that does not exist yet has none."""
-    number = F.regexp_extract("_metadata.file_name", rf"^([0-9]{{{_DIGITS}}})\.json$", 1).cast("bigint")
+    """All entries with their ``version``; a log that does not exist yet has none, other files are passed over."""
     try:
-        return spark.read.schema(schema).json(log).select("*", number.alias("version"))
+        rows = spark.read.schema(schema).json(log).select("*", _number("_metadata.file_name").alias("version"))
+        return rows.filter("version IS NOT NULL")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -90,12 +95,12 @@ def entries(spark: SparkSession, log: str, schema: str) -> DataFrame:
 def newest(spark: SparkSession, log: str) -> int:
     """The largest number in the log by listing alone; 0 for none."""
     try:
-        names = spark.read.format("binaryFile").load(log).select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).alias("n"))
+        names = spark.read.format("binaryFile").load(log).select(_number("path").alias("n"))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return 0
-    return names.agg(F.max(F.col("n").cast("bigint"))).first()[0] or 0
+    return names.agg(F.max("n")).first()[0] or 0
 
 
 def append_entry(spark: SparkSession, log: str, row: dict) -> int:

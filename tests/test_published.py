@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import model as nb
 from marginalia.sinks import commits, models as store, published
 
+from test_files import put
 from test_model import labelled
 
 
@@ -14,7 +15,10 @@ def test_entries_are_created_once(spark, folder):
     assert commits.newest(spark, folder + "/a log") == 0
     assert commits.put_if_absent(spark, path, '{"x": "ä"}') and not commits.put_if_absent(spark, path, '{"x": "b"}')
     assert [tuple(r) for r in commits.entries(spark, folder + "/a log", "x STRING").collect()] == [("ä", 1)]
+    for name in ("part-00000-c000.json", "notes.json"):
+        put(folder, "a log/" + name, '{"x": "stray"}')
     assert commits.newest(spark, folder + "/a log") == 1
+    assert commits.entries(spark, folder + "/a log", "x STRING").count() == 1
     with ThreadPoolExecutor(4) as pool:
         numbers = list(pool.map(lambda i: commits.append_entry(spark, folder + "/a log", {"x": str(i)}), range(12)))
     assert sorted(numbers) == list(range(2, 14))
