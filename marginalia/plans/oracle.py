@@ -470,6 +470,13 @@ ORACLE_SQL: dict[str, str] = {
     "csv_encodings": "SELECT 'utf-8' AS encoding, count(*) AS n_rows FROM documents",
     "labelled_scan": f"""WITH {LABELLED}
         SELECT doc_id, md5(text) AS text_md5, array_to_string(labels, '|') AS labels FROM labelled""",
+    "canonical_table": """SELECT doc_id, 'text' AS form, md5(CASE WHEN doc_id % 7 > 0 THEN coalesce(text, '') ELSE '' END) AS text_md5,
+               coalesce(lang, '') AS labels FROM documents
+        UNION ALL SELECT doc_id, 'number', md5(coalesce(CAST(n_chars AS VARCHAR), '')), coalesce(lang, '') FROM documents""",
+    "required_columns": """SELECT 'documents' AS table_name, count(*) AS n_rows, CAST(NULL AS VARCHAR) AS message FROM documents
+        UNION ALL SELECT 'conversations', 0, 'missing column(s): doc_id'
+        UNION ALL SELECT 'benchmark', 0, 'missing column(s): doc_id'
+        UNION ALL SELECT 'labels', 0, 'missing column(s): text'""",
     "labelled_surplus": """SELECT doc_id, 'a, "b"' || n_chars AS text, lang AS labels,
           CASE WHEN doc_id % 10 = 0 THEN doc_id || ',"a, ""b""' || n_chars || '",' || lang || ',' || source END AS surplus
         FROM documents""",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..errors import MissingColumnError
 from ..functions import files as path_functions
 from ..functions.labels import pair_summary, parse_label_cell
 from ..functions.text import EMPTY, NAN, attention_mask, padded, should_skip, strip, tokens
@@ -702,6 +703,32 @@ def labelled_scan(spark, sf_dir):
     )
 
 
+@query
+def canonical_table(spark, sf_dir):
+    """Labelled tables with null texts and with numbers for texts, in the layout that training takes."""
+    documents = t.documents(spark, sf_dir)
+    text = F.when(F.col("doc_id") % 7 > 0, F.col("text"))
+    tables = [documents.select("doc_id", column.alias("text"), F.col("lang").alias("labels")) for column in (text, F.col("n_chars"))]
+    canonical = [label_ops.labelled_table(df, keep=["doc_id"]).withColumn("form", F.lit(name)) for df, name in zip(tables, ("text", "number"))]
+    rows = canonical[0].unionByName(canonical[1])
+    return rows.select("doc_id", "form", F.md5("text").alias("text_md5"), _joined("labels").alias("labels"))
+
+
+@query
+def required_columns(spark, sf_dir):
+    """Tables judged for the columns of labelled data: their rows, or the message that names what is missing."""
+    found = []
+    for name in ("documents", "conversations", "benchmark", "labels"):
+        rows, message = t.table(spark, sf_dir, name), None
+        try:
+            rows = triage.require_columns(rows, ["doc_id", "text"])
+        except MissingColumnError as error:
+            rows, message = rows.filter(F.lit(False)), str(error)
+        label = F.lit(name).alias("table_name")
+        found.append(rows.agg(F.count("*").alias("n_rows")).select(label, "n_rows", F.lit(message).cast("string").alias("message")))
+    return sources.union_by_name(found)
+
+
 @query
 def labelled_surplus(spark, sf_dir):
     """Labelled CSV rows of which every tenth has a label more than the header: reported, none lost silently."""

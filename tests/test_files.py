@@ -328,3 +328,16 @@ def test_surplus_labels_are_never_lost_silently(spark, folder):
     assert {r["text"]: (r["labels"], r["surplus"]) for r in found} == {
         "foo": (["a"], None), "bar": (["a"], "bar,a,b"), "x,y": (["c", "d"], None), "baz": (["b"], "baz,b,c,d"), "short": ([], None),
     }
+
+
+def test_an_unreadable_csv_file_is_a_status(spark, folder):
+    good, lacking = put(folder, "a.csv", "text,id\nx,1\ny,2\n"), put(folder, "b.csv", "txet\nx\n")
+    broken = put(folder, "c.csv", "text\nz\n")
+    put(folder, ".c.csv.crc", "crc\0" + "\0" * 12)
+    found = files.validate_files(spark, [good, lacking, broken])
+    assert {r["source_file"]: (r["status"], r["n_rows"]) for r in found.report.collect()} == {
+        "a.csv": ("ok", 2), "b.csv": ("missing_column", 0), "c.csv": ("unreadable", 0)
+    }
+    assert sorted(r["text"] for r in found.rows.collect()) == ["x", "y"]
+    alone = files.validate_files(spark, [broken])
+    assert [r["status"] for r in alone.report.collect()] == ["unreadable"] and alone.rows.count() == 0

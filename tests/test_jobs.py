@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.errors import StrictInputError, TrainingDataError
 from marginalia.functions.files import file_stem, file_suffix, output_name, run_stamp
-from marginalia.operators import model as nb, summary
+from marginalia.operators import model as nb, quality, summary
 from marginalia.operators.external import predict_external, score_external
 from marginalia.operators.linear import fit_linear, score_linear
 from marginalia.plans import jobs
@@ -209,3 +209,20 @@ def test_linear_model(spark):
 def test_default_category_list(spark):
     rows = summary.category_table(spark).orderBy("idx").collect()
     assert len(rows) == 13 and (rows[0]["category"], rows[12]["category"]) == ("Колектив", "Інше")
+
+
+def test_training_looks_at_texts_and_labels_once(spark, monkeypatch):
+    seen = []
+
+    def counting(name, function):
+        def run(*args, **kwargs):
+            seen.append(name)
+            return function(*args, **kwargs)
+
+        return run
+
+    for module in (jobs, quality):
+        for name in ("text_facts", "label_counts"):
+            monkeypatch.setattr(module, name, counting(name, getattr(module, name)))
+    jobs.train(labelled(spark)[0], "id")
+    assert sorted(seen) == ["label_counts", "text_facts"]
