@@ -25,7 +25,10 @@ def read_arriving(
     pattern: str | None = None,
     **options: str,
 ) -> DataFrame:
-    """A stream of rows. CSV binds columns by position, so it is refused: see ``classify_arriving_csv``."""
+    """A stream of rows. CSV binds columns by position, so it is refused: see ``classify_arriving_csv``.
+
+    ``pattern`` picks the entries of ``folder`` that are read; an entry is a file, or a folder with all its files.
+    """
     if kind == "csv":
         raise ValueError("arriving CSV files are bound by header name: use classify_arriving_csv")
     reader = (
@@ -34,7 +37,8 @@ def read_arriving(
         .options(**options)
     )
     if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
+        # The braces make any name a glob: Spark takes a plain path for a folder and refuses a single file.
+        folder = f"{folder.rstrip('/')}/{{{pattern}}}"
     return reader.format(kind).load(folder)
 
 

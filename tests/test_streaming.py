@@ -52,6 +52,21 @@ def test_classified_stream_equals_batch(spark, folder):
     assert got.select(columns).orderBy("id").collect() == want.select(columns).orderBy("id").collect()
 
 
+def test_an_arriving_table_is_a_file_or_a_folder(spark, folder):
+    model = nb.fit(labelled(spark)[0])
+    rows = spark.range(40).select("id", F.lit("the w1 a").alias("text"))
+    rows.repartition(3).write.parquet(folder + "/many/t.parquet")
+    rows.coalesce(1).write.parquet(folder + "/parts")
+    (part,) = [name for name in os.listdir(folder + "/parts") if name.endswith(".parquet")]
+    os.makedirs(folder + "/one")
+    os.link(f"{folder}/parts/{part}", folder + "/one/t.parquet")
+    for name in ("many", "one"):
+        rows.limit(5).write.parquet(f"{folder}/{name}/other.parquet")
+        stream = classify.read_arriving(spark, f"{folder}/{name}", "id BIGINT, text STRING", pattern="t.parquet")
+        classify.classify_arriving(stream, model, "id", f"{folder}/{name}-out", f"{folder}/{name}-cp").awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(f"{folder}/{name}-out/batch=*").collect()) == list(range(40))
+
+
 def test_observed_rows(spark):
     seen = []
     df, rows = classify.observed(spark.range(25), "scan", seen.append)
