@@ -625,12 +625,18 @@ def csv_records(spark, sf_dir):
 
 @query
 def file_names(spark, sf_dir):
-    path = F.col("_metadata.file_path")
+    """Names of the outputs for a path that is handed in; a folder of part files is one input."""
+    requested = sources.data_files(spark, _table_paths(sf_dir, "documents")).select(F.col("requested").alias("path"), "bare")
     stamp = path_functions.run_stamp(F.lit("2024-01-02 03:04:05").cast("timestamp"))
-    return (
+    per_file = (
         t.documents(spark, sf_dir)
-        .groupBy(path.alias("path"))
+        .groupBy(sources.bare_path(sources.plain_path(F.col("_metadata.file_path"))).alias("bare"))
         .agg(F.count("*").alias("n"))
+    )
+    return (
+        per_file.join(requested, "bare")
+        .groupBy("path")
+        .agg(F.sum("n").alias("n"))
         .select(
             path_functions.file_stem(F.col("path")).alias("stem"),
             path_functions.file_suffix(F.col("path")).alias("suffix"),

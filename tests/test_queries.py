@@ -34,6 +34,13 @@ def test_query_equals_sql(spark, db, name):
     assert got == Counter(cursor.fetchall())
 
 
+def test_a_folder_of_part_files_has_one_output_name(spark, folder):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    found = entry.queries()["file_names"](spark, folder).collect()
+    rows = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert [tuple(r) for r in found] == [("documents", ".parquet", "classified_documents_20240102_030405", rows)]
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"idx", "category", "n", "pct"}
