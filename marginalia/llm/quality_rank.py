@@ -8,10 +8,14 @@ steps. Pairs are drawn between documents of either label. A score says how a doc
 the labelled documents below it as have label 0. Scores are given as the probability of being
 preferred to a document at the threshold, shifted so that the threshold lies at ``CUT``.
 
-Learning takes the features of at most ``SAMPLE`` documents of either label, those with the smallest hash of their ids; the share
-of label 0 is counted over all labels. Features are computed in the tasks, whatever the length: a text
-of more than ``BLOCK`` bytes is counted in blocks that begin before a blank (if one is near), so a
-task's memory is bounded by blocks, not by texts; what the driver gets are feature rows.
+Learning takes every labelled document. Their features are dealt to groups by a hash of the id, about ``GROUP`` documents of
+the more frequent label each; where the rarer label would be thin, its documents go to several groups, ``LEAST`` to a group.
+Pairs are drawn within a group, and every document takes part. Each Newton step is a Spark job whose tasks add up gradient and curvature of their
+groups; the threshold is narrowed down by counts over all scores. A group's sums depend on its rows alone and are added as whole multiples of
+``1 / UNIT``, so the model doesn't depend on how the rows come in; what the driver gets are sums and counts.
+
+Features are computed in the tasks, whatever the length: a text of more than ``BLOCK`` bytes is counted in blocks that begin before a blank (if one is near), so a
+task's memory is bounded by blocks, not by texts.
 
 Defined results: null, empty and blank texts have zero features and the score that follows; without labels of both kinds
 every score is ``CUT``; repeated rows get equal scores; an id with both labels is learnt with both; labels other than 0
@@ -20,20 +24,26 @@ and 1 are ignored; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
 from . import text as t
 from .workers import ship
 
-SAMPLE = 3000
-PAIRS = 8  # drawn for every document of the rarer label
+GROUP = 2048
+LEAST = 64
+UNIT = float(1 << 24)
+BINS = 1024
+FEW = 10_000  # scores that are looked at one by one
+PAIRS = 8  # drawn for every document of the more frequent label
 RIDGE = 1e-3
 NEWTON_STEPS = 30
+SEED = 17
 CUT = 0.3
 BLOCK = 1 << 20
 NEAR = 4096
@@ -144,31 +154,55 @@ def text_features(column: pa.Array, block: int = BLOCK) -> np.ndarray:
     return features(total)
 
 
-def train(x: np.ndarray, good: np.ndarray, share_of_bad: float, pairs: int = PAIRS, seed: int = 17) -> Model:
-    """Newton steps on the logistic loss of the feature differences of drawn pairs (preferred less other)."""
-    mean = x.mean(axis=0)
-    spread = np.maximum(x.std(axis=0), 1e-3)
-    z = np.clip((x - mean) / spread, -FAR, FAR)
+def standardised(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / spread, -FAR, FAR)
+
+
+def differences(z: np.ndarray, good: np.ndarray, pairs: int, seed: Sequence[int]) -> np.ndarray:
+    """Feature differences of drawn pairs, preferred less other; none without both labels."""
     best, worst = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    if not len(best) or not len(worst):
+        return np.zeros((0, z.shape[1]))
     draw = np.random.default_rng(seed)
     n = pairs * max(len(best), len(worst))
     # Every document of both labels takes part, the rarer ones more often.
     i = np.concatenate([draw.permutation(best) for _ in range(-(-n // len(best)))])[:n]
     j = np.concatenate([draw.permutation(worst) for _ in range(-(-n // len(worst)))])[:n]
-    differences = z[i] - z[j]
-    w = np.zeros(x.shape[1])
+    return z[i] - z[j]
+
+
+def newton_sums(found: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Pairs, and the sums over them of the gradient and of the curvature of the loss."""
+    p = 1 / (1 + np.exp(np.clip(found @ w, -60, 60)))  # probability of the wrong order
+    return len(found), -(found.T @ p), (found.T * (p * (1 - p))) @ found
+
+
+def newton(sums: Callable[[np.ndarray], tuple[int, np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    """Weights of the least mean loss plus ridge; ``sums`` gives ``newton_sums`` of all pairs."""
+    w = np.zeros(width)
     for _ in range(NEWTON_STEPS):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -60, 60)))  # probability of the wrong order
-        gradient = -(differences.T @ p) / n + RIDGE * w
-        curved = (differences.T * (p * (1 - p))) @ differences / n + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curved, gradient)
-        w -= step
+        n, gradient, curved = sums(w)
+        step = np.linalg.solve(curved / n + RIDGE * np.eye(width), gradient / n + RIDGE * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    raw = z @ w
-    # The labels' own shares, whatever part of either was drawn.
-    weight = np.where(good == 1, (1 - share_of_bad) / len(best), share_of_bad / len(worst))
-    return Model(mean, spread, w, quantile(raw, weight, share_of_bad))
+    return w
+
+
+def spread_of(deviations: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(np.sqrt(deviations / n), 1e-3)
+
+
+def train(x: np.ndarray, good: np.ndarray, share_of_bad: float, pairs: int = PAIRS, seed: int = SEED) -> Model:
+    """The model of one group of rows."""
+    mean = x.mean(axis=0)
+    spread = spread_of(((x - mean) ** 2).sum(axis=0), len(x))
+    z = standardised(x, mean, spread)
+    found = differences(z, good, pairs, (seed, 0))
+    w = newton(lambda w: newton_sums(found, w), x.shape[1])
+    # The labels' own shares, whatever the rows of either.
+    weight = np.where(good == 1, (1 - share_of_bad) / (good == 1).sum(), share_of_bad / (good == 0).sum())
+    return Model(mean, spread, w, quantile(z @ w, weight, share_of_bad))
 
 
 def quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
@@ -185,38 +219,125 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = text_features(piece.column("text"))
         bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES)
         lists = pa.ListArray.from_arrays(bounds, pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([piece.column("label"), lists], ["label", "features"])
+        yield pa.RecordBatch.from_arrays([piece.column("id"), lists], ["id", "features"])
+
+
+def grouped(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """``(group, rows ARRAY<STRUCT<label, own, features>>)`` of ``(id, label, features)``; ``own`` marks a row in one of its groups.
+
+    A group is expected to have ``LEAST`` documents of the rarer label, so the chance of one without any is below 1e-27; of fewer
+    than ``LEAST`` in all, every group has all.
+    """
+    n_groups = -(-max(sizes.values()) // GROUP)
+    rarer = min(sizes, key=lambda label: (sizes[label], label))
+    times = min(n_groups, -(-LEAST * n_groups // sizes[rarer]))
+    copies = F.when(F.col("label") == rarer, F.sequence(F.lit(0), F.lit(times - 1))).otherwise(F.array(F.lit(0)))
+    group = F.pmod(F.pmod(F.xxhash64("id"), F.lit(n_groups)) + F.col("copy"), F.lit(n_groups))
+    dealt = rows.withColumn("copy", F.explode(copies)).select(
+        group.alias("group"), F.struct("label", (F.col("copy") == 0).alias("own"), "features").alias("row")
+    )
+    return dealt.groupBy("group").agg(F.collect_list("row").alias("rows"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(group, features, label, own)`` of every group, its rows in the same order however they came in."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows = batch.column(1).slice(i, 1).flatten()
+            label = rows.field("label").to_numpy(zero_copy_only=False)
+            own = rows.field("own").to_numpy(zero_copy_only=False)
+            x = rows.field("features").flatten().to_numpy().reshape(len(label), N_FEATURES)
+            order = np.lexsort((*x.T, own, label))
+            yield batch.column(0)[i].as_py(), x[order], label[order], own[order]
+
+
+def _summed(groups: DataFrame, part: Callable, width: int) -> np.ndarray:
+    """Sums over all groups of the ``width`` numbers that ``part`` makes of ``(group, features, label, own)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(np.rint(part(*found) * UNIT))], ["place", "units"])
+
+    units = F.sum(F.col("units").cast("decimal(28,0)"))
+    out = np.zeros(width)
+    for row in groups.mapInArrow(run, "place long, units double").groupBy("place").agg(units.alias("units")).collect():
+        out[row["place"]] = float(row["units"]) / UNIT
+    return out
+
+
+def _newton_part(w: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> Callable:
+    def part(group, x, label, own):
+        n, gradient, curved = newton_sums(differences(standardised(x, mean, spread), label, PAIRS, (SEED, group)), w)
+        return np.concatenate([[n], gradient, curved.ravel()])
+
+    return part
+
+
+def _raw_scores(model: Model) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, label, own in _groups(batches):
+            raw = model.raw(x)
+            yield pa.RecordBatch.from_arrays([pa.array(label[own]), pa.array(raw[own])], ["label", "raw"])
+
+    return run
+
+
+def quantile_of(scores: DataFrame, weights: dict[int, float], share: float) -> float:
+    """``quantile`` of a table ``(label, raw)`` with a weight per label, narrowed down by counts: exact, nothing is gathered whole."""
+    weighted = sum(F.count_if(F.col("label") == label) * F.lit(weight) for label, weight in weights.items())
+    low, high, total = scores.agg(F.min("raw"), F.max("raw"), weighted).first()
+    wanted, below = (share - 1e-9) * total, 0.0  # weight of the scores under ``low``
+    while True:
+        inside = scores.filter(F.col("raw").between(low, high))
+        width = (high - low) / BINS
+        if width == 0 or low + width == low or high - width == high or inside.count() <= FEW:
+            break
+        at = F.least(F.floor((F.col("raw") - low) / width), F.lit(BINS - 1))
+        bins = inside.groupBy(at.alias("bin")).agg(weighted.alias("w"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+        for row in sorted(bins.collect(), key=lambda r: r["bin"]):
+            if below + row["w"] >= wanted:
+                break
+            below += row["w"]
+        if (row["low"], row["high"]) == (low, high):
+            break
+        low, high = row["low"], row["high"]
+    for value, w in sorted(inside.groupBy("raw").agg(weighted.alias("w")).collect()):
+        below += w
+        if below >= wanted:
+            break
+    larger = scores.filter(F.col("raw") > value).agg(F.min("raw")).first()[0]
+    return value if larger is None else (value + larger) / 2
 
 
 def fit(
-    documents: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-    sample: int = SAMPLE,
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> Model | None:
-    """From at most ``sample`` labelled documents of either label; None without both."""
-    spark = documents.sparkSession
-    ship(spark)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
-    known = known.distinct().join(documents.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+    """From all labelled documents; None without both labels."""
+    ship(documents.sparkSession)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(label_col).alias("given"))
+    known = known.filter("given IN (0, 1) AND id IS NOT NULL").select("id", "label").distinct()
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    # Features meet the labels, so no text is shuffled.
+    described = texts.mapInArrow(_featurer, f"id {texts.schema['id'].dataType.simpleString()}, features array<double>")
+    rows = materialise(described.join(known, "id"), "quality-features")
+    counted = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect()}
+    if len(counted) < 2:
         return None
-    chosen = None
-    for label in (0, 1):
-        own = known.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    # At most 2 * sample ids.
-    ids = spark.createDataFrame(chosen.toArrow())
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(ids), "id").select("label", "text")
-    found = rows.mapInArrow(_featurer, f"label {rows.schema['label'].dataType.simpleString()}, features array<double>").toArrow()
-    label = found.column("label").to_numpy()
-    x = found.column("features").combine_chunks().flatten().to_numpy().reshape(len(label), N_FEATURES)
-    order = np.lexsort((*x.T, label))  # the same order however the rows come in
-    return train(x[order], label[order], sizes[0] / (sizes[0] + sizes[1]))
+    sizes, ids = ({label: r[name] for label, r in counted.items()} for name in ("n", "ids"))
+    share_of_bad, n = ids[0] / (ids[0] + ids[1]), sizes[0] + sizes[1]
+    groups = materialise(grouped(rows, sizes), "quality-groups")
+    mean = _summed(groups, lambda group, x, label, own: x[own].sum(axis=0), N_FEATURES) / n
+    spread = spread_of(_summed(groups, lambda group, x, label, own: ((x[own] - mean) ** 2).sum(axis=0), N_FEATURES), n)
+
+    def sums(w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        found = _summed(groups, _newton_part(w, mean, spread), 1 + N_FEATURES + N_FEATURES**2)
+        return found[0], found[1 : 1 + N_FEATURES], found[1 + N_FEATURES :].reshape(N_FEATURES, N_FEATURES)
+
+    model = Model(mean, spread, newton(sums, N_FEATURES), 0.0)
+    scores = materialise(groups.mapInArrow(_raw_scores(model), "label int, raw double"), "quality-scores")
+    # The labels' own shares, whatever the rows of either.
+    weights = {1: (1 - share_of_bad) / sizes[1], 0: share_of_bad / sizes[0]}
+    return model._replace(threshold=quantile_of(scores, weights, share_of_bad))
 
 
 def _scorer(shared) -> Callable:

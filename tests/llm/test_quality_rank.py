@@ -6,6 +6,8 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import prose
 
 from marginalia.llm import quality_rank as q, queries
@@ -122,3 +124,44 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert q.fit(odd_documents, labels.filter("quality = 1")) is None
     assert {r["score"] for r in q.quality(odd_documents, None).collect()} == {q.CUT}
     assert q.fit(no_documents, labels) is None and q.quality(no_documents, model).count() == 0
+
+
+def _many(spark, n, other):
+    """Documents of both labels in turns; those in ``other`` are written in capitals."""
+    rows = [(i, (prose(i, 3 + i % 9) + " 12 x-y" * (i % 2)).upper() if i in other else prose(i, 3 + i % 9) + " 12 x-y" * (i % 2), i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, quality int")
+
+
+def test_every_labelled_document_is_learnt_from(spark):
+    """Also those beyond the first 3000 of a label by the hash of their ids, and the threshold holds over all of them."""
+    n = 7000
+    table = spark.range(n).select(F.xxhash64("id").alias("h"), "id")
+    first = {r["id"] for k in (0, 1) for r in table.filter(F.col("id") % 2 == k).orderBy("h").limit(3000).collect()}
+    documents = _many(spark, n, set(range(n)) - first)
+    model = q.fit(documents, documents)
+    x = q.text_features(pa.array([r["text"] for r in documents.select("text").collect()]))
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-6) and np.allclose(model.spread, np.maximum(x.std(axis=0), 1e-3), atol=1e-6)
+    raw = model.raw(x)
+    assert model.threshold == pytest.approx(q.quantile(raw, np.ones(n), 0.5), abs=1e-9)
+    assert (raw < model.threshold).sum() == n // 2
+
+
+def test_groups_hold_both_labels_and_every_row(spark, monkeypatch):
+    monkeypatch.setattr(q, "GROUP", 20)
+    monkeypatch.setattr(q, "LEAST", 16)
+    rows = spark.range(600).select("id", (F.col("id") < 30).cast("int").alias("label"), F.array_repeat(F.col("id").cast("double"), 2).alias("features"))
+    found = q.grouped(rows, {0: 570, 1: 30}).collect()
+    assert len(found) == 29 and all({r["label"] for r in g["rows"]} == {0, 1} for g in found)
+    assert sorted(r["features"][0] for g in found for r in g["rows"] if r["own"]) == list(range(600))
+
+
+def test_threshold_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(q, "FEW", 5)
+    monkeypatch.setattr(q, "BINS", 4)
+    draw = np.random.default_rng(3)
+    for values in (draw.normal(size=300), np.round(draw.normal(size=300), 1), np.ones(50), np.r_[np.ones(90), 2.0], np.r_[-1e9, draw.normal(size=40)]):
+        label = draw.integers(0, 2, len(values))
+        weights = {0: 0.3, 1: 2.0}
+        scores = spark.createDataFrame(list(zip(label.tolist(), values.tolist(), strict=True)), "label int, raw double")
+        for share in (0.01, 0.37, 0.999, 1.0):
+            assert q.quantile_of(scores, weights, share) == q.quantile(values, np.where(label == 1, 2.0, 0.3), share)
