@@ -20,10 +20,10 @@ from ..errors import TrainingDataError
 from ..functions.columns import all_named
 from ..functions.labels import from_mask, multi_hot, name_array
 from ..functions.numbers import reaches, sigmoid
-from ..functions.text import EMPTY, NONE, skip_reason, text_key, tokens
+from ..functions.text import EMPTY, NONE, skip_reason, tokens
 from ..session import materialise
 from .labels import vocabulary
-from .skew import BROADCAST_BYTES, HEAVY_ROWS, left_join_by_frequency, table_bytes
+from .skew import BROADCAST_BYTES, table_bytes
 from .triage import require_columns
 
 MICRO = 1_000_000
@@ -50,7 +50,7 @@ class LabelModel:
     token_bytes: int | None = None
 
     def size(self) -> int:
-        """Bytes the weights take when held in memory; measured if it is not known yet."""
+        """Bytes the weights take when held by a task; measured if it is not known yet."""
         fixed = row_bytes(len(self.labels))
         if self.n_tokens is None or self.token_bytes is None:
             return table_bytes(self.weights, fixed, "token")
@@ -58,8 +58,8 @@ class LabelModel:
 
 
 def row_bytes(n_labels: int) -> int:
-    """Fixed part of one row that carries a number per label."""
-    return 64 + 8 * n_labels
+    """What a held token takes besides its text: an offset, and a number of four bytes per label."""
+    return 4 + 4 * n_labels
 
 
 def document_tokens(text: Column, max_length: int | None = None) -> Column:
@@ -349,76 +349,70 @@ def refine(
     )
 
 
-def _weighted(pairs: DataFrame, model: LabelModel, heavy_rows: int, broadcast_bytes: int) -> DataFrame:
-    return left_join_by_frequency(
-        pairs,
-        model.weights,
-        "token",
-        "df",
-        model.size(),
-        row_bytes(len(model.labels)),
-        heavy_rows,
-        broadcast_bytes,
-    )
-
-
-def _sums(model: LabelModel) -> list[Column]:
-    return [
-        F.sum(F.coalesce(F.get("w", F.lit(i)), F.lit(0))).alias(f"z{i}")
-        for i in range(len(model.labels))
-    ]
+#: Tokens whose weights a task gathers at once.
+AT_ONCE = 1 << 17
+#: Frequencies below this one are told apart when the tokens to hold are chosen, larger ones by powers of two.
+FINE = 4096
 
 
-def _logits(model: LabelModel, copies: Column | None = None) -> Column:
-    """Sum of weights plus bias, in millionths, one entry per label."""
-    parts = []
-    for i, bias in enumerate(model.bias):
-        total = F.col(f"z{i}") if copies is None else F.expr(f"z{i} div copies")
-        parts.append(total + F.lit(bias))
-    return F.array(*parts).cast("array<bigint>")
+def _frequency_to_hold(model: LabelModel, most_bytes: int, most_tokens: int | None) -> int:
+    """The least number of documents from which on tokens fit into ``most_bytes`` together; a few sums reach the driver."""
+    level = F.when(F.col("df") < FINE, F.col("df")).otherwise(F.expr("shiftleft(1L, length(bin(df)) - 1)"))
+    sizes = model.weights.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("token").cast("bigint")).alias("b"))
+    bar, n, held = 1 << 62, 0, 0
+    for row in sorted(sizes.collect(), reverse=True):
+        n, held = n + row["n"], held + row["n"] * row_bytes(len(model.labels)) + row["b"]
+        if held > most_bytes or (most_tokens is not None and n > most_tokens):
+            break
+        bar = row["level"]
+    return bar
 
 
-def _gather(model: LabelModel):
+def _gather(model: LabelModel, weights: DataFrame, with_rest: bool = False):
     """Function from arrays of distinct tokens to logits, over weights held by every task.
 
     Called with weights of a checked size only. The function travels to the Python workers by
     value; a batch of rows is one lookup, one gather and one sum over the weight matrix, all on Arrow's own arrays.
+    Logarithms of doubles in millionths fit four bytes. ``with_rest`` gives ``(z, rest)``, ``rest`` being the tokens that are not held.
     """
-    table = model.weights.select("token", "w").toArrow()
+    table = weights.select("token", F.col("w").cast("array<int>").alias("w")).toArrow()
     width = len(model.labels)
-    flat = pc.list_flatten(table.column("w")).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(table.column("w")).to_numpy().astype(np.int32)
     held = (table.column("token").combine_chunks(), flat.reshape(-1, width))
-    shared = model.weights.sparkSession.sparkContext.broadcast(held)
+    shared = weights.sparkSession.sparkContext.broadcast(held)
     bias = np.array(model.bias, dtype=np.int64)
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<z: array<bigint>, rest: array<string>>" if with_rest else "array<bigint>")
     def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, matrix = shared.value
         for found in batches:
             sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
-            at = pc.index_in(pc.list_flatten(found), value_set=names)
+            tokens_of = pc.list_flatten(found)
+            at = pc.index_in(tokens_of, value_set=names)
             row = np.repeat(np.arange(len(found)), sizes)
+            rest = None
+            if with_rest:
+                missing = pc.is_null(at)
+                counts = np.bincount(row[missing.to_numpy(zero_copy_only=False)], minlength=len(found))
+                bounds = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+                rest = pa.ListArray.from_arrays(bounds, tokens_of.filter(missing))
             if at.null_count:
                 row = row[pc.is_valid(at).to_numpy(zero_copy_only=False)]
                 at = at.drop_null()
             out = np.zeros((len(found), width), dtype=np.int64)
-            if len(row):
-                start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                out[row[start]] = np.add.reduceat(matrix[at.to_numpy()], start, axis=0)
+            place = at.to_numpy()
+            for low in range(0, len(row), AT_ONCE):  # a row over two slices is summed in both
+                own = row[low : low + AT_ONCE]
+                start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                out[own[start]] += np.add.reduceat(matrix[place[low : low + AT_ONCE]], start, axis=0, dtype=np.int64)
             out += bias
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * width)
-            yield pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+            z = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+            yield z if rest is None else pa.StructArray.from_arrays([z, rest], ["z", "rest"])
 
     return gather
 
 
-def _narrow(triaged: DataFrame, model: LabelModel, text_col: str, max_length: int | None) -> DataFrame:
-    """``triaged`` with the logits ``z``: no shuffle, no join, every column and row passes through."""
-    text = F.col(text_col).cast("string")
-    found = F.when(F.col("skip_reason") == NONE, document_tokens(text, max_length))
-    return triaged.withColumn("z", _gather(model)(found))
-
-
 def _triaged(df: DataFrame, text_col: str, null_reason: str) -> DataFrame:
     reason = skip_reason(F.col(text_col), null_reason, df.schema[text_col].dataType)
     return df.withColumn("skip_reason", reason)
@@ -431,7 +425,7 @@ def score(
     text_col: str = "text",
     null_reason: str = EMPTY,
     max_length: int | None = None,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(key, skip_reason, z, probs)`` for every row; skipped rows get 0.0 everywhere.
@@ -445,11 +439,6 @@ def score(
     )
 
 
-def _rows_seen() -> Column:
-    """Rows that went into a group of exploded tokens: each starts at position 0, or has none."""
-    return F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
-
-
 def _probabilities(logits: Column, valid: Column, model: LabelModel) -> Column:
     found = F.transform(logits, lambda z: F.when(valid, sigmoid(z / F.lit(float(MICRO)))).otherwise(F.lit(0.0)))
     return found.alias("probs")
@@ -461,16 +450,15 @@ def score_rows(
     text_col: str = "text",
     null_reason: str = EMPTY,
     max_length: int | None = None,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """All columns of ``df`` plus ``skip_reason`` and ``probs``.
 
     Weights that measure at most ``broadcast_bytes`` are held by every task, and scoring is a narrow
-    step: no shuffle and no join. Beyond that, texts are scored once per distinct ``text_key``: their tokens
-    are written once, meet the weights by frequency, and the sums are joined back. Copies of one text are
-    folded by the map-side combine (their sums are divided by the number of copies, exactly,
-    since the weights are integers), and the way back splits frequent texts from the rest.
+    step: no shuffle and no join. Beyond that, the tokens of the most training documents are held, as many as fit (at most ``heavy_rows``
+    if given), and the narrow step is written with the tokens it did not find. Only those, the rare ones, meet the other weights in a shuffle
+    join, as pairs with the number of their row; the sums are added to the written rows. Rows are told apart by number, so copies of a text need no care.
     """
     require_columns(df, [text_col])
     scored = _scored(df, model, text_col, null_reason, max_length, heavy_rows, broadcast_bytes)
@@ -483,41 +471,27 @@ def _scored(
     text_col: str,
     null_reason: str,
     max_length: int | None,
-    heavy_rows: int,
+    heavy_rows: int | None,
     broadcast_bytes: int,
 ) -> DataFrame:
     """``df`` with ``skip_reason``, ``z`` and ``probs``."""
     triaged = _triaged(df, text_col, null_reason)
     valid = F.col("skip_reason") == NONE
+    found = F.when(valid, document_tokens(F.col(text_col).cast("string"), max_length))
     if model.labels and model.size() <= broadcast_bytes:
-        found = _narrow(triaged, model, text_col, max_length)
-        return found.withColumn("probs", _probabilities(F.col("z"), valid, model))
-    text = F.col(text_col).cast("string")
-    keyed = triaged.withColumn("_key", F.when(valid, text_key(text)))
-    pairs = keyed.filter(valid).select(
-        "_key", F.posexplode_outer(document_tokens(text, max_length)).alias("pos", "token")
-    )
-    per_text = (
-        _weighted(materialise(pairs, "tokens"), model, heavy_rows, broadcast_bytes)
-        .groupBy("_key")
-        .agg(_rows_seen().alias("copies"), *_sums(model))
-        .select("_key", "copies", _logits(model, F.col("copies")).alias("z"))
-    )
-    scored = materialise(per_text, "scored-texts")
-    fixed = row_bytes(len(model.labels))
-    joined = left_join_by_frequency(
-        keyed,
-        scored,
-        "_key",
-        "copies",
-        table_bytes(scored, fixed, "_key"),
-        fixed,
-        heavy_rows,
-        broadcast_bytes,
-    )
-    z = F.coalesce("z", F.array(*[F.lit(b) for b in model.bias]).cast("array<bigint>"))
-    joined = joined.withColumn("z", z)
-    return joined.withColumn("probs", _probabilities(F.col("z"), valid, model))
+        scored = triaged.withColumn("z", _gather(model, model.weights)(found))
+        return scored.withColumn("probs", _probabilities(F.col("z"), valid, model))
+    bar = _frequency_to_hold(model, max(broadcast_bytes, BROADCAST_BYTES), heavy_rows)
+    held, rare = model.weights.filter(F.col("df") >= bar), model.weights.filter(F.col("df") < bar)
+    numbered = triaged.withColumn("_row", F.monotonically_increasing_id())
+    written = materialise(numbered.withColumn("_found", _gather(model, held, with_rest=True)(found)), "held-scores")
+    sums = [F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(len(model.labels))]
+    added = written.select("_row", F.explode("_found.rest").alias("token")).join(rare, "token").groupBy("_row").agg(*sums)
+    z = [F.get("_found.z", F.lit(i)) + F.coalesce(f"z{i}", F.lit(0)) for i in range(len(model.labels))]
+    # The sums come dealt by row; the rows meet them there.
+    joined = written.join(added.withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
+    scored = joined.select(*all_named(triaged.columns), F.array(*z).cast("array<bigint>").alias("z"))
+    return scored.withColumn("probs", _probabilities(F.col("z"), valid, model))
 
 
 def with_predictions(scored: DataFrame, model: LabelModel, threshold: float = 0.5) -> DataFrame:

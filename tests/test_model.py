@@ -110,6 +110,29 @@ def test_rows_without_key_and_one_hot_text(spark):
         assert sorted((r["text"], tuple(r["probs"])) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_large_vocabularies_shuffle_rare_tokens_only(spark, monkeypatch, limit):
+    """Beyond the limit, frequent tokens are held by the tasks: only the others leave their row, and no key of a text is written."""
+    monkeypatch.setattr(nb, "AT_ONCE", 7)
+    df, _ = labelled(spark)
+    model = nb.fit(df)
+    written = {}
+    monkeypatch.setattr(nb, "materialise", lambda rows, name: written.setdefault(name, rows.localCheckpoint()))
+    texts = df.select("id", F.concat("text", F.lit(" unknown"), F.col("id")).alias("text"))
+    got = {r["id"]: r["z"] for r in nb.score(texts, model, "id", heavy_rows=3, broadcast_bytes=limit).collect()}
+    weights = {r["token"]: (r["df"], r["w"]) for r in model.weights.collect()}
+    for r in texts.collect():
+        found = [weights[x][1] for x in set(r["text"].lower().split()) if x in weights]
+        assert got[r["id"]] == [b + sum(w[i] for w in found) for i, b in enumerate(model.bias)]
+    if limit:
+        assert not written
+    else:
+        rest = {x for r in written["held-scores"].collect() for x in r["_found"]["rest"]}
+        held = set(weights) - rest
+        assert list(written) == ["held-scores"] and 0 < len(held) <= 3
+        assert min(weights[x][0] for x in held) > max(weights[x][0] for x in rest & set(weights))
+
+
 def test_join_by_frequency_is_a_left_join(spark):
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 50 + ["x", "y", "miss", None, None])], "k STRING, i INT")
     keyed = spark.createDataFrame([("hot", 50, 1), ("x", 1, 2), ("y", 1, 3), ("unused", 1, 4)], "k STRING, f INT, v INT")
