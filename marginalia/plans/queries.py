@@ -592,15 +592,15 @@ def _awkward_files(spark, sf_dir) -> list[str]:
     """Comments as a folder of Parquet files, as CSV with bare carriage returns, and with surplus fields."""
     folder = fresh_folder(spark, "awkward")
     rows = t.comments(spark, sf_dir)
-    rows.repartition(3).write.parquet(f"{folder}/folder.parquet")
+    # Each is written by the tasks that read the table: as many files as these.
+    rows.write.parquet(f"{folder}/folder.parquet")
     flat = rows.select("doc_id", F.col("lang").alias("text"))
     flat.write.option("header", True).option("lineSep", "\r").csv(f"{folder}/returns.csv")
-    lines = flat.select(F.concat_ws(",", "doc_id", "text", F.when(F.col("doc_id") % 10 == 0, "surplus")).alias("value"))
-    spark.createDataFrame([("doc_id,text",)], "value STRING").unionByName(lines.coalesce(1)).coalesce(1).write.text(f"{folder}/lines")
-    names = sources.list_files(spark, [f"{folder}/lines"]).select("file_path").first()[0]
-    surplus = f"{folder}/surplus.csv"
-    spark.read.text(names).coalesce(1).write.option("lineSep", "\n").text(surplus)
-    return [f"{folder}/folder.parquet", f"{folder}/returns.csv", surplus]
+    line = F.concat_ws(",", "doc_id", "text", F.when(F.col("doc_id") % 10 == 0, "surplus"))
+    # One column of text, written as it is: its name and cells are the lines of the files.
+    plain = flat.select(line.alias("doc_id,text"))
+    plain.write.option("header", True).option("quote", "").option("escape", "").option("sep", "\u0001").csv(f"{folder}/surplus.csv")
+    return [f"{folder}/{name}" for name in ("folder.parquet", "returns.csv", "surplus.csv")]
 
 
 @query
@@ -613,11 +613,11 @@ def file_precheck(spark, sf_dir):
 @query
 def csv_records(spark, sf_dir):
     """Records of awkward CSV files: any line end counts as one, surplus fields are counted."""
-    _, returns, surplus = _awkward_files(spark, sf_dir)
-    paths = sources.list_files(spark, [returns]).filter("suffix = '.csv'").select("file_path")
-    rows = sources.read_csv(spark, [r["file_path"] for r in paths.collect()])
-    lines = sources.list_files(spark, [surplus]).select("file_path").first()[0]
-    misfits = sources.read_csv(spark, [lines], misfit_col=sources.MISFIT)
+    _, *folders = _awkward_files(spark, sf_dir)
+    listed = [sources.list_files(spark, [folder]).filter("suffix = '.csv'").select("file_path") for folder in folders]
+    returns, surplus = ([r["file_path"] for r in paths.collect()] for paths in listed)
+    rows = sources.read_csv(spark, returns)
+    misfits = sources.read_csv(spark, surplus, misfit_col=sources.MISFIT)
     counted = misfits.groupBy("text").agg(F.count("*").alias("n_rows"), F.count(sources.MISFIT).alias("n_misfits"))
     plain = rows.groupBy("text").agg(F.count("*").alias("n_rows"), F.lit(0).cast("bigint").alias("n_misfits"))
     return plain.select(F.lit("returns").alias("file"), "*").unionByName(counted.select(F.lit("surplus").alias("file"), "*"))

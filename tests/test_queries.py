@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from marginalia.plans import queries as plan_queries
+from marginalia.sources import files as sources
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +43,15 @@ def test_a_folder_of_part_files_has_one_output_name(spark, folder):
     assert [tuple(r) for r in found] == [("documents", ".parquet", "classified_documents_20240102_030405", rows)]
 
 
+def test_awkward_files_are_written_by_all_tasks(spark, folder):
+    """None of them is gathered in a fixed number of tasks."""
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(16).write.parquet(f"{folder}/documents.parquet")
+    tasks = spark.read.parquet(f"{folder}/documents.parquet").rdd.getNumPartitions()
+    assert tasks > 3
+    for path in plan_queries._awkward_files(spark, folder):
+        assert sources.list_files(spark, [path]).filter("source_file LIKE 'part-%'").count() == tasks
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"idx", "category", "n", "pct"}
