@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
 
 from ..functions.labels import from_mask
 from ..functions.numbers import reaches
@@ -16,6 +16,9 @@ from .triage import check_strict, require_columns
 
 Predictor = Callable[[list[str]], np.ndarray]
 
+#: Bytes of text that a model is given at once, besides one text that is longer.
+PIECE_BYTES = 1 << 20
+
 
 def onnx_loader(
     path: str, encode: Callable[[list[str]], dict[str, np.ndarray]]
@@ -49,22 +52,29 @@ def score_external(
     """All columns plus ``skip_reason`` and ``probs``; a narrow transformation.
 
     ``load`` runs once per Python task and returns a function from texts to an array with one
-    probability per text and model output.  Rows are split by status before the Python stage, so
+    probability per text and model output; it gets about ``PIECE_BYTES`` of texts at a time, so that of a batch no copies
+    are held as Python strings.  Rows are split by status before the Python stage, so
     skipped texts never reach it; outputs the model lacks are 0.0.
     """
     require_columns(df, [text_col])
     width = len(names)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    piece_bytes = PIECE_BYTES
+
+    @F.arrow_udf("array<double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in batches:
             out = np.zeros((len(texts), width))
-            if len(texts):
-                found = np.asarray(model(texts.tolist()), dtype=float)
-                used = min(width, found.shape[1])
-                out[:, :used] = found[:, :used]
-            yield pd.Series(list(out))
+            piece = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // piece_bytes
+            bounds = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                if high > low:
+                    found = np.asarray(model(texts.slice(low, high - low).to_pylist()), dtype=float)
+                    used = min(width, found.shape[1])
+                    out[low:high, :used] = found[:, :used]
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width)
+            yield pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
 
     reason = skip_reason(F.col(text_col), null_reason, df.schema[text_col].dataType)
     triaged = df.withColumn("skip_reason", reason)

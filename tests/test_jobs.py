@@ -185,6 +185,19 @@ def fixed_model():
     return load
 
 
+def test_an_external_model_gets_texts_piece_by_piece(spark):
+    def load():
+        def predict(texts):
+            assert sum(map(len, texts)) <= max(map(len, texts)) + (1 << 20)
+            return np.array([[len(text) / 1e7] for text in texts])
+
+        return predict
+
+    df = spark.range(60, numPartitions=1).select("id", F.repeat(F.lit("x"), (F.when(F.col("id") == 7, 5_000_000).otherwise(100_000 + F.col("id"))).cast("int")).alias("text"))
+    got = {r["id"]: r["probs"] for r in score_external(df, load, ["a"]).select("id", "probs").collect()}
+    assert got == {i: [5_000_000 / 1e7 if i == 7 else (100_000 + i) / 1e7] for i in range(60)}
+
+
 def test_external_model(spark):
     df = spark.createDataFrame([(1, "x"), (2, " "), (3, None), (4, "y")], "id INT, text STRING")
     got = {r["id"]: r for r in score_external(df, fixed_model(), ["a", "b", "c", "d"]).collect()}
