@@ -434,9 +434,7 @@ def score(
     """
     require_columns(df, [key, text_col])
     rows = df.select(key, F.col(text_col).alias("_text"))
-    return _scored(rows, model, "_text", null_reason, max_length, heavy_rows, broadcast_bytes).select(
-        key, "skip_reason", "z", "probs"
-    )
+    return _scored(rows, [key], model, "_text", null_reason, max_length, heavy_rows, broadcast_bytes)
 
 
 def _probabilities(logits: Column, valid: Column, model: LabelModel) -> Column:
@@ -461,12 +459,13 @@ def score_rows(
     join, as pairs with the number of their row; the sums are added to the written rows. Rows are told apart by number, so copies of a text need no care.
     """
     require_columns(df, [text_col])
-    scored = _scored(df, model, text_col, null_reason, max_length, heavy_rows, broadcast_bytes)
+    scored = _scored(df, df.columns, model, text_col, null_reason, max_length, heavy_rows, broadcast_bytes)
     return scored.select(*all_named(df.columns), "skip_reason", "probs")
 
 
 def _scored(
     df: DataFrame,
+    keep: Sequence[str],
     model: LabelModel,
     text_col: str,
     null_reason: str,
@@ -474,23 +473,24 @@ def _scored(
     heavy_rows: int | None,
     broadcast_bytes: int,
 ) -> DataFrame:
-    """``df`` with ``skip_reason``, ``z`` and ``probs``."""
+    """Columns ``keep`` of ``df`` with ``skip_reason``, ``z`` and ``probs``."""
+    kept = [*all_named(keep), F.col("skip_reason")]
     triaged = _triaged(df, text_col, null_reason)
     valid = F.col("skip_reason") == NONE
     found = F.when(valid, document_tokens(F.col(text_col).cast("string"), max_length))
     if model.labels and model.size() <= broadcast_bytes:
-        scored = triaged.withColumn("z", _gather(model, model.weights)(found))
+        scored = triaged.select(*kept, _gather(model, model.weights)(found).alias("z"))
         return scored.withColumn("probs", _probabilities(F.col("z"), valid, model))
     bar = _frequency_to_hold(model, max(broadcast_bytes, BROADCAST_BYTES), heavy_rows)
     held, rare = model.weights.filter(F.col("df") >= bar), model.weights.filter(F.col("df") < bar)
-    numbered = triaged.withColumn("_row", F.monotonically_increasing_id())
-    written = materialise(numbered.withColumn("_found", _gather(model, held, with_rest=True)(found)), "held-scores")
+    numbered = triaged.select(*kept, F.monotonically_increasing_id().alias("_row"), _gather(model, held, with_rest=True)(found).alias("_found"))
+    written = materialise(numbered, "held-scores")
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(len(model.labels))]
     added = written.select("_row", F.explode("_found.rest").alias("token")).join(rare, "token").groupBy("_row").agg(*sums)
     z = [F.get("_found.z", F.lit(i)) + F.coalesce(f"z{i}", F.lit(0)) for i in range(len(model.labels))]
     # The sums come dealt by row; the rows meet them there.
     joined = written.join(added.withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
-    scored = joined.select(*all_named(triaged.columns), F.array(*z).cast("array<bigint>").alias("z"))
+    scored = joined.select(*kept, F.array(*z).cast("array<bigint>").alias("z"))
     return scored.withColumn("probs", _probabilities(F.col("z"), valid, model))
 
 
