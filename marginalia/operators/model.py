@@ -351,56 +351,98 @@ def refine(
 
 #: Tokens whose weights a task gathers at once.
 AT_ONCE = 1 << 17
+#: Held tokens that a batch is compared with at once; the lookup table of so many is all that comes on top of the held ones.
+LOOKED_UP = 1 << 18
 #: Frequencies below this one are told apart when the tokens to hold are chosen, larger ones by powers of two.
 FINE = 4096
 
 
-def _frequency_to_hold(model: LabelModel, most_bytes: int, most_tokens: int | None) -> int:
-    """The least number of documents from which on tokens fit into ``most_bytes`` together; a few sums reach the driver."""
+def _sizes_together(model: LabelModel) -> list[tuple[int, int, int]]:
+    """``(frequency, tokens, bytes)`` from the most frequent tokens down, for tokens that share their rows of weights.
+
+    A token's weights follow from its counts, so rare tokens have few different rows. Rows are told apart by a hash, which only
+    measures; a few sums reach the driver.
+    """
     level = F.when(F.col("df") < FINE, F.col("df")).otherwise(F.expr("shiftleft(1L, length(bin(df)) - 1)"))
-    sizes = model.weights.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("token").cast("bigint")).alias("b"))
+    text = F.octet_length("token").cast("bigint")
+    rows = model.weights.groupBy(level.alias("level"), F.xxhash64("w")).agg(F.count("*").alias("n"), F.sum(text).alias("b"))
+    sizes = rows.groupBy("level").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("rows")).collect()
+    each = row_bytes(len(model.labels))
+    return sorted(((r["level"], r["n"], 4 * r["n"] + r["b"] + each * r["rows"]) for r in sizes), reverse=True)
+
+
+def _frequency_to_hold(sizes: list[tuple[int, int, int]], most_bytes: int, most_tokens: int | None) -> int:
+    """The least number of documents from which on tokens fit into ``most_bytes`` together."""
     bar, n, held = 1 << 62, 0, 0
-    for row in sorted(sizes.collect(), reverse=True):
-        n, held = n + row["n"], held + row["n"] * row_bytes(len(model.labels)) + row["b"]
+    for level, more, size in sizes:
+        n, held = n + more, held + size
         if held > most_bytes or (most_tokens is not None and n > most_tokens):
             break
-        bar = row["level"]
+        bar = level
     return bar
 
 
-def _gather(model: LabelModel, weights: DataFrame, with_rest: bool = False):
+def _held(weights: DataFrame, width: int, together: bool) -> tuple[pa.Array, np.ndarray | None, np.ndarray]:
+    """``(names, starts, matrix)``: tokens and their rows of weights; logarithms of doubles in millionths fit four bytes.
+
+    ``together`` holds equal rows once: the tokens stand in the order of their rows, those of row i from ``starts[i]`` on.
+    """
+    def matrix_of(table: pa.Table) -> np.ndarray:
+        return pc.list_flatten(table.column("w")).to_numpy().astype(np.int32).reshape(-1, width)
+
+    if not together:
+        table = weights.select("token", F.col("w").cast("array<int>").alias("w")).toArrow()
+        return table.column("token").combine_chunks(), None, matrix_of(table)
+    rows = weights.select("w").distinct().toArrow()
+    numbered = rows.append_column("kind", pa.array(np.arange(rows.num_rows, dtype=np.int32)))
+    kinds = F.broadcast(weights.sparkSession.createDataFrame(numbered))
+    table = weights.join(kinds, "w").select("token", "kind").toArrow()
+    kind = table.column("kind").to_numpy()
+    order = np.argsort(kind, kind="stable")
+    starts = np.searchsorted(kind[order], np.arange(rows.num_rows, dtype=np.int32))
+    return table.column("token").combine_chunks().take(pa.array(order)), starts, matrix_of(rows)
+
+
+def _places(tokens_of: pa.Array, names: pa.Array) -> np.ndarray:
+    """Where each token stands among ``names``, -1 if nowhere."""
+    place = np.full(len(tokens_of), -1, dtype=np.int32)
+    for low in range(0, len(names), LOOKED_UP):
+        at = pc.index_in(tokens_of, value_set=names.slice(low, LOOKED_UP))
+        place[pc.is_valid(at).to_numpy(zero_copy_only=False)] = at.drop_null().to_numpy() + low
+    return place
+
+
+def _gather(model: LabelModel, weights: DataFrame, together: bool = False, with_rest: bool = False):
     """Function from arrays of distinct tokens to logits, over weights held by every task.
 
     Called with weights of a checked size only. The function travels to the Python workers by
-    value; a batch of rows is one lookup, one gather and one sum over the weight matrix, all on Arrow's own arrays.
-    Logarithms of doubles in millionths fit four bytes. ``with_rest`` gives ``(z, rest)``, ``rest`` being the tokens that are not held.
+    value; a batch of rows is one lookup of its different tokens, one gather and one sum over the weight matrix, all on Arrow's own arrays.
+    ``with_rest`` gives ``(z, rest)``, ``rest`` being the tokens that are not held.
     """
-    table = weights.select("token", F.col("w").cast("array<int>").alias("w")).toArrow()
     width = len(model.labels)
-    flat = pc.list_flatten(table.column("w")).to_numpy().astype(np.int32)
-    held = (table.column("token").combine_chunks(), flat.reshape(-1, width))
-    shared = weights.sparkSession.sparkContext.broadcast(held)
+    shared = weights.sparkSession.sparkContext.broadcast(_held(weights, width, together))
     bias = np.array(model.bias, dtype=np.int64)
 
     @F.arrow_udf("struct<z: array<bigint>, rest: array<string>>" if with_rest else "array<bigint>")
     def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names, matrix = shared.value
+        names, starts, matrix = shared.value
         for found in batches:
             sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
-            tokens_of = pc.list_flatten(found)
-            at = pc.index_in(tokens_of, value_set=names)
-            row = np.repeat(np.arange(len(found)), sizes)
+            coded = pc.list_flatten(found).dictionary_encode()
+            place = _places(coded.dictionary, names)
+            if starts is not None:
+                place[place >= 0] = np.searchsorted(starts, place[place >= 0], side="right") - 1
+            place = place[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
             rest = None
             if with_rest:
-                missing = pc.is_null(at)
-                counts = np.bincount(row[missing.to_numpy(zero_copy_only=False)], minlength=len(found))
+                missing = place < 0
+                counts = np.bincount(row[missing], minlength=len(found))
                 bounds = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-                rest = pa.ListArray.from_arrays(bounds, tokens_of.filter(missing))
-            if at.null_count:
-                row = row[pc.is_valid(at).to_numpy(zero_copy_only=False)]
-                at = at.drop_null()
+                rest = pa.ListArray.from_arrays(bounds, coded.dictionary.take(coded.indices.filter(pa.array(missing))))
+            there = place >= 0
+            row, place = row[there], place[there]
             out = np.zeros((len(found), width), dtype=np.int64)
-            place = at.to_numpy()
             for low in range(0, len(row), AT_ONCE):  # a row over two slices is summed in both
                 own = row[low : low + AT_ONCE]
                 start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -454,7 +496,8 @@ def score_rows(
     """All columns of ``df`` plus ``skip_reason`` and ``probs``.
 
     Weights that measure at most ``broadcast_bytes`` are held by every task, and scoring is a narrow
-    step: no shuffle and no join. Beyond that, the tokens of the most training documents are held, as many as fit (at most ``heavy_rows``
+    step: no shuffle and no join. Weights that are larger with a row per token are held with each different row once, if that fits.
+    Beyond that, the tokens of the most training documents are held, as many as fit (at most ``heavy_rows``
     if given), and the narrow step is written with the tokens it did not find. Only those, the rare ones, meet the other weights in a shuffle
     join, as pairs with the number of their row; the sums are added to the written rows. Rows are told apart by number, so copies of a text need no care.
     """
@@ -478,12 +521,14 @@ def _scored(
     triaged = _triaged(df, text_col, null_reason)
     valid = F.col("skip_reason") == NONE
     found = F.when(valid, document_tokens(F.col(text_col).cast("string"), max_length))
-    if model.labels and model.size() <= broadcast_bytes:
-        scored = triaged.select(*kept, _gather(model, model.weights)(found).alias("z"))
+    apart = bool(model.labels) and model.size() <= broadcast_bytes
+    sizes = [] if apart else _sizes_together(model)
+    if apart or (model.labels and sum(size for *_, size in sizes) <= broadcast_bytes):
+        scored = triaged.select(*kept, _gather(model, model.weights, together=not apart)(found).alias("z"))
         return scored.withColumn("probs", _probabilities(F.col("z"), valid, model))
-    bar = _frequency_to_hold(model, max(broadcast_bytes, BROADCAST_BYTES), heavy_rows)
+    bar = _frequency_to_hold(sizes, max(broadcast_bytes, BROADCAST_BYTES), heavy_rows)
     held, rare = model.weights.filter(F.col("df") >= bar), model.weights.filter(F.col("df") < bar)
-    numbered = triaged.select(*kept, F.monotonically_increasing_id().alias("_row"), _gather(model, held, with_rest=True)(found).alias("_found"))
+    numbered = triaged.select(*kept, F.monotonically_increasing_id().alias("_row"), _gather(model, held, together=True, with_rest=True)(found).alias("_found"))
     written = materialise(numbered, "held-scores")
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(len(model.labels))]
     added = written.select("_row", F.explode("_found.rest").alias("token")).join(rare, "token").groupBy("_row").agg(*sums)

@@ -205,6 +205,28 @@ def test_scoring_plans(spark, capsys, tmp_path):
     assert "regexp_extract_all" not in capsys.readouterr().out
 
 
+def test_equal_rows_of_weights_are_held_once(spark, monkeypatch):
+    """Rare tokens share few rows of weights: a vocabulary that is over the limit with a row per token is held all the same."""
+    monkeypatch.setattr(nb, "LOOKED_UP", 7)
+    rows = [(i, f"the alone{i} pair{i // 2} pair{i // 2}", ["a"] if i % 4 < 2 else ["b"]) for i in range(60)]
+    rows += [(60, "the new pair3 alone7 new", None), (61, "", None), (62, None, None), (63, "!", None)]
+    df = spark.createDataFrame(rows, "id INT, text STRING, labels ARRAY<STRING>")
+    model = nb.fit(df.filter("labels IS NOT NULL"))
+    together = sum(size for *_, size in nb._sizes_together(model))
+    assert len({tuple(r["w"]) for r in model.weights.collect()}) == 5 and together == 91 * 4 + model.token_bytes + 5 * 12
+    assert together < model.size() / 1.5
+    want = {r["id"]: (r["skip_reason"], r["z"], r["probs"]) for r in nb.score(df, model, "id").collect()}
+
+    def refuse(rows, name):
+        raise AssertionError(f"{name} was written")
+
+    monkeypatch.setattr(nb, "materialise", refuse)
+    got = {r["id"]: (r["skip_reason"], r["z"], r["probs"]) for r in nb.score(df, model, "id", broadcast_bytes=together).collect()}
+    assert got == want
+    with pytest.raises(AssertionError, match="held-scores"):
+        nb.score(df, model, "id", broadcast_bytes=together - 1)
+
+
 def test_metrics_example(spark):
     rows = [(["a"], ["a"]), (["a", "b"], ["a"]), (["b"], ["a", "b"])]
     df = spark.createDataFrame(rows, "labels ARRAY<STRING>, predicted ARRAY<STRING>")
