@@ -403,15 +403,6 @@ def _held(weights: DataFrame, width: int, together: bool) -> tuple[pa.Array, np.
     return table.column("token").combine_chunks().take(pa.array(order)), starts, matrix_of(rows)
 
 
-def _places(tokens_of: pa.Array, names: pa.Array) -> np.ndarray:
-    """Where each token stands among ``names``, -1 if nowhere."""
-    place = np.full(len(tokens_of), -1, dtype=np.int32)
-    for low in range(0, len(names), LOOKED_UP):
-        at = pc.index_in(tokens_of, value_set=names.slice(low, LOOKED_UP))
-        place[pc.is_valid(at).to_numpy(zero_copy_only=False)] = at.drop_null().to_numpy() + low
-    return place
-
-
 def _gather(model: LabelModel, weights: DataFrame, together: bool = False, with_rest: bool = False):
     """Function from arrays of distinct tokens to logits, over weights held by every task.
 
@@ -423,13 +414,21 @@ def _gather(model: LabelModel, weights: DataFrame, together: bool = False, with_
     shared = weights.sparkSession.sparkContext.broadcast(_held(weights, width, together))
     bias = np.array(model.bias, dtype=np.int64)
 
+    def places(tokens_of: pa.Array, names: pa.Array) -> np.ndarray:
+        """Where each token stands among ``names``, -1 if nowhere."""
+        place = np.full(len(tokens_of), -1, dtype=np.int32)
+        for low in range(0, len(names), LOOKED_UP):
+            at = pc.index_in(tokens_of, value_set=names.slice(low, LOOKED_UP))
+            place[pc.is_valid(at).to_numpy(zero_copy_only=False)] = at.drop_null().to_numpy() + low
+        return place
+
     @F.arrow_udf("struct<z: array<bigint>, rest: array<string>>" if with_rest else "array<bigint>")
     def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, starts, matrix = shared.value
         for found in batches:
             sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
             coded = pc.list_flatten(found).dictionary_encode()
-            place = _places(coded.dictionary, names)
+            place = places(coded.dictionary, names)
             if starts is not None:
                 place[place >= 0] = np.searchsorted(starts, place[place >= 0], side="right") - 1
             place = place[coded.indices.to_numpy()]

@@ -4,8 +4,8 @@ Spark cuts such a file nowhere, because a line end may lie in a field. Here the
 are read as text, and each part finds out what its lines do to the state (outside or inside a quoted field) without knowing the state
 it starts in. A line leads from either state to either: it keeps the state, swaps it, or ends in one
 state whatever came before. Such steps compose, so a part's lines have states that are known or relative to its start, and the
-parts' own steps, composed in the order of the file, give every part its true start. Lines that are whole records
-go on alone; only the lines of records that span several are gathered, by record. The records are parsed by
+parts' own steps, composed in the order of the file, give every part its true start. The lines of a record
+that one task reads are put together there; only records cut by the end of a task's lines are gathered, from their pieces. The records are parsed by
 Spark's own CSV parser.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import materialise
@@ -124,6 +125,63 @@ def _starts(lines: DataFrame) -> DataFrame:
     return steps.select("file_path", "block", start.cast("int").alias("start"))
 
 
+def _assembled(lines: DataFrame) -> DataFrame:
+    """``(file_path, block, line, begun, ended, record)``: lines that follow each other put together, by the place of the first one.
+
+    A record whose lines a task reads one after the other comes out whole, both ``begun`` and ``ended``. Where a task's lines begin
+    or end within a record, its piece comes out. Any order of the lines is right, only then there are more pieces.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file_path", "block", "line", "begun", "ended", "record"]
+        waiting, texts, last = None, [], None  # the place of an open record, its texts so far, the place of the last line
+
+        def closed(ended: bool) -> pa.RecordBatch:
+            row = [*waiting, ended, b"\n".join(texts)]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, coded = batch.column(0), batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            blocks, lines_of, before, after = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+            starts = before == 0
+            starts[1:] |= (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1]) | (lines_of[1:] != lines_of[:-1] + 1)
+            follows = waiting is not None and not starts[0] and (files[0].as_py(), int(blocks[0]), int(lines_of[0]) - 1) == last
+            if waiting is not None and not follows:
+                yield closed(False)
+                waiting = None
+            starts[0] = True
+            at = np.flatnonzero(starts)
+            ends = np.append(at[1:], batch.num_rows)
+            ended = after[ends - 1] == 0
+            record = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, batch.num_rows), pa.int32()), batch.column(5)), b"\n")
+            low, high = 0, len(at)
+            if follows:
+                texts.append(record[0].as_py())
+                low = 1
+                if ended[0] or high > 1:
+                    yield closed(bool(ended[0]))
+                    waiting = None
+            if high > low and not ended[-1]:
+                high -= 1
+                waiting = (files[int(at[-1])].as_py(), int(blocks[at[-1]]), int(lines_of[at[-1]]), bool(before[at[-1]] == 0))
+                texts = [record[high].as_py()]
+            if high > low:
+                at, ended = at[low:high], ended[low:high]
+                place = [files.take(pa.array(at)), pa.array(blocks[at]), pa.array(lines_of[at])]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(before[at] == 0), pa.array(ended), record.slice(low, high - low)], names)
+            last = (files[batch.num_rows - 1].as_py(), int(blocks[-1]), int(lines_of[-1]))
+        if waiting is not None:
+            yield closed(False)
+
+    ordered = lines.select("file_path", "block", "line", "before", "after", "value")
+    found = ordered.mapInArrow(run, "file_path string, block long, line long, begun boolean, ended boolean, record binary")
+    return found.withColumn("record", F.col("record").cast("string"))
+
+
 def records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``(file_path, block, line, record)``: every record of the files as text, with the place of its first line.
 
@@ -134,38 +192,23 @@ def records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     starts = materialise(_starts(lines), "csv-blocks")
 
     def true(state: str) -> Column:
-        return F.when(F.col(state) < 2, F.col(state)).otherwise(F.col(state).bitwiseXOR(F.col("start")).bitwiseAND(1))
-
-    lines = lines.join(starts, ["file_path", "block"]).withColumns(
-        {"before": true("before"), "after": true("after"), "value": F.col("value").cast("string")}
-    )
-    whole = lines.filter("before = 0 AND after = 0").select("file_path", "block", "line", F.col("value").alias("record"))
-    parts = lines.filter("before = 1 OR after = 1")
-    # The last line of the block that began a record; in a block without one so far, the last one of earlier blocks.
-    begins = F.when(F.col("before") == 0, F.col("line"))
-    last = parts.groupBy("file_path", "block").agg(F.max(begins).alias("line"))
-    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.last(F.when(F.col("line").isNotNull(), F.struct("block", "line")), ignorenulls=True).over(earlier)
-    open_before = last.select("file_path", "block", begun.alias("open"))
-    within = Window.partitionBy("file_path", "block").orderBy("line")
-    parts = parts.withColumn("own", F.last(begins, ignorenulls=True).over(within)).join(open_before, ["file_path", "block"])
-    # Lines meet within their block first, where the window has brought them together already; only the records
-    # that go over an end of a block, at most two pieces of a block, are dealt again.
-    gathered = parts.groupBy("file_path", "block", "own", "open").agg(
-        F.array_sort(F.collect_list(F.struct("line", "value"))).alias("lines"), F.max_by("after", "line").alias("ends")
-    )
-    gathered = gathered.withColumn("record", F.array_join("lines.value", "\n")).drop("lines")
-    inside = F.col("own").isNotNull() & (F.col("ends") == 0)
-    within_block = gathered.filter(inside).select("file_path", "block", F.col("own").alias("line"), "record")
-    first = F.when(F.col("own").isNotNull(), F.struct("block", F.col("own").alias("line"))).otherwise(F.col("open"))
-    pieces = F.array_sort(F.collect_list(F.struct("block", "record")))
+        known = F.when(F.col(state) < 2, F.col(state)).otherwise(F.col(state).bitwiseXOR(F.col("start")).bitwiseAND(1))
+        return known.cast("byte")
+
+    found = _assembled(lines.join(starts, ["file_path", "block"]).withColumns({"before": true("before"), "after": true("after")}))
+    whole = F.col("begun") & F.col("ended")
+    # The pieces of a record are dealt by the place of its first line: that of the last piece before them that began one.
+    earlier = Window.partitionBy("file_path").orderBy("block", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.last(F.when(F.col("begun"), F.struct("block", "line")), ignorenulls=True).over(earlier)
+    pieces = F.array_sort(F.collect_list(F.struct("block", "line", "record")))
     joined = (
-        gathered.filter(~inside)
-        .groupBy("file_path", first.alias("first"))
+        found.filter(~whole)
+        .withColumn("first", begins)
+        .groupBy("file_path", "first")
         .agg(pieces.alias("pieces"))
         .select("file_path", "first.block", "first.line", F.array_join("pieces.record", "\n").alias("record"))
     )
-    return whole.unionByName(within_block).unionByName(joined)
+    return found.filter(whole).select("file_path", "block", "line", "record").unionByName(joined)
 
 
 def read_spanning(

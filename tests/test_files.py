@@ -341,3 +341,27 @@ def test_an_unreadable_csv_file_is_a_status(spark, folder):
     assert sorted(r["text"] for r in found.rows.collect()) == ["x", "y"]
     alone = files.validate_files(spark, [broken])
     assert [r["status"] for r in alone.report.collect()] == ["unreadable"] and alone.rows.count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 10_000])
+def test_records_are_put_together_where_they_are_read(spark, folder, monkeypatch, at_once):
+    """Only the pieces at the ends of a task's lines are gathered, however many batches a task's lines come in."""
+    draw = random.Random(at_once)
+    wanted = ["text,n"] + [f'"{i}{chr(10) * draw.randint(0, 9)}é",{i}' for i in range(400)]
+    path = put(folder, "f.csv", "\n".join(wanted) + "\n")
+    seen = []
+    assembled = spanning._assembled
+    monkeypatch.setattr(spanning, "_assembled", lambda lines: seen.append(assembled(lines)) or seen[-1])
+    settings = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": str(at_once)}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        blocks = spanning.lines_with_steps(spark, [path]).select("block").distinct().count()
+        got = Counter(r["record"] for r in spanning.records(spark, [path]).collect())
+        pieces = seen[0].filter("NOT (begun AND ended)").count()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == Counter(wanted) and len(got) == 401
+    assert blocks > 3 and 0 < pieces <= 2 * blocks
